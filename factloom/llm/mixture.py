@@ -98,6 +98,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return chosen.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with ``copies``, for documents that the mix takes at least once.
+
+    Rows that share an id (or have none) are taken alike, as often as the least taken of them.
+    """
+    taken = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("_id")).agg(F.min("copies").cast("long").alias("copies"))
+    taken = materialize(taken.filter("copies > 0"), "mix-taken")
+    kept = [c for c in docs.columns if c != "copies"]
+    return docs.select(*kept).join(taken, F.col(id_col).eqNullSafe(F.col("_id"))).select(*kept, "copies")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

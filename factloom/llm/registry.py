@@ -1,13 +1,19 @@
 """Queries of the training-data operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontaminate, exact_dedup, mixture, substring_dedup
+from . import decontaminate, exact_dedup, licenses, mixture, near_dedup, secrets, substring_dedup, surrogates, toxicity, warc
 
 _MODULES = {
     "op1_decontaminate": decontaminate,
+    "op2_jaccard_join": near_dedup,
+    "op3_secrets": secrets,
+    "op4_warc": warc,
     "op5_exact_dedup": exact_dedup,
     "op6_substring_dedup": substring_dedup,
+    "op7_licenses": licenses,
     "op8_mixture": mixture,
+    "op9_surrogates": surrogates,
+    "op10_toxicity": toxicity,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
-ORACLES = {name: module.ORACLE for name, module in _MODULES.items() if getattr(module, "ORACLE", None)}
+ORACLES = {name: module.ORACLE for name, module in _MODULES.items() if getattr(module, "ORACLE", None) and name != "op2_jaccard_join"}
