@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import registered
+from .plans.registered import flagship  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict:
+    return dict(registered.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+    return dict(registered.ORACLES)
