@@ -28,7 +28,7 @@ WARC_DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "file string, start long, end long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, gap string"
 _MEMBER = b"\x1f\x8b\x08"
-_VERSION = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes | None, digest: str, size: int, refers_to: str | None, revisit: bool) -> bytes:
@@ -59,9 +59,12 @@ def _plain_record(data: bytes, at: int) -> tuple[int, dict | str]:
     fields: dict[str, str] = {}
     for line in data[at:stop].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
-        if not colon or not name.strip():
+        key = name.strip().lower().decode("latin-1")
+        if not colon or not key or line.endswith((b"WARC/1.0", b"WARC/1.1")):
             return at, "malformed header line"
-        fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        if key in fields and key in ("warc-record-id", "content-length", "warc-type"):
+            return at, "header runs into another"
+        fields[key] = value.strip().decode("utf-8", "replace")
     length = fields.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         return at, "no content length"
