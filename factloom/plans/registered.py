@@ -81,8 +81,8 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["r5_purchase_parts"] = flagship
 ORACLES["r5_purchase_parts"] = f"WITH {FACTS}, {PARAMS}, {steps_sql('linear')} SELECT run_id, uid, x, rank FROM (SELECT run_id, uid, round(x, 6) AS x, row_number() OVER (PARTITION BY run_id ORDER BY round(x, 6) DESC, uid) AS rank FROM s3 WHERE uid LIKE 'P%') WHERE rank <= 10"
 for _kernel in ("linear", "sigmoid", "relu"):
-    QUERIES[f"r5_propagate_{_kernel}"] = lambda spark, d, k=_kernel: spread(spark, d, k, 2).select("run_id", "uid", F.round("x", 6).alias("x")).filter("x > 0")
-    ORACLES[f"r5_propagate_{_kernel}"] = f"WITH {FACTS}, {PARAMS}, {steps_sql(_kernel, 2)} SELECT run_id, uid, round(x, 6) AS x FROM s2 WHERE round(x, 6) > 0"
+    QUERIES[f"r5_propagate_{_kernel}"] = lambda spark, d, k=_kernel: spread(spark, d, k, 2).select("run_id", "uid", F.round("x", 12).alias("x")).filter("x > 0")
+    ORACLES[f"r5_propagate_{_kernel}"] = f"WITH {FACTS}, {PARAMS}, {steps_sql(_kernel, 2)} SELECT run_id, uid, round(x, 12) AS x FROM s2 WHERE round(x, 12) > 0"
 
 
 @query("r6_mean_decay", f"WITH {FACTS}, {PARAMS} SELECT uid, round(avg(decay), 6) AS decay FROM inc JOIN fac USING (fid) GROUP BY uid")
@@ -133,10 +133,10 @@ def b26(spark, d):
     return belief.run(follow_members(spark, d), first_orders(spark, d), ticks=3, cut_every=2).select("run_id", "uid", F.round("belief", 6).alias("belief"), F.round("x", 6).alias("x"))
 
 
-@query("b20_compete_global", "WITH t AS (SELECT n_name AS run_id, c_custkey AS uid, least(1, greatest(0, c_acctbal / 10000)) AS x FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT run_id, uid, round(least(1, greatest(0, x - 0.2 * (sum(x) OVER (PARTITION BY run_id) - x) / greatest(1, count(*) OVER (PARTITION BY run_id) - 1))), 4) AS x FROM t")
+@query("b20_compete_global", "WITH t AS (SELECT n_name AS run_id, c_custkey AS uid, least(1, greatest(0, c_acctbal / 10000)) AS x FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT run_id, uid, round(least(1, greatest(0, x - 0.2 * (sum(x) OVER (PARTITION BY run_id) - x) / greatest(1, count(*) OVER (PARTITION BY run_id) - 1))), 13) AS x FROM t")
 def b20(spark, d):
     t = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("run_id"), F.col("c_custkey").alias("uid"), fn.clip(F.col("c_acctbal") / 10000).alias("x"))
-    return belief.compete_global(t).select("run_id", "uid", F.round("x", 4).alias("x"))
+    return belief.compete_global(t).select("run_id", "uid", F.round("x", 13).alias("x"))
 
 
 @query("b27_seed_evidence", "SELECT uid, round(sum(lam), 6) AS lam FROM (SELECT 'P' || l_partkey AS uid, 3 * least(1, greatest(0.1, l_discount)) AS lam FROM lineitem UNION ALL SELECT 'M_P' || l_partkey, 0.8 * 3 * least(1, greatest(0.1, l_discount)) FROM lineitem) GROUP BY uid HAVING sum(lam) >= 0.05")
