@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +16,21 @@ def fold_stream(ops: DataFrame) -> DataFrame:
 
 
 def drain(spark: SparkSession, path: str) -> DataFrame:
-    """All operations of an event table read as a stream until it is drained; the state is kept as a table in the warehouse."""
+    """``key, value`` once all operations of an event table were read as a stream; each batch's state goes to the shared folder."""
     schema = spark.read.parquet(path).schema
     folder, name = os.path.split(path)
     events = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     events = events.filter("event_type in ('purchase', 'signup', 'error')")
     ops = events.select(F.concat(F.lit("u"), "user_id").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "delete").otherwise("set").alias("op"), "value")
-    sink = f"state_{uuid.uuid4().hex}"
-    started = fold_stream(ops).writeStream.outputMode("complete").format("memory").queryName(sink).trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.table(sink).filter("last.op = 'set'").select("key", "last.value")
+    state = fold_stream(ops)
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-factloom-")
+    home, written = f"{base.rstrip('/')}/factloom/state-{uuid.uuid4().hex}", []
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{home}/state/epoch={epoch}")
+        written.append(epoch)
+
+    run = state.writeStream.outputMode("complete").option("checkpointLocation", f"{home}/log").foreachBatch(save).trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = spark.read.schema(state.schema).parquet(f"{home}/state/epoch={max(written)}") if written else spark.createDataFrame([], state.schema)
+    return last.filter("last.op = 'set'").select("key", "last.value")
