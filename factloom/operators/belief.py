@@ -19,14 +19,15 @@ def init(members: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def strength(potential, w, pos):
-    """How far a pair factor pulls its member from the other one's message; the later member is at position 1."""
+    """How far a pair factor of weight ``w`` pulls its member from the other one's message; the later member is at position 1."""
     later = pos == 1
-    return (
+    share = (
         F.when(potential == "is_a", F.when(later, 0.9).otherwise(0.2))
         .when(potential == "follow", F.when(later, 0.8).otherwise(0.1))
         .when(potential == "bind", 0.8)
-        .otherwise(F.least(F.lit(1.0), w * 0.4))
+        .otherwise(0.4)
     )
+    return clip(w * share)
 
 
 def tick(messages: DataFrame, nodes: DataFrame, damping: float = 0.4, eta: float = 0.5, decay: float = 0.1) -> tuple[DataFrame, DataFrame]:
@@ -65,3 +66,52 @@ def compete_global(states: DataFrame, s: float = 0.2) -> DataFrame:
     w = Window.partitionBy("run_id")
     others = (F.sum("x").over(w) - F.col("x")) / F.greatest(F.lit(1), F.count("*").over(w) - 1)
     return states.withColumn("x", clip(F.col("x") - s * others))
+
+
+def compete_local(states: DataFrame, pairs: DataFrame, s: float = 0.2) -> DataFrame:
+    """x less s times the mean of its neighbours (``uid, other``); a node without any keeps its x."""
+    near = pairs.join(states.select("run_id", F.col("uid").alias("other"), F.col("x").alias("near")), "other")
+    mean = near.groupBy("run_id", "uid").agg(F.avg("near").alias("mean"))
+    return states.join(mean, ["run_id", "uid"], "left").withColumn("x", clip(F.col("x") - s * F.coalesce("mean", F.lit(0.0)))).drop("mean")
+
+
+def gated(messages: DataFrame, gates: DataFrame) -> DataFrame:
+    """Messages (``run_id, fid, message``) pulled to one half by the factor's gate in the run; a factor without one is shut."""
+    open_by = messages.join(gates.select("run_id", "fid", "gate"), ["run_id", "fid"], "left")
+    return open_by.withColumn("message", pulled(F.col("message"), F.coalesce(clip(F.col("gate")), F.lit(0.0)))).drop("gate")
+
+
+def working_memory(states: DataFrame, before: DataFrame, tick_no: int, threshold: float = 0.5) -> DataFrame:
+    """``run_id, uid, x, since`` of nodes at the threshold or above; one that was in memory keeps its first tick."""
+    kept = states.filter(F.col("x") >= threshold).join(before.select("run_id", "uid", "since"), ["run_id", "uid"], "left")
+    return kept.select("run_id", "uid", "x", F.coalesce("since", F.lit(tick_no)).alias("since"))
+
+
+def contributions(before: DataFrame, after: DataFrame, least: float = 1e-6) -> DataFrame:
+    """``run_id, fid, uid, source, delta``: message changes above ``least``, with the factor's other member that sends most."""
+    key = ["run_id", "fid", "uid"]
+    moved = after.join(before.select(*key, F.col("f2v").alias("old")), key).withColumn("delta", F.col("f2v") - F.col("old"))
+    strongest = F.array_sort(F.collect_list(F.struct((-F.col("v2f")).alias("order"), "pos", "uid")).over(Window.partitionBy("run_id", "fid")))
+    named = moved.withColumn("source", F.filter(strongest, lambda m: m["uid"] != F.col("uid"))[0]["uid"])
+    return named.filter(F.abs("delta") > least).select(*key, "source", "delta")
+
+
+def pacemaker(states: DataFrame, evidence: DataFrame, tick_no: int, period: int = 5, items: int = 5, gain: float = 0.4) -> DataFrame:
+    """Evidence ``run_id, uid, lam`` with ``gain`` more for each run's most active nodes on every ``period``-th tick."""
+    if tick_no % period:
+        return evidence
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.col("x").desc(), "uid"))
+    beat = states.withColumn("rank", rank).filter(F.col("rank") <= items).select("run_id", "uid", F.lit(gain).alias("lam"))
+    return evidence.unionByName(beat).groupBy("run_id", "uid").agg(F.sum("lam").alias("lam"))
+
+
+def report(before: DataFrame, after: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row per run: largest change of belief, nodes, active nodes, largest belief and activation."""
+    both = after.join(before.select("run_id", "uid", F.col("belief").alias("old")), ["run_id", "uid"])
+    return both.groupBy("run_id").agg(
+        F.max(F.abs(F.col("belief") - F.col("old"))).alias("change"),
+        F.count("*").alias("nodes"),
+        F.count_if(F.col("x") >= threshold).alias("active"),
+        F.max("belief").alias("top_belief"),
+        F.max("x").alias("top_x"),
+    )

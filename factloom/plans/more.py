@@ -97,9 +97,9 @@ def _pull(name: str, potential: str, strength_sql: str):
 
 
 _pull("b8_assoc", "assoc", "least(1, w * 0.4)")
-_pull("b9_bind", "bind", "0.8")
-_pull("b10_is_a", "is_a", "CASE WHEN pos = 1 THEN 0.9 ELSE 0.2 END")
-_pull("b11_follow", "follow", "CASE WHEN pos = 1 THEN 0.8 ELSE 0.1 END")
+_pull("b9_bind", "bind", "least(1, w * 0.8)")
+_pull("b10_is_a", "is_a", "least(1, w * CASE WHEN pos = 1 THEN 0.9 ELSE 0.2 END)")
+_pull("b11_follow", "follow", "least(1, w * CASE WHEN pos = 1 THEN 0.8 ELSE 0.1 END)")
 
 
 @query("b3_evidence_likelihood", "SELECT c_custkey, round(1 / (1 + exp(-least(50, greatest(0, c_acctbal / 1000)))), 9) AS p FROM customer")
