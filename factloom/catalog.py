@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import inference, more, registered  # noqa: F401
+from .plans import evaluation, inference, more, registered  # noqa: F401
 from .plans.registered import flagship  # noqa: F401
 
 
