@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import answers, evaluation, inference, ingest, more, registered, resolution  # noqa: F401
+from .plans import answers, evaluation, inference, ingest, more, registered, resolution, sources  # noqa: F401
 from .plans.registered import flagship  # noqa: F401
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 from ..operators import belief, ranking, state_stream, text
 from .purchase import FACTS, LINKS, facts, follow_links, table
-from .registered import members_of, query
+from .registered import ORACLES, members_of, query
 
 _LINK_TABLE = f"{LINKS}, p AS (SELECT 'P' || p_partkey AS e1, p_brand AS e2, 'IS-A' AS t FROM part UNION ALL SELECT e1, e2, 'FOLLOW' FROM links)"
 
@@ -176,7 +176,7 @@ def t22(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.round(0.5 * w, 4).alias("w"))
 
 
-@query("s7_state_stream")
+@query("s7_state_stream", ORACLES["s2_fold_set_delete"])
 def s7(spark, d):
     """Set and delete operations folded by a stream; same rows as the batch fold once the input is drained."""
     return state_stream.drain(spark, f"{d}/events.parquet")
