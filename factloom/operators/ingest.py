@@ -250,3 +250,47 @@ def add_properties(rows: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFram
 def render(relation: Column, roles: Column, template: Column) -> Column:
     """A template with each {ROLE} replaced by its filler."""
     return F.aggregate(F.map_entries(roles), F.coalesce(template, relation), lambda text, e: F.replace(text, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
+
+
+def coverage(parts: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``part_id, kind, support, covered``: candidates (``part_id, cand_id, roles``) that support a segment (``part_id, kind, body``).
+
+    A sentence is covered by any candidate; a list item by one that names at least half of its words in its roles, a
+    clause by one that names 0.6 of them. A segment without words needs none.
+    """
+    own = parts.select("part_id", F.explode(F.array_distinct(words(F.col("body")))).alias("word"))
+    sizes = own.groupBy("part_id").agg(F.count("*").alias("n"))
+    said = candidates.select("part_id", "cand_id", F.explode(F.array_distinct(F.flatten(F.transform(F.map_values("roles"), words)))).alias("word"))
+    named = said.join(own, ["part_id", "word"]).groupBy("part_id", "cand_id").agg(F.count("*").alias("hit"))
+    best = candidates.select("part_id", "cand_id").join(named, ["part_id", "cand_id"], "left").groupBy("part_id").agg(F.count("*").alias("support"), F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
+    rows = parts.join(sizes, "part_id", "left").join(best, "part_id", "left")
+    support, share = F.coalesce("support", F.lit(0)), F.coalesce("hit", F.lit(0)) / F.col("n")
+    covered = F.when(F.col("n").isNull(), True).when(F.col("kind") == "sentence", support > 0).otherwise(share >= F.when(F.col("kind") == "list_item", 0.5).otherwise(0.6))
+    return rows.select("part_id", "kind", support.alias("support"), covered.alias("covered"))
+
+
+def infer_list_items(items: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates for uncovered list items (``list_id, part_id, body``) from those of their siblings (``list_id, part_id, relation, roles``).
+
+    They take the list's most common relation, if two siblings share it, its roles that never vary, and their own text
+    as the role that varies most. ``part_id, relation, roles``.
+    """
+    counts = candidates.groupBy("list_id", "relation").agg(F.count("*").alias("n")).filter("n >= 2")
+    modal = counts.groupBy("list_id").agg(F.min_by("relation", F.struct((-F.col("n")).alias("m"), "relation")).alias("relation"))
+    fillers = candidates.join(modal, ["list_id", "relation"]).select("list_id", F.explode("roles").alias("role", "filler"))
+    roles = fillers.groupBy("list_id", "role").agg(F.countDistinct("filler").alias("kinds"), F.min("filler").alias("filler"))
+    shape = roles.groupBy("list_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kinds") == 1, F.struct("role", "filler"))))).alias("stable"),
+        F.min_by("role", F.struct((-F.col("kinds")).alias("m"), "role")).alias("varying"),
+        F.max("kinds").alias("kinds"),
+    )
+    open_items = items.join(candidates.select("part_id").distinct(), "part_id", "left_anti")
+    made = open_items.join(modal, "list_id").join(shape.filter("kinds > 1"), "list_id")
+    return made.select("part_id", "relation", F.map_concat("stable", F.create_map("varying", "body")).alias("roles"))
+
+
+def corpus(parts: DataFrame, empty: str = "(no facts)") -> DataFrame:
+    """``graph_id, body``: a graph's distinct lines (``graph_id, seq, line``), without case, in order of first place; a sentinel if all are blank."""
+    first = parts.withColumn("key", F.lower(F.trim(F.coalesce("line", F.lit(""))))).groupBy("graph_id", "key").agg(F.min(F.struct("seq", "line")).alias("first"))
+    rows = first.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.when(F.col("key") != "", F.col("first")))).alias("all"))
+    return rows.select("graph_id", F.when(F.size("all") > 0, F.array_join(F.col("all.line"), "\n\n")).otherwise(empty).alias("body"))

@@ -29,3 +29,17 @@ def holdings(ops: DataFrame) -> DataFrame:
     """``owner, item, since`` of what is held at the end: re-gained items count from their last gain, given ones go."""
     last = ops.groupBy("owner", "item").agg(F.max_by("op", "seq").alias("op"), F.max("seq").alias("since"))
     return last.filter("op = 'gain'").select("owner", "item", "since")
+
+
+def expand_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """``seq, op, key, value`` of each event (``seq, relation, roles``) and each rule of its relation (``relation, op, key, value``).
+
+    {ROLE} in a rule's key and value is the event's filler; a role the event lacks leaves its braces, and ``missing`` is true.
+    """
+    joined = events.join(F.broadcast(rules), "relation")
+
+    def filled(template: str):
+        return F.aggregate(F.map_entries("roles"), F.col(template), lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
+
+    rows = joined.select("seq", "op", filled("key").alias("key"), filled("value").alias("value"))
+    return rows.withColumn("missing", F.coalesce(F.concat("key", F.coalesce("value", F.lit(""))).rlike(r"\{[A-Z_]+\}"), F.lit(False)))

@@ -16,8 +16,8 @@ def chunks(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", tex
     return starts.select(id_col, "chunk", F.array_join(F.slice("w", (F.col("chunk") * step + 1).cast("int"), F.lit(size)), " ").alias("body"))
 
 
-def hashed_ngrams(df: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...], slots: int) -> DataFrame:
-    """``id, slot, v``: signed counts of the character n-grams of padded lower-cased text; slots that cancel out are left out."""
+def hashed_ngrams(df: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...], slots: int, signed: bool = True) -> DataFrame:
+    """``id, slot, v``: counts, signed or not, of the character n-grams of padded lower-cased text; slots that cancel out are left out."""
     padded = F.concat(F.lit(" "), F.lower(text_col), F.lit(" "))
 
     def runs(n: int):
@@ -26,5 +26,5 @@ def hashed_ngrams(df: DataFrame, id_col: str, text_col: str, sizes: tuple[int, .
     grams = [runs(n) for n in sizes]
     all_grams = df.filter(F.length(text_col) + 2 >= max(sizes)).select(id_col, F.explode(F.concat(*grams)).alias("g"))
     number = lambda start, length: F.conv(F.substring(F.md5("g"), start, length), 16, 10).cast("long")
-    sign = F.when(number(9, 1) % 2 == 0, 1).otherwise(-1).cast("long")
+    sign = F.when(F.lit(not signed) | (number(9, 1) % 2 == 0), 1).otherwise(-1).cast("long")
     return all_grams.groupBy(id_col, (number(1, 8) % slots).alias("slot")).agg(F.sum(sign).alias("v")).filter("v <> 0")
