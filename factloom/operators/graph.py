@@ -11,10 +11,10 @@ from ..functions.scalars import clip
 BASE = {"transmission": 0.5, "decay": 0.1, "directionality": 0.5, "selectivity": 0.5, "persistence": 0.5}
 
 
-def incidence(facts: DataFrame, roles: list[tuple[str, str]], fid: str = "fid") -> DataFrame:
-    """``fid, uid, pos, role`` from a wide fact table; null fillers are left out. No shuffle."""
+def incidence(facts: DataFrame, roles: list[tuple[str, str]], fid: str = "fid", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``fid, uid, pos, role`` and columns to ``keep`` from a wide fact table; null fillers are left out. No shuffle."""
     members = F.array(*[F.struct(F.col(c).alias("uid"), F.lit(i).alias("pos"), F.lit(r).alias("role")) for i, (c, r) in enumerate(roles)])
-    return facts.select(F.col(fid).alias("fid"), F.explode(members).alias("m")).select("fid", "m.uid", "m.pos", "m.role").filter("uid is not null")
+    return facts.select(F.col(fid).alias("fid"), *keep, F.explode(members).alias("m")).select("fid", *keep, "m.uid", "m.pos", "m.role").filter("uid is not null")
 
 
 def rule_params(directional: Column, symmetric: Column, temporal: Column, causal: Column, state_changing: Column) -> dict[str, Column]:

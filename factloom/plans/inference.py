@@ -17,9 +17,9 @@ _OTHERS = "FROM mem a JOIN mem b ON a.fid = b.fid AND a.pos <> b.pos GROUP BY a.
 
 
 def members(spark, d):
-    rows = facts(spark, d)
+    rows = factors(facts(spark, d), *[c for c, _ in ROLES])
     p = (F.substring("uid", 2, 20).cast("long") * 37 % 97 + 1) / F.lit(98.0)
-    return graph.incidence(rows, ROLES).join(factors(rows), "fid").withColumn("p", p).withColumn("run_id", F.lit("r"))
+    return graph.incidence(rows, ROLES, keep=("w", "confidence", "forward", "backward")).withColumn("p", p).withColumn("run_id", F.lit("r"))
 
 
 def shown(df):

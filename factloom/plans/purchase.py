@@ -29,9 +29,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def factors(rows: DataFrame) -> DataFrame:
-    """Purchases as directional, temporal, state-changing factors with rule-based parameters."""
-    flags = rows.select("fid", "w", F.lit(0.9).alias("confidence"), F.lit(True).alias("directional"), F.lit(False).alias("symmetric"), F.lit(True).alias("temporal"), F.lit(False).alias("causal"), F.lit(True).alias("state_changing"))
+def factors(rows: DataFrame, *keep: str) -> DataFrame:
+    """Purchases as directional, temporal, state-changing factors with rule-based parameters, and columns to ``keep``."""
+    flags = rows.select("fid", *keep, "w", F.lit(0.9).alias("confidence"), F.lit(True).alias("directional"), F.lit(False).alias("symmetric"), F.lit(True).alias("temporal"), F.lit(False).alias("causal"), F.lit(True).alias("state_changing"))
     params = graph.rule_params(*[F.col(c) for c in ("directional", "symmetric", "temporal", "causal", "state_changing")])
     return graph.with_transmission(flags.withColumns(params))
 
