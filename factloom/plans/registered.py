@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..operators import analysis, belief, graph, propagation, ranking, state
+from ..runtime import cut_lineage
 from .purchase import FACTS, LINKS, PARAMS, ROLES, evidence, factors, facts, follow_links, steps_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,7 +70,8 @@ def g9(spark, d):
 
 def spread(spark: SparkSession, d: str, kernel: str, steps: int = 3) -> DataFrame:
     rows = facts(spark, d)
-    return propagation.propagate(graph.incidence(rows, ROLES), factors(rows), evidence(spark, d), steps, kernel)
+    rows = cut_lineage(factors(rows, *[c for c, _ in ROLES]))  # every step reads it several times
+    return propagation.propagate(graph.incidence(rows, ROLES), rows, evidence(spark, d), steps, kernel)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
