@@ -6,11 +6,14 @@ node's degree. Strengths of 0 and 1 are kept 1e-12 apart from the ends.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, damp, logistic, logit, pulled
 from ..runtime import cut_lineage
+from .ranking import mask_top_k
 
 
 def init(members: DataFrame, runs: DataFrame) -> DataFrame:
@@ -18,32 +21,98 @@ def init(members: DataFrame, runs: DataFrame) -> DataFrame:
     return members.crossJoin(F.broadcast(runs.select("run_id"))).select("run_id", "fid", "uid", "pos", "potential", "w", F.lit(0.5).alias("v2f"), F.lit(0.5).alias("f2v"))
 
 
-def strength(potential, w, pos):
+def prior(eps):
+    """Message of a factor that holds a node's prior odds ``eps`` against 1; odds of 0 count as 1e-12."""
+    odds = F.greatest(F.lit(1e-12), eps)
+    return odds / (1 + odds)
+
+
+def observed(lam):
+    """Message of a factor that holds evidence ``lam`` (log odds, 50 at most)."""
+    return logistic(F.least(F.lit(50.0), lam))
+
+
+def strength(potential, w, pos, association: Column | float = 0.4):
     """How far a pair factor of weight ``w`` pulls its member from the other one's message; the later member is at position 1."""
     later = pos == 1
     share = (
         F.when(potential == "is_a", F.when(later, 0.9).otherwise(0.2))
         .when(potential == "follow", F.when(later, 0.8).otherwise(0.1))
         .when(potential == "bind", 0.8)
-        .otherwise(0.4)
+        .otherwise(association)
     )
     return clip(w * share)
 
 
-def tick(messages: DataFrame, nodes: DataFrame, damping: float = 0.4, eta: float = 0.5, decay: float = 0.1) -> tuple[DataFrame, DataFrame]:
-    """New messages and node states of pair factors. Nodes: ``run_id, uid, lam, x`` (evidence and activation)."""
+def to_factor(messages: DataFrame, nodes: DataFrame, damping: float = 0.4) -> DataFrame:
+    """Messages with new ``v2f``: a node's evidence and all it hears but the factor's own message, damped. Nodes: ``run_id, uid, lam``."""
     evidence = nodes.select("run_id", "uid", F.least(F.lit(50.0), F.greatest(F.lit(0.0), F.col("lam"))).alias("lam"))
-    joined = messages.join(evidence, ["run_id", "uid"])
     total = F.sum(logit(F.col("f2v"))).over(Window.partitionBy("run_id", "uid"))
-    to_factor = joined.withColumn("v2f", damp(F.col("v2f"), logistic(F.col("lam") + total - logit(F.col("f2v"))), damping)).drop("lam")
+    heard = logistic(F.col("lam") + total - logit(F.col("f2v")))
+    return messages.join(evidence, ["run_id", "uid"]).withColumn("v2f", damp(F.col("v2f"), heard, damping)).drop("lam")
+
+
+def to_member(messages: DataFrame, damping: float = 0.4, association: Column | float = 0.4) -> DataFrame:
+    """Messages with new ``f2v`` of pair factors: one half pulled to the other member's message by the potential's strength, then by ``gate``, if there is that column; an unknown potential is an association."""
     other = F.sum("v2f").over(Window.partitionBy("run_id", "fid")) - F.col("v2f")
-    new = pulled(other, strength(F.col("potential"), F.col("w"), F.col("pos")))
-    out = to_factor.withColumn("f2v", damp(F.col("f2v"), new, damping))
+    new = pulled(other, strength(F.col("potential"), F.col("w"), F.col("pos"), association))
+    if "gate" in messages.columns:
+        new = pulled(new, F.coalesce(clip(F.col("gate")), F.lit(0.0)))
+    return messages.withColumn("f2v", damp(F.col("f2v"), new, damping))
+
+
+#: Activation by name: from the last activation x, the signal z, the evidence e and eta, decay.
+ACTIVATIONS: dict[str, Callable[[Column, Column, Column, Column, Column], Column]] = {
+    "linear": lambda x, z, e, eta, decay: clip((1 - decay) * x + eta * z + e),
+    "sigmoid": lambda x, z, e, eta, decay: logistic(x + z + e),
+    "relu": lambda x, z, e, eta, decay: clip((1 - decay) * x + eta * F.greatest(F.lit(0.0), z + e)),
+}
+
+
+def activate(name: Column, *args: Column) -> Column:
+    """Activation by a column of names; null for a name that is not registered."""
+    out = F.lit(None).cast("double")
+    for known, rule in ACTIVATIONS.items():
+        out = F.when(name == known, rule(*args)).otherwise(out)
+    return out
+
+
+def tick(messages: DataFrame, nodes: DataFrame, damping: float = 0.4, eta: Column | float = 0.5, decay: Column | float = 0.1, activation: Column | str = "linear", association: Column | float = 0.4) -> tuple[DataFrame, DataFrame]:
+    """New messages and node states of pair factors. Nodes: ``run_id, uid, lam, x`` (evidence and activation).
+
+    Further columns stay, so parameters of runs may be columns: eta, decay, activation of nodes, association of messages.
+    """
+    column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    out = to_member(to_factor(messages, nodes, damping), damping, association)
     sums = out.groupBy("run_id", "uid").agg(F.sum(logit(F.col("f2v"))).alias("odds"), F.sum(F.greatest(F.lit(0.0), 2 * F.col("f2v") - 1)).alias("z"))
     state = nodes.join(sums, ["run_id", "uid"], "left")
     signal, odds = F.coalesce("z", F.lit(0.0)), F.coalesce("odds", F.lit(0.0))
-    x = clip((1 - decay) * F.col("x") + eta * signal + (1 - F.exp(-F.col("lam"))))
-    return out, state.select("run_id", "uid", "lam", logistic(F.least(F.lit(50.0), F.col("lam")) + odds).alias("belief"), x.alias("x"))
+    x = activate(column(activation), F.col("x"), signal, 1 - F.exp(-F.col("lam")), column(eta), column(decay))
+    extra = [c for c in nodes.columns if c not in ("run_id", "uid", "lam", "belief", "x")]
+    return out, state.select("run_id", "uid", "lam", logistic(F.least(F.lit(50.0), F.col("lam")) + odds).alias("belief"), x.alias("x"), *extra)
+
+
+def fade(nodes: DataFrame, share: float = 0.5) -> DataFrame:
+    """Evidence before a tick: its share, or nothing below 1e-6."""
+    left = F.col("lam") * share
+    return nodes.withColumn("lam", F.when(left < 1e-6, 0.0).otherwise(left))
+
+
+def sweep(members: DataFrame, evidence: DataFrame, grid: DataFrame, ticks: int = 20, damping: float = 0.4, eta: float = 0.5) -> DataFrame:
+    """``run_id, tick, uid, x`` of every run of a grid ``run_id, activation, decay, association``, all in one job per tick.
+
+    Evidence is ``uid, lam`` and the same for each run. Thresholds need no run of their own: they are applied to the history.
+    """
+    messages = init(members, grid).join(grid.select("run_id", "association"), "run_id")
+    nodes = members.select("uid").distinct().crossJoin(F.broadcast(grid.select("run_id", "activation", "decay"))).join(evidence, "uid", "left")
+    nodes = nodes.select("run_id", "uid", F.coalesce("lam", F.lit(0.0)).alias("lam"), F.lit(0.5).alias("belief"), F.lit(0.0).alias("x"), "activation", "decay")
+    history = None
+    for no in range(1, ticks + 1):
+        messages, nodes = tick(messages, fade(nodes), damping, eta, F.col("decay"), F.col("activation"), F.col("association"))
+        messages, nodes = cut_lineage(messages), cut_lineage(nodes)
+        now = nodes.select("run_id", F.lit(no).cast("long").alias("tick"), "uid", "x")
+        history = now if history is None else history.unionByName(now)
+    return history
 
 
 def run(members: DataFrame, evidence: DataFrame, ticks: int = 20, damping: float = 0.4, eta: float = 0.5, decay: float = 0.1, evidence_decay: float = 0.5, cut_every: int = 2) -> DataFrame:
@@ -53,9 +122,7 @@ def run(members: DataFrame, evidence: DataFrame, ticks: int = 20, damping: float
     nodes = members.select("uid").distinct().crossJoin(F.broadcast(runs)).join(evidence, ["run_id", "uid"], "left")
     nodes = nodes.select("run_id", "uid", F.coalesce("lam", F.lit(0.0)).alias("lam"), F.lit(0.5).alias("belief"), F.lit(0.0).alias("x"))
     for no in range(1, ticks + 1):
-        faded = F.col("lam") * evidence_decay
-        nodes = nodes.withColumn("lam", F.when(faded < 1e-6, 0.0).otherwise(faded))
-        messages, nodes = tick(messages, nodes, damping, eta, decay)
+        messages, nodes = tick(messages, fade(nodes, evidence_decay), damping, eta, decay)
         if no % cut_every == 0 and no < ticks:
             messages, nodes = cut_lineage(messages), cut_lineage(nodes)
     return nodes.select("run_id", "uid", "belief", "x")
@@ -75,6 +142,19 @@ def compete_local(states: DataFrame, pairs: DataFrame, s: float = 0.2) -> DataFr
     return states.join(mean, ["run_id", "uid"], "left").withColumn("x", clip(F.col("x") - s * F.coalesce("mean", F.lit(0.0)))).drop("mean")
 
 
+def compete(states: DataFrame, kind: str, s: float = 0.2, k: int = 10, pairs: DataFrame | None = None) -> DataFrame:
+    """Competition by name: none, global, local (needs ``pairs``) or top_k (all but a run's k most active become 0)."""
+    if kind == "none":
+        return states
+    if kind == "global":
+        return compete_global(states, s)
+    if kind == "local" and pairs is not None:
+        return compete_local(states, pairs, s)
+    if kind == "top_k":
+        return mask_top_k(states, ["run_id"], "x", "uid", k)
+    raise ValueError(f"unknown competition {kind}, or no pairs for it")
+
+
 def gated(messages: DataFrame, gates: DataFrame) -> DataFrame:
     """Messages (``run_id, fid, message``) pulled to one half by the factor's gate in the run; a factor without one is shut."""
     open_by = messages.join(gates.select("run_id", "fid", "gate"), ["run_id", "fid"], "left")
