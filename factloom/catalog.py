@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import answers, evaluation, inference, ingest, lookups, more, potentials, registered, resolution, sources  # noqa: F401
+from .plans import answers, asking, evaluation, inference, ingest, lookups, more, phrases, potentials, registered, resolution, sources  # noqa: F401
 from .plans.registered import flagship  # noqa: F401
 
 

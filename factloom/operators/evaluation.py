@@ -92,6 +92,34 @@ def unsupported_answer(answer: Column, context: Column, least: float = 0.35) ->
     return (F.size(long_words) > 0) & (F.size(F.array_intersect(long_words, words(context))) < F.size(long_words) * least)
 
 
+# Answers that claim nothing.
+ABSTENTIONS = ("", "unknown", "no data")
+
+
+def abstains(answer: Column) -> Column:
+    return fold(F.coalesce(answer, F.lit(""))).isin(*ABSTENTIONS)
+
+
+def hallucinated(answer: Column, trap: Column, trace: Column) -> Column:
+    """Whether a graph's answer claims what nothing supports: anything but an abstention where there is no answer, else an
+    answer without a trace, right or wrong."""
+    return F.when(abstains(answer), False).when(trap, True).otherwise(F.size(trace) == 0)
+
+
+def retrieval_hallucinated(answer: Column, trap: Column, spans: Column, context: Column) -> Column:
+    """Likewise for retrieval: no expected span in the context, or too few of the answer's words in it."""
+    body = fold(F.coalesce(context, F.lit("")))
+    grounded = F.exists(spans, lambda s: (s != "") & F.contains(body, fold(s)))
+    return F.when(abstains(answer), False).when(trap, True).otherwise(~grounded | unsupported_answer(answer, context))
+
+
+def gold_eval(cases: DataFrame) -> DataFrame:
+    """Cases with ``hit``, ``explained`` and ``hallucinated``: ``case_id, answer, trace, keyword, gold_trace, trap``, each case on its own graph."""
+    hit = F.when(F.col("trap"), abstains(F.col("answer"))).otherwise(F.contains(fold(F.coalesce("answer", F.lit(""))), fold(F.col("keyword"))))
+    flags = {"hit": hit, "explained": trace_contains(F.col("trace"), F.col("gold_trace")), "hallucinated": hallucinated(F.col("answer"), F.col("trap"), F.col("trace"))}
+    return cases.withColumns(flags)
+
+
 def path_quality(found: Column, proof: Column) -> dict[str, Column]:
     """Precision, recall, F1, missing and extra of a found path (arrays of ids)."""
     both = F.size(F.array_intersect(found, proof))

@@ -37,6 +37,104 @@ def too_wide(uid: Column, parts: int = 4) -> Column:
     return (F.size(split) > parts) | (F.size(split) != F.size(F.array_distinct(split)))
 
 
+def entity_token(word: Column, stop: list[str]) -> Column:
+    """Whether a word can fill a role: a number, or two characters or more and no stop word."""
+    w = F.lower(F.trim(F.coalesce(word, F.lit(""))))
+    return w.rlike(r"^\d+$") | ((F.length(w) >= 2) & ~w.isin(*stop) & w.rlike(r"^[\p{L}\p{N}_-]+$"))
+
+
+def nounish(word: Column, classes: Column | None = None) -> Column:
+    """Whether a word can head a filler: of class noun or name, or of none known (``classes`` is null) while not ending as an adverb does."""
+    plain = ~F.lower(word).rlike(r"^\p{L}{3,}ly$")
+    return plain if classes is None else F.when(classes.isNull(), plain).otherwise(classes.isin("noun", "name"))
+
+
+def head_entity(filler: Column, stop: list[str], parts: int = 4) -> Column:
+    """Key of a filler's entity words, the last ``parts`` of them, if one can be a head; else null."""
+    kept = F.filter(F.split(F.lower(filler), r"[\s_]+"), lambda w: entity_token(w, stop))
+    heads = F.filter(kept, lambda w: nounish(w))
+    chosen = F.when(F.size(kept) > parts, heads).otherwise(kept)
+    key = F.upper(F.array_join(F.slice(chosen, F.greatest(F.lit(1), F.size(chosen) - parts + 1), F.lit(parts)), "_"))
+    return F.when((F.size(heads) > 0) & ~too_wide(key, parts), key)
+
+
+def sanitize_roles(candidates: DataFrame, stop: list[str], must_be_entities: tuple[str, ...] = ("SUBJECT", "OBJECT", "LOCATION")) -> DataFrame:
+    """Candidates whose named roles are entities, with fillers as keys; one that names a role by no entity, or lacks a SUBJECT, goes."""
+    entity = F.transform_values("roles", lambda role, v: F.when(role.isin(*must_be_entities), head_entity(v, stop)).otherwise(slug(v, stop)))
+    cleaned = candidates.withColumn("roles", entity)
+    bad = F.exists(F.map_entries("roles"), lambda e: e["key"].isin(*must_be_entities) & e["value"].isNull())
+    kept = cleaned.filter(~bad & F.element_at("roles", F.lit("SUBJECT")).isNotNull())
+    return kept.withColumn("roles", F.map_filter("roles", lambda role, v: v.isNotNull()))
+
+
+def finalize(candidates: DataFrame, stop: list[str]) -> DataFrame:
+    """Sanitized candidates, one for each relation and role map (the smallest cand_id)."""
+    keyed = sanitize_roles(candidates, stop).withColumn("relation", F.upper(F.trim("relation"))).filter("relation <> ''")
+    rank = F.row_number().over(Window.partitionBy("relation", role_key(F.col("roles"))).orderBy("cand_id"))
+    return keyed.withColumn("rank", rank).filter("rank = 1").drop("rank")
+
+
+def seed_entities(texts: DataFrame, stop: list[str], n: int = 8) -> DataFrame:
+    """``text_id, rank, token``: the first n distinct entity-like words of each text."""
+    each = texts.select("text_id", F.posexplode(words(F.col("text"))).alias("pos", "token")).filter(entity_token(F.col("token"), stop) & nounish(F.col("token")))
+    first = each.groupBy("text_id", "token").agg(F.min("pos").alias("pos"))
+    rank = F.row_number().over(Window.partitionBy("text_id").orderBy("pos"))
+    return first.withColumn("rank", rank).filter(F.col("rank") <= n).select("text_id", "rank", "token")
+
+
+def without_compound_heads(seeds: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Seeds ``text_id, token`` less those that only begin a filler of several words in a candidate of their text (``text_id, roles``)."""
+    parts = candidates.select("text_id", F.explode(F.map_values("roles")).alias("filler")).select("text_id", F.split(F.lower(F.trim("filler")), r"[\s_]+").alias("w"))
+    heads = parts.filter(F.size("w") >= 2).select("text_id", F.col("w")[0].alias("token")).distinct()
+    return seeds.join(heads, ["text_id", "token"], "left_anti")
+
+
+PAYLOAD = "struct<kind: string, candidates: array<struct<relation: string, roles: map<string,string>, kind: string, confidence: double>>>"
+# The relation that stands for a label of more than five parts.
+COMPACT = {"topic": "DISCUSSES", "open_question": "ASKS_ABOUT", "proposal": "PROPOSES", "explanation": "EXPLAINS", "decision": "DECIDES", "assertion": "RELATED_TO"}
+
+
+def from_payload(payloads: DataFrame) -> DataFrame:
+    """``text_id, no, relation, roles, kind, confidence`` from JSON ``text_id, payload``; malformed JSON gives no rows.
+
+    A candidate without a kind is an assertion, and nothing in a question; unknown kinds and missing relations go; a
+    relation of more than five parts becomes its kind's; confidence is 0.8 unless given.
+    """
+    parsed = payloads.select("text_id", F.from_json("payload", PAYLOAD).alias("p")).select("text_id", F.lower("p.kind").alias("said"), F.posexplode("p.candidates").alias("no", "c"))
+    typed = parsed.filter(~(F.col("c.kind").isNull() & (F.coalesce("said", F.lit("fact")) == "question"))).withColumn("kind", F.lower(F.coalesce("c.kind", F.lit("assertion"))))
+    label = F.upper(F.trim(F.coalesce("c.relation", F.lit(""))))
+    compact = label
+    for kind, name in COMPACT.items():
+        compact = F.when((F.col("kind") == kind) & (F.size(F.split(label, r"[_\s-]+")) > 5), name).otherwise(compact)
+    rows = typed.filter(F.col("kind").isin(*COMPACT)).select("text_id", "no", compact.alias("relation"), F.col("c.roles").alias("roles"), "kind", F.coalesce("c.confidence", F.lit(0.8)).alias("confidence"))
+    return rows.filter("relation <> ''")
+
+
+def assistant_only(candidates: DataFrame, stop: list[str], least: float = 0.75) -> DataFrame:
+    """An assistant's candidates that may be kept: confident proposals and explanations with entities for roles."""
+    sure = candidates.filter((F.col("confidence") >= least) & F.col("kind").isin("proposal", "explanation"))
+    return sanitize_roles(sure, stop)
+
+
+def without_query_clauses(candidates: DataFrame) -> DataFrame:
+    """What a question states beside asking: no topics and no open questions (of rows with ``asked``), all of other texts."""
+    return candidates.filter(~F.coalesce("asked", F.lit(False)) | ~F.col("kind").isin("topic", "open_question"))
+
+
+def get(asked: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the uids asked for (``uid, kind``), and what can't be had: ``uid, problem`` (missing, or of another kind)."""
+    joined = asked.select("uid", F.col("kind").alias("wanted")).join(rows.withColumn("found", F.lit(True)), "uid", "left")
+    ok = F.col("found").isNotNull() & (F.col("kind") == F.col("wanted"))
+    good = joined.filter(F.coalesce(ok, F.lit(False))).drop("wanted", "found")
+    return good, joined.filter(~F.coalesce(ok, F.lit(False))).select("uid", F.when(F.col("found").isNull(), "missing").otherwise("other kind").alias("problem"))
+
+
+def replay(payloads: DataFrame, existing: DataFrame, roles: list[str]) -> DataFrame:
+    """Facts from stored candidates, by the same steps as fresh ones but without an extractor."""
+    rows = from_payload(payloads).withColumn("cand_id", F.concat_ws(":", "text_id", "no"))
+    return ingest(rows, existing, roles)
+
+
 def _delimiters(text: str, wanted: str) -> list[int]:
     """Positions of ``wanted`` characters outside brackets; a closing bracket without an opening one is ignored."""
     depth, found = 0, []

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut_lineage
+from . import belief, propagation
+
 # What a question word asks for.
 CUES = [("where", "LOCATION"), ("when", "TIME"), ("why", "CAUSE"), ("with what", "INSTRUMENT"), ("who", "SUBJECT")]
 
@@ -76,3 +79,96 @@ def marked_answer(retrieved: DataFrame, marker: str) -> DataFrame:
     """``question_id, answer, cited``: what follows a marker in the lowest-ranked retrieved text that holds it (``question_id, rank, id, body``)."""
     found = retrieved.withColumn("answer", F.trim(F.regexp_extract("body", rf"{marker}\s+([^\s.,;:!?]+)", 1))).filter("answer <> ''")
     return found.groupBy("question_id").agg(F.max_by("answer", "rank").alias("answer"), F.max_by("id", "rank").alias("cited"))
+
+
+def extract_answer(questions: DataFrame, retrieved: DataFrame, unknown: str = "unknown") -> DataFrame:
+    """``question_id, answer``: first sentence of the retrieved text (``question_id, rank, body``) that shares most words with the question.
+
+    Unknown when a third of the question's words of 4 letters or more (one at least) is nowhere in what was retrieved,
+    when no text shares a word, and when nothing was retrieved. Equal texts go by rank.
+    """
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    asked = questions.select("question_id", words(F.col("question")).alias("q"))
+    asked = asked.withColumn("content", F.filter("q", lambda w: F.length(w) > 3))
+    held = retrieved.join(asked, "question_id").withColumn("w", words(F.col("body")))
+    held = held.withColumn("overlap", F.size(F.array_intersect("q", "w"))).withColumn("said", F.array_intersect("content", "w"))
+    best = held.groupBy("question_id").agg(
+        F.max_by("body", F.struct("overlap", (-F.col("rank")).alias("back"))).alias("body"),
+        F.max("overlap").alias("overlap"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("said")))).alias("found"),
+    )
+    enough = (F.size("content") == 0) | (F.col("found") >= F.greatest(F.lit(1), F.floor(F.size("content") / 3)))
+    sentence = F.regexp_extract("body", r"(?s)^(.*?[.!?])(\s|$)", 1)
+    first = F.when(sentence != "", sentence).otherwise(F.col("body"))
+    return asked.join(best, "question_id", "left").select("question_id", F.when(enough & (F.col("overlap") > 0), first).otherwise(F.lit(unknown)).alias("answer"))
+
+
+def multi_hop(members: DataFrame, factors: DataFrame, cases: DataFrame, deepest: int, least: float = 0.05) -> DataFrame:
+    """``case_id, x, answered, trace`` of cases ``case_id, seed, target, depth``, all cases in one job per step.
+
+    A case spreads activation from its seed for ``depth`` steps; it is answered if the target then has ``least``.
+    ``trace`` are the factors with a message of ``least`` or more, in order of first step and name. Depths above
+    ``deepest`` are not answered.
+    """
+    state = cases.select(F.col("case_id").alias("run_id"), F.col("seed").alias("uid"), F.lit(1.0).alias("x"))
+    depths = cases.select(F.col("case_id").alias("run_id"), "depth")
+    ends = cases.select(F.col("case_id").alias("run_id"), F.col("target").alias("uid"), "depth")
+    sent = reached = None
+    for step in range(1, deepest + 1):
+        live = state.join(depths.filter(F.col("depth") >= step).select("run_id"), "run_id")
+        seen = propagation.messages(members, factors, live).filter(F.col("sent") >= least).select("run_id", "fid", F.lit(step).alias("step"))
+        state = cut_lineage(propagation.propagate(members, factors, live, 1))
+        at_end = state.join(ends.filter(F.col("depth") == step), ["run_id", "uid"]).select("run_id", "x")
+        sent = seen if sent is None else sent.unionByName(seen)
+        reached = at_end if reached is None else reached.unionByName(at_end)
+    first = sent.groupBy("run_id", "fid").agg(F.min("step").alias("step"))
+    traces = first.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("step", "fid"))).alias("all"))
+    out = depths.select("run_id").join(reached, "run_id", "left").join(traces, "run_id", "left")
+    x = F.coalesce("x", F.lit(0.0))
+    return out.select(F.col("run_id").alias("case_id"), x.alias("x"), (x >= least).alias("answered"), F.coalesce(F.col("all.fid"), F.array().cast("array<string>")).alias("trace"))
+
+
+def probe(members: DataFrame, factors: DataFrame, seeds: DataFrame, steps: int = 3, least: float = 0.05, top: int = 8) -> DataFrame:
+    """``run_id, tick, uid, x, rank``: the most active nodes after each step from seeds ``run_id, uid``; a run without rows did not light up."""
+    state, out = seeds.select("run_id", "uid", F.lit(1.0).alias("x")), None
+    for step in range(1, steps + 1):
+        state = cut_lineage(propagation.propagate(members, factors, state, 1))
+        rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.round("x", 9).desc(), "uid"))
+        now = state.filter(F.col("x") >= least).withColumn("rank", rank).filter(F.col("rank") <= top).select("run_id", F.lit(step).alias("tick"), "uid", "x", "rank")
+        out = now if out is None else out.unionByName(now)
+    return out
+
+
+def ask(questions: DataFrame, anchors: DataFrame, facts: DataFrame, members: DataFrame, stop: list[str], ticks: int = 2) -> DataFrame:
+    """``question_id, answer, relation, n_factors`` of questions ``question_id, question``.
+
+    Anchors (``question_id, uid, label``) and the best relation open factors: those of the relation that an anchor is
+    in. Belief spreads from the anchors through the open factors of each question; a shut factor's messages would all
+    be one half and change nothing, so only open ones are there. The answer is what believed members fill the role
+    that the question asks for. Facts are ``fid, relation``, members ``fid, uid, pos, role, potential, w``.
+    """
+    docs = facts.select("relation", F.lower("relation").alias("term"), F.lit(True).alias("label")).distinct()
+    terms = query_terms(questions, anchors.select("question_id", "label"), stop)
+    plan = cut_lineage(choose(score_relations(terms, docs)))
+    touched = anchors.select("question_id", "uid").join(members.select("fid", "uid"), "uid").join(facts, "fid")
+    opened = touched.join(plan.select("question_id", "relation"), ["question_id", "relation"]).select(F.col("question_id").alias("run_id"), "fid", "relation").distinct()
+    opened = cut_lineage(opened.join(members, "fid"))
+    evidence = anchors.select(F.col("question_id").alias("run_id"), "uid", F.lit(3.0).alias("lam")).distinct()
+    messages = opened.select("run_id", "fid", "uid", "pos", "potential", "w", F.lit(0.5).alias("v2f"), F.lit(0.5).alias("f2v"))
+    nodes = opened.select("run_id", "uid").distinct().join(evidence, ["run_id", "uid"], "left").select("run_id", "uid", F.coalesce("lam", F.lit(0.0)).alias("lam"), F.lit(0.5).alias("belief"), F.lit(0.0).alias("x"))
+    for no in range(ticks):
+        messages, nodes = belief.tick(messages, belief.fade(nodes))
+        if no + 1 < ticks:
+            messages, nodes = cut_lineage(messages), cut_lineage(nodes)
+    wanted = questions.select(F.col("question_id").alias("run_id"), target_role(F.col("question")).alias("role"))
+    fillers = opened.join(wanted, ["run_id", "role"]).join(nodes.filter("belief > 0.5").select("run_id", "uid"), ["run_id", "uid"]).join(evidence.select("run_id", "uid"), ["run_id", "uid"], "left_anti")
+    said = fillers.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_set("uid")), ", ").alias("answer"), F.first("relation").alias("relation"), F.countDistinct("fid").alias("n_factors"))
+    out = questions.select(F.col("question_id").alias("run_id")).join(said, "run_id", "left")
+    return out.select(F.col("run_id").alias("question_id"), F.coalesce("answer", F.lit("unknown")).alias("answer"), "relation", F.coalesce("n_factors", F.lit(0)).alias("n_factors"))
+
+
+def compare_arms(graph: DataFrame, retrieval: DataFrame) -> DataFrame:
+    """``question_id, graph_answer, retrieval_answer, agree``: both arms' answers; they agree when one holds the other."""
+    both = graph.select("question_id", F.col("answer").alias("graph_answer")).join(retrieval.select("question_id", F.col("answer").alias("retrieval_answer")), "question_id", "full")
+    a, b = F.lower("graph_answer"), F.lower("retrieval_answer")
+    return both.withColumn("agree", F.coalesce(F.contains(a, b) | F.contains(b, a), F.lit(False)))

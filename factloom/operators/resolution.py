@@ -142,6 +142,106 @@ def compound_extension(mentions: DataFrame, catalog: DataFrame) -> DataFrame:
     return mentions.withColumn("head", fold(F.col("mention"))).join(heads.filter("n = 1"), "head").select("mention_id", "uid")
 
 
+def words_of(text: Column) -> Column:
+    """Lower-case words of letters and digits, in order."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def phrase_matches(texts: DataFrame, phrases: DataFrame, least: int = 2, most: int = 8) -> DataFrame:
+    """``text_id, start, width, uid``: where a phrase's words (``uid, phrase``) stand in a text (``text_id, text``).
+
+    Word runs of the widths that phrases have meet phrases of the same words in an equi-join. Phrases of fewer than
+    ``least`` or more than ``most`` words match nothing.
+    """
+    known = phrases.select("uid", words_of(F.col("phrase")).alias("w")).withColumn("width", F.size("w")).filter(F.col("width").between(least, most))
+    known = known.select("uid", "width", F.array_join("w", " ").alias("run")).distinct()
+    said = texts.select("text_id", words_of(F.col("text")).alias("w")).join(known.select("width").distinct(), F.size("w") >= F.col("width"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("width")), lambda i: F.struct(i.alias("start"), F.array_join(F.slice("w", i + 1, F.col("width")), " ").alias("run")))
+    each = said.select("text_id", "width", F.explode(runs).alias("r")).select("text_id", "width", "r.start", "r.run")
+    return each.join(known, ["width", "run"]).select("text_id", "start", "width", "uid")
+
+
+def longest_phrases(matches: DataFrame, most: int = 8) -> DataFrame:
+    """Matches that do not overlap: the widest first, then the leftmost, then the smallest uid; ``most`` of a text.
+
+    One fold per text over its matches in that order; ``text_id, start, width, uid, rank``.
+    """
+    order = F.struct((-F.col("width")).alias("wide"), "start", "uid", "width")
+    listed = matches.groupBy("text_id").agg(F.array_sort(F.collect_list(order)).alias("all"))
+    apart = lambda kept, m: ~F.exists(kept, lambda k: (m["start"] < k["start"] + k["width"]) & (k["start"] < m["start"] + m["width"]))
+    none = F.slice("all", 1, 0)
+    kept = F.aggregate("all", none, lambda acc, m: F.when((F.size(acc) < most) & apart(acc, m), F.concat(acc, F.array(m))).otherwise(acc))
+    return listed.select("text_id", F.posexplode(kept).alias("rank", "m")).select("text_id", "m.start", "m.width", "m.uid", "rank")
+
+
+def label_coverage(texts: DataFrame, labels: DataFrame, worth: int = 3) -> DataFrame:
+    """``text_id, fid, score``: ``worth`` for each member label of a factor (``fid, label``) that stands in a text as whole words."""
+    distinct = labels.select(F.col("label").alias("phrase"), F.col("label").alias("uid")).distinct()
+    found = phrase_matches(texts, distinct, least=1).select("text_id", F.col("uid").alias("label")).distinct()
+    return found.join(labels.select("fid", "label").distinct(), "label").groupBy("text_id", "fid").agg((worth * F.count("*")).alias("score"))
+
+
+def anchor_tokens(questions: DataFrame, phrases: DataFrame, tokens: DataFrame, keys: DataFrame, most: int = 16) -> DataFrame:
+    """``question_id, rank, uid``: what a question is about.
+
+    Its longest phrases (``uid, phrase``) if any; else for its tokens (``question_id, pos, token``), in order, the
+    symbols that have a token as a key (``uid, key``), ``most`` of them. Keys are words and word runs of labels and
+    forms, so that a token inside a form meets it by equality.
+    """
+    named = longest_phrases(phrase_matches(questions.select(F.col("question_id").alias("text_id"), F.col("question").alias("text")), phrases))
+    first = named.select(F.col("text_id").alias("question_id"), F.col("rank").alias("pos"), "uid")
+    rest = tokens.join(first.select("question_id").distinct(), "question_id", "left_anti").withColumn("key", fold(F.col("token")))
+    hit = rest.join(keys, "key").select("question_id", "pos", "uid")
+    once = first.unionByName(hit).groupBy("question_id", "uid").agg(F.min("pos").alias("pos"))
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy("pos", "uid"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= most).select("question_id", "rank", "uid")
+
+
+def similar_names(mentions: DataFrame, catalog: DataFrame, size: int = 3) -> DataFrame:
+    """``mention_id, uid, score``: each mention's most similar name by shared character runs (Dice coefficient).
+
+    Both sides are inverted to their distinct runs, so only names with a common run meet; counts are combined before
+    the shuffle. Equal scores go to the smallest uid; a mention that shares no run has no row.
+    """
+
+    def runs(df: DataFrame, key: str, text: str) -> DataFrame:
+        padded = F.concat(F.lit(" "), fold(F.col(text)), F.lit(" "))
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - size + 1)), lambda i: F.substring(padded, i, F.lit(size)))
+        return df.select(key, F.array_distinct(cut).alias("runs")).select(key, F.size("runs").alias(f"{key}_n"), F.explode("runs").alias("run"))
+
+    # one row for equal mentions: they have the same answer
+    said = mentions.select(fold(F.col("mention")).alias("said")).filter("said <> ''").distinct()
+    met = runs(said, "said", "said").join(runs(catalog.select("uid", "name").distinct(), "uid", "name"), "run")
+    score = met.groupBy("said", "uid", "said_n", "uid_n").agg(F.count("*").alias("n")).select("said", "uid", (2 * F.col("n") / (F.col("said_n") + F.col("uid_n"))).alias("score"))
+    best = score.groupBy("said").agg(F.max(F.struct("score", (-F.col("uid")).alias("back"))).alias("best"))
+    return mentions.withColumn("said", fold(F.col("mention"))).join(best, "said").select("mention_id", (-F.col("best.back")).alias("uid"), "best.score")
+
+
+def nearest_relations(labels: DataFrame, known: DataFrame, least: float = 0.55) -> DataFrame:
+    """``raw, canonical, confidence``: the registered relation whose vector has the largest cosine, if at least ``least``.
+
+    Vectors are sparse, ``raw, slot, v`` and ``canonical, slot, v``, and meet on their slots. Ties go to the smaller name.
+    """
+    length = lambda df, key: df.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias(f"{key}_len"))
+    dots = labels.withColumnRenamed("v", "a").join(known.withColumnRenamed("v", "b"), "slot").groupBy("raw", "canonical").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
+    scored = dots.join(length(labels, "raw"), "raw").join(length(known, "canonical"), "canonical")
+    scored = scored.select("raw", "canonical", F.round(F.col("dot") / (F.col("raw_len") * F.col("canonical_len")), 9).alias("confidence")).filter(F.col("confidence") >= least)
+    best = scored.groupBy("raw").agg(F.min(F.struct((-F.col("confidence")).alias("back"), "canonical")).alias("best"))
+    return best.select("raw", "best.canonical", (-F.col("best.back")).alias("confidence"))
+
+
+def normalize_candidates(candidates: DataFrame, known: DataFrame, chain: DataFrame) -> DataFrame:
+    """``cand_id, canonical, confidence, strategy``: a hint that is registered, else the hint as a new relation, else what
+    the chain (``raw, canonical, confidence``) says of the raw label. Candidates are ``cand_id, raw, hint, confidence``."""
+    own = known.select(F.col("canonical").alias("key"), F.lit(True).alias("own")).distinct()
+    keyed = candidates.withColumn("key", canonical_label(F.coalesce("hint", "raw")))
+    rest = chain.select("raw", F.col("canonical").alias("via"), F.col("confidence").alias("via_confidence"))
+    joined = keyed.join(own, "key", "left").join(rest, "raw", "left")
+    strategy = F.when(F.col("own"), "hint").when(F.col("hint").isNotNull(), "new relation").otherwise("chain")
+    chained = strategy == "chain"
+    return joined.select("cand_id", F.when(chained, F.coalesce("via", "key")).otherwise(F.col("key")).alias("canonical"), F.when(chained, F.coalesce("via_confidence", F.lit(0.5))).otherwise(F.col("confidence")).alias("confidence"), strategy.alias("strategy"))
+
+
 def register_relations(known: DataFrame, new: DataFrame, replace: bool = False) -> DataFrame:
     """Relations ``canonical, raw_label, arity``: the first registration wins, or the last; an arity below 1 is left out."""
     both = known.withColumn("age", F.lit(0)).unionByName(new.withColumn("age", F.lit(1))).filter("arity >= 1").withColumn("canonical", canonical_label(F.col("canonical")))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import l2_normalize
 from .ranking import top_k
 
 #: Query vectors that one pass over the rows compares.
@@ -48,6 +49,25 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vec
     return top_k(found.filter("similarity >= -1.5"), ["q"], [F.round("similarity", 6).desc(), F.col("vec_id")], k)
 
 
+def knn_approximate(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", radius: float = 1.3, bucket: float = 0.5, tables: int = 6, seed: int = 1) -> DataFrame:
+    """As ``knn``, of rows that random projections put into a query's bucket in one of ``tables`` tables.
+
+    Vectors are scaled to length 1, so a distance of d is a cosine of 1 - d^2 / 2; rows farther than ``radius`` are left
+    out. A query without a neighbour in its buckets has no row.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    def scaled(df: DataFrame) -> DataFrame:
+        return df.select(F.col(id_col).alias("id"), l2_normalize(F.col(vector)).alias("v")).filter("v is not null").select("id", array_to_vector("v").alias("v"))
+
+    known = scaled(rows)
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="hash", bucketLength=bucket, numHashTables=tables, seed=seed).fit(known)
+    met = model.approxSimilarityJoin(scaled(queries), known, radius, "distance")
+    pairs = met.select(F.col("datasetA.id").alias("q"), F.col("datasetB.id").alias("vec_id"), (1 - F.col("distance") * F.col("distance") / 2).alias("similarity")).filter("q <> vec_id")
+    return top_k(pairs, ["q"], [F.round("similarity", 6).desc(), F.col("vec_id")], k)
+
+
 def _normal(lists) -> np.ndarray:
     rows = np.array(lists, dtype=np.float64)
     lengths = np.linalg.norm(rows, axis=1, keepdims=True)

@@ -20,9 +20,9 @@ def midway(spark, d):
     return messages, nodes
 
 
-@query("b1_init", f"WITH {LINKS}, mem AS (SELECT fid, e1 AS uid, 0 AS pos FROM links UNION ALL SELECT fid, e2, 1 FROM links) SELECT run_id, fid, uid, pos, 0.5::DOUBLE AS v2f, 0.5::DOUBLE AS f2v FROM mem, (SELECT unnest(['a', 'b']) AS run_id)")
+@query("b1_init", f"WITH {LINKS}, mem AS (SELECT fid, e1 AS uid, 0 AS pos FROM links UNION ALL SELECT fid, e2, 1 FROM links) SELECT run_id, fid, uid, pos, 0.5::DOUBLE AS v2f, 0.5::DOUBLE AS f2v FROM mem, (SELECT r_name AS run_id FROM region)")
 def b1(spark, d):
-    runs = table(spark, d, "region").filter("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "a").otherwise("b").alias("run_id"))
+    runs = table(spark, d, "region").select(F.col("r_name").alias("run_id"))
     return belief.init(follow_members(spark, d), runs).select("run_id", "fid", "uid", "pos", "v2f", "f2v")
 
 

@@ -42,3 +42,11 @@ def recent_history(messages: DataFrame, n: int = 24) -> DataFrame:
     row = F.struct("turn", "role", "text")
     top = messages.groupBy("conv_id").agg(F.slice(F.sort_array(F.collect_list(row), asc=False), 1, n).alias("last"))
     return top.select("conv_id", F.reverse("last").alias("history"))
+
+
+def live_nodes(hits: DataFrame, tick: int, ttl: int) -> DataFrame:
+    """``uid, last``: nodes that a hit (``uid, tick``) up to ``tick`` touched less than ``ttl`` ago; the rest is garbage.
+
+    The state is one number per node. On a stream with event times, give the query a state of ``ttl`` by watermark instead.
+    """
+    return hits.filter(F.col("tick") <= tick).groupBy("uid").agg(F.max("tick").alias("last")).filter(F.lit(tick) - F.col("last") < ttl)
