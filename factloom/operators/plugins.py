@@ -24,11 +24,16 @@ def apply_batched(df: DataFrame, plugin: Plugin, schema: str) -> DataFrame:
         for batch in batches:
             made = plugin(batch)
             if len(made):
-                yield made.reindex(columns=names)
+                yield pd.DataFrame({c: _nulls(made[c]) if c in made.columns else [None] * len(made) for c in names})
 
     return df.mapInPandas(run, schema)
 
 
+def _nulls(column: pd.Series) -> pd.Series:
+    """A column of objects with None where a value is missing."""
+    return column.reset_index(drop=True).astype(object).where(column.reset_index(drop=True).notna(), None) if column.dtype == object else column.reset_index(drop=True)
+
+
 def _fields(schema: str) -> list[str]:
     """Fields of a schema string; commas inside brackets don't part them."""
     depth, out = 0, [""]
@@ -52,14 +57,14 @@ def extract_or_report(texts: DataFrame, extractor: Plugin) -> DataFrame:
     error and no fact, and the others are kept."""
 
     def guarded(batch: pd.DataFrame) -> pd.DataFrame:
-        made = []
+        made: list[dict] = []
         for at in range(len(batch)):
             one = batch.iloc[at : at + 1]
             try:
-                made.append(extractor(one).assign(error=None))
+                made += extractor(one).to_dict("records")
             except Exception as error:  # the plug-in's own failure is this function's result
-                made.append(one[["text_id"]].assign(error=f"{type(error).__name__}: {error}"))
-        return pd.concat(made) if made else batch[["text_id"]].assign(error=None)
+                made.append({"text_id": one["text_id"].iloc[0], "error": f"{type(error).__name__}: {error}"})
+        return pd.DataFrame(made)
 
     kind = texts.schema["text_id"].dataType.simpleString()
     return apply_batched(texts.select("text_id", "text").filter("text is not null"), guarded, f"text_id {kind}, {FACTS}, error string")
