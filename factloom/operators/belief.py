@@ -53,14 +53,23 @@ def to_factor(messages: DataFrame, nodes: DataFrame, damping: float = 0.4) -> Da
 
 
 def to_member(messages: DataFrame, damping: float = 0.4, association: Column | float = 0.4) -> DataFrame:
-    """Messages with new ``f2v`` of pair factors: one half pulled to the other member's message by the potential's strength, then by ``gate``, if there is that column; an unknown potential is an association."""
+    """Messages with new ``f2v``: one half pulled to the other member's message by the potential's strength, then by ``gate``,
+    if there is that column; an unknown potential is an association. Factors of one member (prior, obs) send what ``w``
+    says and have no gate."""
     other = F.sum("v2f").over(Window.partitionBy("run_id", "fid")) - F.col("v2f")
     new = pulled(other, strength(F.col("potential"), F.col("w"), F.col("pos"), association))
     if "gate" in messages.columns:
         new = pulled(new, F.coalesce(clip(F.col("gate")), F.lit(0.0)))
+    new = F.when(F.col("potential") == "prior", prior(F.col("w"))).when(F.col("potential") == "obs", observed(F.col("w"))).otherwise(new)
     return messages.withColumn("f2v", damp(F.col("f2v"), new, damping))
 
 
+def received(messages: DataFrame) -> DataFrame:
+    """``run_id, uid, odds, z``: log odds of all that a node hears, and its signal, which leaves out factors of one member."""
+    signal = F.when(F.col("potential").isin("prior", "obs"), 0.0).otherwise(F.greatest(F.lit(0.0), 2 * F.col("f2v") - 1))
+    return messages.groupBy("run_id", "uid").agg(F.sum(logit(F.col("f2v"))).alias("odds"), F.sum(signal).alias("z"))
+
+
 #: Activation by name: from the last activation x, the signal z, the evidence e and eta, decay.
 ACTIVATIONS: dict[str, Callable[[Column, Column, Column, Column, Column], Column]] = {
     "linear": lambda x, z, e, eta, decay: clip((1 - decay) * x + eta * z + e),
@@ -78,14 +87,13 @@ def activate(name: Column, *args: Column) -> Column:
 
 
 def tick(messages: DataFrame, nodes: DataFrame, damping: float = 0.4, eta: Column | float = 0.5, decay: Column | float = 0.1, activation: Column | str = "linear", association: Column | float = 0.4) -> tuple[DataFrame, DataFrame]:
-    """New messages and node states of pair factors. Nodes: ``run_id, uid, lam, x`` (evidence and activation).
+    """New messages and node states. Nodes: ``run_id, uid, lam, x`` (evidence and activation).
 
     Further columns stay, so parameters of runs may be columns: eta, decay, activation of nodes, association of messages.
     """
     column = lambda v: v if isinstance(v, Column) else F.lit(v)
     out = to_member(to_factor(messages, nodes, damping), damping, association)
-    sums = out.groupBy("run_id", "uid").agg(F.sum(logit(F.col("f2v"))).alias("odds"), F.sum(F.greatest(F.lit(0.0), 2 * F.col("f2v") - 1)).alias("z"))
-    state = nodes.join(sums, ["run_id", "uid"], "left")
+    state = nodes.join(received(out), ["run_id", "uid"], "left")
     signal, odds = F.coalesce("z", F.lit(0.0)), F.coalesce("odds", F.lit(0.0))
     x = activate(column(activation), F.col("x"), signal, 1 - F.exp(-F.col("lam")), column(eta), column(decay))
     extra = [c for c in nodes.columns if c not in ("run_id", "uid", "lam", "belief", "x")]

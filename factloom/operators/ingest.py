@@ -89,6 +89,25 @@ def without_compound_heads(seeds: DataFrame, candidates: DataFrame) -> DataFrame
     return seeds.join(heads, ["text_id", "token"], "left_anti")
 
 
+def normalize_roles(candidates: DataFrame, aliases: dict[str, str], allowed: tuple[str, ...], beside: str = "WITH") -> DataFrame:
+    """Candidates with canonical role names; those without a SUBJECT, with fewer than two roles or with a compound filler go.
+
+    Names are upper case and go through ``aliases``; of two that become one the first by name stays; names that are not
+    ``allowed`` and blank fillers are dropped. What a filler has in brackets at its end becomes the role ``beside``, unless there is one.
+    """
+    canonical = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else F.create_map().cast("map<string,string>")
+    named = F.transform(F.array_sort(F.map_entries("roles")), lambda e: F.struct(F.coalesce(F.try_element_at(canonical, F.upper(e["key"])), F.upper(e["key"])).alias("role"), F.trim(e["value"]).alias("v")))
+    good = F.filter(named, lambda e: e["role"].isin(*allowed, beside) & (F.coalesce(e["v"], F.lit("")) != ""))
+    once = F.filter(good, lambda e, i: F.array_position(F.transform(good, lambda g: g["role"]), e["role"]) == i + 1)
+    bracket = r"^(.*?)\s*\(\s*(?:with\s+)?([^()]+)\)\s*$"
+    inner = F.filter(F.transform(once, lambda e: F.regexp_extract(e["v"], bracket, 2)), lambda v: v != "")
+    bare = F.transform(once, lambda e: F.struct(e["role"].alias("role"), F.when(e["v"].rlike(bracket), F.regexp_extract(e["v"], bracket, 1)).otherwise(e["v"]).alias("v")))
+    extra = F.when((F.size(inner) > 0) & ~F.exists(once, lambda e: e["role"] == beside), F.array(F.struct(F.lit(beside).alias("role"), inner[0].alias("v")))).otherwise(F.slice(bare, 1, 0))
+    rows = candidates.withColumn("_bare", bare).withColumn("roles", F.map_from_entries(F.concat(bare, extra)))
+    simple = ~F.exists("_bare", lambda e: e["v"].rlike(r",|\s+and\s+"))
+    return rows.filter(simple & F.map_contains_key("roles", F.lit("SUBJECT")) & (F.size("roles") >= 2)).drop("_bare")
+
+
 PAYLOAD = "struct<kind: string, candidates: array<struct<relation: string, roles: map<string,string>, kind: string, confidence: double>>>"
 # The relation that stands for a label of more than five parts.
 COMPACT = {"topic": "DISCUSSES", "open_question": "ASKS_ABOUT", "proposal": "PROPOSES", "explanation": "EXPLAINS", "decision": "DECIDES", "assertion": "RELATED_TO"}

@@ -24,6 +24,11 @@ def kernel(name: str, linear: Column, selectivity: Column) -> Column:
     raise ValueError(f"unknown kernel {name}")
 
 
+def decayed(target: Column, decay: Column, linear: Column) -> Column:
+    """A target that keeps its activation less the decay, and gets what is sent to it."""
+    return clip(target * (1 - decay) + linear)
+
+
 def mean_decay(members: DataFrame, factors: DataFrame) -> DataFrame:
     """``uid, decay``: mean over all incident factors."""
     return members.join(factors.select("fid", "decay"), "fid").groupBy("uid").agg(F.avg("decay").alias("decay"))

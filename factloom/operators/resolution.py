@@ -78,6 +78,16 @@ def resolve_inflected(mentions: DataFrame, keys: DataFrame) -> DataFrame:
     return prefix.unionByName(drift).groupBy("mention_id", "uid").agg(F.max("score").alias("score"))
 
 
+def proximity(a: Column, b: Column) -> Column:
+    """0.9 when one text is the other with at most ``EXTRA`` more letters, 0.85 for a long shared start, else 0."""
+    longer, gap = F.greatest(F.length(a), F.length(b)), F.abs(F.length(a) - F.length(b))
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(a), F.length(b)))), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))
+    shared = F.size(starts)
+    enough = F.least(F.length(a), F.length(b)) >= 3
+    near = (shared >= 4) & (shared >= longer * SHARED) & (gap <= 2)
+    return F.when(enough & (F.startswith(a, b) | F.startswith(b, a)) & (gap <= EXTRA), 0.9).when(enough & near, 0.85).otherwise(0.0)
+
+
 def by_context(candidates: DataFrame, contexts: DataFrame, cues: DataFrame) -> DataFrame:
     """Candidates with ``cues``, the number of the symbol's cues (``uid, cue``) in the mention's context (``mention_id, context``)."""
     found = candidates.join(contexts, "mention_id").join(cues, "uid").filter(F.contains(F.lower("context"), F.lower("cue")))
@@ -257,3 +267,8 @@ def normalize_relations(labels: DataFrame, aliases: DataFrame, known: DataFrame)
     own = known.select(F.col("canonical").alias("key"), F.lit(True).alias("own")).distinct()
     joined = keyed.join(via, "key", "left").join(own, "key", "left")
     return joined.select("raw", F.coalesce("via", "key").alias("canonical"), F.when(F.col("via").isNotNull() | F.col("own"), 1.0).otherwise(0.5).alias("confidence"))
+
+
+def normalize_exact(labels: DataFrame, aliases: DataFrame, known: DataFrame) -> DataFrame:
+    """``raw, canonical, confidence`` of labels that are an alias or registered; others have no row."""
+    return normalize_relations(labels, aliases, known).filter("confidence = 1.0")

@@ -49,6 +49,11 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vec
     return top_k(found.filter("similarity >= -1.5"), ["q"], [F.round("similarity", 6).desc(), F.col("vec_id")], k)
 
 
+def similar(queries: DataFrame, rows: DataFrame, k: int, least: float, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """As ``knn``, of similarity ``least`` or more."""
+    return knn(queries, rows, k, id_col, vector).filter(F.round("similarity", 6) >= least)
+
+
 def knn_approximate(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", radius: float = 1.3, bucket: float = 0.5, tables: int = 6, seed: int = 1) -> DataFrame:
     """As ``knn``, of rows that random projections put into a query's bucket in one of ``tables`` tables.
 

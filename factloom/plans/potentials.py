@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalars import logistic
 from ..operators import belief, evaluation
 from .inference import _STATES, states
 from .purchase import LINKS, table
@@ -60,6 +61,30 @@ def b22(spark, d):
     return kept[0].unionByName(kept[1])
 
 
+_HEARD = "hd AS (SELECT uid, any_value(lam) AS lam, sum(ln(f / (1 - f))) AS odds, sum(greatest(0, 2 * f - 1)) AS z FROM mid GROUP BY 1)"
+
+
+def heard(spark, d):
+    messages, nodes = midway(spark, d)
+    return belief.received(messages).join(nodes, ["run_id", "uid"])
+
+
+@query("b17_beliefs", f"WITH {_START}, {_HEARD} SELECT uid, round(1 / (1 + exp(-(lam + odds))), 6) AS belief FROM hd")
+def b17(spark, d):
+    return heard(spark, d).select("uid", F.round(logistic(F.col("lam") + F.col("odds")), 6).alias("belief"))
+
+
+@query("b18_incoming_signal", f"WITH {_START}, {_HEARD} SELECT uid, round(z, 6) AS z FROM hd")
+def b18(spark, d):
+    return heard(spark, d).select("uid", F.round("z", 6).alias("z"))
+
+
+@query("b19_activation_update", f"WITH {_START}, {_HEARD}, a AS (SELECT uid, z, 1 - exp(-lam) AS e, lam / 4.0::DOUBLE AS x FROM hd) SELECT uid, round(least(1, greatest(0, 0.9 * x + 0.5 * z + e)), 6) AS linear, round(1 / (1 + exp(-(x + z + e))), 6) AS sigmoid, round(least(1, greatest(0, 0.9 * x + 0.5 * greatest(0, z + e))), 6) AS relu FROM a")
+def b19(spark, d):
+    args = (F.col("lam") / 4, F.col("z"), 1 - F.exp(-F.col("lam")), F.lit(0.5), F.lit(0.1))
+    return heard(spark, d).select("uid", *[F.round(belief.activate(F.lit(name), *args), 6).alias(name) for name in belief.ACTIVATIONS])
+
+
 _GRID = "grid AS (SELECT activation || '_' || decay || '_' || association AS run_id, * FROM (SELECT unnest(['linear', 'sigmoid', 'relu']) AS activation), (SELECT unnest([0.01::DOUBLE, 0.05::DOUBLE, 0.1::DOUBLE]) AS decay), (SELECT unnest([0.2::DOUBLE, 0.5::DOUBLE, 0.8::DOUBLE]) AS association))"
 
 
