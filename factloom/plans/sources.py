@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import state_stream
 from ..runtime import shared_folder
 from ..sources import files
 from ..streaming import turns
-from .purchase import FACTS, LINKS, follow_links, table
+from .purchase import FACTS, LINKS, facts, follow_links, table
 from .registered import members_of, query
 
 
@@ -41,6 +42,46 @@ def io4(spark, d):
     return files.read_jsonl(spark, path, rows.schema, rows.columns)[0]
 
 
+@query("io2_write_graph", f"WITH {FACTS} SELECT 'N' || s_nationkey AS graph_id, count(*) AS facts, round(sum(w), 6) AS w FROM facts JOIN supplier ON source = 'S' || s_suppkey GROUP BY 1")
+def io2(spark, d):
+    """Facts as a graph per nation of the supplier, written by graph and read again."""
+    home = table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("source"), F.concat(F.lit("N"), "s_nationkey").alias("graph_id"))
+    path = f"{shared_folder(spark)}/factloom/graphs-{uuid.uuid4().hex}"
+    files.write_tables({"factors": facts(spark, d).join(home, "source").select("graph_id", "fid", "w")}, path)
+    back = files.read_tables(spark, path, ("factors",))["factors"]
+    return back.groupBy("graph_id").agg(F.count("*").alias("facts"), F.round(F.sum("w"), 6).alias("w"))
+
+
+@query("io3_read_jsonl", "SELECT CASE p_size % 5 WHEN 0 THEN 'unknown key' WHEN 1 THEN 'missing key' WHEN 2 THEN 'blank value' WHEN 3 THEN 'not an object' ELSE 'good' END AS outcome, count(*) AS n FROM part GROUP BY 1")
+def io3(spark, d):
+    """A part a line; four of five sizes are broken, each in its way."""
+    k = F.col("p_size") % 5
+    uid = F.col("p_partkey").cast("string")
+    line = F.when(k == 0, F.concat(F.lit('{"id": '), uid, F.lit(', "name": "x", "more": 1}'))).when(k == 1, F.concat(F.lit('{"id": '), uid, F.lit("}"))).when(k == 2, F.concat(F.lit('{"id": '), uid, F.lit(', "name": " "}'))).when(k == 3, uid).otherwise(F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))))
+    path = f"{shared_folder(spark)}/factloom/lines-{uuid.uuid4().hex}"
+    table(spark, d, "part").select(line.alias("value")).write.text(path)
+    good, bad = files.read_jsonl(spark, path, StructType.fromDDL("id long, name string"), ["id", "name"])
+    return good.select(F.lit("good").alias("outcome")).unionByName(bad.select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("io5_csv_round_trip", "SELECT p_partkey, p_name, p_retailprice FROM part")
+def io5(spark, d):
+    path = f"{shared_folder(spark)}/factloom/csv-{uuid.uuid4().hex}"
+    rows = table(spark, d, "part").select("p_partkey", "p_name", "p_retailprice")
+    files.write_csv(rows, path)
+    return spark.read.option("header", True).schema(rows.schema).csv(path)
+
+
+@query("io6_whole_texts", "SELECT r_name AS folder, md5(string_agg(n_name, chr(10) ORDER BY n_name) || chr(10)) AS digest FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1")
+def io6(spark, d):
+    """A file per region that lists its nations."""
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    path = f"{shared_folder(spark)}/factloom/texts-{uuid.uuid4().hex}"
+    rows.groupBy(F.replace("r_name", F.lit(" "), F.lit("_")).alias("folder")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), "\n").alias("value")).write.partitionBy("folder").text(path)
+    read = files.read_texts(spark, path)
+    return read.select(F.replace(F.regexp_extract("path", "folder=([^/]+)/", 1), F.lit("_"), F.lit(" ")).alias("folder"), F.md5("text").alias("digest"))
+
+
 @query("st1_stream_ingest", "SELECT conv_id, turn, regexp_extract(s, '([a-z]+) (is|ist|est|es) ([a-z]+)', 1) AS subject, regexp_extract(s, '([a-z]+) (is|ist|est|es) ([a-z]+)', 2) AS verb, regexp_extract(s, '([a-z]+) (is|ist|est|es) ([a-z]+)', 3) AS object FROM (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[.!?\\n]+')) AS s FROM conversations) WHERE regexp_matches(s, '([a-z]+) (is|ist|est|es) ([a-z]+)')")
 def st1(spark, d):
     said = state_stream.source(spark, f"{d}/conversations.parquet").withColumn("ts", F.lit(None).cast("timestamp"))

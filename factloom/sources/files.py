@@ -95,7 +95,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """``path, text`` of whole files."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def edges(members: DataFrame, links: DataFrame) -> DataFrame:
