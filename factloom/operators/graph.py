@@ -56,13 +56,8 @@ def mesh(members: DataFrame, weights: DataFrame) -> DataFrame:
     return pairs.groupBy("e1", "e2").agg(F.min_by("w", "fid").alias("w"))
 
 
-def signature(members: DataFrame) -> DataFrame:
-    """One row that changes with the topology: an order-free hash aggregate."""
-    return members.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fid", "uid", "pos", "role")).alias("signature"))
-
-
-def signature(members: DataFrame, by: list[str]) -> DataFrame:
-    """``by, n, total``: a graph's number of members and the sum of their hashes, which change with its topology and roles
+def signature(members: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, n, signature``: a graph's number of members and the sum of their hashes, which change with its topology and roles
     and not with the order of rows. Members are ``fid, uid, pos, role``; nulls count as empty."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("fid", "uid", "pos", "role")])
-    return members.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")).alias("total"))
+    return members.groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")).alias("signature"))

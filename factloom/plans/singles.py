@@ -46,7 +46,7 @@ def g4(spark, d):
     """Each supplier's purchases are a graph."""
     rows = facts(spark, d).withColumn("graph_id", F.col("source"))
     members = graph.incidence(rows, [("subject", "SUBJECT"), ("object", "OBJECT"), ("source", "SOURCE"), ("time", "TIME")], keep=("graph_id",))
-    return graph.signature(members, ["graph_id"])
+    return graph.signature(members, ("graph_id",)).withColumnRenamed("signature", "total")
 
 
 @query("e7_prefix_proximity", f"WITH {_CAT}, {_SAY}, p AS (SELECT mention_id, f, lower(p_brand || ' ' || p_name) AS key FROM fol JOIN part ON p_partkey = mention_id), q AS (SELECT *, greatest(length(f), length(key)) AS n, abs(length(f) - length(key)) AS gap FROM p) SELECT mention_id, CASE WHEN (starts_with(f, key) OR starts_with(key, f)) AND gap <= 3 THEN 0.9 WHEN gap <= 2 AND left(f, greatest(4, ceil(0.8 * n))::INT) = left(key, greatest(4, ceil(0.8 * n))::INT) THEN 0.85 ELSE 0 END::DOUBLE AS score FROM q")
