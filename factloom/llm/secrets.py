@@ -5,15 +5,18 @@ chosen by hash over all documents. For each kind a prefix tree of character clas
 outgoing frequencies are statistically compatible (Hoeffding bound) are merged into a probabilistic automaton. Every
 candidate token of every text is then scored by its likelihood per character under the automata against a background
 model of ordinary tokens; tokens that a credential format explains much better are reported beside the base spans.
+
+The background is a character bigram model counted over all texts outside base spans; each task sends its own table's
+non-zero cells, which are summed by cell.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,38 +155,80 @@ class Automaton:
         return total / max(1, len(word))
 
 
+# Characters of the background: those of credentials, numbered from 1, and all else (the edge), 0.
+EDGE = 0
+_LETTERS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_.=-"
+N_CODES = len(_LETTERS) + 1
+_CODE = np.zeros(256, dtype=np.uint8)
+for _i, _c in enumerate(_LETTERS):
+    _CODE[ord(_c)] = _i + 1
+_CLASSES = Counter(symbol(c) for c in _LETTERS)
+#: Bits of a character within its class, where all of the class are equally likely; the automata leave them out.
+_WITHIN = np.array([0.0] + [math.log2(_CLASSES[symbol(c)]) for c in _LETTERS])
+
+
+class Background:
+    """Character bigrams of ordinary text; counts[a, b], flattened.
+
+    Every pair counts one time less than it occurs, so that a rare token is not explained by its own occurrence.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        pairs = np.maximum(counts.reshape(N_CODES, N_CODES) - 1.0, 0.0)
+        single = pairs.sum(0)
+        p1 = (single + 1) / (single.sum() + N_CODES)
+        p2 = (pairs + 8 * p1) / (pairs.sum(1, keepdims=True) + 8)
+        #: bits of a character after another, less those within its class, so that they compare with an automaton's
+        self.cost = -np.log2(p2) - _WITHIN
+
+    def bits(self, word: str) -> float:
+        """Mean bits per character, as :meth:`Automaton.bits`, of a token of credential characters."""
+        codes = _CODE[np.frombuffer(word.encode(), dtype=np.uint8)]
+        return float(self.cost[np.concatenate([[EDGE], codes[:-1]]), codes].sum()) / max(1, len(codes))
+
+
+def blanked(text: str, spans: list[tuple[int, int, int, int, int]]) -> bytes:
+    """The text as UTF-8 with its base spans (which are ASCII) overwritten by spaces."""
+    for start, _, end, _, _ in spans:
+        text = text[:start] + " " * (end - start) + text[end:]
+    return text.encode()
+
+
 def is_candidate(token: str) -> bool:
     return bool(_DIGIT.search(token) and _LETTER.search(token))
 
 
-def labelled_credentials(docs: DataFrame, text_col: str) -> dict[str, list[str]]:
-    """Values of each kind, and ordinary tokens under ``other``; of each the SAMPLE_PER_KIND with the smallest hashes."""
+def learn(docs: DataFrame, text_col: str) -> tuple[dict[str, list[str]], Background]:
+    """Values of each kind, the SAMPLE_PER_KIND with the smallest hashes, and the background of all texts."""
 
     def values(batches):
+        total = np.zeros(N_CODES**2, dtype=np.int64)
         for batch in batches:
             kinds, found = [], []
-            for text in batch.column(0).to_pylist():
-                spans = base_spans(text)
-                for _, k, _, a, b in spans:
-                    kinds.append(KINDS[k])
-                    found.append(text[a:b])
-                for token in text.split():
-                    if 4 <= len(token) <= 40 and hash_of(token) % 4096 == 0:
-                        kinds.append("other")
-                        found.append(token)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(found, pa.string())], names=["kind", "value"])
-
-    rows = docs.select(null_safe_text(text_col).alias("text")).mapInArrow(values, "kind string, value string").distinct()
+            for start in range(0, batch.num_rows, 256):
+                bodies = []
+                for text in batch.column(0).slice(start, 256).to_pylist():
+                    spans = base_spans(text)
+                    for _, k, _, a, b in spans:
+                        kinds.append(KINDS[k])
+                        found.append(text[a:b])
+                    bodies.append(blanked(text, spans))
+                codes = _CODE[np.frombuffer(b"\n".join([b"", *bodies, b""]), dtype=np.uint8)].astype(np.int32)
+                total += np.bincount(codes[:-1] * N_CODES + codes[1:], minlength=N_CODES**2)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(found, pa.string()), pa.array([0] * len(kinds), pa.int64())], names=["kind", "value", "n"])
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(["cell"] * len(cells), pa.string()), pa.array([str(c) for c in cells], pa.string()), pa.array(total[cells], pa.int64())], names=["kind", "value", "n"])
+
+    rows = docs.select(null_safe_text(text_col).alias("text")).mapInArrow(values, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n"))
     rows = materialize(rows, "secrets-labelled")
     out: dict[str, list[str]] = {}
-    for kind in (*KINDS, "other"):
+    for kind in KINDS:
         top = rows.filter(F.col("kind") == kind).orderBy(F.md5("value"), "value").limit(SAMPLE_PER_KIND)
         out[kind] = [r.value for r in top.collect()]
-    return out
-
-
-def hash_of(token: str) -> int:
-    return zlib.crc32(token.encode())
+    counts = np.zeros(N_CODES**2, dtype=np.int64)
+    for r in rows.filter("kind = 'cell'").collect():  # as many rows as there are pairs of characters, 4,761 at most
+        counts[int(r.value)] = r.n
+    return out, Background(counts)
 
 
 def scan_secrets(docs: DataFrame, text_col: str = "text", corpus: DataFrame | None = None) -> DataFrame:
@@ -195,9 +240,8 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", corpus: DataFrame | No
     than five credentials has none, and without any the base spans are all there is.
     """
     require(docs, text_col)
-    sample = labelled_credentials(docs if corpus is None else corpus, text_col)
-    formats = [Automaton(v) for k, v in sample.items() if k != "other" and len(v) >= 5]
-    ordinary = Automaton(sample["other"]) if len(sample["other"]) >= 5 else None
+    sample, ordinary = learn(docs if corpus is None else corpus, text_col)
+    formats = [Automaton(v) for v in sample.values() if len(v) >= 5]
     models = docs.sparkSession.sparkContext.broadcast((formats, ordinary))
     kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -208,7 +252,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", corpus: DataFrame | No
             text = text or ""
             base = base_spans(text)
             spans = [(start, k, end) for start, k, end, _, _ in base]
-            if automata and background:
+            if automata:
                 for m in CANDIDATE.finditer(text):
                     token = m.group()
                     if not is_candidate(token) or any(s < m.end() and m.start() < e for s, _, e, _, _ in base):

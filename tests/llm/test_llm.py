@@ -187,6 +187,18 @@ def test_secrets(spark, odd, empty):
     assert secrets.scan_secrets(odd).count() == len(ODD) and secrets.scan_secrets(empty).count() == 0
 
 
+def test_grammar_spans_of_a_small_corpus(spark):
+    rng = random.Random(16)
+    key = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    prose = ["The quick brown fox of NASA and the USA jumps over a lazy dog near the River Bank in 2024, see 10.20.30.40 or 12/2025. " * 9] * 30
+    bare = [key(32) for _ in range(5)]
+    texts = [f"é set token = {key(32)} and go on" for _ in range(40)] + prose + [f"ключ {b} stands bare" for b in bare]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.secrets if s.kind == "grammar"] for r in secrets.scan_secrets(docs).collect()}
+    assert [got[70 + i] for i in range(5)] == [[b] for b in bare]
+    assert not any(got[i] for i in range(70))
+
+
 def test_automaton_merges_and_ranks():
     rng = random.Random(7)
     words_ = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(200)]
