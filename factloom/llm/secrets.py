@@ -3,8 +3,9 @@
 Labelled credentials are the values that the three base patterns find, up to :data:`SAMPLE_PER_KIND` of each kind,
 chosen by hash over all documents. For each kind a prefix tree of character classes is built and states whose
 outgoing frequencies are statistically compatible (Hoeffding bound) are merged into a probabilistic automaton. Every
-candidate token of every text is then scored by its likelihood per character under the automata against a background
-model of ordinary tokens; tokens that a credential format explains much better are reported beside the base spans.
+token of every text that is as long as the shortest labelled credentials is then scored by its likelihood under the
+automata against a background model of ordinary tokens; tokens that a credential format explains much better are
+reported beside the base spans.
 
 The background is a character bigram model counted over all texts outside base spans; each task sends its own table's
 non-zero cells, which are summed by cell.
@@ -22,21 +23,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import append_columns, materialize, null_safe_text, read, require
+from .toxicity import slices
 
 #: Labelled credentials of a kind that its automaton is learned from, at most.
 SAMPLE_PER_KIND = 500
-#: Significance of the compatibility test, and bits per character by which a format must beat the background.
+#: Significance of the compatibility test; bits per character, and bits of the whole token, by which a format must beat
+#: the background, so that short tokens need more bits per character.
 ALPHA = 0.05
 MARGIN_BITS = 0.75
-MIN_TOKEN = 20
+TOKEN_BITS = 15.0
+MIN_TOKEN = 6
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_TOKEN)
 _HINT = re.compile(r"pass|secret|token|api", re.IGNORECASE | re.ASCII)
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
@@ -181,10 +183,25 @@ class Background:
         #: bits of a character after another, less those within its class, so that they compare with an automaton's
         self.cost = -np.log2(p2) - _WITHIN
 
-    def bits(self, word: str) -> float:
-        """Mean bits per character, as :meth:`Automaton.bits`, of a token of credential characters."""
-        codes = _CODE[np.frombuffer(word.encode(), dtype=np.uint8)]
-        return float(self.cost[np.concatenate([[EDGE], codes[:-1]]), codes].sum()) / max(1, len(codes))
+    def candidates(self, joined: bytes) -> list[tuple[int, int, float]]:
+        """(start, end, bits) of the tokens whose bits would pass if a format explained them for nothing.
+
+        Tokens are the whole runs of credential characters with :data:`MIN_TOKEN` of them or more. No automaton gives
+        less than 0 bits, so none that could pass is left out.
+        """
+        codes = _CODE[np.frombuffer(joined, dtype=np.uint8)]
+        inside = codes != EDGE
+        starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        total = np.concatenate([[0.0], np.cumsum(np.where(inside, self.cost[np.concatenate([[EDGE], codes[:-1]]), codes], 0.0))])
+        bits = total[ends] - total[starts]
+        held = np.flatnonzero((ends - starts >= MIN_TOKEN) & (bits >= needed(ends - starts) - 1e-6))
+        return list(zip(starts[held].tolist(), ends[held].tolist(), bits[held].tolist(), strict=True))
+
+
+def needed(length):
+    """Bits by which a format must beat the background over a token of this length."""
+    return np.maximum(MARGIN_BITS * length, TOKEN_BITS)
 
 
 def blanked(text: str, spans: list[tuple[int, int, int, int, int]]) -> bytes:
@@ -194,10 +211,6 @@ def blanked(text: str, spans: list[tuple[int, int, int, int, int]]) -> bytes:
     return text.encode()
 
 
-def is_candidate(token: str) -> bool:
-    return bool(_DIGIT.search(token) and _LETTER.search(token))
-
-
 def learn(docs: DataFrame, text_col: str) -> tuple[dict[str, list[str]], Background]:
     """Values of each kind, the SAMPLE_PER_KIND with the smallest hashes, and the background of all texts."""
 
@@ -234,9 +247,9 @@ def learn(docs: DataFrame, text_col: str) -> tuple[dict[str, list[str]], Backgro
 def scan_secrets(docs: DataFrame, text_col: str = "text", corpus: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``secrets``: array of (kind, start, end) in code points, end exclusive, by start and kind.
 
-    Kinds are assign, access and hex (base patterns) and grammar (tokens of 20 or more credential characters, with a
-    letter and a digit, outside base spans, whose format likelihood beats ordinary tokens by :data:`MARGIN_BITS` bits
-    a character). Null text is empty. Automata are learned from ``corpus`` (``docs`` unless given); a kind with fewer
+    Kinds are assign, access and hex (base patterns) and grammar (runs of 6 or more credential characters, cut at
+    base spans, whose format likelihood beats ordinary tokens by :data:`MARGIN_BITS` bits a character and
+    :data:`TOKEN_BITS` bits in all). Null text is empty. Automata are learned from ``corpus`` (``docs`` unless given); a kind with fewer
     than five credentials has none, and without any the base spans are all there is.
     """
     require(docs, text_col)
@@ -247,19 +260,24 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", corpus: DataFrame | No
 
     def scan(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         automata, background = models.value
-        out = []
+        found, bodies = [], []
         for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
-            text = text or ""
-            base = base_spans(text)
-            spans = [(start, k, end) for start, k, end, _, _ in base]
-            if automata:
-                for m in CANDIDATE.finditer(text):
-                    token = m.group()
-                    if not is_candidate(token) or any(s < m.end() and m.start() < e for s, _, e, _, _ in base):
-                        continue
-                    if background.bits(token) - min(a.bits(token) for a in automata) >= MARGIN_BITS:
-                        spans.append((m.start(), len(KINDS), m.end()))
-            out.append([{"kind": (*KINDS, "grammar")[k], "start": s, "end": e} for s, k, e in sorted(spans)])
+            base = base_spans(text or "")
+            found.append([(start, k, end) for start, k, end, _, _ in base])
+            bodies.append(blanked(text or "", base))
+        for first, last in slices(bodies) if automata else ():
+            joined = b"\n".join([b"", *bodies[first:last], b""])
+            at, seen, chars = -1, 0, 0  # document of the slice, bytes and its code points passed
+            limits = np.cumsum([1] + [len(b) + 1 for b in bodies[first:last]]).tolist()
+            for start, end, bits in background.candidates(joined):
+                token = joined[start:end].decode()
+                if bits - min(a.bits(token) for a in automata) * len(token) < needed(len(token)):
+                    continue
+                while limits[at + 1] <= start:
+                    at, seen, chars = at + 1, limits[at + 1], 0
+                chars, seen = chars + len(joined[seen:start].decode()), start
+                found[first + at].append((chars, len(KINDS), chars + len(token)))
+        out = [[{"kind": (*KINDS, "grammar")[k], "start": s, "end": e} for s, k, e in sorted(spans)] for spans in found]
         return {"secrets": pa.array(out, kind_of)}
 
     return append_columns(docs, text_col, scan, "secrets array<struct<kind:string,start:int,end:int>>")
