@@ -36,10 +36,13 @@ _SYMBOL[0x80:] = OTHER
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e"}
 P_LEET, P_DROP, P_REPEAT = 0.02, 0.01, 0.05
 
+# Whole runs of letters, digits and signs with a letter and a digit or sign, or with a letter three times or more; three or
+# more single characters set apart by separators.
 _SUSPECT = re.compile(
-    rb"(?<![A-Za-z0-9@$!|+(])(?=[A-Za-z0-9@$!|+(*._-]*[A-Za-z])(?:[A-Za-z]+[0-9@$!|+(*][A-Za-z0-9@$!|+(*]*[A-Za-z]|[0-9@$!|+(][A-Za-z0-9@$!|+(*]*[A-Za-z]{2,}|[A-Za-z]*([A-Za-z])\1\1[A-Za-z]*)(?![A-Za-z0-9@$|])"
-    rb"|(?<![A-Za-z0-9])[A-Za-z0-9@$!](?:[ ._*-][A-Za-z0-9@$!]){3,}(?![A-Za-z0-9])"
+    rb"(?<![A-Za-z0-9@$!|+(*])(?:[A-Za-z]+[0-9@$!|+(*]|[0-9@$!|+(*]+[A-Za-z]|[A-Za-z]*?([A-Za-z])\1\1)[A-Za-z0-9@$!|+(*]*"
+    rb"|(?<![A-Za-z0-9])[A-Za-z0-9@$!](?:[ ._*-]+[A-Za-z0-9@$!]){2,}(?![A-Za-z0-9])"
 )
+_LETTER = re.compile(rb"[A-Za-z]")
 _SEPARATORS = b" ._*-"
 
 
@@ -61,7 +64,8 @@ class CharModel:
         continuation of the letter before (stretching). Restored letters are lower case.
         """
         leet, drop, stretch = np.log2(P_LEET), np.log2(P_DROP), np.log2(P_REPEAT)
-        states: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
+        # the reading so far is a chain (what came before, letter), so that a token of any length costs its length only
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(EDGE, EDGE): (0.0, None)}
         log = self.log
         for c in token:
             low = c.lower() if c.isascii() else c
@@ -72,7 +76,7 @@ class CharModel:
                 readings += [(x, leet) for x in LEET.get(low, "")]
                 readings.append((low, leet if low.encode()[:1] in _SEPARATORS else 0.0))
                 readings.append((None, drop if low not in LEET else 2 * drop))
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, text) in states.items():
                 row = log[a][b]
                 for letter, price in readings:
@@ -80,17 +84,31 @@ class CharModel:
                         key, total, out = (a, b), cost + price, text
                     else:
                         s = int(_SYMBOL[letter.encode()[0]])
-                        key, total, out = (b, s), cost + price + row[s], text + letter
-                        if text and text[-1] == letter and letter.isalpha() and (old := after.get((a, b), (-1e300, "")))[0] < cost + stretch:
+                        key, total, out = (b, s), cost + price + row[s], (text, letter)
+                        if text and text[1] == letter and letter.isalpha() and (old := after.get((a, b), (-1e300, None)))[0] < cost + stretch:
                             after[(a, b)] = (cost + stretch, text) if cost + stretch > old[0] else old
-                    if total > after.get(key, (-1e300, ""))[0]:
+                    if total > after.get(key, (-1e300, None))[0]:
                         after[key] = (total, out)
             states = after
-        return max(((cost + log[a][b][EDGE], text) for (a, b), (cost, text) in states.items()))[1]
-
-
-def disguised(token: bytes) -> bool:
-    """Whether a suspect token can be a word at all; numbers, hashes and addresses are left alone."""
+        _, _, text = max((cost + log[a][b][EDGE], (a, b), text) for (a, b), (cost, text) in states.items())
+        letters = []
+        while text:
+            text, letter = text
+            letters.append(letter)
+        return "".join(reversed(letters))
+
+    def likely(self, word: str) -> bool:
+        """Whether the model gives a reading more than random letters and edges have."""
+        a = b = EDGE
+        bits = 0.0
+        for s in [*(int(_SYMBOL[c.encode()[0]]) for c in word), EDGE]:
+            bits -= self.log[a][b][s]
+            a, b = b, s
+        return bits < np.log2(27) * (len(word) + 1)
+
+
+def wordlike(token: bytes) -> bool:
+    """Whether a suspect token is taken for a word whatever it reads; what looks like a number, hash or blob must read likely."""
     letters = sum(65 <= c <= 90 or 97 <= c <= 122 for c in token)
     marks = sum(48 <= c <= 57 for c in token)
     return letters >= 2 and marks <= letters and len(token) <= 64
@@ -101,13 +119,16 @@ def restore_text(body: bytes, model: CharModel, cache: dict[bytes, bytes]) -> by
 
     def plain(match: re.Match) -> bytes:
         token = match.group(0)
-        if not disguised(token):
+        if not _LETTER.search(token):
             return token
         out = cache.get(token)
         if out is None:
-            if len(cache) > 50_000:
-                cache.clear()
-            out = cache[token] = model.restore(token.decode()).encode()
+            reading = model.restore(token.decode())
+            out = reading.encode() if wordlike(token) or model.likely(reading) else token
+            if len(token) <= 64:  # longer ones would fill the memory and hardly come again
+                if len(cache) > 50_000:
+                    cache.clear()
+                cache[token] = out
         return out
 
     return _SUSPECT.sub(plain, body)

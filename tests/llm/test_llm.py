@@ -327,3 +327,20 @@ def test_restoring():
     for token, plain in ((b"1d1ot", b"idiot"), (b"m0r0n", b"moron"), (b"idiooot", b"idiot"), (b"s t u p i d", b"stupid"), (b"l0sers", b"losers")):
         assert toxicity.restore_text(b"the " + token + b" and", model, {}) == b"the " + plain + b" and"
     assert toxicity.restore_text(b"call 555-1234 at 10:30 on 24be64439e3e49cf", model, {}) == b"call 555-1234 at 10:30 on 24be64439e3e49cf"
+
+
+def test_restoring_long_runs_and_marks_at_the_end():
+    counts = np.zeros(toxicity.N_SYMBOLS**3, dtype=np.int64)
+    text = b" you are an idiot and a dumbass the ass and slut sluts are trash losers who die in 2024 or 1999 and lose " * 50
+    s = toxicity._SYMBOL[np.frombuffer(text, dtype=np.uint8)].astype(int)
+    np.add.at(counts, (s[:-2] * 29 + s[1:-1]) * 29 + s[2:], 1)
+    model = toxicity.CharModel(counts)
+    marked = {b"dumba$$": b"dumbass", b"a$$": b"ass", b"a55": b"ass", b"5lut5": b"sluts", b"l0ser5": b"losers", b"d i e": b"die", b"i  d  i  o  t": b"idiot", b"d.-i.-e": b"die"}
+    marked |= {b"idio" + b"o" * 90 + b"t": b"idiot", b"trash!!": b"trash!!"}
+    for token, plain in marked.items():
+        assert toxicity.restore_text(b"the " + token + b" and", model, {}) == b"the " + plain + b" and"
+    long = b" ".join(bytes([c]) for c in b"youareanidiot" * 8)
+    assert toxicity.restore_text(b"so " + long + b".", model, {}).replace(b" ", b"") == b"so" + b"youareanidiot" * 8 + b"."
+    blob = b"q7Zx9Kf3Wv" * 30
+    for token in (blob, b"4e7c19a83b2f6d05", b"1 2 3 4", b"555-1234"):
+        assert toxicity.restore_text(b"the " + token + b" and", model, {}) == b"the " + token + b" and"
