@@ -4,12 +4,16 @@ Several hundred regular expressions in order of priority, each gated by a keywor
 distinct keywords first, and only rules whose keyword occurs are run. Detections that lie within a detection of higher
 priority, or of the same priority and greater length, are suppressed.
 
+Rules see the text with every run of white space, and the comment mark that begins a line, folded to one space, so
+phrases that wrap are whole; spans are mapped back to the text.
+
 The base phrases are matched on words and always reported; rules add labels of their own.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -170,15 +174,41 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     return sorted(out)
 
 
+# What is folded to one space: white space, with the comment marks at the start of its lines.
+_GAP = re.compile(r"[ \t\r\f\v]*(?:\n[ \t\r\f\v]*(?://+!?|/\*+|\*+(?!/)|#+|;+|--+|%+|>+|(?:dnl|rem)(?=\s))?[ \t\r\f\v]*)+|[ \t\r\f\v]{2,}|[\t\r\f\v]")
+
+
+def fold_gaps(low: str) -> tuple[str, list[int], list[int]]:
+    """The text with its gaps folded to one space, and for the end of each gap its place in the folded and in the given text."""
+    parts, folded_at, given_at = [], [0], [0]
+    last = size = 0
+    for m in _GAP.finditer(low):
+        parts.append(low[last : m.start()])
+        parts.append(" ")
+        size += m.start() - last + 1
+        last = m.end()
+        folded_at.append(size)
+        given_at.append(last)
+    parts.append(low[last:])
+    return "".join(parts), folded_at, given_at
+
+
 def detections(low: str) -> list[tuple[int, int, Rule]]:
     """Spans of the rules in a lower-cased text, without those inside a span of a rule that goes before."""
+    low, folded_at, given_at = fold_gaps(low)
+
+    def given(place: int) -> int:
+        k = bisect_right(folded_at, place) - 1
+        return given_at[k] + place - folded_at[k]
+
     found = [(m.start(), m.end(), rule) for keyword, rules in _BY_KEYWORD.items() if keyword in low for rule in rules for m in rule.pattern.finditer(low)]
     found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
     kept: list[tuple[int, int, Rule]] = []
     for start, end, rule in found:
         if not any(s <= start and end <= e for s, e, _ in kept):
             kept.append((start, end, rule))
-    return sorted(kept, key=lambda x: (x[0], x[1], x[2].label))
+    # an end is the place after the last character, so that a gap after the span stays outside
+    return sorted(((given(s), given(e - 1) + 1, rule) for s, e, rule in kept), key=lambda x: (x[0], x[1], x[2].label))
 
 
 def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:

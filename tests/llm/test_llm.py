@@ -256,6 +256,20 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_that_wrap():
+    wrapped = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software",
+        "bsd": "/*\n * Redistribution and use\n * in source and binary forms, with or without\n * modification, are permitted\n */",
+        "gpl": "é # under the terms of the GNU General Public\r\n# License as published by\n#   the Free Software Foundation",
+        "isc": "// Permission to use, copy, modify, and/or distribute this software\n//\n// for any purpose with or without fee is hereby granted",
+        "apache-2.0": "Licensed under the Apache\n    License,\tVersion 2.0 and",
+    }
+    for label, text in wrapped.items():
+        spans = {text[s:e].lower() for s, e, r in licenses.detections(text.lower()) if r.label == label}
+        assert spans and all(s == s.strip() and len(s) > 20 and "\n" in s for s in spans), label
+    assert [(s, e) for s, e, _ in licenses.detections("a  \n\n mit \n license \n x")] == [(6, 19)]
+
+
 def test_mixture(spark, odd, empty):
     rng = random.Random(8)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 50)), "big" if i % 3 else ("small" if i % 2 else None)) for i in range(600)]
