@@ -8,6 +8,9 @@ Plan: (1) every input partition inserts its texts into a trie of its own, so tha
 corpus leaves each partition once (the rows that hold the string, one per distinct text and partition, plus narrow
 member rows); (2) the strings are dealt by (length, content hash) and inserted into tries that spill by subtree;
 (3) member rows join the owners on the key of their partition's terminal node, which no other partition shares.
+
+To drop duplicates, whole rows take the place of the strings: the tries of step 1 pass on one row of each text, the
+tries of step 2 keep one of those, so a row is shuffled once at most and nothing is written or joined.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, null_safe_text, pieces, read, require, texts
 
@@ -92,22 +96,30 @@ class PatriciaTrie:
 
 
 class SpillingTrie:
-    """Groups (string, value) pairs by string within a memory budget: the largest subtree goes to disk when it is reached."""
+    """Groups (string, value) pairs by string within a memory budget: the largest subtree goes to disk when it is reached.
+
+    With ``least`` a terminal node stores the smallest value only. Spilled subtrees lie in files of the task's own, which
+    a retried task writes anew.
+    """
 
-    def __init__(self, budget: int = TRIE_BYTES):
-        self.budget, self.trie, self.sizes, self.files = budget, PatriciaTrie(), {}, {}
+    def __init__(self, budget: int = TRIE_BYTES, least: bool = False):
+        self.budget, self.least, self.trie, self.sizes, self.files = budget, least, PatriciaTrie(), {}, {}
 
-    def add(self, key: bytes, value: Any) -> None:
+    def add(self, key: bytes, value: Any, size: int = 100) -> None:
+        """Add a value that takes about ``size`` bytes."""
         first = key[:1]
         if first in self.files:
             pickle.dump((key, [value]), self.files[first])
             return
         before = self.trie.held
         node = self.trie.insert(key)
+        if self.least and node.value:
+            node.value[0] = min(node.value[0], value)
+            return
         if node.value is None:
             node.value = []
         node.value.append(value)
-        self.sizes[first] = self.sizes.get(first, 0) + self.trie.held - before + 100
+        self.sizes[first] = self.sizes.get(first, 0) + self.trie.held - before + size
         while sum(self.sizes.values()) > self.budget:
             self._spill(max(self.sizes, key=self.sizes.get))
 
@@ -264,14 +276,106 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
+def normalized(text: bytes) -> bytes:
+    """The text with each run of white space replaced by one space."""
+    inner = b" ".join(text.split())
+    if not inner:
+        return b" " if text else b""
+    return (b" " if text[:1].isspace() else b"") + inner + (b" " if text[-1:].isspace() else b"")
+
+
+class _Keeper:
+    """A row in order of id (none last) and text; rows that agree in both are as good as one another."""
+
+    __slots__ = ("order", "row")
+
+    def __init__(self, order: tuple, row: Any):
+        self.order, self.row = order, row
+
+    def __lt__(self, other: _Keeper) -> bool:
+        return self.order < other.order
+
+    def __getstate__(self):
+        return self.order, self.row
+
+    def __setstate__(self, state):
+        self.order, self.row = state
+
+
+def _order(doc: Any, text: bytes) -> tuple:
+    return (True, text) if doc is None else (False, doc, text)
+
+
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; of rows with the same id and text one stays."""
-    decided = exact_duplicates(docs, id_col, text_col)
-    gone = decided.filter(~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_gone")).distinct()
-    sha = F.sha2(F.regexp_replace(null_safe_text(text_col), r"[\x20\x09-\x0D]+", " "), 256)
-    left = docs.withColumn("_sha", sha)
-    stay = left.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_gone")), "left_anti")
-    return stay.dropDuplicates([id_col, "_sha"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with their columns: of equal texts the one with the smallest id.
+
+    Ids of any ordered type will do. Null text counts as empty text; rows without an id come last; of rows that agree in
+    id and text one stays. An empty table gives an empty result.
+    """
+    require(docs, id_col, text_col)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
+
+    def fields(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[Any], list[bytes]]]:
+        rows = batch.column(batch.schema.get_field_index("row"))
+        for piece in pieces(pa.RecordBatch.from_arrays([rows, rows.field(at_text)], names=["row", "text"]), "text", 8 << 20):
+            rows = piece.column(0)
+            yield rows, rows.field(at_id).to_pylist(), texts(piece.column(1))
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, held, size = PatriciaTrie(), [], 0
+
+        def keepers() -> Iterator[pa.RecordBatch]:
+            chosen: list[list[tuple[int, int, int]]] = [[] for _ in held]
+            for body, (_, no, place) in trie.walk():
+                digest = xxhash.xxh3_64_intdigest(body)
+                chosen[no].append((place, len(body), digest - (1 << 64) if digest >> 63 else digest))
+            for rows, kept in zip(held, chosen, strict=True):
+                if kept:
+                    places, sizes, hashes = zip(*sorted(kept), strict=True)
+                    taken = rows.take(pa.array(places, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(hashes, pa.int64()), taken], names=["n_bytes", "hash", "row"])
+
+        for batch in batches:
+            for rows, ids, bodies in fields(batch):
+                for place, (doc, text) in enumerate(zip(ids, bodies, strict=True)):
+                    node, order = trie.insert(normalized(text)), _order(doc, text)
+                    if node.value is None or order < node.value[0]:
+                        node.value = (order, len(held), place)
+                held.append(rows)
+                size += sum(map(len, bodies)) + 200 * len(bodies)
+                if size > TRIE_BYTES:
+                    yield from keepers()
+                    trie, held, size = PatriciaTrie(), [], 0
+        yield from keepers()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, kind = SpillingTrie(least=True), None
+        for batch in batches:
+            for rows, ids, bodies in fields(batch):
+                kind = rows.type
+                others = pa.StructArray.from_arrays([pa.nulls(len(rows), f.type) if k == at_text else rows.field(k) for k, f in enumerate(kind)], fields=list(kind))
+                for doc, text, row, null in zip(ids, bodies, others.to_pylist(), rows.field(at_text).is_null().to_pylist(), strict=True):
+                    body = normalized(text)
+                    # the text is held once where it is normalized already
+                    own = b"" if body == text else text
+                    trie.add(body, _Keeper(_order(doc, text), (null, own, row)), 500 + len(own))
+        name, out, size = None if kind is None else kind[at_text].name, [], 0
+        for body, values in trie.groups():
+            null, own, row = min(values).row
+            row[name] = None if null else (own or body).decode()
+            out.append(row)
+            size += len(body) + 500
+            if size > 8 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(out, kind)], names=["row"])
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, kind)], names=["row"])
+
+    row = packed.schema["row"].dataType
+    schema = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("row", row)])
+    kept = packed.mapInArrow(local, schema).repartition("n_bytes", "hash").mapInArrow(keep, T.StructType([T.StructField("row", row)]))
+    return kept.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

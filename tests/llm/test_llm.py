@@ -47,6 +47,14 @@ def test_exact(odd, empty):
     assert {r.keep_id for r in group} == {1} and {r.group_size for r in group} == {3} and sum(r.kept for r in group) == 1
     assert {r.keep_id for r in got if r.doc_id in (2, 4)} == {2}
     assert sum(r.kept for r in got) == 5
+    many = odd.withColumn("row", F.struct(F.lit(1).alias("a"), F.array(F.lit("b")).alias("c"))).withColumn("n_bytes", F.current_timestamp())
+    assert exact_dedup.drop_exact_duplicates(many).columns == many.columns and exact_dedup.drop_exact_duplicates(many).count() == 5
+    named = odd.withColumn("doc_id", F.col("doc_id").cast("string"))
+    assert {r.doc_id for r in exact_dedup.drop_exact_duplicates(named).collect()} == {None, "1", "2", "5", "6"}
+    assert {r.text for r in exact_dedup.drop_exact_duplicates(odd.filter("doc_id = 2")).collect()} == {None}
+    assert exact_dedup.drop_exact_duplicates(empty).count() == 0
+    for text in (b" a\t\nb ", b"", b" \x0b", b"a", "\u00a0 é\u2003".encode()):
+        assert exact_dedup.normalized(text) == re.sub(rb"[\x20\x09-\x0D]+", b" ", text)
     stay = exact_dedup.drop_exact_duplicates(odd)
     assert stay.columns == odd.columns and sorted((r.doc_id or 0) for r in stay.collect()) == [0, 1, 2, 5, 6]
 
@@ -288,6 +296,22 @@ def test_mixture(spark, odd, empty):
     assert mixture.mix(odd).count() == len(ODD) and mixture.mix(empty).count() == 0
 
 
+def test_mixture_takes_longer_documents_oftener(spark):
+    rows = [(None if i % 9 == 0 else i, " ".join([f"w{i}"] * (5 if i % 2 else 400)), "ab"[i % 3 == 0]) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_row", F.lit("clash"))
+    got = mixture.mix(docs).collect()
+    share = {}
+    for r in got:
+        n, taken = share.get((r.source, r.size), (0, 0))
+        share[r.source, r.size] = n + 1, taken + r.copies
+    rate = {k: taken / n for k, (n, taken) in share.items()}
+    for s in "ab":  # grades 9 and 3
+        assert rate[s, 400] == pytest.approx(min(3, 3 * rate[s, 5]), rel=0.15)
+    mixed = {(r.doc_id, r.text): r.copies for r in mixture.mix_documents(docs).collect()}
+    assert len(mixed) == sum(r.copies > 0 for r in got) and mixture.mix_documents(docs).columns == [*docs.columns, "copies"]
+    assert sorted(mixed.values()) == sorted(r.copies for r in got if r.copies)
+
+
 def test_surrogates(spark, odd, empty):
     rows = [(1, "mail A.B@X.org or a.b@x.org, card 4944339490429605, +1 (456) 555-2186"), (2, "again a.b@x.org and Mrs. Smith, Mr Smith; 10.20.30.40"), (3, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("entities", F.lit("clash"))
