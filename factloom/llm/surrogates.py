@@ -1,14 +1,19 @@
 """Keyed surrogates for personal data; DataFrame functions only.
 
-Entities (e-mail, phone, card, bank account, social security number, IP address, titled name) are detected in whole
-texts. Every distinct entity gets one surrogate in the whole corpus, drawn from a keyed hash: the format stays
-(lengths, punctuation, case, digits as digits, letters in their script), cards keep their first digit and a valid check
-digit, names follow the gender of the title and the script of the name. Surrogates that collide with one another or
-with a real entity are drawn again until none does, so distinct entities stay distinct and mentions of one entity agree.
+Entities (e-mail, phone, card, bank account, social security number, IP address, name) are detected in whole texts.
+Every distinct entity gets one surrogate in the whole corpus, drawn from a keyed hash: the format stays (lengths,
+punctuation, case, digits as digits, letters in their script), cards keep their first digit and a valid check digit.
+Surrogates that collide with one another or with a real entity are drawn again, and grow by a character per draw once
+their format proves full, so distinct entities always end up distinct and mentions of one entity agree.
+
+Names are found by their titles and exchanged word by word: a family name has one surrogate wherever it stands, so "Mr.
+Smith", "Dr Smith" and "Mrs Jane SMITH" stay one family; a given name has one for its gender, which the title tells, or
+another mention in the document. In a document with a titled name, its words are also exchanged where they stand without
+a title (capitalised). Names without a title in the document are not found.
 
 Plan: mentions are taken from the texts, distinct entities are aggregated before the shuffle, drawn, and joined back to
-the (narrow) mentions; one row per document carries its surrogates in order to the text, which is cut at the mentions
-and put together again.
+the (narrow) mentions, the few very frequent ones by broadcast; one row per document carries its surrogates in order to
+the text, which is cut at the mentions and put together again.
 """
 
 from __future__ import annotations
@@ -19,14 +24,21 @@ from pyspark.sql import functions as F
 from .common import materialize, null_safe_text, read, require
 
 KEY = "factloom"
-MAX_DRAWS = 40
+#: Draws after which a surrogate grows by a character per further draw.
+PLAIN_DRAWS = 4
+#: An entity is told to every task when it has more mentions than 1 in HOT_SHARE of all (and HOT_LEAST), so HOT_SHARE
+#: rows of HOT_CHARS characters at most are broadcast; the rest is joined by key.
+HOT_SHARE, HOT_LEAST, HOT_CHARS = 5_000, 50_000, 500
 
 _TITLE_F = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Г-жа"
 _TITLE_M = r"Mr|Herr|Monsieur|Señor|Sr|Signor|Г-н"
-# Detection patterns, in the order in which a mention is classified.
+_TITLE = rf"(?:{_TITLE_F}|{_TITLE_M}|Dr|Prof)"
+_CAPITALISED = r"\p{Lu}[\p{L}'’-]*+"
+# Detection patterns, in the order in which a mention is classified. No group repeats without a bound: the matcher would
+# call itself once per repetition.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "name": rf"(?<!\p{{L}})(?:{_TITLE_F}|{_TITLE_M}|Dr|Prof)\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
+    "name": rf"(?<!\p{{L}}){_TITLE}\.? {_CAPITALISED}(?: {_CAPITALISED})?",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -34,26 +46,37 @@ PATTERNS = {
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 ANY = "|".join(PATTERNS.values())
-# Given names by gender and script.
-GIVEN = {
-    ("f", "latin"): "Alma Berta Clara Dora Edith Flora Greta Hilda Irma Jana Karla Lena Marta Nora Olga Paula Rosa Selma Thea Vera".split(),
-    ("m", "latin"): "Adam Boris Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Nils Oskar Paul Ralf Simon Tom Viktor".split(),
-    ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Жанна Зоя Инна Клара Лидия".split(),
-    ("m", "cyrillic"): "Антон Борис Вадим Глеб Денис Егор Захар Игорь Кирилл Леонид".split(),
+#: What is cut out of documents with titled names: every capitalised word as well.
+WITH_WORDS = rf"{ANY}|(?<!\p{{L}}){_CAPITALISED}"
+_HAS_NAME = rf"(?<!\p{{L}}){_TITLE}\.? \p{{Lu}}"
+# Syllables that names are built from, by script, and endings of given names by gender.
+_SYLLABLES = {
+    "latin": "ba be bo da de do ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va ve vo wa".split(),
+    "cyrillic": "ба бе бо да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то ва ве во за".split(),
+    "greek": "βα βε βο δα δε δο κα κε κο λα λε λο μα με μο να νε νο ρα ρε ρο σα σε σο τα τε το φα φε φο πα".split(),
+}
+_ENDINGS = {
+    "latin": {"f": "na ra lia ssa".split(), "m": "n rt ld s".split(), "n": "l m t k".split()},
+    "cyrillic": {"f": "на ра лия ся".split(), "m": "н р й м".split(), "n": "ль т к с".split()},
+    "greek": {"f": "να ρα λια σσα".split(), "m": "νος ρος λης μας".split(), "n": "λι μι τι κι".split()},
 }
-_SYLLABLES = {"latin": "ba be bo da de do ka ke ko la le lo ma me mo na ne no ra re ro sa se so ta te to va ve vo wa".split(), "cyrillic": "ба бе бо да де до ка ке ко ла ле ло ма ме мо на не но ра ре ро са се со та те то ва ве во за".split()}
+_IS_SCRIPT = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
+
+
+def _pattern(text: Column) -> Column:
+    return F.when(text.rlike(_HAS_NAME), F.lit(WITH_WORDS)).otherwise(F.lit(ANY))
 
 
 def _kind(mention: Column) -> Column:
-    out = None
+    """The kind of a mention; ``word`` for a capitalised word that no pattern claims."""
+    out = F.when(mention.rlike(rf"^{_CAPITALISED}$"), "word")
     for kind, pattern in PATTERNS.items():
-        hit = mention.rlike(f"^(?:{pattern})$")
-        out = F.when(hit, kind) if out is None else out.when(hit, kind)
+        out = out.when(mention.rlike(f"^(?:{pattern})$"), kind)
     return out.otherwise("card")
 
 
 def _canonical(kind: Column, mention: Column) -> Column:
-    """Spellings of one entity agree: case of addresses, separators of numbers, titles of names apart from gender."""
+    """Spellings of one entity agree: case of addresses, separators of numbers."""
     digits = F.regexp_replace(mention, r"[^0-9A-Za-z+]", "")
     return F.when(kind == "email", F.lower(mention)).when(kind.isin("phone", "card", "iban", "ssn"), F.upper(digits)).otherwise(mention)
 
@@ -81,6 +104,8 @@ def _chars(text: Column, digest: Column, keep: Column | None = None) -> Column:
             .when(c.between("A", "Z"), low(65, 26))
             .when(c.between("а", "я"), low(0x430, 32))
             .when(c.between("А", "Я"), low(0x410, 32))
+            .when(c.between("α", "ρ"), low(0x3B1, 17))
+            .when(c.between("Α", "Ρ"), low(0x391, 17))
             .when(code > 127, c)
             .otherwise(c)
         )
@@ -104,60 +129,81 @@ def _card(canonical: Column, digest: Column) -> Column:
     return F.concat(head, F.pmod(was - total(head), F.lit(10)).cast("string"))
 
 
-def _name(canonical: Column, digest: Column) -> Column:
-    """Title kept; given name of the title's gender, family name built from syllables, both in the name's script."""
-    title = F.regexp_extract(canonical, r"^(\S+ )", 1)
-    words = F.size(F.split(canonical, " ")) - 1
-    female = canonical.rlike(f"^(?:{_TITLE_F})") | ((_byte(digest, 9) % 2 == 0) & ~canonical.rlike(f"^(?:{_TITLE_M})"))
-    cyrillic = canonical.rlike(r" \p{IsCyrillic}")
+def _word(canonical: Column, digest: Column, extra: Column, gender: Column | None) -> Column:
+    """A name in the script of ``canonical``: syllables, and for a given name an ending that tells the gender."""
 
     def build(script: str) -> Column:
-        parts = [_pick(_SYLLABLES[script], _byte(digest, k)) for k in (1, 2, 3, 4)]
-        family = F.initcap(F.concat(*parts, F.when(_byte(digest, 5) % 2 == 0, _pick(_SYLLABLES[script], _byte(digest, 6))).otherwise("")))
-        given = F.when(female, _pick(GIVEN["f", script], _byte(digest, 7))).otherwise(_pick(GIVEN["m", script], _byte(digest, 7)))
-        return F.when(words > 1, F.concat(given, F.lit(" "), family)).otherwise(family)
+        picked = F.transform(F.sequence(F.lit(1), 2 + extra), lambda k: F.element_at(F.array(*[F.lit(x) for x in _SYLLABLES[script]]), (_byte(digest, k) % len(_SYLLABLES[script]) + 1).cast("int")))
+        stem = F.array_join(picked, "")
+        if gender is None:
+            return F.concat(stem, _pick(_SYLLABLES[script], _byte(digest, 60)), F.when(_byte(digest, 61) % 2 == 0, _pick(_SYLLABLES[script], _byte(digest, 62))).otherwise(""))
+        ends = _ENDINGS[script]
+        return F.concat(stem, F.when(gender == "f", _pick(ends["f"], _byte(digest, 63))).when(gender == "m", _pick(ends["m"], _byte(digest, 63))).otherwise(_pick(ends["n"], _byte(digest, 63))))
 
-    return F.concat(title, F.when(cyrillic, build("cyrillic")).otherwise(build("latin")))
+    out = None
+    for script, pattern in _IS_SCRIPT.items():
+        out = (F if out is None else out).when(canonical.rlike(pattern), build(script))
+    return out.otherwise(build("latin"))
 
 
 def _draw(kind: Column, canonical: Column, draw: Column, key: str) -> Column:
-    """The surrogate of a canonical entity at a draw."""
+    """The surrogate of a canonical entity at a draw; late draws are longer."""
     digest = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, canonical, draw.cast("string")), 512)
+    # bound to a variable, so that it is computed once and not for every character
+    return F.element_at(F.transform(F.array(digest), lambda d: _drawn(kind, canonical, draw, d)), 1)
+
+
+def _drawn(kind: Column, canonical: Column, draw: Column, digest: Column) -> Column:
+    extra = F.greatest(draw - PLAIN_DRAWS, F.lit(0))
     ip = F.concat_ws(".", *[(_byte(digest, k) % 254 + 1).cast("string") for k in range(4)])
-    domain = F.regexp_extract(canonical, r"(\.[A-Za-z]+)$", 1)
-    email = F.concat(_chars(F.expr("substring(canonical, 1, length(canonical) - length(regexp_extract(canonical, '(\\\\.[A-Za-z]+)$', 1)))"), digest), domain)
+    wide_ip = F.concat_ws(":", F.lit("2001:db8"), *[F.substring(digest, 4 * k + 1, 4) for k in range(6)])
+    top = F.length(F.regexp_extract(canonical, r"(\.[A-Za-z]+)$", 1))
+    local = F.concat(F.repeat(F.lit("a"), extra), F.substring(canonical, F.lit(1), F.length(canonical) - top))
+    email = F.concat(_chars(local, digest), F.substring(canonical, F.length(canonical) - top + 1, top))
     keep = F.when(canonical.startswith("+"), F.lit(2)).otherwise(F.lit(0))
+    n = F.length(canonical)
+    longer = F.concat(canonical, F.repeat(F.lit("0"), extra))
+    card = F.concat(F.substring(canonical, F.lit(1), n - 1), F.repeat(F.lit("0"), extra), F.substring(canonical, n, F.lit(1)))
     return (
         F.when(kind == "email", email)
-        .when(kind == "name", _name(canonical, digest))
-        .when(kind == "ip", ip)
-        .when(kind == "card", _card(canonical, digest))
-        .when(kind == "iban", _chars(canonical, digest, keep=F.lit(2)))
-        .when(kind == "phone", _chars(canonical, digest, keep=keep))
-        .otherwise(_chars(canonical, digest))
+        .when(kind == "family", _word(canonical, digest, extra, None))
+        .when(kind.startswith("given"), _word(canonical, digest, extra, F.substring(kind, 7, 1)))
+        .when(kind == "ip", F.when(extra > 0, wide_ip).otherwise(ip))
+        .when(kind == "card", _card(card, digest))
+        .when(kind == "iban", _chars(longer, digest, keep=F.lit(2)))
+        .when(kind == "phone", _chars(longer, digest, keep=keep))
+        .otherwise(_chars(longer, digest))
     )
 
 
 def _shape(kind: Column, mention: Column, surrogate: Column) -> Column:
-    """The canonical surrogate in the mention's format: separators and case of the mention."""
+    """The canonical surrogate in the mention's format: separators and case of the mention; what it has grown by comes last."""
     plain = F.split(surrogate, "")
     marks = F.split(mention, "")
     taken = lambda c: c.rlike("[0-9A-Za-z+]")
     # number of kept characters up to each place
     places = F.transform(marks, lambda c, i: F.when(taken(c), F.size(F.filter(F.slice(marks, 1, i + 1), taken))).otherwise(0))
     spread = F.array_join(F.zip_with(marks, places, lambda c, p: F.when(p > 0, F.get(plain, p - 1)).otherwise(c)), "")
+    grown = F.substring(surrogate, F.size(F.filter(marks, taken)) + 1, F.length(surrogate))
     cased = F.array_join(F.zip_with(marks, plain, lambda c, s: F.when(c.rlike("[A-Z]"), F.upper(s)).otherwise(s)), "")
-    return F.when(kind == "email", cased).when(kind.isin("phone", "card", "iban", "ssn"), spread).otherwise(surrogate)
+    email = F.when(F.length(mention) == F.length(surrogate), cased).otherwise(surrogate)
+    return F.when(kind == "email", email).when(kind.isin("phone", "card", "iban", "ssn"), F.concat(spread, grown)).otherwise(surrogate)
 
 
-def entity_surrogates(entities: DataFrame, key: str = KEY, max_draws: int = MAX_DRAWS) -> DataFrame:
+def _in_case(word: Column, surrogate: Column) -> Column:
+    return F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+
+
+def entity_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``kind, canonical, surrogate`` of distinct entities; all surrogates of a kind differ from each other and from all entities.
 
-    The first in order of canonical text keeps a contested surrogate, the others draw again. Formats that have fewer
-    values than entities would never end: after ``max_draws`` this raises.
+    The first in order of draw and canonical text keeps a contested surrogate, the others draw again. A surrogate grows
+    by one character per draw after :data:`PLAIN_DRAWS`, so formats with fewer values than entities end as well.
     """
     settled = materialize(entities.select("kind", "canonical", F.lit(0).alias("draw")), "pii-entities")
-    for no in range(1, max_draws + 1):
+    no = 0
+    while True:
+        no += 1
         drawn = settled.withColumn("surrogate", _draw(F.col("kind"), F.col("canonical"), F.col("draw"), key))
         real = settled.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
         contested = drawn.join(real, ["kind", "surrogate"], "left").withColumn("rank", F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("draw", "canonical")))
@@ -166,30 +212,91 @@ def entity_surrogates(entities: DataFrame, key: str = KEY, max_draws: int = MAX_
         if not again.filter("again").limit(1).count():
             return again.select("kind", "canonical", "surrogate")
         settled = again.select("kind", "canonical", F.when(F.col("again"), F.lit(no)).otherwise(F.col("draw")).alias("draw"))
-    raise ValueError(f"surrogates still collide after {max_draws} draws; some format has too few values")
+
+
+def _attach(rows: DataFrame, surrogates: DataFrame, hot: DataFrame, kind: str, canonical: str, out: str) -> DataFrame:
+    """``rows`` (a written table) with the surrogate of (kind, canonical) as ``out``; rows without a canonical get null."""
+    keyed = lambda table: table.select(F.col("kind").alias("_kind"), F.col("canonical").alias("_canonical"), F.col("surrogate").alias(out))
+    same = (F.col(kind) == F.col("_kind")) & (F.col(canonical) == F.col("_canonical"))
+    some = rows.filter(F.col(canonical).isNotNull())
+    told = F.broadcast(keyed(hot))
+    by_broadcast = some.join(told, same)
+    by_key = some.join(told, same, "left_anti").join(keyed(surrogates), same)
+    none = rows.filter(F.col(canonical).isNull()).withColumn(out, F.lit(None).cast("string"))
+    return by_broadcast.unionByName(by_key).drop("_kind", "_canonical").unionByName(none)
+
+
+def _names(found: DataFrame) -> DataFrame:
+    """Titled names and the words of their documents that belong to one, cut into words; other words have none.
+
+    ``h, id, pos, kind, mention, title, given_word, gap, family_word, tail, given_kind, given, family``
+    """
+    titled = found.filter("kind = 'name'")
+    cut = r"^(\S+ )(\S+?)(?: (\S+?))?(['’]s)?$"
+    part = lambda k: F.regexp_extract("mention", cut, k)
+    two = part(3) != ""
+    titled = titled.select(
+        "h", "id", "pos", "kind", "mention", part(1).alias("title"), F.when(two, part(2)).alias("given_word"),
+        F.when(two, " ").otherwise("").alias("gap"), F.when(two, part(3)).otherwise(part(2)).alias("family_word"), part(4).alias("tail"),
+        F.when(F.col("mention").rlike(rf"^(?:{_TITLE_F})\b"), "f").when(F.col("mention").rlike(rf"^(?:{_TITLE_M})\b"), "m").alias("gender"),
+    ).withColumn("given", F.lower("given_word")).withColumn("family", F.lower("family_word"))
+    # a title that tells no gender takes that of the same given name in the document
+    titled = titled.withColumn("gender", F.coalesce("gender", F.min("gender").over(Window.partitionBy("h", "id", "given")), F.lit("n")))
+    titled = materialize(titled.withColumn("given_kind", F.concat(F.lit("given_"), "gender")).drop("gender"), "pii-names")
+
+    known = titled.select("h", "id", F.col("family").alias("word"), F.lit("family").alias("part")).unionByName(titled.filter("given is not null").select("h", "id", F.col("given").alias("word"), F.col("given_kind").alias("part")))
+    known = known.groupBy("h", "id", "word").agg(F.min("part").alias("part"))  # family before given
+    words = found.filter("kind = 'word'")
+    words = words.select("h", "id", "pos", "mention", F.regexp_replace("mention", "['’]s$", "").alias("plain"), F.regexp_extract("mention", "(['’]s)$", 1).alias("tail"))
+    words = words.withColumn("word", F.lower("plain")).join(known, ["h", "id", "word"], "left")
+    is_family, is_given = F.col("part") == "family", F.col("part").startswith("given")
+    words = words.select(
+        "h", "id", "pos", F.when(F.col("part").isNotNull(), "name").alias("kind"), "mention", F.lit("").alias("title"), F.when(is_given, F.col("plain")).alias("given_word"), F.lit("").alias("gap"),
+        F.when(is_family, F.col("plain")).alias("family_word"), "tail", F.when(is_given, F.col("word")).alias("given"), F.when(is_family, F.col("word")).alias("family"), F.when(is_given, F.col("part")).alias("given_kind"),
+    )
+    return titled.unionByName(words)
 
 
 def replace_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with its text replaced and ``n_entities`` and ``entities`` (kind, surrogate in order) added.
 
-    Null text stays null and has no entities; rows that share id and text share their result. Other columns stay;
-    columns of the same names are replaced.
+    Null text stays null and has no entities; rows that share id and text share their result. Other columns stay,
+    whatever their names; ``n_entities`` and ``entities`` are replaced. An empty table gives an empty result.
     """
     require(docs, id_col, text_col)
-    keyed = docs.drop("n_entities", "entities").withColumn("_h", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
-    mention = F.posexplode(F.regexp_extract_all(null_safe_text(text_col), F.lit(ANY), F.lit(0)))
-    found = keyed.select(F.col("_h").alias("h"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), mention.alias("pos", "mention")).withColumn("kind", _kind(F.col("mention")))
-    found = materialize(found.withColumn("canonical", _canonical(F.col("kind"), F.col("mention"))).distinct(), "pii-mentions")
-    surrogates = entity_surrogates(found.select("kind", "canonical").distinct(), key)
-    shaped = found.join(surrogates, ["kind", "canonical"]).withColumn("new", _shape(F.col("kind"), F.col("mention"), F.col("surrogate")))
-    per_doc = shaped.groupBy("h", "id").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "new"))).alias("_found"))
-    joined = keyed.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).join(per_doc, (F.col("_h") == F.col("h")) & (F.col("_id") == F.col("id")), "left")
-    news = F.transform("_found", lambda x: x["new"])
-    pieces = F.split(F.col(text_col), ANY, -1)
-    text = F.when(F.col("_found").isNull(), F.col(text_col)).otherwise(F.array_join(F.zip_with(pieces, F.concat(news, F.array(F.lit(""))), lambda p, s: F.concat(p, s)), ""))
-    entities = F.coalesce(F.transform("_found", lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("surrogate"))), F.array().cast("array<struct<kind:string,surrogate:string>>"))
     others = [c for c in docs.columns if c not in ("n_entities", "entities")]
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in others], F.size(entities).cast("long").alias("n_entities"), entities.alias("entities"))
+    id_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.xxhash64(id_text, F.col(text_col)).alias("h"), id_text.alias("id"), F.col(text_col).alias("text"))
+    body = null_safe_text("text")
+    mention = F.posexplode(F.regexp_extract_all(body, _pattern(body), F.lit(0)))
+    found = keyed.select("h", "id", mention.alias("pos", "mention")).distinct()
+    found = found.withColumn("kind", _kind(F.col("mention"))).withColumn("canonical", F.when(~F.col("kind").isin("name", "word"), _canonical(F.col("kind"), F.col("mention"))))
+    found = materialize(found, "pii-mentions")
+    names = materialize(_names(found), "pii-words").withColumn("family_kind", F.lit("family"))
+    plain = found.filter("canonical is not null")
+
+    seen = plain.select("kind", "canonical").unionByName(names.filter("family is not null").select(F.col("family_kind").alias("kind"), F.col("family").alias("canonical")))
+    seen = seen.unionByName(names.filter("given is not null").select(F.col("given_kind").alias("kind"), F.col("given").alias("canonical")))
+    counts = materialize(seen.groupBy("kind", "canonical").agg(F.count("*").alias("n")), "pii-counts")
+    surrogates = entity_surrogates(counts.select("kind", "canonical"), key)
+    least = F.greatest(F.lit(HOT_LEAST), F.lit((counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE))
+    hot = counts.filter((F.col("n") > least) & (F.length("canonical") <= HOT_CHARS)).select("kind", "canonical").join(surrogates, ["kind", "canonical"])
+
+    shaped = _attach(plain, surrogates, hot, "kind", "canonical", "new").select("h", "id", "pos", "kind", _shape(F.col("kind"), F.col("mention"), F.col("new")).alias("new"))
+    half = materialize(_attach(names, surrogates, hot, "family_kind", "family", "family_new"), "pii-families")
+    whole = _attach(half, surrogates, hot, "given_kind", "given", "given_new")
+    given = F.coalesce(_in_case(F.col("given_word"), F.col("given_new")), F.lit(""))
+    family = F.coalesce(_in_case(F.col("family_word"), F.col("family_new")), F.lit(""))
+    renamed = whole.select("h", "id", "pos", "kind", F.when(F.col("kind").isNull(), F.col("mention")).otherwise(F.concat("title", given, "gap", family, "tail")).alias("new"))
+
+    per_doc = shaped.unionByName(renamed).groupBy("h", "id").agg(F.sort_array(F.collect_list(F.struct("pos", "kind", "new"))).alias("found"))
+    joined = keyed.join(per_doc, ["h", "id"], "left")
+    news = F.transform("found", lambda x: x["new"])
+    parts = F.split(F.col("text"), _pattern(body), -1)
+    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(F.array_join(F.zip_with(parts, F.concat(news, F.array(F.lit(""))), lambda p, s: F.concat(p, s)), ""))
+    real = F.filter("found", lambda x: x["kind"].isNotNull())
+    entities = F.coalesce(F.transform(real, lambda x: F.struct(x["kind"].alias("kind"), x["new"].alias("surrogate"))), F.array().cast("array<struct<kind:string,surrogate:string>>"))
+    return joined.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in others], F.size(entities).cast("long").alias("n_entities"), entities.alias("entities"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,12 +327,54 @@ def test_surrogates(spark, odd, empty):
     assert surrogates.replace_personal_data(odd).count() == len(ODD) and surrogates.replace_personal_data(empty).count() == 0
 
 
-def test_surrogates_are_redrawn(spark):
-    ips = [(f"10.0.{i // 250}.{i % 250}",) for i in range(400)]
-    entities = spark.createDataFrame(ips, "canonical string").withColumn("kind", F.lit("ssn").alias("kind"))
-    few = entities.withColumn("canonical", F.lpad((F.monotonically_increasing_id() % 60).cast("string"), 2, "0")).distinct()
-    drawn = surrogates.entity_surrogates(few.limit(30)).collect()
-    assert len({r.surrogate for r in drawn}) == len(drawn) and not {r.surrogate for r in drawn} & {r.canonical for r in drawn}
+def test_surrogates_of_a_full_format_grow(spark):
+    numbers = [(f"+7{i:04d}",) for i in range(0, 10_000, 2)] + [(f"+7{i:04d}",) for i in range(1, 4_000, 2)]
+    phones = spark.createDataFrame(numbers, "canonical string").withColumn("kind", F.lit("phone"))
+    drawn = surrogates.entity_surrogates(phones).collect()
+    assert len({r.surrogate for r in drawn}) == len(drawn) == 7_000 and not {r.surrogate for r in drawn} & {r.canonical for r in drawn}
+    docs = spark.createDataFrame([(1, " and ".join(f"+7 {c[2:4]} {c[4:]}" for (c,) in numbers))], "doc_id long, text string")
+    (got,) = surrogates.replace_personal_data(docs).collect()
+    assert got.n_entities == 7_000 and len(set(got.text.split(" and "))) == 7_000
+    assert all(re.fullmatch(r"\+7 \d\d \d\d+", x) for x in got.text.split(" and "))
+
+
+def test_surrogates_keep_coreference_of_names(spark):
+    texts = [
+        "Mr. Smith met Mr Smith, Dr Smith and Mrs Jane SMITH. Jane smiled at Smith's dog; smith and janes stay.",
+        "Prof Jane Doe and Frau Jane Doe know Herr Weber-Müller. Г-жа Иванова и Анна, Г-н Иванова",
+        "Smith without a title stays, as does Jane",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("id", F.lit("clash")).withColumn("h", F.lit(1)).withColumn("_found", F.lit(2))
+    out = surrogates.replace_personal_data(docs)
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns == [*docs.columns, "n_entities", "entities"] and got[0].id == "clash" and got[2].text == texts[2]
+    m = re.fullmatch(r"Mr\. (\w+) met Mr (\w+), Dr (\w+) and Mrs (\w+) (\w+)\. (\w+) smiled at (\w+)'s dog; smith and janes stay\.", got[0].text)
+    assert m and len({m[1], m[2], m[3], m[7], m[5].title()}) == 1 and m[5].isupper() and m[4] == m[6] and "Smith" not in m[0] and "Jane" not in m[0]
+    assert got[0].n_entities == 6 and {e.kind for e in got[0].entities} == {"name"}
+    m = re.fullmatch(r"Prof (\w+) (\w+) and Frau (\w+) (\w+) know Herr (\w+)\. Г-жа ([а-яА-Я]+) и Анна, Г-н ([а-яА-Я]+)", got[1].text)
+    assert m and (m[1], m[2]) == (m[3], m[4]) and m[6] == m[7] and m[1].lower()[-2:] in ("na", "ra", "ia", "sa") and m[2] != m[5]
+
+
+def test_surrogates_are_distinct_for_all_entities(spark):
+    rng = random.Random(18)
+    entities = {f"user{rng.randrange(10**6)}@x{rng.randrange(99)}.org": "email" for _ in range(150)}
+    entities |= {f"10.{rng.randrange(256)}.{rng.randrange(256)}.7": "ip" for _ in range(100)} | {f"{rng.randrange(10**3):03d}-{rng.randrange(100):02d}-{rng.randrange(10**4):04d}": "ssn" for _ in range(100)}
+    names = list(entities)
+    rows = [(i, "; ".join(rng.choice(names) for _ in range(12))) for i in range(120)]
+    got = {r.doc_id: r.text for r in surrogates.replace_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    told = {}
+    for i, text in rows:
+        for was, now in zip(text.split("; "), got[i].split("; "), strict=True):
+            assert told.setdefault(was, now) == now and len(now) == len(was) or entities[was] == "ip"
+    assert len(set(told.values())) == len(told) and not set(told.values()) & set(told)
+
+
+def test_surrogates_of_long_odd_texts(spark):
+    n = 100_000
+    odd = ["a@" + "b." * n + "com", "a@" + "b.1" * n, "+1" + " 23" * n, "1 " * n, "AB12" + " ABCD" * n, "1." * n, "Mr A" + "-b" * n, "a" * n + "@", "A b " * (n // 10) + "Mr X", "1-" * n]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = {r.doc_id: r.n_entities for r in surrogates.replace_personal_data(docs).select("doc_id", "n_entities").collect()}
+    assert len(got) == len(odd) and got[0] == 1 and got[6] == 1 and got[7] == 0
 
 
 def test_toxicity(spark, odd, empty):
