@@ -78,6 +78,62 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+_SPACED = bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
+_CHUNK = 1 << 20
+_LONG_WORD = 256
+_SYMBOLS = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd number and of its inverse, modulo 2^64; those of a chunk are kept."""
+    if not _POWERS or n > _CHUNK:
+        step, size = 0x9E3779B97F4A7C15, max(n, _CHUNK) + 1
+        up, down = np.full(size, step, dtype=np.uint64), np.full(size, pow(step, -1, 1 << 64), dtype=np.uint64)
+        up[0] = down[0] = 1
+        made = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        if n > _CHUNK:
+            return made
+        _POWERS["up"], _POWERS["down"] = made
+    return _POWERS["up"], _POWERS["down"]
+
+
+def text_hashes(bodies: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, laid end to end, and the number of words of each text.
+
+    Words are those of :func:`fold_words`, or runs of non-space characters. A word's hash is a difference of prefix sums
+    of its bytes weighted by powers, moved to a common place; words so long that such sums could be made to agree are
+    hashed by themselves.
+    """
+    joined = b"".join(x + b" " for x in bodies).translate(_FOLD if fold else _SPACED)
+    bounds = np.cumsum([len(b) + 1 for b in bodies])
+    found, firsts, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(joined):
+        stop = len(joined)
+        if stop - at > _CHUNK:
+            stop = joined.rfind(b" ", at, at + _CHUNK) + 1
+            if stop <= at:  # one word fills the chunk
+                stop = joined.index(b" ", at) + 1
+        chars = np.frombuffer(joined, dtype=np.uint8, count=stop - at, offset=at)
+        inside = np.zeros(len(chars) + 1, dtype=bool)
+        np.not_equal(chars, 32, out=inside[1:])
+        turns = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = turns[::2], turns[1::2]
+        if len(starts):
+            up, down = _powers(len(chars))
+            with np.errstate(over="ignore"):
+                sums = np.cumsum(_SYMBOLS[chars] * up[: len(chars)], dtype=np.uint64)
+                first = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+                value = mix((sums[ends - 1] - first) * down[starts])
+            for k in np.flatnonzero(ends - starts > _LONG_WORD):
+                value[k] = xxhash.xxh3_64_intdigest(chars[starts[k] : ends[k]].tobytes())
+            found.append(value)
+            firsts.append(starts + at)
+        at = stop
+    firsts = np.concatenate(firsts)
+    return np.concatenate(found), np.diff(np.searchsorted(firsts, bounds), prepend=0) if len(bodies) else np.zeros(0, np.int64)
+
+
 def window_hashes(hashes: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """Polynomial hash of every run of ``width`` consecutive word hashes, mixed so that all bits are usable."""
     n = len(hashes) - width + 1

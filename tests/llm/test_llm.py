@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, exact_dedup, licenses, mixture, near_dedup, secrets, substring_dedup, surrogates, toxicity, warc
+from factloom.llm import common, decontaminate, exact_dedup, licenses, mixture, near_dedup, secrets, substring_dedup, surrogates, toxicity, warc
 from factloom.llm.common import fold_words
 from factloom.llm.components import components
 
@@ -118,7 +118,7 @@ def test_jaccard_against_brute_force(spark, odd, empty):
             texts.append(" ".join(t))
     texts += [" ".join(passage + words(rng, 60)) for _ in range(40)] + [texts[0]] * 5 + ["", "one two", "one two"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("class_id", F.lit("clash"))
-    sets = {i: frozenset(near_dedup.shingles(t.encode(), 5).tolist()) for i, t in enumerate(texts)}
+    sets = {i: frozenset(near_dedup.shingle_sets([t.encode()], 5)[0].tolist()) for i, t in enumerate(texts)}
     reps = {}
     for i, s in sets.items():
         reps.setdefault(s if s else i, i)
@@ -132,6 +132,42 @@ def test_jaccard_against_brute_force(spark, odd, empty):
     assert len(out) == len(ODD) and {r.class_id for r in out if r.doc_id in (1, 3)} == {1}
 
 
+def test_rows_that_share_an_id_keep_their_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, one, "x"), (5, one, "y"), (5, two, "z"), (5, two, "z"), (7, two + " end", "z"), (None, one, "n"), (8, None, "e")], "id long, body string, node string")
+    got = sorted((r.id or 0, r.body or "", r.node) for r in near_dedup.drop_near_duplicates(docs, "id", "body").collect())
+    assert got == [(0, one, "n"), (1, one, "x"), (5, two, "z"), (8, "", "e")]
+    rows = {(r.doc_id, r.class_id, r.copy_of, r.n_links) for r in near_dedup.jaccard_join(docs, "id", "body").collect()}
+    assert rows == {(1, 1, 1, 0), (5, 1, 1, 0), (5, 5, 5, 1), (7, 5, 7, 1), (None, None, None, 0), (8, 8, 8, 0)}
+
+
+def test_paths_keep_what_they_promise():
+    rng = np.random.default_rng(19)
+    a = near_dedup._multipliers(near_dedup.POOL)
+    runs = near_dedup.runs_for(0.8, near_dedup.TARGET_RECALL)
+    met = 0
+    for _ in range(300):  # pairs of similarity 0.8, followed to the greatest depth
+        shared, own = rng.integers(0, 1 << 63, 80, dtype=np.uint64), rng.integers(0, 1 << 63, (2, 10), dtype=np.uint64)
+        pools = np.stack([near_dedup.signature(np.concatenate([shared, x]), a) for x in own])
+        rows, keys = np.tile([0, 1], runs), np.repeat(np.arange(runs, dtype=np.uint64), 2)
+        for _ in range(near_dedup.DEPTH):
+            more, keys = near_dedup._continued(keys, pools[rows], 0.25)
+            rows = rows[more]
+        met += bool(np.intersect1d(keys[rows == 0], keys[rows == 1]).size)
+    assert met >= 297
+
+
+def test_hashes_of_words_agree_wherever_they_stand():
+    bodies = [b"", b"one two  one", b" x" * 3, ("long" * 500).encode() + b" one", "Größe one".encode(), b"z" * (3 << 20) + b" two"]
+    hashes, counts = common.text_hashes(bodies, fold=True)
+    assert counts.tolist() == [len(fold_words(b)) for b in bodies]
+    told = {}
+    for word, h in zip([w for b in bodies for w in fold_words(b)], hashes.tolist(), strict=True):
+        assert told.setdefault(word, h) == h
+    assert len(set(told.values())) == len(told)
+    assert common.text_hashes([], fold=False)[0].size == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
