@@ -148,6 +148,12 @@ def window_hashes(hashes: np.ndarray, width: int, base: int = 0x9E3779B97F4A7C15
         return mix(out)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (sorting is many times faster here than ``np.unique`` without an inverse)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over the word."""
     with np.errstate(over="ignore"):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, groups, materialize, mix, null_safe_text, read, require, text_hashes, texts, window_hashes
+from .common import append_columns, distinct, groups, materialize, mix, null_safe_text, read, require, text_hashes, texts, window_hashes
 from .components import components
 
 SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
@@ -57,7 +57,7 @@ def shingle_sets(bodies: list[bytes], n: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of n words; a shorter text that has words is one run."""
     hashes, counts = text_hashes(bodies, fold=True)
     ends = np.cumsum(counts)
-    return [np.unique(window_hashes(hashes[e - c : e], min(n, c))) if c else np.zeros(0, np.uint64) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+    return [distinct(window_hashes(hashes[e - c : e], min(n, c))) if c else np.zeros(0, np.uint64) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
 
 
 def _multipliers(count: int) -> np.ndarray:

@@ -1,15 +1,15 @@
 """Substring de-duplication by level-wise doubling.
 
-Windows of half the target length are tested for repetition first; only places where two adjacent half windows are
-both repeated are extended to the full length, and only those full windows are compared across the corpus. (Windows of
-twice the target and more lie inside repeated target windows, so they could remove nothing further.)
+Windows of a short length are tested for repetition first; at each level only places where two adjacent windows are
+both repeated are extended to twice the length, until the target length is reached or no candidates survive. (Windows
+of twice the target and more lie inside repeated target windows, so they could remove nothing further.)
 
-Documents are dealt once into blocks of consecutive ids. A block sends, per level, the sorted distinct hashes of its
+Documents are dealt once into blocks by a hash of their ids. A block sends, per level, the sorted distinct hashes of its
 candidate windows as compressed differences (two to six bytes a window), dealt by hash range; each range answers every
-block with what it needs: one bit per hash at the lower level (does it occur in another block?), and the hashes that an
-earlier block has at the target level. Since blocks are ordered by id, "an earlier block has it" is "it starts earlier",
-and a block orders its own windows itself. A window that fills the corpus costs one hash per block, never a group of
-all its places.
+block with what it needs: one bit per hash at the lower levels (does it occur in another block?), and the hashes that
+an earlier document of another block has at the target level, for which a block tells its earliest document with each
+hash. A block orders its own windows itself. A window that fills the corpus costs one hash per block, never a group of
+all its places. Messages are at most as many as hashes.
 """
 
 from __future__ import annotations
@@ -17,17 +17,17 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_words, null_safe_text, read, require, texts, window_hashes
+from .common import distinct, null_safe_text, read, require, text_hashes, texts, window_hashes
 
-#: Characters of text in a block, and hashes that one answering task holds, on average.
+#: Characters of text in a block, hashes that one answering group holds, and groups in a task, on average.
 BLOCK_CHARS = 8 << 20
 RANGE_HASHES = 2_000_000
+GROUPS_PER_TASK = 3
 SECOND_BASE = 0xC2B2AE3D27D4EB4F
 
 
@@ -43,21 +43,26 @@ def decode(data: bytes) -> np.ndarray:
 
 
 class Block:
-    """A block's documents in order of (id, text), and the window hashes of its documents laid end to end."""
+    """A block's documents in order of (key, text), and the hashes of their words laid end to end."""
 
     def __init__(self, table: pa.Table):
-        ids = table.column("id").to_pylist()
+        keys, ids = table.column("key").to_pylist(), table.column("id").to_pylist()
         bodies = [b for chunk in table.column("body").chunks for b in texts(chunk)]
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, bodies[i]))
+        order = sorted(range(len(ids)), key=lambda i: (keys[i], bodies[i]))
         self.ids, self.bodies = [ids[i] for i in order], [bodies[i] for i in order]
-        self.hashes = [hash_words(b.split()) for b in self.bodies]
-        self.lengths = np.array([len(h) for h in self.hashes], dtype=np.int64)
+        self.hashes, self.lengths = text_hashes(self.bodies, fold=False)
+        self.owner = np.repeat(np.arange(len(order)), self.lengths)
+        self.keys = np.array([keys[i] for i in order], dtype=np.int64)
+        self.ends = np.cumsum(self.lengths)
 
-    def windows(self, width: int, least: int, base: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Window hashes of the documents with ``least`` words or more, and the number of windows of each document."""
+    def places(self, width: int, least: int) -> np.ndarray:
+        """Where windows of ``width`` words start, in documents of ``least`` words or more."""
+        left = self.ends[self.owner] - np.arange(len(self.owner))
+        return np.flatnonzero((left >= width) & (self.lengths[self.owner] >= least))
+
+    def windows(self, width: int, places: np.ndarray, base: int | None = None) -> np.ndarray:
         args = (width,) if base is None else (width, base)
-        made = [window_hashes(h, *args) if len(h) >= least else h[:0] for h in self.hashes]
-        return np.concatenate([*made, np.zeros(0, np.uint64)]), np.array([len(m) for m in made], dtype=np.int64)
+        return window_hashes(self.hashes, *args)[places]
 
 
 def _split(values: np.ndarray, range_bits: int, hash_bits: int) -> list[tuple[int, int, int]]:
@@ -69,176 +74,185 @@ def _split(values: np.ndarray, range_bits: int, hash_bits: int) -> list[tuple[in
     return [(int(ranges[a]), int(a), int(b)) for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
 
-def _half_keys(block: Block, window: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    values, counts = block.windows(window // 2, window)
-    return values >> np.uint64(64 - bits), counts
+def _table(rows: list[tuple], **columns: pa.DataType) -> pa.Table:
+    found = zip(*rows, strict=True) if rows else ((),) * len(columns)
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(found, columns.values(), strict=True)], names=list(columns))
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, start: int | None = None) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_removed, kept_sha256``, and ``kept_text`` if asked for.
 
     Words are runs of non-space characters. A word goes when it lies in a window of ``window`` words that also starts
-    earlier (in a smaller id, or before in the same document); windows are judged on the input. Null text has no
-    words. Documents without an id come last; rows with the same id are documents of their own, ordered by text.
-    Windows are compared by 96 bits of hash at the target length. ``window`` is even and at least 2.
+    earlier (in a smaller id, or before in the same document); windows are judged on the input. The levels are
+    ``start`` (half the window unless given), twice that, and so on up to ``window``. Null text has no words. Ids are
+    numbers; documents without one come last, in an order of their own; rows with the same id are documents of their
+    own, ordered by text. Windows are compared by 96 bits of hash at the target length.
     """
     require(docs, id_col, text_col)
-    if window < 2 or window % 2:
-        raise ValueError("window must be even and at least 2")
+    levels = [window // 2 if start is None else start]
+    while 0 < levels[-1] < window:
+        levels.append(levels[-1] * 2)
+    if len(levels) < 2 or levels[-1] != window:
+        raise ValueError("window must be start doubled once or more")
+    chars = int(docs.agg(F.sum(F.length(text_col))).first()[0] or 0)
+    n_blocks = max(1, -(-chars // BLOCK_CHARS))
+    range_bits = max(0, chars // 6 // RANGE_HASHES).bit_length()
+    bits = min(64, max(40, (chars // 6).bit_length() + 8))  # one short window in 2^8 survives by chance at most
+    by_block, by_range = max(1, -(-n_blocks // GROUPS_PER_TASK)), max(1, -(-(1 << range_bits) // GROUPS_PER_TASK))
+
     rows = docs.select(F.col(id_col).cast("long").alias("id"), null_safe_text(text_col).cast("binary").alias("body"))
-    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    n_blocks = max(1, -(-int(chars) // BLOCK_CHARS))
-    range_bits = max(0, int(chars) // 6 // RANGE_HASHES).bit_length()
-    bits = min(64, max(40, (int(chars) // 6).bit_length() + 8))  # one half window in 2^8 survives by chance at most
-    cuts = [i / n_blocks for i in range(1, n_blocks)]
-    bounds = (rows.agg(F.percentile_approx("id", cuts, 20 * n_blocks)).first()[0] if cuts else None) or []
-    edges = np.unique(np.array(bounds, dtype=np.int64))
-
-    @F.pandas_udf("int")
-    def block_of(ids: pd.Series) -> pd.Series:
-        missing = ids.isna()
-        at = np.searchsorted(edges, ids.fillna(0).astype("int64").to_numpy(), side="right").astype("int32")
-        return pd.Series(np.where(missing, len(edges), at)).astype("int32")
-
-    blocks = rows.withColumn("block", block_of("id")).select("block", "id", "body")
-
-    def offer_halves(table: pa.Table) -> pa.Table:
-        no = table.column("block")[0].as_py()
-        keys = np.unique(_half_keys(Block(table), window, bits)[0])
-        found = [(r, no, encode(keys[a:b])) for r, a, b in _split(keys, range_bits, bits)]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else ((), (), ()), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "block", "data"])
-
-    def answer_halves(table: pa.Table) -> pa.Table:
-        part, owners = table.column("part")[0].as_py(), table.column("block").to_pylist()
-        lists = [decode(d) for d in table.column("data").to_pylist()]
-        keys = np.concatenate(lists)
-        order = np.argsort(keys, kind="stable")
-        same = keys[order][1:] == keys[order][:-1]
-        flags = np.zeros(len(keys), dtype=bool)
-        flags[order[1:][same]] = True
-        flags[order[:-1][same]] = True
-        ends = np.cumsum([len(x) for x in lists])
-        data = [np.packbits(flags[e - len(x) : e]).tobytes() for x, e in zip(lists, ends, strict=True)]
-        return pa.Table.from_arrays([pa.array(owners, pa.int32()), pa.array([part] * len(owners), pa.int32()), pa.array(data, pa.binary())], names=["block", "part", "data"])
-
-    def offer_windows(docs_table: pa.Table, flags_table: pa.Table) -> pa.Table:
-        names, kinds = ["part", "block", "data", "more"], (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        found: list[tuple] = []
-        if docs_table.num_rows and flags_table.num_rows:
-            no, block = docs_table.column("block")[0].as_py(), Block(docs_table)
-            keys, counts = _half_keys(block, window, bits)
-            distinct, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
-            answers = dict(zip(flags_table.column("part").to_pylist(), flags_table.column("data").to_pylist(), strict=True))
+    block = F.pmod(F.when(F.col("id").isNotNull(), F.xxhash64("id")).otherwise(F.xxhash64("body")), F.lit(n_blocks)).cast("int")
+    # what orders documents: the id, and above all ids the block for those without one
+    key = F.coalesce("id", F.lit((1 << 63) - 1 - n_blocks) + F.col("block"))
+    blocks = rows.withColumn("block", block).withColumn("key", key).select("block", "key", "id", "body").repartition(by_block, "block")
+
+    def alive(held: Block, flags: pa.Table, upto: int) -> np.ndarray:
+        """Places at which windows of the level before ``upto`` are candidates for doubling, from the flags of all levels below."""
+        keep = None
+        answers = {(lv, part): data for lv, part, data in zip(*(flags.column(c).to_pylist() for c in ("level", "part", "data")), strict=True)}
+        for lv in range(upto):
+            width = levels[lv]
+            places = held.places(width, window) if keep is None else np.flatnonzero(keep)
+            values, inverse, times = np.unique(held.windows(width, places) >> np.uint64(64 - bits), return_inverse=True, return_counts=True)
             repeated = times > 1
-            for r, a, b in _split(distinct, range_bits, bits):
-                repeated[a:b] |= np.unpackbits(np.frombuffer(answers[r], dtype=np.uint8), count=b - a).astype(bool)
-            alive = repeated[inverse]
-            half = window // 2
-            first, second, at = [], [], 0
-            for hashes, n in zip(block.hashes, counts, strict=True):
-                mine, at = alive[at : at + n], at + n
-                starts = np.flatnonzero(mine[: n - half] & mine[half:]) if n > half else np.zeros(0, np.int64)
-                if len(starts):
-                    first.append(window_hashes(hashes, window)[starts])
-                    second.append(window_hashes(hashes, window, SECOND_BASE)[starts])
-            if first:
-                pairs = np.empty(sum(map(len, first)), dtype=[("h", np.uint64), ("g", np.uint32)])
-                pairs["h"], pairs["g"] = np.concatenate(first), (np.concatenate(second) >> np.uint64(32)).astype(np.uint32)
-                pairs = _distinct(pairs)
-                found = [(r, no, encode(np.ascontiguousarray(pairs["h"][a:b])), pairs["g"][a:b].tobytes()) for r, a, b in _split(np.ascontiguousarray(pairs["h"]), range_bits, 64)]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else ((),) * 4, kinds, strict=True)], names=names)
+            for r, a, b in _split(values, range_bits, bits):
+                repeated[a:b] |= np.unpackbits(np.frombuffer(answers[lv, r], dtype=np.uint8), count=b - a).astype(bool)
+            hit = np.zeros(len(held.owner) + 2 * width, dtype=bool)
+            hit[places[repeated[inverse]]] = True
+            keep = np.zeros(len(held.owner), dtype=bool)
+            wide = held.places(2 * width, window)
+            keep[wide] = hit[wide] & hit[wide + width]
+        return held.places(levels[0], window) if keep is None else np.flatnonzero(keep)
+
+    no_flags = _table([], level=pa.int32(), part=pa.int32(), data=pa.binary())
+
+    def offer(docs_table: pa.Table, flags: pa.Table, level: int) -> pa.Table:
+        found: list[tuple] = []
+        if docs_table.num_rows:
+            held = Block(docs_table)
+            keys = distinct(held.windows(levels[level], alive(held, flags, level)) >> np.uint64(64 - bits))
+            found = [(r, docs_table.column("block")[0].as_py(), encode(keys[a:b])) for r, a, b in _split(keys, range_bits, bits)]
+        return _table(found, part=pa.int32(), block=pa.int32(), data=pa.binary())
+
+    def offer_shortest(docs_table: pa.Table) -> pa.Table:
+        return offer(docs_table, no_flags, 0)
+
+    def offer_at(level: int):
+        def doubled(docs_table: pa.Table, flags: pa.Table) -> pa.Table:
+            return offer(docs_table, flags, level)
+
+        return doubled
+
+    def answer(level: int):
+        def repeated(table: pa.Table) -> pa.Table:
+            part, owners = table.column("part")[0].as_py(), table.column("block").to_pylist()
+            lists = [decode(d) for d in table.column("data").to_pylist()]
+            keys = np.concatenate(lists)
+            order = np.argsort(keys, kind="stable")
+            same = keys[order][1:] == keys[order][:-1]
+            flags = np.zeros(len(keys), dtype=bool)
+            flags[order[1:][same]] = True
+            flags[order[:-1][same]] = True
+            ends = np.cumsum([len(x) for x in lists])
+            data = [np.packbits(flags[e - len(x) : e]).tobytes() for x, e in zip(lists, ends, strict=True)]
+            return _table([(no, level, part, d) for no, d in zip(owners, data, strict=True)], block=pa.int32(), level=pa.int32(), part=pa.int32(), data=pa.binary())
+
+        return repeated
+
+    def offer_windows(docs_table: pa.Table, flags: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if docs_table.num_rows:
+            held = Block(docs_table)
+            places = alive(held, flags, len(levels) - 1)
+            h = held.windows(window, places)
+            g = (held.windows(window, places, SECOND_BASE) >> np.uint64(32)).astype(np.uint32)
+            order = np.lexsort((g, h))  # stable, and documents lie in order, so the first of equals is the earliest
+            h, g, docs_at = h[order], g[order], held.owner[places[order]]
+            first = np.ones(len(h), dtype=bool)
+            first[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+            h, g, keys = h[first], g[first], held.keys[docs_at[first]]
+            no, pack = docs_table.column("block")[0].as_py(), zstandard.ZstdCompressor(level=1).compress
+            planes = lambda x: pack(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes())
+            found = [(r, no, encode(h[a:b]), g[a:b].tobytes(), planes(np.ascontiguousarray(keys[a:b]))) for r, a, b in _split(h, range_bits, 64)]
+        return _table(found, part=pa.int32(), block=pa.int32(), data=pa.binary(), more=pa.binary(), keys=pa.binary())
 
     def answer_windows(table: pa.Table) -> pa.Table:
-        order = np.argsort(np.array(table.column("block").to_pylist()))
-        owners = [table.column("block")[int(i)].as_py() for i in order]
-        lists = [decode(table.column("data")[int(i)].as_py()) for i in order]
+        owners = table.column("block").to_pylist()
+        lists = [decode(d) for d in table.column("data").to_pylist()]
         keys = np.concatenate(lists)
-        more = np.concatenate([np.frombuffer(table.column("more")[int(i)].as_py(), dtype=np.uint32) for i in order])
-        by = np.lexsort((more, keys))  # stable: blocks stay in order
+        more = np.concatenate([np.frombuffer(d, dtype=np.uint32) for d in table.column("more").to_pylist()])
+        unpack = zstandard.ZstdDecompressor().decompress
+        first = np.concatenate([np.ascontiguousarray(np.frombuffer(unpack(d), dtype=np.uint8).reshape(8, -1).T).view(np.int64).ravel() for d in table.column("keys").to_pylist()])
+        by = np.lexsort((first, more, keys))
         later = np.zeros(len(keys), dtype=bool)
         later[by[1:]] = (keys[by][1:] == keys[by][:-1]) & (more[by][1:] == more[by][:-1])
         out, end = [], 0
         for no, x in zip(owners, lists, strict=True):
-            start, end = end, end + len(x)
-            mine = later[start:end]
+            begin, end = end, end + len(x)
+            mine = later[begin:end]
             if mine.any():
-                out.append((no, encode(x[mine]), more[start:end][mine].tobytes()))
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else ((),) * 3, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["block", "data", "more"])
+                out.append((no, encode(x[mine]), more[begin:end][mine].tobytes()))
+        return _table(out, block=pa.int32(), data=pa.binary(), more=pa.binary())
 
     def finish(docs_table: pa.Table, hits: pa.Table) -> pa.Table:
-        block = Block(docs_table) if docs_table.num_rows else None
         out: list[tuple] = []
-        if block is not None:
-            keys, counts = block.windows(window, window)
-            more = (block.windows(window, window, SECOND_BASE)[0] >> np.uint64(32)).astype(np.uint32)
-            repeat = _later(keys, more)
-            if hits.num_rows:
-                known = np.concatenate([decode(d) for d in hits.column("data").to_pylist()])
-                known_more = np.concatenate([np.frombuffer(d, dtype=np.uint32) for d in hits.column("more").to_pylist()])
-                repeat |= _among(keys, more, known, known_more)
-            at = 0
-            for doc, body, n, total in zip(block.ids, block.bodies, counts, block.lengths, strict=True):
-                mine, at = repeat[at : at + n], at + n
-                words, removed = body.split(), 0
-                if mine.any():
-                    edge = np.zeros(total + 1, dtype=np.int64)
-                    edge[:n] += mine
-                    edge[window : window + n] -= mine
-                    gone = np.cumsum(edge[:total]) > 0
-                    removed = int(gone.sum())
-                    words = [w for w, g in zip(words, gone, strict=True) if not g]
+        if docs_table.num_rows:
+            held = Block(docs_table)
+            places = held.places(window, window)
+            known = np.concatenate([np.zeros(0, np.uint64), *(decode(d) for d in hits.column("data").to_pylist())])
+            known_more = np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(d, dtype=np.uint32) for d in hits.column("more").to_pylist())])
+            more = (held.windows(window, places, SECOND_BASE) >> np.uint64(32)).astype(np.uint32)
+            starts = places[_later(held.windows(window, places), more, known, known_more)]
+            edge = np.zeros(len(held.owner) + window + 1, dtype=np.int32)
+            edge[starts] += 1
+            edge[starts + window] -= 1
+            gone = np.cumsum(edge)[: len(held.owner)] > 0
+            removed = np.bincount(held.owner[gone], minlength=len(held.ids))
+            for doc, body, total, n, end in zip(held.ids, held.bodies, held.lengths.tolist(), removed.tolist(), held.ends.tolist(), strict=True):
+                words = body.split()
+                if n:
+                    words = [words[k] for k in np.flatnonzero(~gone[end - total : end])]
                 kept = b" ".join(words)
-                out.append((doc, int(total), removed, hashlib.sha256(kept).hexdigest(), *([kept.decode()] if with_text else [])))
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()][: len(names)]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else ((),) * len(names), kinds, strict=True)], names=names)
-
-    halves = blocks.groupBy("block").applyInArrow(offer_halves, "part int, block int, data binary")
-    flags = halves.groupBy("part").applyInArrow(answer_halves, "block int, part int, data binary")
-    candidates = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(offer_windows, "part int, block int, data binary, more binary")
-    hits = candidates.groupBy("part").applyInArrow(answer_windows, "block int, data binary, more binary")
+                out.append((doc, total, n, hashlib.sha256(kept).hexdigest(), *([kept.decode()] if with_text else [])))
+        more_columns = {"kept_text": pa.string()} if with_text else {}
+        return _table(out, doc_id=pa.int64(), n_words=pa.int64(), n_removed=pa.int64(), kept_sha256=pa.string(), **more_columns)
+
+    flags = None
+    for level in range(len(levels) - 1):
+        if flags is None:
+            halves = blocks.groupBy("block").applyInArrow(offer_shortest, "part int, block int, data binary")
+        else:
+            halves = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(offer_at(level), "part int, block int, data binary")
+        told = halves.repartition(by_range, "part").groupBy("part").applyInArrow(answer(level), "block int, level int, part int, data binary").repartition(by_block, "block")
+        flags = told if flags is None else flags.unionByName(told).repartition(by_block, "block")
+    candidates = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(offer_windows, "part int, block int, data binary, more binary, keys binary")
+    hits = candidates.repartition(by_range, "part").groupBy("part").applyInArrow(answer_windows, "block int, data binary, more binary").repartition(by_block, "block")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return blocks.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(finish, schema)
 
 
-def _distinct(pairs: np.ndarray) -> np.ndarray:
-    pairs = pairs[np.lexsort((pairs["g"], pairs["h"]))]
-    keep = np.ones(len(pairs), dtype=bool)
-    keep[1:] = (pairs["h"][1:] != pairs["h"][:-1]) | (pairs["g"][1:] != pairs["g"][:-1])
-    return pairs[keep]
-
-
-def _later(keys: np.ndarray, more: np.ndarray) -> np.ndarray:
-    """Whether an equal (key, more) stands at an earlier place."""
-    out = np.zeros(len(keys), dtype=bool)
+def _later(keys: np.ndarray, more: np.ndarray, known: np.ndarray, known_more: np.ndarray) -> np.ndarray:
+    """Whether an equal (key, more) stands at an earlier place or is known."""
     order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
+    ranked = keys[order]
+    same = ranked[1:] == ranked[:-1]
     involved = np.zeros(len(keys), dtype=bool)
     involved[1:] |= same
     involved[:-1] |= same
+    if len(known):
+        sorted_known = np.sort(known)
+        edge = np.zeros(len(keys) + 1, dtype=np.int32)
+        np.add.at(edge, np.searchsorted(ranked, sorted_known, side="left"), 1)
+        np.add.at(edge, np.searchsorted(ranked, sorted_known, side="right"), -1)
+        involved |= np.cumsum(edge)[:-1] > 0
     some = np.sort(order[involved])
-    by = some[np.lexsort((more[some], keys[some]))]
-    out[by[1:]] = (keys[by][1:] == keys[by][:-1]) & (more[by][1:] == more[by][:-1])
-    return out
-
-
-def _among(keys: np.ndarray, more: np.ndarray, known: np.ndarray, known_more: np.ndarray) -> np.ndarray:
-    """Whether (key, more) is one of the known pairs."""
-    order = np.lexsort((known_more, known))
-    known, known_more = known[order], known_more[order]
-    low = np.searchsorted(known, keys, side="left")
+    # known pairs go before the places
+    all_keys, all_more = np.concatenate([known, keys[some]]), np.concatenate([known_more, more[some]])
+    by = np.lexsort((all_more, all_keys))
+    hit = np.zeros(len(all_keys), dtype=bool)
+    hit[by[1:]] = (all_keys[by][1:] == all_keys[by][:-1]) & (all_more[by][1:] == all_more[by][:-1])
     out = np.zeros(len(keys), dtype=bool)
-    at = np.flatnonzero(low < len(known))
-    at = at[known[low[at]] == keys[at]]
-    shift = 0
-    while len(at):  # a key stands more than once only where 64 bits collide
-        place = low[at] + shift
-        inside = place < len(known)
-        at, place = at[inside], place[inside]
-        equal = known[place] == keys[at]
-        at, place = at[equal], place[equal]
-        out[at] |= known_more[place] == more[at]
-        shift += 1
+    out[some] = hit[len(known) :]
     return out
 
 

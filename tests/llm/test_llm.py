@@ -193,6 +193,9 @@ def test_substrings(spark, odd, empty):
         expected[i] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(docs).collect()}
     assert got == expected
+    nulls = docs.withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id")))
+    assert substring_dedup.remove_repeats(nulls).filter("doc_id is null").first().n_removed == len(passage[:25])
+    assert substring_dedup.remove_repeats(docs.unionAll(docs)).agg(F.sum("n_words") - F.sum("n_removed")).first()[0] < 2 * sum(n - m for n, m, _ in expected.values())
     assert substring_dedup.remove_repeats(odd).count() == len(ODD) and substring_dedup.remove_repeats(empty).count() == 0
 
 
@@ -204,6 +207,7 @@ def test_substrings_in_many_blocks(spark, monkeypatch):
     texts = [" ".join(words(rng, 40) + passage[: 20 + i % 40]) for i in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs).collect()}
+    assert rows == {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(docs, start=5).collect()}
     seen, expected = {}, {}
     for i, t in enumerate(texts):
         w, gone = t.split(), set()
