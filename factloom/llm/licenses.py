@@ -167,9 +167,10 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
     joined = b" " + b" ".join(words) + b" "
     out = []
     for phrase, label, _ in _PHRASES:
-        at = joined.find(phrase)
+        at, seen, blanks = joined.find(phrase), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            blanks, seen = blanks + joined.count(b" ", seen, at), at
+            out.append((blanks, label))
             at = joined.find(phrase, at + 1)
     return sorted(out)
 
@@ -203,10 +204,19 @@ def detections(low: str) -> list[tuple[int, int, Rule]]:
 
     found = [(m.start(), m.end(), rule) for keyword, rules in _BY_KEYWORD.items() if keyword in low for rule in rules for m in rule.pattern.finditer(low)]
     found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
+    # the furthest end of the kept spans that start at or before a place: maxima over a binary indexed tree of the starts
+    numbers = {start: k + 1 for k, start in enumerate(sorted({x[0] for x in found}))}
+    furthest = [-1] * (len(numbers) + 1)
     kept: list[tuple[int, int, Rule]] = []
     for start, end, rule in found:
-        if not any(s <= start and end <= e for s, e, _ in kept):
+        k, reach = numbers[start], -1
+        while k:
+            reach, k = max(reach, furthest[k]), k & (k - 1)
+        if reach < end:
             kept.append((start, end, rule))
+            k = numbers[start]
+            while k < len(furthest):
+                furthest[k], k = max(furthest[k], end), k + (k & -k)
     # an end is the place after the last character, so that a gap after the span stays outside
     return sorted(((given(s), given(e - 1) + 1, rule) for s, e, rule in kept), key=lambda x: (x[0], x[1], x[2].label))
 
