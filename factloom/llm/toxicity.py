@@ -33,7 +33,7 @@ _SYMBOL[ord("0") : ord("9") + 1] = DIGIT
 _SYMBOL[0x80:] = OTHER
 
 # Letters that signs and digits commonly stand for, with the probability of the disguise.
-LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e"}
+LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "*": "aeiou"}
 P_LEET, P_DROP, P_REPEAT = 0.02, 0.01, 0.05
 
 # Whole runs of letters, digits and signs with a letter and a digit or sign, or with a letter three times or more; three or
@@ -75,7 +75,7 @@ class CharModel:
             else:
                 readings += [(x, leet) for x in LEET.get(low, "")]
                 readings.append((low, leet if low.encode()[:1] in _SEPARATORS else 0.0))
-                readings.append((None, drop if low not in LEET else 2 * drop))
+                readings.append((None, drop if low not in LEET or low == "*" else 2 * drop))
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, text) in states.items():
                 row = log[a][b]
@@ -313,9 +313,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """``docs`` with ``score`` (0 to 1, higher is likelier toxic) and ``restored`` (characters changed by restoring).
 
     Labels are learned only from rows whose crc32(id) mod 5 is not 0; only the text is an input of the score. Null and
-    empty texts get the score of the bias. Labels that are null or not 0 or 1, and repeated label rows, are dropped
-    before fitting; without both labels every score is the share of toxic rows. ``corpus`` is what the character
-    model is counted over (``docs`` unless given).
+    empty texts get the score of the bias. Labels that are null or not 0 or 1 are dropped before fitting; of repeated
+    label rows, and of rows of the corpus that repeat a labelled id, the smallest label and text count, so that
+    :data:`MAX_LABELLED` rows are fitted at most. Without both labels every score is the share of toxic rows.
+    ``corpus`` is what the character model is counted over (``docs`` unless given).
     """
     require(docs, id_col, text_col)
     require(labels, id_col, label_col)
@@ -325,7 +326,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     usable = labels.filter(F.col(label_col).isin(0, 1) & ~held_out(id_col) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).cast("int").alias("toxic"))
     chosen = usable.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(MAX_LABELLED)
     picked = materialize(chosen.select(F.col(id_col).alias("_id"), "toxic"), "toxic-ids")
-    sample = corpus.join(F.broadcast(picked), F.col(id_col) == F.col("_id")).select(null_safe_text(text_col).cast("binary").alias("body"), "toxic")
+    bodies = corpus.select(F.col(id_col).alias("_id"), null_safe_text(text_col).alias("body"))
+    sample = bodies.join(F.broadcast(picked), "_id").groupBy("_id", "toxic").agg(F.min("body").cast("binary").alias("body")).select("body", "toxic")
     classifier = spark.sparkContext.broadcast(fit(materialize(sample, "toxic-sample"), model))
 
     def score(batch: pa.RecordBatch) -> dict[str, pa.Array]:
