@@ -206,9 +206,12 @@ def needed(length):
 
 def blanked(text: str, spans: list[tuple[int, int, int, int, int]]) -> bytes:
     """The text as UTF-8 with its base spans (which are ASCII) overwritten by spaces."""
+    parts, at = [], 0
     for start, _, end, _, _ in spans:
-        text = text[:start] + " " * (end - start) + text[end:]
-    return text.encode()
+        if end > at:
+            parts += [text[at:start], " " * (end - max(at, start))]
+            at = end
+    return "".join([*parts, text[at:]]).encode()
 
 
 def learn(docs: DataFrame, text_col: str) -> tuple[dict[str, list[str]], Background]:
