@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read, require, shared_path
 
-#: Records of one archive file, and revisits that may be told to every task (16 bytes each) instead of joined.
-RECORDS_PER_FILE = 2_000
-BROADCAST_REVISITS = 500_000
+#: Records of one archive file by the size of their payloads: none of those files holds more than some 64 MB, but for
+#: the payloads that are larger by themselves.
+RECORDS_PER_FILE = ((32 << 10, 2_000), (1 << 20, 64), (1 << 62, 1))
 WARC_DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "file string, start long, end long, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary, gap string"
@@ -156,8 +156,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     firsts = materialize(firsts.select("sha", "first"), "warc-firsts")
     revisits = materialize(narrow.join(firsts, "sha").filter(~F.col("page_id").eqNullSafe(F.col("first"))), "warc-revisits")
     gone = revisits.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha")).distinct()
-    few = revisits.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS
-    responses = rows.join(F.broadcast(gone) if few else gone, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left_anti")
+    responses = rows.join(gone, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left_anti")
     both = responses.withColumn("first", F.lit(None).cast("long")).unionByName(revisits.withColumn("payload", F.lit(None).cast("binary")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +168,15 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                 out.append(record(page, url, body, digest, size, first, first is not None))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    archives = both.mapInArrow(build, "value binary").select(F.col("value").cast("string"))
-    archives.write.option("lineSep", "\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    largest, least = narrow.agg(F.max("size")).first()[0] or 0, -1
+    for most, records in RECORDS_PER_FILE:
+        # the bytes of a record that is no response count for nothing
+        some = both.filter((F.length("payload") > least) & (F.length("payload") <= most) | F.col("payload").isNull() & F.lit(least < 0))
+        archives = some.mapInArrow(build, "value binary").select(F.col("value").cast("string"))
+        archives.write.mode("append").option("lineSep", "\n").option("maxRecordsPerFile", records).text(path)
+        least = most
+        if largest <= most:
+            break
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
