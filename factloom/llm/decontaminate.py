@@ -27,8 +27,8 @@ RESULTS = {"n_words", "n_hit", "hit_spans", "items", "contaminated"}
 class WuManber:
     """Shift and suffix tables for each pattern length; patterns are tuples of words."""
 
-    def __init__(self, items: Iterable[tuple[str, list[bytes]]], n: int):
-        self.items: list[str] = []
+    def __init__(self, items: Iterable[tuple[str | None, list[bytes]]], n: int):
+        self.items: list[str | None] = []
         windows: dict[tuple[bytes, ...], set[int]] = {}
         for item, words in items:
             if words:
@@ -83,11 +83,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def pattern_blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int) -> Iterator[WuManber]:
     """Pattern tables of the whole test set, block by block; each block is fetched alone."""
-    rows = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), null_safe_text(text_col).alias("body"))
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), null_safe_text(text_col).alias("body"))
     total = rows.agg(F.sum(F.floor(F.length("body") / 2) + 1)).first()[0] or 0  # no fewer than there are words
     count = max(1, -(-int(total) // BLOCK_WORDS))
     for b in range(count):
-        part = rows if count == 1 else rows.filter(F.pmod(F.xxhash64("item"), F.lit(count)) == b)
+        part = rows if count == 1 else rows.filter(F.pmod(F.xxhash64("item", "body"), F.lit(count)) == b)
         yield WuManber(((r.item, fold_words(r.body.encode())) for r in part.toLocalIterator()), n)
 
 
@@ -95,8 +95,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col:
     """``docs`` with ``n_words, n_hit, hit_spans, items, contaminated``.
 
     ``hit_spans`` are the merged runs of words inside any occurrence, ``items`` the test items (as strings, sorted)
-    of which a window occurs. Null text has no words; items without words or without an id match nothing; equal
-    items each count. An empty test set marks nothing.
+    of which a window occurs. Null text has no words; items without words match nothing; the words of items without an
+    id are hit, but there is no name to list; equal items each count. An empty test set marks nothing.
     """
     require(docs, text_col)
     require(benchmark, item_col, item_text)
@@ -115,7 +115,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col:
             for body in texts(column(text_col)):
                 words = fold_words(body)
                 own, found = matcher.search(words)
-                names = {matcher.items[i] for i in found}
+                names = {matcher.items[i] for i in found} - {None}
                 if earlier is not None:
                     old_spans, old_items = next(earlier)
                     own = merged(own + [(s["start"], s["end"]) for s in old_spans])
@@ -161,7 +161,7 @@ ORACLE = f"""
 WITH d AS (
   SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, {_WORDS} AS w FROM documents
 ), b AS (
-  SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
+  SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark
 ), bw AS (
   SELECT DISTINCT item, least(10, len(w)) AS width, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS gram
   FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
