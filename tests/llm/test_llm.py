@@ -85,7 +85,8 @@ def brute_hits(text, items, n=10):
             for s in range(len(w) - width + 1):
                 if w[s : s + width] == iw[k : k + width]:
                     hit.update(range(s, s + width))
-                    found.add(str(item))
+                    if item is not None:
+                        found.add(str(item))
     return len(w), len(hit), sorted(found)
 
 
@@ -98,7 +99,7 @@ def test_decontaminate(spark, odd, empty, monkeypatch):
     for block in (150_000, 20):  # one block, and several
         monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
         got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.decontaminate(docs, bench).collect()}
-        assert got == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+        assert got == {i: brute_hits(t, [*items, (None, "w3 w4")]) for i, t in enumerate(texts)}
     assert decontaminate.decontaminate(odd, bench).count() == len(ODD)
     assert decontaminate.decontaminate(empty, bench).count() == 0
     assert not decontaminate.decontaminate(odd, bench.limit(0)).filter("contaminated").count()
@@ -291,6 +292,44 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert [r["record_id"].split(":")[2] for *_, r, g in found if r] == ["0", "2"] and sum(g is not None for *_, g in found) == 1
 
 
+def test_warc_of_large_payloads_and_damaged_archives(spark, tmp_path):
+    rng = random.Random(22)
+    sizes = [10] * 300 + [40_000] * 6 + [1_500_000] * 2
+    rows = [(i, f"http://x/{i}", "".join(rng.choices("abcdefgh ", k=n // 10)) * 10) for i, n in enumerate(sizes)] + [(1000 + i, "u", "twice " * (9 + i % 20)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        warc.write_warc(pages, f"file://{tmp_path}/a")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    got = warc.read_warc(spark, f"file://{tmp_path}/a").select("record_id", "record_type", "refers_to", "payload", "gap").collect()
+    first = {}
+    for i, _, html in sorted(rows):
+        first.setdefault(html, i)
+    told = {int(r.record_id.split(":")[2]): r for r in got}
+    assert len(got) == len(told) == len(rows) and not any(r.gap for r in got)
+    for i, _, html in rows:
+        r = told[i]
+        assert (r.record_type, r.payload and bytes(r.payload).decode()) == (("response", html) if first[html] == i else ("revisit", None))
+        assert r.refers_to is None if first[html] == i else f":{first[html]}:" in r.refers_to
+    # one byte in the middle of every file is exchanged: no file loses more than the record that holds it
+    files = sorted((tmp_path / "a").glob("part-*"))
+    for f in files:
+        data = bytearray(f.read_bytes())
+        data[len(data) // 2] ^= 0x5A
+        (tmp_path / "b").mkdir(exist_ok=True)
+        (tmp_path / "b" / f.name).write_bytes(bytes(data))
+    damaged = warc.read_warc(spark, f"file://{tmp_path}/b").collect()
+    spans = {}
+    for r in damaged:
+        spans.setdefault(r.file.rsplit("/", 1)[1], []).append((r.start, r.end, r.gap))
+    for f in files:
+        mine = sorted(spans[f.name])
+        assert sum(e - s for s, e, _ in mine) == f.stat().st_size and sum(g is not None for *_, g in mine) <= 1
+    assert len(rows) - len(files) <= sum(r.gap is None for r in damaged) <= len(rows)
+
+
 def test_licenses(spark, odd, empty):
     texts = ["Released under the MIT License. mit license mit license", "Licensed under the Apache License, Version 2.0.", "CC BY-NC 4.0", "SPDX-License-Identifier: GPL-3.0-or-later", "commit license", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("score", F.lit("clash"))
@@ -304,6 +343,66 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_licenses(odd).count() == len(ODD) and licenses.scan_licenses(empty).count() == 0
 
 
+def test_base_columns_against_sql(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    got = licenses.scan_licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    phrases = " || ".join(f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f"w[i + {k}] = chr({ord(x[0])}) || '{x[1:]}'" for k, x in enumerate(p.split()))}), lambda i: {{'at': i - 1, 'label': '{label}'}})" for p, label in licenses.BASE_PHRASES)
+    sql = f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{common.WORD_PATTERN}') AS w FROM '{folder}/documents.parquet'),
+    p AS (SELECT doc_id, len(w) AS n, {phrases} AS found FROM d)
+    SELECT doc_id, n, len(found), list_min(list_transform(found, lambda x: x.at)), list_max(list_transform(found, lambda x: x.at)),
+           array_to_string(list_sort(list_distinct(list_transform(found, lambda x: x.label))), ',') FROM p"""
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(sql).fetchall())
+    secret = secrets.scan_secrets(docs)
+    n = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind))
+    counts = sorted(map(tuple, secret.select("doc_id", n("assign"), n("access"), n("hex")).collect()))
+    sql = f"""
+    SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda v: length(v) >= 6)),
+           len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20)),
+           len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: length(v) >= 24)) FROM '{folder}/documents.parquet'"""
+    assert counts == sorted(duckdb.sql(sql).fetchall()) and sum(c[1] for c in counts) > 0
+
+
+def brute_detections(low):
+    """All pairs of spans compared."""
+    found = [(m.start(), m.end(), rule) for rule in licenses.RULES if rule.keyword in low for m in rule.pattern.finditer(low)]
+    found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label))
+    kept = []
+    for start, end, rule in found:
+        if not any(s <= start and end <= e for s, e, _ in kept):
+            kept.append((start, end, rule))
+    return sorted(kept, key=lambda x: (x[0], x[1], x[2].label))
+
+
+def test_detections_against_brute_force():
+    rng = random.Random(20)
+    stock = "gnu general public license|version 2.0|mit license|apache license, version 2.0|cc by-nc 4.0|licensed under the|bsd license|all rights reserved|copyright 2020|spdx-license-identifier: mit|lorem|gpl-3.0|or later|.".split("|")
+    for _ in range(60):
+        low = " ".join(rng.choice(stock) for _ in range(rng.randrange(1, 40)))
+        assert licenses.detections(low) == brute_detections(low)
+
+
+def test_long_odd_texts_take_time_in_proportion():
+    import time
+
+    model = toxicity.CharModel(np.ones(toxicity.N_SYMBOLS**3, dtype=np.int64))
+    odd = ["11.11.11.", "a1", "1 ", "a.-", "@", "aab", "- -", "x*y ", "aaa"]
+    for unit in odd:
+        body = (unit * (200_000 // len(unit))).encode()
+        began = time.time()
+        toxicity.restore_text(body, model, {})
+        assert time.time() - began < 20, unit
+    for body in ("mit license " * 20_000, "licensed under the " * 20_000, "\n#" * 100_000, "password=abcdef1 " * 10_000, "copyright (c) " * 20_000):
+        began = time.time()
+        licenses.base_places(fold_words(body.encode()))
+        licenses.detections(body)
+        secrets.blanked(body, secrets.base_spans(body))
+        assert time.time() - began < 15, body[:20]
+
+
 def test_licenses_that_wrap():
     wrapped = {
         "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software",
@@ -433,6 +532,8 @@ def test_toxicity(spark, odd, empty):
     got = toxicity.score_toxicity(docs, marks).withColumn("held", toxicity.held_out()).collect()
     held = [r for r in got if r.held]
     assert sum((r.score >= 0.5) == (r.doc_id % 5 == 0) for r in held) >= 0.95 * len(held)
+    clash = toxicity.drop_toxic(docs.unionAll(docs).withColumn("toxic", F.lit("x")).withColumn("_id", F.lit(1)), marks)
+    assert clash.columns == ["doc_id", "text", "toxic", "_id"] and clash.count() < 1800
     scored = toxicity.score_toxicity(odd, marks, corpus=docs).collect()
     assert len(scored) == len(ODD) and all(0 <= r.score <= 1 for r in scored)
     assert toxicity.score_toxicity(empty, marks.limit(0)).count() == 0
@@ -449,6 +550,69 @@ def test_restoring():
     assert toxicity.restore_text(b"call 555-1234 at 10:30 on 24be64439e3e49cf", model, {}) == b"call 555-1234 at 10:30 on 24be64439e3e49cf"
 
 
+def test_viterbi_finds_the_likeliest_reading():
+    """Every combination of readings of short tokens, under the same costs."""
+    import itertools
+
+    rng = np.random.default_rng(21)
+    model = toxicity.CharModel(rng.integers(0, 50, toxicity.N_SYMBOLS**3))
+    leet, drop, stretch = np.log2(toxicity.P_LEET), np.log2(toxicity.P_DROP), np.log2(toxicity.P_REPEAT)
+    edge, sym = toxicity.EDGE, lambda c: int(toxicity._SYMBOL[c.encode()[0]])
+
+    def cost(reading):
+        a = b = edge
+        total, out = 0.0, ""
+        for letter, price, joined in reading:
+            total += price
+            if letter is None:
+                continue
+            if joined:
+                if not out or out[-1] != letter:
+                    return -1e300, ""
+                continue
+            total += model.log[a][b][sym(letter)]
+            a, b, out = b, sym(letter), out + letter
+        return total + model.log[a][b][edge], out
+
+    for token in ("a$$", "5h1+", "f*ck", "@55", "booo", "d.i.e", "l0l", "x7!"):
+        places = []
+        for c in token:
+            if c.isalpha():
+                options = [(c, 0.0, False)]
+            else:
+                options = [(x, leet, False) for x in toxicity.LEET.get(c, "")]
+                options += [(c, leet if c in " ._*-" else 0.0, False), (None, drop if c not in toxicity.LEET or c == "*" else 2 * drop, False)]
+            places.append(options + [(x, stretch, True) for x, _, _ in options if x and x.isalpha()])
+        best = max(map(cost, itertools.product(*places)))
+        assert cost_of(model, token) == pytest.approx(best[0]) and model.restore(token) == best[1], token
+
+
+def cost_of(model, token):
+    """The likeliest cost of the reading that ``restore`` gives, by dynamic programming over its alignments."""
+    out = model.restore(token)
+    leet, drop, stretch = np.log2(toxicity.P_LEET), np.log2(toxicity.P_DROP), np.log2(toxicity.P_REPEAT)
+    a = b = toxicity.EDGE
+    gain = 0.0
+    for c in [*out, None]:
+        s = toxicity.EDGE if c is None else int(toxicity._SYMBOL[c.encode()[0]])
+        gain += model.log[a][b][s]
+        a, b = b, s
+    best = {0: 0.0}
+    for c in token:
+        readings = {c: 0.0} if c.isalpha() else {**{x: leet for x in toxicity.LEET.get(c, "")}, c: leet if c in " ._*-" else 0.0}
+        now = {}
+        for at, price in best.items():
+            options = [] if c.isalpha() else [(at, price + (drop if c not in toxicity.LEET or c == "*" else 2 * drop))]
+            if at < len(out) and out[at] in readings:
+                options.append((at + 1, price + readings[out[at]]))
+            if at and out[at - 1] in readings and out[at - 1].isalpha():
+                options.append((at, price + stretch))
+            for k, v in options:
+                now[k] = max(now.get(k, -1e300), v)
+        best = now
+    return gain + best[len(out)]
+
+
 def test_restoring_long_runs_and_marks_at_the_end():
     counts = np.zeros(toxicity.N_SYMBOLS**3, dtype=np.int64)
     text = b" you are an idiot and a dumbass the ass and slut sluts are trash losers who die in 2024 or 1999 and lose " * 50
