@@ -27,7 +27,7 @@ from .common import distinct, null_safe_text, read, require, text_hashes, texts,
 #: Characters of text in a block, hashes that one answering group holds, and groups in a task, on average.
 BLOCK_CHARS = 8 << 20
 RANGE_HASHES = 2_000_000
-GROUPS_PER_TASK = 3
+GROUPS_PER_TASK = 1
 SECOND_BASE = 0xC2B2AE3D27D4EB4F
 
 
