@@ -8,28 +8,62 @@ from pyspark.sql import functions as F
 from ..runtime import cut_lineage
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_hops: int = 50, directed: bool = False) -> DataFrame:
-    """``uid, hops`` of all nodes reached from ``roots`` (uid) over ``e1, e2``: a frontier join and an anti join per hop."""
+def reachable(edges: DataFrame, roots: DataFrame, max_hops: int | None = None, directed: bool = False) -> DataFrame:
+    """``uid, hops`` of all nodes reached from ``roots`` (uid) over ``e1, e2``, within ``max_hops`` if given.
+
+    A frontier join and an anti join per hop; where only being reached counts, :func:`connected` needs fewer rounds.
+    """
     steps = edges.select(F.col("e1").alias("uid"), F.col("e2").alias("next"))
     if not directed:
         steps = steps.unionByName(edges.select(F.col("e2").alias("uid"), F.col("e1").alias("next")))
     steps = steps.distinct()
-    seen = cut_lineage(roots.select("uid", F.lit(0).alias("hops")).distinct())
-    frontier = seen
-    for hop in range(1, max_hops + 1):
+    steps = cut_lineage(steps)
+    seen = frontier = cut_lineage(roots.select("uid", F.lit(0).alias("hops")).distinct())
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         found = frontier.join(steps, "uid").select(F.col("next").alias("uid")).distinct().join(seen, "uid", "left_anti")
         frontier = cut_lineage(found.select("uid", F.lit(hop).alias("hops")))
         if frontier.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(frontier))
+        # frontiers are written once each; now and then their union is, so that plans stay short
+        seen = seen.unionByName(frontier)
+        if hop % 16 == 0:
+            seen = cut_lineage(seen)
     return seen
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """``uid, root``: the smallest node of each node's component over undirected ``e1, e2``; loops and nulls are dropped.
+
+    Nodes are linked to the smallest node they know of, by turns those above and those below a node, until nothing
+    changes: rounds grow with the logarithm of a component's size rather than with its diameter.
+    """
+    pairs = cut_lineage(edges.filter("e1 <> e2").select(F.greatest("e1", "e2").alias("high"), F.least("e1", "e2").alias("low")).distinct())
+    total = None
+    while True:
+        near = pairs.select(F.col("high").alias("uid"), F.col("low").alias("other")).unionByName(pairs.select(F.col("low").alias("uid"), F.col("high").alias("other")))
+        least = near.groupBy("uid").agg(F.least(F.min("other"), F.col("uid")).alias("root"))
+        above = near.join(least, "uid").filter("other > uid").select(F.col("other").alias("high"), F.col("root").alias("low")).distinct()
+        above = cut_lineage(above)
+        least = above.groupBy("high").agg(F.min("low").alias("root"))
+        below = above.join(least, "high")
+        linked = below.select(F.col("low").alias("high"), F.col("root").alias("low")).filter("high <> low").unionByName(least.select("high", F.col("root").alias("low")))
+        pairs = cut_lineage(linked.distinct())
+        now = pairs.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("high", "low"), F.lit(1 << 40)))).first()
+        if now == total:
+            break
+        total = now
+    return pairs.select(F.col("high").alias("uid"), F.col("low").alias("root")).unionByName(pairs.select(F.col("low").alias("uid"), F.col("low").alias("root")).distinct())
+
+
 def orphans(nodes: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes whose links all have weight 0 or that have none, or that no root reaches; roots are none. ``uid``."""
     ends = links.select(F.col("e1").alias("uid"), "w").unionByName(links.select(F.col("e2").alias("uid"), "w"))
     weight = ends.groupBy("uid").agg(F.max("w").alias("w"))
-    live = reachable(links.filter("w > 0"), roots).select("uid")
+    parts = connected(links.filter("w > 0"))
+    rooted = parts.join(roots.select("uid").distinct(), "uid", "left_semi").select("root").distinct()
+    live = parts.join(rooted, "root", "left_semi").select("uid")
     alive = live.join(weight.filter("w > 0").select("uid"), "uid", "left_semi").unionByName(roots.select("uid"))
     return nodes.select("uid").join(alive, "uid", "left_anti")
 
@@ -48,11 +82,13 @@ def has_cycle(edges: DataFrame, max_rounds: int = 1000) -> bool:
     raise ValueError("the longest path exceeds max_rounds")
 
 
-def closure(edges: DataFrame, max_hops: int = 20) -> DataFrame:
-    """``uid, ancestor, hops`` (fewest) over ``e1`` is-a ``e2``, with a visited set, so cycles end."""
+def closure(edges: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """``uid, ancestor, hops`` (fewest) over ``e1`` is-a ``e2``, within ``max_hops`` if given, with a visited set, so cycles end."""
     seen = cut_lineage(edges.select(F.col("e1").alias("uid"), F.col("e2").alias("ancestor"), F.lit(1).alias("hops")).distinct())
     frontier = seen
-    for hop in range(2, max_hops + 1):
+    hop = 1
+    while max_hops is None or hop < max_hops:
+        hop += 1
         up = frontier.join(edges.select(F.col("e1").alias("ancestor"), "e2"), "ancestor").select("uid", F.col("e2").alias("ancestor")).distinct()
         frontier = cut_lineage(up.join(seen, ["uid", "ancestor"], "left_anti").withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():

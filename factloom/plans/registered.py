@@ -75,7 +75,7 @@ def spread(spark: SparkSession, d: str, kernel: str, steps: int = 3) -> DataFram
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    """Parts that each run's customer activates most."""
+    """Parts that each region's customers activate most."""
     parts = spread(spark, d, "linear").filter(F.col("uid").startswith("P"))
     return ranking.top_k(parts, ["run_id"], [F.round("x", 6).desc(), F.col("uid")], 10).select("run_id", "uid", F.round("x", 6).alias("x"), "rank")
 
@@ -165,6 +165,13 @@ def h1(spark, d):
     return analysis.reachable(follow_links(spark, d), roots, max_hops=4)
 
 
+@query("h1_reachable_whole", f"WITH RECURSIVE {LINKS}, e AS (SELECT e1, e2 FROM links UNION SELECT e2, e1 FROM links), far AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey)), r(uid, hops) AS (SELECT 'O' || min(o_orderkey), 0 FROM orders GROUP BY o_custkey UNION SELECT e2, hops + 1 FROM r JOIN e ON uid = e1 WHERE hops < (SELECT n FROM far)) SELECT uid, min(hops) AS hops FROM r GROUP BY uid")
+def h1_whole(spark, d):
+    """Chains are followed to their ends from one order of each customer."""
+    roots = table(spark, d, "orders").groupBy("o_custkey").agg(F.concat(F.lit("O"), F.min("o_orderkey")).alias("uid")).select("uid")
+    return analysis.reachable(follow_links(spark, d), roots)
+
+
 @query("h2_orphans", "SELECT 'P' || p_partkey AS uid FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag <> 'R' AND l_quantity >= 46)")
 def h2(spark, d):
     orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
@@ -175,7 +182,7 @@ def h2(spark, d):
     return analysis.orphans(nodes, links, roots)
 
 
-@query("h4_has_cycle", f"WITH {LINKS} SELECT 'follow' AS edges, false AS cyclic UNION ALL SELECT 'follow and back', true")
+@query("h4_has_cycle", f"WITH RECURSIVE {LINKS}, both_ways AS (SELECT e1, e2 FROM links UNION SELECT e2, e1 FROM links), r(a, b) AS (SELECT e1, e2 FROM links UNION SELECT a, e2 FROM r JOIN links ON b = e1), s(a, b) AS (SELECT e1, e2 FROM both_ways UNION SELECT a, e2 FROM s JOIN both_ways ON b = e1) SELECT 'follow' AS edges, EXISTS (SELECT 1 FROM r WHERE a = b) AS cyclic UNION ALL SELECT 'follow and back', EXISTS (SELECT 1 FROM s WHERE a = b)")
 def h4(spark, d):
     links = follow_links(spark, d)
     return spark.createDataFrame([("follow", analysis.has_cycle(links)), ("follow and back", analysis.has_cycle(links.select("e1", "e2").unionByName(links.select(F.col("e2").alias("e1"), F.col("e1").alias("e2")))))], "edges string, cyclic boolean")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import scalars as fn
-from factloom.operators import analysis, belief, graph, propagation, ranking, state, text, vectors
+from factloom.operators import analysis, belief, graph, paths, propagation, ranking, state, text, vectors
 
 
 def one(spark, column):
@@ -88,6 +88,11 @@ def test_analysis(spark):
     assert sorted(r.uid for r in analysis.orphans(nodes, edges, roots).collect()) == ["q", "x", "y", "z"]
     assert not analysis.has_cycle(edges)
     assert analysis.has_cycle(edges.union(spark.createDataFrame([("c", "a", 1.0)], edges.schema)))
+    chain = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", 1.0) for i in range(59)], "e1 string, e2 string, w double")
+    nodes = spark.createDataFrame([(f"n{i:02d}", 0) for i in range(60)] + [("far", 0)], "uid string, added_at int")
+    kept, _, fate = paths.collect_garbage(nodes, chain, nodes.filter("uid = 'n00'"), 100, 10)
+    assert [tuple(r) for r in fate.collect()] == [("far", "removed")] and kept.count() == 60
+    assert analysis.reachable(chain, nodes.filter("uid = 'n00'")).agg(F.max("hops")).first()[0] == 59
     assert sorted(map(tuple, analysis.closure(edges.filter("w > 0")).collect())) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1), ("x", "y", 1)]
 
 
