@@ -45,11 +45,17 @@ def strength(potential, w, pos, association: Column | float = 0.4):
 
 
 def to_factor(messages: DataFrame, nodes: DataFrame, damping: float = 0.4) -> DataFrame:
-    """Messages with new ``v2f``: a node's evidence and all it hears but the factor's own message, damped. Nodes: ``run_id, uid, lam``."""
-    evidence = nodes.select("run_id", "uid", F.least(F.lit(50.0), F.greatest(F.lit(0.0), F.col("lam"))).alias("lam"))
-    total = F.sum(logit(F.col("f2v"))).over(Window.partitionBy("run_id", "uid"))
-    heard = logistic(F.col("lam") + total - logit(F.col("f2v")))
-    return messages.join(evidence, ["run_id", "uid"]).withColumn("v2f", damp(F.col("v2f"), heard, damping)).drop("lam")
+    """Messages with new ``v2f``: a node's evidence and all it hears but the factor's own message, damped. Nodes: ``run_id, uid, lam``.
+
+    What a node hears in all is summed before the shuffle and joined back, so a hub's messages need not meet in one
+    task; nodes that carry it already, as ``odds``, spare the sum.
+    """
+    lam = F.least(F.lit(50.0), F.greatest(F.lit(0.0), F.col("lam")))
+    if "odds" not in nodes.columns:
+        nodes = nodes.join(received(messages), ["run_id", "uid"], "left")
+    hears = nodes.select("run_id", "uid", (lam + F.coalesce("odds", F.lit(0.0))).alias("_hears"))
+    heard = logistic(F.col("_hears") - logit(F.col("f2v")))
+    return messages.join(hears, ["run_id", "uid"]).withColumn("v2f", damp(F.col("v2f"), heard, damping)).drop("_hears")
 
 
 def to_member(messages: DataFrame, damping: float = 0.4, association: Column | float = 0.4) -> DataFrame:
@@ -66,7 +72,8 @@ def to_member(messages: DataFrame, damping: float = 0.4, association: Column | f
 
 def received(messages: DataFrame) -> DataFrame:
     """``run_id, uid, odds, z``: log odds of all that a node hears, and its signal, which leaves out factors of one member."""
-    signal = F.when(F.col("potential").isin("prior", "obs"), 0.0).otherwise(F.greatest(F.lit(0.0), 2 * F.col("f2v") - 1))
+    alone = F.col("potential").isin("prior", "obs") if "potential" in messages.columns else F.lit(False)
+    signal = F.when(alone, 0.0).otherwise(F.greatest(F.lit(0.0), 2 * F.col("f2v") - 1))
     return messages.groupBy("run_id", "uid").agg(F.sum(logit(F.col("f2v"))).alias("odds"), F.sum(signal).alias("z"))
 
 
@@ -93,11 +100,11 @@ def tick(messages: DataFrame, nodes: DataFrame, damping: float = 0.4, eta: Colum
     """
     column = lambda v: v if isinstance(v, Column) else F.lit(v)
     out = to_member(to_factor(messages, nodes, damping), damping, association)
-    state = nodes.join(received(out), ["run_id", "uid"], "left")
+    state = nodes.drop("odds").join(received(out), ["run_id", "uid"], "left")
     signal, odds = F.coalesce("z", F.lit(0.0)), F.coalesce("odds", F.lit(0.0))
     x = activate(column(activation), F.col("x"), signal, 1 - F.exp(-F.col("lam")), column(eta), column(decay))
-    extra = [c for c in nodes.columns if c not in ("run_id", "uid", "lam", "belief", "x")]
-    return out, state.select("run_id", "uid", "lam", logistic(F.least(F.lit(50.0), F.col("lam")) + odds).alias("belief"), x.alias("x"), *extra)
+    extra = [c for c in nodes.columns if c not in ("run_id", "uid", "lam", "belief", "x", "odds")]
+    return out, state.select("run_id", "uid", "lam", logistic(F.least(F.lit(50.0), F.col("lam")) + odds).alias("belief"), x.alias("x"), odds.alias("odds"), *extra)
 
 
 def fade(nodes: DataFrame, share: float = 0.5) -> DataFrame:
@@ -138,9 +145,9 @@ def run(members: DataFrame, evidence: DataFrame, ticks: int = 20, damping: float
 
 def compete_global(states: DataFrame, s: float = 0.2) -> DataFrame:
     """x less s times the mean of all others of the run."""
-    w = Window.partitionBy("run_id")
-    others = (F.sum("x").over(w) - F.col("x")) / F.greatest(F.lit(1), F.count("*").over(w) - 1)
-    return states.withColumn("x", clip(F.col("x") - s * others))
+    totals = states.groupBy("run_id").agg(F.sum("x").alias("_total"), F.count("*").alias("_n"))
+    others = (F.col("_total") - F.col("x")) / F.greatest(F.lit(1), F.col("_n") - 1)
+    return states.join(totals, "run_id").withColumn("x", clip(F.col("x") - s * others)).drop("_total", "_n")
 
 
 def compete_local(states: DataFrame, pairs: DataFrame, s: float = 0.2) -> DataFrame:
@@ -179,9 +186,13 @@ def contributions(before: DataFrame, after: DataFrame, least: float = 1e-6) -> D
     """``run_id, fid, uid, source, delta``: message changes above ``least``, with the factor's other member that sends most."""
     key = ["run_id", "fid", "uid"]
     moved = after.join(before.select(*key, F.col("f2v").alias("old")), key).withColumn("delta", F.col("f2v") - F.col("old"))
-    strongest = F.array_sort(F.collect_list(F.struct((-F.col("v2f")).alias("order"), "pos", "uid")).over(Window.partitionBy("run_id", "fid")))
-    named = moved.withColumn("source", F.filter(strongest, lambda m: m["uid"] != F.col("uid"))[0]["uid"])
-    return named.filter(F.abs("delta") > least).select(*key, "source", "delta")
+    # two senders of a factor are enough: one of them is another member
+    rank = F.row_number().over(Window.partitionBy("run_id", "fid").orderBy(F.col("v2f").desc(), "pos", "uid"))
+    senders = after.select("run_id", "fid", "pos", "uid", "v2f").withColumn("rank", rank).filter("rank <= 2")
+    first = senders.filter("rank = 1").select("run_id", "fid", F.col("uid").alias("first"))
+    second = senders.filter("rank = 2").select("run_id", "fid", F.col("uid").alias("second"))
+    named = moved.filter(F.abs("delta") > least).join(first, ["run_id", "fid"]).join(second, ["run_id", "fid"], "left")
+    return named.select(*key, F.when(F.col("first") != F.col("uid"), F.col("first")).otherwise(F.col("second")).alias("source"), "delta")
 
 
 def pacemaker(states: DataFrame, evidence: DataFrame, tick_no: int, period: int = 5, items: int = 5, gain: float = 0.4) -> DataFrame:
