@@ -41,7 +41,7 @@ def messages(members: DataFrame, factors: DataFrame, state: DataFrame, name: str
     return active.select("run_id", "fid", "uid", kernel(name, F.col("x") * F.col("w") * F.col("confidence") * through, F.col("selectivity")).alias("sent"))
 
 
-def propagate(members: DataFrame, factors: DataFrame, evidence: DataFrame, steps: int = 3, name: str = "linear", cut_every: int = 3) -> DataFrame:
+def propagate(members: DataFrame, factors: DataFrame, evidence: DataFrame, steps: int = 3, name: str = "linear") -> DataFrame:
     """``run_id, uid, x`` after ``steps``; nodes that stay at 0 are left out. Evidence is ``run_id, uid, x``."""
     decay = mean_decay(members, factors)
     state = evidence.select("run_id", "uid", clip(F.col("x")).alias("x"))
@@ -53,6 +53,6 @@ def propagate(members: DataFrame, factors: DataFrame, evidence: DataFrame, steps
         both = incoming.unionByName(state.select("run_id", "uid", F.lit(0.0).alias("z"), "x")).groupBy("run_id", "uid").agg(F.sum("z").alias("z"), F.sum("x").alias("x"))
         kept = F.col("x") * (1 - F.coalesce("decay", F.lit(0.1)))
         state = both.join(decay, "uid", "left").select("run_id", "uid", clip(kept + F.greatest(F.col("z"), F.lit(0.0))).alias("x")).filter("x > 1e-15")
-        if step % cut_every == 0 and step < steps:
+        if step < steps:
             state = cut_lineage(state)
     return state

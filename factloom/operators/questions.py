@@ -129,8 +129,8 @@ def multi_hop(members: DataFrame, factors: DataFrame, cases: DataFrame, deepest:
 
 
 def probe(members: DataFrame, factors: DataFrame, seeds: DataFrame, steps: int = 3, least: float = 0.05, top: int = 8) -> DataFrame:
-    """``run_id, tick, uid, x, rank``: the most active nodes after each step from seeds ``run_id, uid``; a run without rows did not light up."""
-    state, out = seeds.select("run_id", "uid", F.lit(1.0).alias("x")), None
+    """``run_id, tick, uid, x, rank``: the most active nodes after each step from seeds ``run_id, uid`` (and ``x``, else 1); a run without rows did not light up."""
+    state, out = seeds.select("run_id", "uid", F.col("x") if "x" in seeds.columns else F.lit(1.0).alias("x")), None
     for step in range(1, steps + 1):
         state = cut_lineage(propagation.propagate(members, factors, state, 1))
         rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.round("x", 9).desc(), "uid"))

@@ -59,7 +59,7 @@ _TICKS = " UNION ALL ".join(f"SELECT run_id, {k} AS tick, uid, x FROM s{k}" for
 
 @query("r11_activation_probe", f"WITH {FACTS}, {PARAMS}, {steps_sql('linear', 2)} SELECT run_id, tick, uid, rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id, tick ORDER BY round(x, 9) DESC, uid) AS rank FROM ({_TICKS}) WHERE x >= 0.05) WHERE rank <= 8")
 def r11(spark, d):
-    return questions.probe(members_of(spark, d), factors(facts(spark, d)), evidence(spark, d).select("run_id", "uid"), 2).select("run_id", "tick", "uid", "rank")
+    return questions.probe(members_of(spark, d), factors(facts(spark, d)), evidence(spark, d), 2).select("run_id", "tick", "uid", "rank")
 
 
 _NAMES = "cn AS (SELECT c_custkey, substr(c_name, 10) AS number, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey)"

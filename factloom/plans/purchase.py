@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import clip
 from ..operators import graph
 
 ROLES = [("subject", "SUBJECT"), ("object", "OBJECT"), ("source", "SOURCE"), ("time", "TIME")]
-RUNS = 5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +36,11 @@ def factors(rows: DataFrame, *keep: str) -> DataFrame:
     return graph.with_transmission(flags.withColumns(params))
 
 
-def evidence(spark: SparkSession, sf_dir: str, runs: int = RUNS) -> DataFrame:
-    """One run for each of the customers with the largest balances."""
-    top = table(spark, sf_dir, "customer").orderBy(F.col("c_acctbal").desc(), "c_custkey").limit(runs)
-    return top.select(F.concat(F.lit("run"), "c_custkey").alias("run_id"), F.concat(F.lit("C"), "c_custkey").alias("uid"), F.lit(1.0).alias("x"))
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run for each region: all of its customers, each as active as its balance says."""
+    of = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, sf_dir, "customer").join(of, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.select(F.col("r_name").alias("run_id"), F.concat(F.lit("C"), "c_custkey").alias("uid"), (clip(F.col("c_acctbal") / 10000) * 0.05).alias("x"))
 
 
 def follow_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ FACTS = """facts AS (
 )"""
 # transmission 0.6 x (0.95 or 0.05) x bias 1.8, within [0, 1]; decay 0.05; selectivity 0.5
 PARAMS = """fac AS (SELECT fid, w, 0.9::DOUBLE AS confidence, 1.0::DOUBLE AS forward, (0.6::DOUBLE * (0.5::DOUBLE * (1 - 0.9::DOUBLE)) * 1.8::DOUBLE) AS backward, 0.5::DOUBLE AS selectivity, 0.05::DOUBLE AS decay FROM facts
-), ev AS (SELECT 'run' || c_custkey AS run_id, 'C' || c_custkey AS uid, 1.0::DOUBLE AS x FROM (SELECT * FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5))"""
+), ev AS (SELECT r_name AS run_id, 'C' || c_custkey AS uid, least(1, greatest(0, c_acctbal / 10000)) * 0.05::DOUBLE AS x FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 LINKS = """links AS (
   SELECT 'L' || o_orderkey AS fid, 'O' || o_orderkey AS e1, 'O' || next AS e2
   FROM (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM orders) WHERE next IS NOT NULL

@@ -28,7 +28,7 @@ for _no, _name in enumerate(_SENT, 1):
     _kernel(_no, _name)
 
 
-@query("r4_kernel_decay", f"WITH {FACTS}, {PARAMS}, st AS (SELECT 'C' || c_custkey AS uid, least(1, greatest(0, c_acctbal / 10000)) AS x FROM customer) SELECT t.fid, t.uid, round(least(1, greatest(0, p_size / 50 * (1 - f.decay) + {_LINEAR})), 10) AS x FROM st JOIN inc USING (uid) JOIN fac f ON f.fid = inc.fid JOIN inc t ON t.fid = inc.fid AND t.role = 'OBJECT' JOIN part ON t.uid = 'P' || p_partkey WHERE x > 0")
+@query("r4_kernel_decay", f"WITH {FACTS}, {PARAMS}, st AS (SELECT 'C' || c_custkey AS uid, least(1, greatest(0, c_acctbal / 10000)) AS x FROM customer), goods AS (SELECT 'P' || p_partkey AS uid, p_size FROM part) SELECT facts.fid, facts.object AS uid, round(least(1, greatest(0, p_size / 50 * (1 - f.decay) + least(1, greatest(0, x * f.w * f.confidence * f.forward)))), 10) AS x FROM facts JOIN fac f ON f.fid = facts.fid JOIN st ON st.uid = facts.subject JOIN goods ON goods.uid = facts.object WHERE x > 0".replace("facts AS (", "facts AS MATERIALIZED (", 1))
 def r4(spark, d):
     """Customers send, parts keep what their size gave them less the decay."""
     x = fn.clip(F.col("c_acctbal") / 10000)

@@ -95,7 +95,15 @@ def st3(spark, d):
     return state_stream.run(turns.first_seen(facts).select("relation", "part", "kind"), "append")
 
 
-@query("st4_evidence_decay", "SELECT 'r' AS run_id, 'u' || user_id AS uid, round(sum(value * pow(0.5, 10 - k)), 6) AS lam FROM (SELECT user_id, value, event_id % 10 AS k FROM events) GROUP BY 2 HAVING sum(value * pow(0.5, 10 - k)) >= 0.05")
+def _faded_sql(ticks: int) -> str:
+    """One step a tick: halve, drop below 0.05, take in the tick's hits."""
+    sums = ", ".join(f"coalesce(sum(value) FILTER (event_id % 10 = {k}), 0) AS h{k}" for k in range(ticks + 1))
+    steps = [f"f0 AS (SELECT *, h0 AS x FROM (SELECT 'u' || user_id AS uid, {sums} FROM events GROUP BY 1))"]
+    steps += [f"f{k} AS (SELECT * REPLACE (CASE WHEN x * 0.5 < 0.05 THEN 0 ELSE x * 0.5 END + h{k} AS x) FROM f{k - 1})" for k in range(1, ticks + 1)]
+    return f"WITH {', '.join(steps)} SELECT 'r' AS run_id, uid, round(x, 6) AS lam FROM f{ticks} WHERE x > 0"
+
+
+@query("st4_evidence_decay", _faded_sql(10))
 def st4(spark, d):
     rows = state_stream.source(spark, f"{d}/events.parquet")
     hits = rows.select(F.lit("r").alias("run_id"), F.concat(F.lit("u"), "user_id").alias("uid"), (F.col("event_id") % 10).alias("tick"), F.col("value").alias("lam"))
