@@ -5,7 +5,7 @@ Each function takes and returns a DataFrame that may be streaming; state is what
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import ingest
@@ -29,17 +29,23 @@ def first_seen(facts: DataFrame, delay: str | None = None) -> DataFrame:
 
 
 def faded_evidence(hits: DataFrame, ticks: int, least: float = 0.05) -> DataFrame:
-    """``run_id, uid, lam`` after ``ticks``: evidence of each tick (``run_id, uid, tick, lam``) halves per tick and goes below ``least``.
+    """``run_id, uid, lam`` after ``ticks``: at each tick the evidence halves, is dropped below ``least``, and takes in the
+    tick's hits (``run_id, uid, tick, lam``; ticks from 0, others are left out).
 
-    The sum of what each hit has left is the running evidence, so that no state but the sum is needed.
+    The state of a node is one sum per tick, from which its evidence is folded.
     """
-    left = F.col("lam") * F.pow(F.lit(0.5), F.lit(ticks) - F.col("tick"))
-    return hits.filter(F.col("tick") <= ticks).groupBy("run_id", "uid").agg(F.sum(left).alias("lam")).filter(F.col("lam") >= least)
+    sums = [F.coalesce(F.sum(F.when(F.col("tick") == k, F.col("lam"))), F.lit(0.0)).alias(f"t{k}") for k in range(ticks + 1)]
+    left = lambda lam: F.when(lam * 0.5 < least, F.lit(0.0)).otherwise(lam * 0.5)
+    folded = F.aggregate(F.array(*[F.col(f"t{k}") for k in range(ticks + 1)]), F.lit(0.0), lambda lam, hit: left(lam) + hit)
+    return hits.groupBy("run_id", "uid").agg(*sums).select("run_id", "uid", folded.alias("lam")).filter("lam > 0")
 
 
 def recent_history(messages: DataFrame, n: int = 24) -> DataFrame:
     """``conv_id, history``: the last n messages (``conv_id, turn, role, text``) in order."""
     row = F.struct("turn", "role", "text")
+    if not messages.isStreaming:
+        last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.struct("turn", "role", "text").desc()))
+        messages = messages.withColumn("_k", last).filter(F.col("_k") <= n)
     top = messages.groupBy("conv_id").agg(F.slice(F.sort_array(F.collect_list(row), asc=False), 1, n).alias("last"))
     return top.select("conv_id", F.reverse("last").alias("history"))
 
