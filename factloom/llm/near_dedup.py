@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from .common import append_columns, distinct, groups, materialize, mix, null_safe_text, read, require, text_hashes, texts, window_hashes
 from .components import components
 
-SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.999
+SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.99
 #: Places of a set's pool, sets that a bucket may hold before it is split again, levels of a path, sets in a chunk of a
 #: verified group.
 POOL, BUCKET, DEPTH, CHUNK = 64, 64, 6, 512
-#: A pair goes on when its pools agree in this share of places: five standard deviations below the threshold.
+#: A pair goes on when the last bytes of its pools agree in this share of places: five standard deviations below the
+#: threshold.
 SKETCH_SHARE = 0.55
 
 
@@ -166,23 +167,25 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: floa
     base = docs.select(F.col(id_col).cast("long").alias("id"), null_safe_text(text_col).alias("body")).withColumn("h", F.xxhash64("body"))
 
     def describe(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        size, low, high, signatures = [], [], [], []
+        size, low, high, signatures, sketches = [], [], [], [], []
         for s in shingle_sets(texts(batch.column(batch.schema.get_field_index("body"))), n):
             size.append(len(s))
             with np.errstate(over="ignore"):
                 low.append(int(_signed(np.sum(mix(s), dtype=np.uint64, keepdims=True))[0]))
                 high.append(int(_signed(np.sum(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), dtype=np.uint64, keepdims=True))[0]))
-            signatures.append(signature(s, a).tobytes() if len(s) else None)
-        return {"size": pa.array(size, pa.int64()), "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64()), "pool": pa.array(signatures, pa.binary())}
+            pool = signature(s, a)
+            signatures.append(pool.tobytes() if len(s) else None)
+            sketches.append((pool & np.uint32(0xFF)).astype(np.uint8).tobytes() if len(s) else None)
+        return {"size": pa.array(size, pa.int64()), "low": pa.array(low, pa.int64()), "high": pa.array(high, pa.int64()), "pool": pa.array(signatures, pa.binary()), "sketch": pa.array(sketches, pa.binary())}
 
-    described = materialize(append_columns(base, "body", describe, "size long, low long, high long, pool binary", drop=("body",)), "near-sets")
+    described = materialize(append_columns(base, "body", describe, "size long, low long, high long, pool binary, sketch binary", drop=("body",)), "near-sets")
     same = ["low", "high", "size"]
     # the pools of equal sets are equal, so any will do; numbers are fixed once the table is written
-    nodes = described.filter("size > 0 and id is not null").groupBy(*same).agg(F.min(F.struct("id", "h")).alias("first"), F.first("pool").alias("pool"))
+    nodes = described.filter("size > 0 and id is not null").groupBy(*same).agg(F.min(F.struct("id", "h")).alias("first"), F.first("pool").alias("pool"), F.first("sketch").alias("sketch"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
 
     small, large = _buckets(nodes, runs, 1 / threshold - 1, bucket)
-    proposed = _propose(small.join(nodes.select("node", "size", "pool"), "node"), threshold)
+    proposed = _propose(small.join(nodes.select("node", "size", "sketch"), "node"), threshold)
     groups_of = materialize(components(proposed.unionByName(large) if large is not None else proposed), "near-groups")
     checked = materialize(_verify(base, groups_of.join(nodes.select("node", "first.id", "first.h"), "node"), n, threshold, chunk), "near-links")
 
@@ -219,7 +222,7 @@ def _buckets(nodes: DataFrame, runs: int, branch: float, bucket: int) -> tuple[D
             active = pools.join(heavy, "node").mapInArrow(paths, "node long, key long")
         active = materialize(active, "near-paths")
         counts = materialize(active.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-counts")
-        met = active.join(counts, "key")
+        met = materialize(active.join(counts, "key"), "near-met")  # paths that one set follows alone are gone
         small = met.filter(F.col("n") <= bucket).select("key", "node")
         leaves = small if leaves is None else leaves.unionByName(small)
         if counts.filter(F.col("n") > bucket).limit(1).count() == 0:
@@ -240,7 +243,7 @@ def _propose(leaves: DataFrame, threshold: float) -> DataFrame:
             sizes = np.array(table.column("size").to_pylist())
             order = np.argsort(ids)
             ids, sizes = ids[order], sizes[order]
-            sketches = np.frombuffer(b"".join(table.column("pool").to_pylist()), dtype=np.uint32).reshape(-1, POOL)[order]
+            sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, POOL)[order]
             first, second = np.triu_indices(len(ids), 1)
             ratio = np.minimum(sizes[first], sizes[second]) >= threshold * np.maximum(sizes[first], sizes[second]) - 1e-9
             first, second = first[ratio], second[ratio]
