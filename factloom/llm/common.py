@@ -54,6 +54,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a filter of hashes that is broadcast, with 64 slots each; the bound holds whatever the tables' size.
+FILTER_WORDS = 1 << 17
+
+
+def maybe_in(df: DataFrame, h: str, keys: DataFrame) -> DataFrame:
+    """``df`` with a boolean ``maybe``: false where no row of ``keys`` has the hash ``h``, so that such rows need no shuffle to be told apart.
+
+    The slots that the hashes of ``keys`` fall in are aggregated to :data:`FILTER_WORDS` rows at most and broadcast.
+    With more keys than slots all rows may be true, which costs a shuffle of them and nothing else.
+    """
+    word, bit = f"cast(pmod(shiftright({h}, 6), {FILTER_WORDS}) as int)", f"cast(pmod({h}, 64) as int)"
+    slots = keys.groupBy(F.expr(word).alias("_word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("_bits"))
+    found = df.withColumn("_word", F.expr(word)).join(F.broadcast(slots), "_word", "left")
+    return found.withColumn("maybe", F.expr(f"coalesce(shiftright(_bits, {bit}) & 1L, 0L) = 1L")).drop("_word", "_bits")
+
+
 def fold_words(text: bytes) -> list[bytes]:
     """Words of :data:`WORD_PATTERN` after lower-casing A-Z, as UTF-8."""
     return text.translate(_FOLD).split()

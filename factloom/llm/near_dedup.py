@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, distinct, groups, materialize, mix, null_safe_text, read, require, text_hashes, texts, window_hashes
+from .common import append_columns, distinct, groups, materialize, maybe_in, mix, null_safe_text, read, require, text_hashes, texts, window_hashes
 from .components import components
 
 SHINGLE, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.99
@@ -265,7 +265,9 @@ def _verify(base: DataFrame, groups_of: DataFrame, n: int, threshold: float, chu
     def tokens(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         return {"tokens": pa.array([s.tobytes() for s in shingle_sets(texts(batch.column(batch.schema.get_field_index("body"))), n)], pa.binary())}
 
-    sets = append_columns(base.join(dealt, ["id", "h"]), "body", tokens, "tokens binary", drop=("body",))
+    # only texts that may be in a group are shuffled
+    held = maybe_in(base, "h", dealt).filter("maybe").drop("maybe")
+    sets = append_columns(held.join(dealt, ["id", "h"]), "body", tokens, "tokens binary", drop=("body",))
     tasks = sets.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tasks = tasks.select("component", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "node", "chunk", "tokens")
 
@@ -307,10 +309,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = materialize(rows.filter(~leads).select("id", "h").distinct(), "near-gone")
     again = materialize(rows.filter(leads).groupBy("id", "h").agg(F.count("*").alias("n")).filter("n > 1").select("id", "h"), "near-again")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(null_safe_text(text_col)).alias("h"))
-    if again.limit(1).count() == 0:
-        return keyed.join(gone, ["id", "h"], "left_anti").select("row.*")
-    once = keyed.join(again, ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
-    return keyed.join(gone.unionByName(again), ["id", "h"], "left_anti").unionByName(once).select("row.*")
+    # rows that can't be concerned stay where they are
+    marked = maybe_in(keyed, "h", gone.unionByName(again))
+    rest = marked.filter("maybe").drop("maybe")
+    kept = marked.filter("not maybe").drop("maybe").unionByName(rest.join(gone.unionByName(again), ["id", "h"], "left_anti"))
+    if again.limit(1).count():
+        kept = kept.unionByName(rest.join(again, ["id", "h"], "left_semi").dropDuplicates(["id", "h"]))
+    return kept.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
