@@ -32,15 +32,22 @@ def observed(lam):
     return logistic(F.least(F.lit(50.0), lam))
 
 
+#: Share of its weight that a pair factor pulls with, by potential, from whether the member is the later one; users may add theirs.
+POTENTIALS: dict[str, Callable[[Column], Column]] = {
+    "is_a": lambda later: F.when(later, 0.9).otherwise(0.2),
+    "follow": lambda later: F.when(later, 0.8).otherwise(0.1),
+    "bind": lambda later: F.lit(0.8),
+}
+
+
 def strength(potential, w, pos, association: Column | float = 0.4):
-    """How far a pair factor of weight ``w`` pulls its member from the other one's message; the later member is at position 1."""
-    later = pos == 1
-    share = (
-        F.when(potential == "is_a", F.when(later, 0.9).otherwise(0.2))
-        .when(potential == "follow", F.when(later, 0.8).otherwise(0.1))
-        .when(potential == "bind", 0.8)
-        .otherwise(association)
-    )
+    """How far a pair factor of weight ``w`` pulls its member from the other one's message; the later member is at position 1.
+
+    A potential that is not registered is an association.
+    """
+    share = association if isinstance(association, Column) else F.lit(association)
+    for name, rule in POTENTIALS.items():
+        share = F.when(potential == name, rule(pos == 1)).otherwise(share)
     return clip(w * share)
 
 

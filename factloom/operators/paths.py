@@ -14,7 +14,8 @@ def explain(members: DataFrame, weights: DataFrame, beliefs: DataFrame, seeds: D
 
     A node is entered only with a belief of at least ``floor``; among equal depths the step with the largest mean belief
     times (1 + weight) wins, then the smallest factor and parent. A hop is a join on factors and one on nodes; a factor
-    passes its entrant of largest belief on, so a large factor does not emit all pairs.
+    passes its entrant of largest belief on, which is the best parent for all that it reaches, as the score of a step in
+    one factor rises with the parent's belief alone; so a large factor does not emit all pairs.
     """
     nodes = beliefs.filter(F.col("belief") >= floor).select("uid", "belief")
     m = members.select("fid", "uid").distinct().join(weights.select("fid", "w"), "fid")

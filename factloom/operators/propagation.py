@@ -6,6 +6,8 @@ step is two aggregations (by factor and by node), linear in the number of member
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +15,20 @@ from ..functions.scalars import clip, logistic
 from ..runtime import cut_lineage
 
 
+#: What is sent, by name: from activation x weight x confidence x transmission within [0, 1], and the factor's selectivity.
+KERNELS: dict[str, Callable[[Column, Column], Column]] = {
+    "linear": lambda x, selectivity: x,
+    "decay": lambda x, selectivity: x,
+    "sigmoid": lambda x, selectivity: logistic(8 * (x - selectivity)),
+    "relu": lambda x, selectivity: clip(F.greatest(F.lit(0.0), x - 0.25 * selectivity)),
+}
+
+
 def kernel(name: str, linear: Column, selectivity: Column) -> Column:
-    """What is sent, from activation x weight x confidence x transmission."""
-    if name in ("linear", "decay"):
-        return clip(linear)
-    if name == "sigmoid":
-        return logistic(8 * (clip(linear) - selectivity))
-    if name == "relu":
-        return clip(F.greatest(F.lit(0.0), clip(linear) - 0.25 * selectivity))
-    raise ValueError(f"unknown kernel {name}")
+    """What a registered kernel sends; users may add their own to :data:`KERNELS`."""
+    if name not in KERNELS:
+        raise ValueError(f"unknown kernel {name}")
+    return KERNELS[name](clip(linear), selectivity)
 
 
 def decayed(target: Column, decay: Column, linear: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import paths, propagation, questions
+from ..operators import paths, propagation, questions, text
 from .purchase import FACTS, LINKS, PARAMS, evidence, factors, facts, follow_links, steps_sql, table
 from .registered import members_of, query
 
@@ -119,6 +119,27 @@ def q3(spark, d):
     return relation_scores(spark, d).withColumn("score", F.round("score", 6))
 
 
+def _unit_sql(source: str) -> str:
+    """Unit vectors ``k, slot, u`` of the hashed runs of 2, 3 and 4 characters of a source's texts ``k, t``."""
+    grams = f"SELECT k, substr(' ' || lower(t) || ' ', i, n) AS g FROM (SELECT k, t, n, unnest(range(1, CAST(length(t) + 4 - n AS BIGINT))) AS i FROM {source}, (SELECT unnest([2, 3, 4]) AS n) WHERE length(t) >= 2)"
+    slots = f"SELECT k, ('0x' || substr(md5(g), 1, 8))::UBIGINT % 64 AS slot, sum(CASE WHEN ('0x' || substr(md5(g), 9, 1))::UBIGINT % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS v FROM ({grams}) GROUP BY 1, 2"
+    return f"(SELECT k, slot, v / sqrt(sum(v * v) OVER (PARTITION BY k)) AS u FROM ({slots}))"
+
+
+@query("q3_vector_scores", f"WITH qs AS (SELECT p_partkey AS k, p_name AS t FROM part), ls AS (SELECT DISTINCT p_type AS k, p_type AS t FROM part), ds AS (SELECT p_type AS k, min(p_name) || ' ' || max(p_brand) AS t FROM part GROUP BY 1), w AS (SELECT k, slot, sum(u) AS u FROM (SELECT k, slot, 0.7::DOUBLE * u AS u FROM {_unit_sql('ls')} UNION ALL SELECT k, slot, 0.3::DOUBLE * u FROM {_unit_sql('ds')}) GROUP BY 1, 2), s AS (SELECT q.k AS question_id, w.k AS relation, sum(q.u * w.u) AS score FROM {_unit_sql('qs')} q JOIN w USING (slot) GROUP BY 1, 2), n AS (SELECT p_type AS relation, count(DISTINCT p_brand) AS n FROM part GROUP BY 1) SELECT question_id, relation, round(score + CASE WHEN p_size > 25 AND p_type = relation THEN 0.08::DOUBLE * (1 - 1.0::DOUBLE / n) ELSE 0 END, 6) AS score FROM s JOIN n USING (relation) JOIN part ON p_partkey = question_id")
+def q3_vectors(spark, d):
+    """Part names ask for types by hashed runs of characters; large parts want a list of their own type's brands."""
+    part = table(spark, d, "part")
+    vectors = lambda df, key, said: text.hashed_ngrams(df, key, said, (2, 3, 4), 64)
+    labels = part.select(F.col("p_type").alias("relation"), F.col("p_type").alias("label")).distinct()
+    docs = part.groupBy(F.col("p_type").alias("relation")).agg(F.concat(F.min("p_name"), F.lit(" "), F.max("p_brand")).alias("doc"))
+    brands = part.groupBy(F.col("p_type").alias("relation")).agg(F.countDistinct("p_brand").alias("n"))
+    kinds = part.filter("p_size > 25").select(F.col("p_partkey").alias("question_id"), F.col("p_type").alias("relation")).join(brands, "relation")
+    asked = vectors(part.withColumnRenamed("p_partkey", "question_id"), "question_id", "p_name")
+    scores = questions.score_relations_by_vectors(asked, vectors(labels, "relation", "label"), vectors(docs, "relation", "doc"), kinds)
+    return scores.withColumn("score", F.round("score", 6))
+
+
 @query("q4_plan", f"WITH {_RELS}, r AS (SELECT question_id, relation, round(score, 6) AS score, row_number() OVER w AS k, lead(round(score, 6)) OVER w AS second FROM sc WINDOW w AS (PARTITION BY question_id ORDER BY round(score, 6) DESC, relation)) SELECT question_id, relation FROM r WHERE k = 1 AND score >= 0.12 AND score - coalesce(second, 0) >= 0.025")
 def q4(spark, d):
     return questions.choose(relation_scores(spark, d).withColumn("score", F.round("score", 6))).select("question_id", "relation")

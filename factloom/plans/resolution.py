@@ -74,6 +74,19 @@ def e6(spark, d):
     return er.resolve_inflected(mentions(spark, d), keys)
 
 
+_LEMMA = "cat AS (SELECT min(p_partkey) AS uid, lower(p_name) AS key FROM part GROUP BY 2), say AS (SELECT p_partkey AS mention_id, CASE p_size % 3 WHEN 0 THEN lower(p_name) || 's' WHEN 1 THEN string_split(lower(p_name), ' ')[1] ELSE lower(p_name) END AS f FROM part), lem AS (SELECT DISTINCT lower(p_name) || 's' AS form, lower(p_name) AS lemma FROM part), m AS (SELECT mention_id, f, coalesce(lemma, f) AS lemma FROM say LEFT JOIN lem ON f = form)"
+
+
+@query("e6_resolve_by_lemma", f"WITH {_LEMMA}, r AS (SELECT mention_id, uid, 0.98::DOUBLE AS score FROM m JOIN cat ON f = key UNION ALL SELECT mention_id, uid, 0.95 FROM m JOIN cat ON lemma = key UNION ALL SELECT mention_id, uid, 0.92 FROM m JOIN cat ON lemma = string_split(key, ' ')[1] AND contains(key, ' ')) SELECT mention_id, uid, max(score) AS score FROM r GROUP BY 1, 2")
+def e6_lemma(spark, d):
+    """Plural names have their name for a lemma; first words alone meet every name that they start."""
+    part, k, name = table(spark, d, "part"), F.col("p_size") % 3, F.lower("p_name")
+    said = F.when(k == 0, F.concat(name, F.lit("s"))).when(k == 1, F.split(name, " ")[0]).otherwise(name)
+    keys = part.groupBy(name.alias("key")).agg(F.min("p_partkey").alias("uid"))
+    lemmas = part.select(F.concat(name, F.lit("s")).alias("form"), name.alias("lemma")).distinct()
+    return er.resolve_by_lemma(part.select(F.col("p_partkey").alias("mention_id"), said.alias("mention")), keys, lemmas)
+
+
 @query("e8_resolve_synonym", f"WITH {_CAT}, {_SAY} SELECT mention_id, uid FROM fol JOIN cat ON f = replace(key, 'brand#', 'house ')")
 def e8(spark, d):
     c = catalog(spark, d)

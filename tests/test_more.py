@@ -162,3 +162,35 @@ def test_stream_of_a_folder_equals_the_batch(spark, tmp_path):
     spark.range(100).select((F.col("id") % 7).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("text")).repartition(4).write.parquet(str(tmp_path / "t.parquet"))
     rows = state_stream.run(turns.recent_history(state_stream.source(spark, str(tmp_path / "t.parquet")), 3), "complete").collect()
     assert {r.conv_id: [h.turn for h in r.history] for r in rows} == {k: [i for i in range(100) if i % 7 == k][-3:] for k in range(7)}
+
+
+def test_lemmas_rank_below_forms_and_above_first_words(spark):
+    said = spark.createDataFrame([(1, "Mice"), (2, "mouse"), (3, "mouses"), (4, "house"), (5, " "), (6, None)], "mention_id long, mention string")
+    keys = spark.createDataFrame([(10, "mouse"), (11, "house mouse")], "uid long, key string")
+    lemmas = spark.createDataFrame([("mice", "mouse"), ("mouse", "mouse"), ("mouses", "mous"), ("mouses", "mouse"), (None, "x")], "form string, lemma string")
+    got = {(r.mention_id, r.uid): r.score for r in resolution.resolve_by_lemma(said, keys, lemmas).collect()}
+    assert got == {(1, 10): 0.95, (2, 10): 0.98, (3, 10): 0.93, (4, 11): 0.92}
+    both = {(r.mention_id, r.uid): r.score for r in resolution.resolve_inflected(said, keys, lemmas).collect()}
+    assert both == {**got, (4, 11): 0.92}
+
+
+def test_kernels_and_potentials_can_be_added(spark, monkeypatch):
+    from factloom.operators import belief, propagation
+
+    monkeypatch.setitem(propagation.KERNELS, "half", lambda x, selectivity: x / 2)
+    monkeypatch.setitem(belief.POTENTIALS, "strong", lambda later: F.lit(1.0))
+    row = spark.range(1).select(propagation.kernel("half", F.lit(3.0), F.lit(0.5)).alias("k"), *[belief.strength(F.lit(p), F.lit(0.5), F.lit(1)).alias(p) for p in ("strong", "is_a", "other")]).first()
+    assert (row.k, row.strong, row.is_a, row.other) == (0.5, 0.5, 0.45, 0.2)
+    with pytest.raises(ValueError):
+        propagation.kernel("none of these", F.lit(1.0), F.lit(0.5))
+
+
+def test_vector_scores_weigh_labels_over_documents(spark):
+    from factloom.operators import questions
+
+    asked = spark.createDataFrame([(1, 0, 3.0), (1, 1, 4.0), (2, 9, 1.0)], "question_id long, slot long, v double")
+    labels = spark.createDataFrame([("A", 0, 2.0), ("B", 1, 1.0)], "relation string, slot long, v double")
+    docs = spark.createDataFrame([("A", 1, 5.0), ("B", 1, 1.0)], "relation string, slot long, v double")
+    kinds = spark.createDataFrame([(1, "A", 4), (1, "B", 0)], "question_id long, relation string, n long")
+    got = {(r.question_id, r.relation): round(r.score, 9) for r in questions.score_relations_by_vectors(asked, labels, docs, kinds).collect()}
+    assert got == {(1, "A"): round(0.7 * 0.6 + 0.3 * 0.8 + 0.08 * 0.75, 9), (1, "B"): 0.8}
