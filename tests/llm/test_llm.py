@@ -628,3 +628,12 @@ def test_restoring_long_runs_and_marks_at_the_end():
     blob = b"q7Zx9Kf3Wv" * 30
     for token in (blob, b"4e7c19a83b2f6d05", b"1 2 3 4", b"555-1234"):
         assert toxicity.restore_text(b"the " + token + b" and", model, {}) == b"the " + token + b" and"
+
+
+def test_filter_of_hashes_loses_no_key(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_WORDS", 4)
+    rows = spark.range(2000).selectExpr("id", "xxhash64(id) as h")
+    keys = rows.filter("id % 50 = 0")
+    told = {r.id: r.maybe for r in common.maybe_in(rows, "h", keys).collect()}
+    assert len(told) == 2000 and all(told[i] for i in range(0, 2000, 50)) and not all(told.values())
+    assert not any(r.maybe for r in common.maybe_in(rows, "h", keys.limit(0)).collect())
