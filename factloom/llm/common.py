@@ -34,9 +34,11 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset (local tests)."""
+    """The folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset and Spark runs on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         if not _OWN_DIR:
             _OWN_DIR.append(tempfile.mkdtemp(prefix="spark-factloom-"))
         base = f"file://{_OWN_DIR[0]}"

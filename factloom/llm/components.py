@@ -13,19 +13,18 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return n, total or 0
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node) of every node of the undirected edges ``a, b`` (longs; loops and nulls are dropped).
 
     Large star: each neighbour above a node is linked to the node's smallest neighbour; small star: each neighbour
     below likewise. Edges stay linear in number, minima are combined before the shuffle, and a hub's edges may be
-    split over tasks, since only its minimum (one row, read from a written table) meets them.
+    split over tasks, since only its minimum (one row, read from a written table) meets them. Rounds go on until one
+    changes nothing; their number grows with the logarithm of the nodes.
     """
     rows = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     rows = materialize(rows, "cc")
     state = _state(rows)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
+    while state[0]:
         both = rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "cc-min")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
