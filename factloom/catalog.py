@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import answers, asking, candidates, evaluation, inference, ingest, lookups, more, phrases, potentials, registered, resolution, singles, sources  # noqa: F401
+from .plans import answers, asking, candidates, evaluation, inference, ingest, lookups, more, phrases, potentials, registered, resolution, scalars, singles, sources  # noqa: F401
 from .plans.registered import flagship  # noqa: F401
 
 

@@ -60,6 +60,17 @@ def canonical_label(text: Column) -> Column:
     return F.when(F.coalesce(key, F.lit("")) == "", "RELATED_TO").otherwise(key)
 
 
+def fill_template(template: Column, roles: Column) -> Column:
+    """``{ROLE}`` in a template replaced by the role's filler; null fillers are blank, unknown roles keep their braces."""
+    replaced = lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit("")))
+    return F.aggregate(F.map_entries(roles), template, replaced)
+
+
+def ngrams(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters of a text, which must have that many."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))
+
+
 def fold(text: Column) -> Column:
     """Lower case, dashes and underscores as spaces, single spaces."""
     return F.trim(F.regexp_replace(F.translate(F.lower(text), "ё_-–—", "е    "), r"\s+", " "))

@@ -16,8 +16,17 @@ from ..runtime import cut_lineage
 from .ranking import mask_top_k
 
 
+#: Runs (settings or questions) of one job; they are sent to all tasks.
+MAX_RUNS = 10_000
+
+
 def init(members: DataFrame, runs: DataFrame) -> DataFrame:
-    """All messages at one half: ``run_id, fid, uid, pos, potential, w, v2f, f2v``. ``runs`` is one row per run."""
+    """All messages at one half: ``run_id, fid, uid, pos, potential, w, v2f, f2v``. ``runs`` is one row per run.
+
+    More than :data:`MAX_RUNS` runs are refused: every run has messages of its own, so more of them are more jobs.
+    """
+    if runs.limit(MAX_RUNS + 1).count() > MAX_RUNS:
+        raise ValueError(f"more than {MAX_RUNS} runs in one job")
     return members.crossJoin(F.broadcast(runs.select("run_id"))).select("run_id", "fid", "uid", "pos", "potential", "w", F.lit(0.5).alias("v2f"), F.lit(0.5).alias("f2v"))
 
 

@@ -162,7 +162,7 @@ def trajectories(history: DataFrame, threshold: float, relevant: DataFrame | Non
     the peak of the largest relevant activation to its half; both null where that never happens. spread and stability
     are of the last tick, convergence is the largest change in it; oscillation is the mean share of sign changes.
     """
-    named = history.withColumn("relevant", F.lit(True)) if relevant is None else history.join(F.broadcast(relevant.select("uid", F.lit(True).alias("hit"))), "uid", "left").withColumn("relevant", F.col("hit").isNotNull()).drop("hit")
+    named = history.withColumn("relevant", F.lit(True)) if relevant is None else history.join(relevant.select("uid", F.lit(True).alias("hit")), "uid", "left").withColumn("relevant", F.col("hit").isNotNull()).drop("hit")
     node = Window.partitionBy("run_id", "uid").orderBy("tick")
     step = F.col("x") - F.lag("x").over(node)
     sign = F.when(step > 1e-6, 1).when(step < -1e-6, -1).when(step.isNotNull(), 0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import fill_template
+
 
 def fold_set_delete(ops: DataFrame) -> DataFrame:
     """``key, value`` after all set and delete operations (``key, seq, op, value``); combined before the shuffle."""
@@ -36,10 +38,7 @@ def expand_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
 
     {ROLE} in a rule's key and value is the event's filler; a role the event lacks leaves its braces, and ``missing`` is true.
     """
-    joined = events.join(F.broadcast(rules), "relation")
-
-    def filled(template: str):
-        return F.aggregate(F.map_entries("roles"), F.col(template), lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
-
+    filled = lambda template: fill_template(F.col(template), F.col("roles"))
+    joined = events.join(rules, "relation")
     rows = joined.select("seq", "op", filled("key").alias("key"), filled("value").alias("value"))
     return rows.withColumn("missing", F.coalesce(F.concat("key", F.coalesce("value", F.lit(""))).rlike(r"\{[A-Z_]+\}"), F.lit(False)))

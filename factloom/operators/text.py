@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ngrams
+
 
 def chunks(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, chunk, body``: runs of ``size`` words that start every ``size - overlap`` words; a short text is one chunk."""
@@ -19,11 +21,7 @@ def chunks(docs: DataFrame, size: int, overlap: int, id_col: str = "doc_id", tex
 def hashed_ngrams(df: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...], slots: int, signed: bool = True) -> DataFrame:
     """``id, slot, v``: counts, signed or not, of the character n-grams of padded lower-cased text; slots that cancel out are left out."""
     padded = F.concat(F.lit(" "), F.lower(text_col), F.lit(" "))
-
-    def runs(n: int):
-        return F.transform(F.sequence(F.lit(1), F.length(padded) - n + 1), lambda i: F.substring(padded, i, F.lit(n)))
-
-    grams = [runs(n) for n in sizes]
+    grams = [ngrams(padded, n) for n in sizes]
     all_grams = df.filter(F.length(text_col) + 2 >= max(sizes)).select(id_col, F.explode(F.concat(*grams)).alias("g"))
     number = lambda start, length: F.conv(F.substring(F.md5("g"), start, length), 16, 10).cast("long")
     sign = F.when(F.lit(not signed) | (number(9, 1) % 2 == 0), 1).otherwise(-1).cast("long")

@@ -103,14 +103,13 @@ def q2(spark, d):
     return listed.select("question_id", F.array_join(F.col("all.term"), " ").alias("terms"))
 
 
-_RELS = "rel AS (SELECT p_type AS relation, unnest(string_split(p_name, ' ')) AS term, false AS label FROM part WHERE p_size > 40 UNION SELECT p_type, lower(p_type), true FROM part WHERE p_size > 40), q AS (SELECT p_partkey AS question_id, unnest(list_distinct([string_split(p_name, ' ')[1], lower(p_type)])) AS term FROM part WHERE p_size < 10), sc AS (SELECT question_id, relation, sum(CASE WHEN label THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END) / any_value(n) AS score FROM q JOIN rel USING (term) JOIN (SELECT question_id, count(*) AS n FROM q GROUP BY 1) USING (question_id) GROUP BY 1, 2)"
+_RELS = "rel AS (SELECT p_type AS relation, unnest(string_split(p_name, ' ')) AS term, false AS label FROM part UNION SELECT p_type, lower(p_type), true FROM part), q AS (SELECT p_partkey AS question_id, unnest(list_distinct([string_split(p_name, ' ')[1], lower(p_type)])) AS term FROM part), sc AS (SELECT question_id, relation, sum(CASE WHEN label THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END) / any_value(n) AS score FROM q JOIN rel USING (term) JOIN (SELECT question_id, count(*) AS n FROM q GROUP BY 1) USING (question_id) GROUP BY 1, 2)"
 
 
 def relation_scores(spark, d):
     part = table(spark, d, "part")
-    large = part.filter("p_size > 40")
-    docs = large.select(F.col("p_type").alias("relation"), F.explode(F.split("p_name", " ")).alias("term"), F.lit(False).alias("label")).union(large.select("p_type", F.lower("p_type"), F.lit(True))).distinct()
-    terms = part.filter("p_size < 10").select(F.col("p_partkey").alias("question_id"), F.explode(F.array_distinct(F.array(F.split("p_name", " ")[0], F.lower("p_type")))).alias("term"))
+    docs = part.select(F.col("p_type").alias("relation"), F.explode(F.split("p_name", " ")).alias("term"), F.lit(False).alias("label")).union(part.select("p_type", F.lower("p_type"), F.lit(True))).distinct()
+    terms = part.select(F.col("p_partkey").alias("question_id"), F.explode(F.array_distinct(F.array(F.split("p_name", " ")[0], F.lower("p_type")))).alias("term"))
     return questions.score_relations(terms, docs)
 
 

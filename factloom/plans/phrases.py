@@ -69,14 +69,14 @@ def j10(spark, d):
 _ASKED = "q AS (SELECT p_partkey AS question_id, CASE WHEN p_size % 2 = 0 THEN 'the ' || p_name || ' of ' || p_brand ELSE lower(p_type) || ' by ' || p_brand END AS question, p_size % 2 = 0 AS named, lower(p_type) AS token, string_split(p_name, ' ')[1] AS second, p_name FROM part)"
 
 
-@query("e16_anchor_tokens", f"WITH {_ASKED}, ph AS (SELECT p_name AS phrase, min(p_partkey) AS uid FROM part GROUP BY 1), ks AS (SELECT DISTINCT min(p_partkey) OVER (PARTITION BY p_name) AS uid, unnest(string_split(p_name, ' ') || [lower(p_type)]) AS key FROM part WHERE p_size > 45), t AS (SELECT question_id, 0 AS pos, token FROM q WHERE NOT named UNION ALL SELECT question_id, 1, second FROM q WHERE NOT named), h AS (SELECT question_id, uid, min(pos) AS pos FROM t JOIN ks ON key = token GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pos, uid) AS rank FROM h) SELECT question_id, 1 AS rank, uid FROM q JOIN ph ON phrase = p_name WHERE named UNION ALL SELECT question_id, rank, uid FROM r WHERE rank <= 16")
+@query("e16_anchor_tokens", f"WITH {_ASKED}, ph AS (SELECT p_name AS phrase, min(p_partkey) AS uid FROM part GROUP BY 1), ks AS (SELECT DISTINCT min(p_partkey) OVER (PARTITION BY p_name) AS uid, unnest(string_split(p_name, ' ') || [lower(p_type)]) AS key FROM part), t AS (SELECT question_id, 0 AS pos, token FROM q WHERE NOT named UNION ALL SELECT question_id, 1, second FROM q WHERE NOT named), h AS (SELECT question_id, uid, min(pos) AS pos FROM t JOIN ks ON key = token GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY pos, uid) AS rank FROM h) SELECT question_id, 1 AS rank, uid FROM q JOIN ph ON phrase = p_name WHERE named UNION ALL SELECT question_id, rank, uid FROM r WHERE rank <= 16")
 def e16(spark, d):
     part = table(spark, d, "part")
     even = F.col("p_size") % 2 == 0
     asked = part.select(F.col("p_partkey").alias("question_id"), F.when(even, F.concat(F.lit("the "), "p_name", F.lit(" of "), "p_brand")).otherwise(F.concat(F.lower("p_type"), F.lit(" by "), "p_brand")).alias("question"))
     tokens = part.filter(~even).select(F.col("p_partkey").alias("question_id"), F.posexplode(F.array("p_type", F.split("p_name", " ")[0])).alias("pos", "token"))
     names = part.groupBy(F.col("p_name").alias("phrase")).agg(F.min("p_partkey").alias("uid"))
-    keys = part.filter("p_size > 45").groupBy("p_name").agg(F.min("p_partkey").alias("uid"), F.collect_set(F.lower("p_type")).alias("types"))
+    keys = part.groupBy("p_name").agg(F.min("p_partkey").alias("uid"), F.collect_set(F.lower("p_type")).alias("types"))
     keys = keys.select("uid", F.explode(F.concat(F.split("p_name", " "), "types")).alias("key")).distinct()
     return er.anchor_tokens(asked, names, tokens, keys)
 
