@@ -1,6 +1,6 @@
 """Queries of the training-data operators and, where SQL can express them, their DuckDB SQL."""
 
-from . import decontaminate, exact_dedup, licenses, mixture, near_dedup, secrets, substring_dedup, surrogates, toxicity, warc
+from . import decontaminate, divergence, exact_dedup, licenses, line_dedup, mixture, near_dedup, secrets, substring_dedup, surrogates, token_alignment, toxicity, warc
 
 _MODULES = {
     "op1_decontaminate": decontaminate,
@@ -13,6 +13,9 @@ _MODULES = {
     "op8_mixture": mixture,
     "op9_surrogates": surrogates,
     "op10_toxicity": toxicity,
+    "op11_token_alignment": token_alignment,
+    "op12_line_dedup": line_dedup,
+    "op13_source_divergence": divergence,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
