@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +30,15 @@ TOP_TERMS = 200
 SCALE = 1_000_000_000
 #: Counted terms that a task holds, and corrections that it makes at once.
 HELD_TERMS = 400_000
-HELD_NODES = 200_000
+HELD_NODES = 500_000
 #: Paths of a task, on average.
-PATHS = 200_000
+PATHS = 20_000
 
 _LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
 
 
 def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences and documents, summed within tasks; a null term names a group that occurs."""
+    """``lang, source, term, n, docs``: occurrences and documents, summed within tasks; the term '' names a group that occurs."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(empty(lang_col).alias("lang"), empty(source_col).alias("source"), F.col(text_col).cast("binary").alias("body"))
     kinds = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -47,7 +48,7 @@ def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
 
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, documents) in held.items():
-                names = [None, *n]
+                names = ["", *n]
                 columns = [[lang] * len(names), [source] * len(names), names, [0, *n.values()], [0, *(documents[t] for t in n)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
             held.clear()
@@ -89,36 +90,46 @@ def _gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class Paths:
-    """A frequent-pattern tree walked in order of its paths; nodes are (source, share) with their multiplicities."""
+    """A frequent-pattern tree walked in order of its paths; nodes are (source, count) with their multiplicities."""
 
     def __init__(self):
-        self.open: list[list] = []  # [key, source, p, p0, multiplicity] of the present path
         self.lang: str | None = None
-        self.done: list[tuple] = []
-        self.sums: dict[tuple[str, str, str], list[int]] = {}
-        self.n_nodes = 0
+        self.keys: list[tuple[str, int]] = []  # the open nodes, from the root, and their multiplicities so far
+        self.times: list[int] = []
+        self.entries: list[tuple[int, int, int]] = []  # source number, p, p0 of each open node
+        self.numbers: dict[str, int] = {}
+        self.paths: list[tuple[int, int, int]] = []  # entries of paths that were left, end to end
+        self.left: list[tuple[int, int, int]] = []  # start of its path there, depth and multiplicity of each node that was left
+        self.n_above = 0
+        self.sums: dict[tuple[str, str, str], int] = {}
 
     def _leave(self, depth: int) -> None:
-        while len(self.open) > depth:
-            _, source, p, p0, times = self.open.pop()
-            if self.open:
-                self.open[-1][4] += times
-                self.done.append((source, p, p0, times, [x[1:4] for x in self.open]))
-                self.n_nodes += len(self.open)
-
-    def add(self, lang: str, path: list[tuple], times: int) -> None:
-        """``path``: (source, count, p, p0) in order of sources; paths come sorted."""
+        if len(self.keys) <= depth:
+            return
+        start = len(self.paths)
+        self.paths += self.entries
+        for d in range(len(self.keys) - 1, max(depth, 1) - 1, -1):
+            self.times[d - 1] += self.times[d]
+            self.left.append((start, d, self.times[d]))
+            self.n_above += d
+        del self.keys[depth:], self.times[depth:], self.entries[depth:]
+        if self.n_above > HELD_NODES:
+            self._settle()
+
+    def add(self, lang: str, keys: list[tuple[str, int]], shares: list[tuple[int, int]], times: int) -> None:
+        """``keys``: (source, count) in order of sources, ``shares``: their p and p0; paths come sorted."""
         if lang != self.lang:
             self.close()
-            self.lang = lang
-        depth = 0
-        while depth < len(self.open) and depth < len(path) and self.open[depth][0] == path[depth][:2]:
+            self.lang, self.numbers = lang, {}
+        depth, most = 0, min(len(self.keys), len(keys))
+        while depth < most and self.keys[depth] == keys[depth]:
             depth += 1
         self._leave(depth)
-        self.open += [[x[:2], x[0], x[2], x[3], 0] for x in path[depth:]]
-        self.open[-1][4] += times
-        if self.n_nodes > HELD_NODES:
-            self._settle()
+        self.keys += keys[depth:]
+        self.times += [0] * (len(keys) - depth)
+        self.times[-1] += times
+        for (source, _), (p, p0) in zip(keys[depth:], shares[depth:], strict=True):
+            self.entries.append((self.numbers.setdefault(source, len(self.numbers)), p, p0))
 
     def close(self) -> None:
         self._leave(0)
@@ -126,31 +137,26 @@ class Paths:
 
     def _settle(self) -> None:
         """Corrections of the nodes that were left, once per node and ancestor, added up by pair of sources."""
-        if not self.done:
-            return
-        lengths = np.array([len(x[4]) for x in self.done])
-        over = [y for x in self.done for y in x[4]]
-        names: dict[str, int] = {}
-        number = lambda s: names.setdefault(s, len(names))
-        node = np.repeat(np.array([number(x[0]) for x in self.done]), lengths)
-        p, p0, times = (np.repeat(np.array([x[k] for x in self.done], dtype=np.int64), lengths) for k in (1, 2, 3))
-        above = np.array([number(y[0]) for y in over])
-        q, q0 = (np.array([y[k] for y in over], dtype=np.int64) for k in (1, 2))
-        listed = list(names)
-        for a, b, x, x0, y, y0 in ((node, above, p, p0, q, q0), (above, node, q, q0, p, p0)):
-            value = _gap(x, y) - _gap(x, y0) - _gap(x0, y) + _gap(x0, y0)
-            code = a * len(listed) + b
+        if self.left:
+            source, p, p0 = np.array(self.paths, dtype=np.int64).T
+            start, depth, times = np.array(self.left, dtype=np.int64).T
+            node = np.repeat(start + depth, depth)
+            above = np.arange(len(node)) - np.repeat(np.cumsum(depth) - depth, depth) + np.repeat(start, depth)
+            code = source[above] * len(self.numbers) + source[node]
             order = np.argsort(code, kind="stable")
-            starts = np.flatnonzero(np.diff(code[order], prepend=-1))
-            high, low = value[order] >> 20, value[order] & 0xFFFFF
-            # in floating point sums would round, in 64 bits they might not fit: halves are summed as Python numbers where large
-            exact = float(np.abs(high).max(initial=0)) * float(times.max(initial=0)) * len(value) < 2.0**62 and float(times.max(initial=0)) * len(value) < 2.0**42
-            weight = times[order] if exact else times[order].astype(object)
-            tops, rests = np.add.reduceat(high * weight, starts), np.add.reduceat(low * weight, starts)
-            for at, top, rest in zip(starts.tolist(), tops.tolist(), rests.tolist(), strict=True):
-                one, other = divmod(int(code[order[at]]), len(listed))
-                self.sums.setdefault((self.lang, listed[one], listed[other]), [0])[0] += (int(top) << 20) + int(rest)
-        self.done, self.n_nodes = [], 0
+            node, above, code, times = node[order], above[order], code[order], np.repeat(times, depth)[order]
+            starts = np.flatnonzero(np.diff(code, prepend=-1))
+            names, x, x0, y, y0 = list(self.numbers), p[node], p0[node], p[above], p0[above]
+            for (a, a0, b, b0), turned in (((y, y0, x, x0), False), ((x, x0, y, y0), True)):
+                value = _gap(a, b) - _gap(a, b0) - _gap(a0, b) + _gap(a0, b0)
+                # sums must be exact: where 64 bits might not hold them, Python's numbers do
+                fits = float(np.abs(value).max()) * float(times.max()) * len(value) < 2.0**62
+                total = np.add.reduceat(value * times if fits else value.astype(object) * times.astype(object), starts)
+                for pair, more in zip(code[starts].tolist(), total.tolist(), strict=True):
+                    one, other = divmod(pair, len(names))
+                    key = (self.lang, names[other], names[one]) if turned else (self.lang, names[one], names[other])
+                    self.sums[key] = self.sums.get(key, 0) + more
+        self.paths, self.left, self.n_above = [], [], 0
 
 
 def pair_corrections(paths: DataFrame) -> DataFrame:
@@ -158,18 +164,20 @@ def pair_corrections(paths: DataFrame) -> DataFrame:
     kinds = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.decimal128(38, 0))])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from decimal import Decimal
-
         tree = Paths()
 
         def told() -> pa.RecordBatch:
-            rows = [(*key, Decimal(value)) for key, (value,) in tree.sums.items()]
+            rows = [(*key, Decimal(value)) for key, value in tree.sums.items()]
             tree.sums = {}
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kinds)], schema=kinds)
 
         for batch in batches:
-            for lang, path, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                tree.add(lang, [(x["source"], x["n"], x["p"], x["p0"]) for x in path], times)
+            lists = batch.column(1)
+            flat, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            fields = [flat.field(k).to_pylist() for k in range(4)]
+            keys, shares = list(zip(*fields[:2], strict=True)), list(zip(*fields[2:], strict=True))
+            for k, (lang, times) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                tree.add(lang, keys[ends[k] : ends[k + 1]], shares[ends[k] : ends[k + 1]], times)
             if len(tree.sums) > HELD_TERMS:
                 yield told()
         tree.close()
@@ -191,11 +199,13 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     # dealt by term once: a term has one row per task and source, and then one per source, which bounds its list
     counted = term_counts(docs, text_col, lang_col, source_col).repartition("lang", "term")
     sums = counted.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # rare terms, which are most, go before lists are made; both sides lie by term already, and read one shuffle
+    kept = sums.groupBy("lang", "term").agg(F.sum("docs").alias("all_docs"), F.sum("n").alias("all_n")).filter((F.col("all_docs") >= least_docs) | (F.col("term") == ""))
+    found = sums.join(kept.hint("shuffle_hash"), ["lang", "term"])
     path = F.array_sort(F.collect_list(F.struct("source", "n"))).alias("path")
-    listed = sums.groupBy("lang", "term").agg(path, F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-    listed = materialize(listed.filter((F.col("docs") >= least_docs) | F.col("term").isNull()).drop("docs"), "audit-rows")
-    occurring = listed.filter("term is null").select("lang", F.explode("path.source").alias("source"))
-    rows = listed.filter("term is not null")
+    listed = materialize(found.groupBy("lang", "term").agg(path, F.first("all_n").alias("n"), F.sum("docs").alias("docs")), "audit-rows")
+    occurring = listed.filter("term = ''").select("lang", F.explode("path.source").alias("source"))
+    rows = listed.filter("term <> ''").drop("docs")
 
     langs = rows.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("lang_total"))
     totals = rows.select("lang", F.inline("path")).groupBy("lang", "source").agg(F.sum("n").alias("total"))
