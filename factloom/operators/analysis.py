@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage
+from ..runtime import cut_lineage, written
 
 
 def reachable(edges: DataFrame, roots: DataFrame, max_hops: int | None = None, directed: bool = False) -> DataFrame:
@@ -68,18 +68,113 @@ def orphans(nodes: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
     return nodes.select("uid").join(alive, "uid", "left_anti")
 
 
-def has_cycle(edges: DataFrame, max_rounds: int = 1000) -> bool:
-    """Whether directed edges ``e1, e2`` hold a cycle: nodes without an incoming edge are peeled off until none is left to peel."""
-    rest = cut_lineage(edges.select("e1", "e2").distinct())
-    for _ in range(max_rounds):
-        if rest.isEmpty():
-            return False
-        heads = rest.select(F.col("e2").alias("e1")).distinct()
-        left = cut_lineage(rest.join(heads, "e1", "left_semi"))
-        if left.count() == rest.count():
-            return True
-        rest = left
-    raise ValueError("the longest path exceeds max_rounds")
+def _state(df: DataFrame, *columns: str) -> tuple[int, int]:
+    """Number of rows and a sum of hashes, by which two steps of a loop are told apart."""
+    n, total = df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64(*columns), F.lit(1 << 40)))).first()
+    return n, total or 0
+
+
+def _chains(edges: DataFrame) -> DataFrame:
+    """``uid, up, down, low`` of every node with one edge in and one out: the ends of its chain, found by doubling.
+
+    ``up`` and ``down`` are the nearest nodes above and below that are no such nodes; on a ring without any they are null,
+    and ``low`` is the ring's smallest node.
+    """
+    into = edges.groupBy(F.col("e2").alias("uid")).agg(F.count("*").alias("n_in"), F.min("e1").alias("up"))
+    out = edges.groupBy(F.col("e1").alias("uid")).agg(F.count("*").alias("n_out"), F.min("e2").alias("down"))
+    links = into.join(out, "uid").filter("n_in = 1 and n_out = 1").select("uid", "up", "down")
+    links = written(links)
+    inner = links.select(F.col("uid").alias("inner"))
+    ends = links.join(inner.withColumnRenamed("inner", "up").withColumn("u", F.lit(True)), "up", "left").join(inner.withColumnRenamed("inner", "down").withColumn("d", F.lit(True)), "down", "left")
+    # a pointer is open while it leads to a node that is itself in a chain
+    rows = ends.select("uid", "up", F.col("u").isNotNull().alias("up_open"), "down", F.col("d").isNotNull().alias("down_open"), F.col("uid").alias("low"))
+    rows = written(rows)
+    before = None
+    while True:
+        now = _state(rows.filter("up_open or down_open"), "uid", "low", "up_open", "down_open")
+        if not now[0] or now == before:
+            break
+        before = now
+        # closed pointers, which come to be most and name few nodes, take no part in the joins
+        there = lambda way: rows.select(F.col("uid").alias(f"{way}_at"), F.col(way).alias(f"{way}_next"), F.col(f"{way}_open").alias(f"{way}_on"), F.col("low").alias(f"{way}_low"))
+        met = rows.join(there("up"), F.when(F.col("up_open"), F.col("up")) == F.col("up_at"), "left").join(there("down"), F.when(F.col("down_open"), F.col("down")) == F.col("down_at"), "left")
+        jump = lambda way: [F.when(F.col(f"{way}_open"), F.col(f"{way}_next")).otherwise(F.col(way)).alias(way), (F.col(f"{way}_open") & F.col(f"{way}_on")).alias(f"{way}_open")]
+        low = F.least("low", F.when(F.col("up_open"), F.col("up_low")), F.when(F.col("down_open"), F.col("down_low")))
+        rows = written(met.select("uid", *jump("up"), *jump("down"), low.alias("low")))
+    return rows.select("uid", F.when(~F.col("up_open"), F.col("up")).alias("up"), F.when(~F.col("down_open"), F.col("down")).alias("down"), "low")
+
+
+def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``uid, label`` with each node's smallest label of all that reach it over ``e1, e2``."""
+    before = None
+    while True:
+        heard = labels.join(edges, F.col("uid") == F.col("e1")).groupBy(F.col("e2").alias("uid")).agg(F.min("label").alias("heard"))
+        labels = written(labels.join(heard, "uid", "left").select("uid", F.least("label", "heard").alias("label")))
+        now = _state(labels, "uid", "label")
+        if now == before:
+            return labels
+        before = now
+
+
+def _core_cycles(edges: DataFrame) -> DataFrame:
+    """``uid, component`` of the nodes of a graph's strongly connected components of several nodes, by forward and backward labels."""
+    found = None
+    while True:
+        # what has no edge in or none out lies on no cycle
+        before = None
+        while True:
+            edges = written(edges.join(edges.select(F.col("e2").alias("e1")).distinct(), "e1", "left_semi").join(edges.select(F.col("e1").alias("e2")).distinct(), "e2", "left_semi").select("e1", "e2"))
+            now = _state(edges, "e1", "e2")
+            if now == before:
+                break
+            before = now
+        if edges.isEmpty():
+            return found
+        nodes = edges.select(F.explode(F.array("e1", "e2")).alias("uid")).distinct()
+        colors = _spread(edges, nodes.select("uid", F.col("uid").alias("label")))
+        # within one color, what reaches the node that gave it is a component
+        side = lambda end: colors.select(F.col("uid").alias(end), F.col("label").alias(f"c_{end}"))
+        same = written(edges.join(side("e1"), "e1").join(side("e2"), "e2").filter("c_e1 = c_e2").select(F.col("e2").alias("e1"), F.col("e1").alias("e2"), "c_e1"))
+        seeds = colors.select("uid", F.when(F.col("uid") == F.col("label"), F.col("label")).alias("label"))
+        part = _spread(same.select("e1", "e2"), seeds).filter("label is not null").select("uid", F.col("label").alias("component"))
+        part = written(part.join(part.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1"), "component", "left_semi").select("uid", "component"))
+        found = part if found is None else found.unionByName(part)
+        done = colors.join(part, "uid", "left_anti").filter("uid <> label").select("uid")
+        # components are complete: what is left are other nodes of each color
+        edges = written(same.select(F.col("e2").alias("e1"), F.col("e1").alias("e2")).join(done.withColumnRenamed("uid", "e1"), "e1", "left_semi").join(done.withColumnRenamed("uid", "e2"), "e2", "left_semi"))
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """``uid, component``: the nodes that lie on a cycle of directed edges ``e1, e2``, with the smallest node of their part.
+
+    Chains are shortened to one edge by doubling pointers, so their length counts by its logarithm; rings are found
+    there, too. Then nodes without an edge in or out are peeled, and what is left is split into strongly connected
+    components by labels that spread forward and back; a chain lies on a cycle if its ends lie in one component. A
+    part's name is its smallest node that is no inner node of a chain. Edges with a null end are left out.
+    """
+    rows = written(edges.filter("e1 is not null and e2 is not null").select("e1", "e2").distinct())
+    loops = rows.filter("e1 = e2").select(F.col("e1").alias("uid"))
+    plain = rows.filter("e1 <> e2")
+    chains = written(_chains(plain))
+    rings = chains.filter("up is null").select("uid", F.col("low").alias("component"))
+    inner = chains.select("uid")
+    direct = plain.join(inner.withColumnRenamed("uid", "e1"), "e1", "left_anti").join(inner.withColumnRenamed("uid", "e2"), "e2", "left_anti")
+    bridges = chains.filter("up is not null and down is not null")
+    short = direct.unionByName(bridges.select(F.col("up").alias("e1"), F.col("down").alias("e2"))).distinct()
+    core = _core_cycles(short.filter("e1 <> e2"))
+    alone = short.filter("e1 = e2").select(F.col("e1").alias("uid")).unionByName(loops).distinct()
+    alone = alone if core is None else alone.join(core, "uid", "left_anti")
+    named = alone.select("uid", F.col("uid").alias("component"))
+    named = written(named if core is None else named.unionByName(core))
+    of = lambda end: named.select(F.col("uid").alias(end), F.col("component").alias(f"c_{end}"))
+    inside = bridges.join(of("up"), "up").join(of("down"), "down").filter("c_up = c_down").select("uid", F.col("c_up").alias("component"))
+    rings = rings.join(loops, "uid", "left_anti")
+    return named.join(rings, "uid", "left_anti").unionByName(inside.join(named, "uid", "left_anti")).unionByName(rings)
+
+
+def has_cycle(edges: DataFrame) -> bool:
+    """Whether directed edges ``e1, e2`` hold a cycle (see :func:`cycle_nodes`)."""
+    return not cycle_nodes(edges).isEmpty()
 
 
 def closure(edges: DataFrame, max_hops: int | None = None) -> DataFrame:

@@ -109,13 +109,15 @@ def activate(name: Column, *args: Column) -> Column:
     return out
 
 
-def tick(messages: DataFrame, nodes: DataFrame, damping: float = 0.4, eta: Column | float = 0.5, decay: Column | float = 0.1, activation: Column | str = "linear", association: Column | float = 0.4) -> tuple[DataFrame, DataFrame]:
+def tick(messages: DataFrame, nodes: DataFrame, damping: float = 0.4, eta: Column | float = 0.5, decay: Column | float = 0.1, activation: Column | str = "linear", association: Column | float = 0.4, written: bool = False) -> tuple[DataFrame, DataFrame]:
     """New messages and node states. Nodes: ``run_id, uid, lam, x`` (evidence and activation).
 
     Further columns stay, so parameters of runs may be columns: eta, decay, activation of nodes, association of messages.
+    With ``written`` the messages are checkpointed before states are made of them, so neither is computed twice.
     """
     column = lambda v: v if isinstance(v, Column) else F.lit(v)
     out = to_member(to_factor(messages, nodes, damping), damping, association)
+    out = cut_lineage(out) if written else out
     state = nodes.drop("odds").join(received(out), ["run_id", "uid"], "left")
     signal, odds = F.coalesce("z", F.lit(0.0)), F.coalesce("odds", F.lit(0.0))
     x = activate(column(activation), F.col("x"), signal, 1 - F.exp(-F.col("lam")), column(eta), column(decay))
@@ -129,34 +131,82 @@ def fade(nodes: DataFrame, share: float = 0.5) -> DataFrame:
     return nodes.withColumn("lam", F.when(left < 1e-6, 0.0).otherwise(left))
 
 
-def sweep(members: DataFrame, evidence: DataFrame, grid: DataFrame, ticks: int = 20, damping: float = 0.4, eta: float = 0.5) -> DataFrame:
+def sweep(members: DataFrame, evidence: DataFrame, grid: DataFrame, ticks: int = 20, damping: float = 0.4, eta: float = 0.5, epsilon: float | None = None) -> DataFrame:
     """``run_id, tick, uid, x`` of every run of a grid ``run_id, activation, decay, association``, all in one job per tick.
 
+    With an ``epsilon`` a run's history ends when it has converged (see :func:`settle`).
+
     Evidence is ``uid, lam`` and the same for each run. Thresholds need no run of their own: they are applied to the history.
     """
     messages = init(members, grid).join(grid.select("run_id", "association"), "run_id")
     nodes = members.select("uid").distinct().crossJoin(F.broadcast(grid.select("run_id", "activation", "decay"))).join(evidence, "uid", "left")
     nodes = nodes.select("run_id", "uid", F.coalesce("lam", F.lit(0.0)).alias("lam"), F.lit(0.5).alias("belief"), F.lit(0.0).alias("x"), "activation", "decay")
+    step = lambda m, n: tick(m, fade(n), damping, eta, F.col("decay"), F.col("activation"), F.col("association"), written=True)
+    seen: list[DataFrame] = []
+    settle(messages, nodes, step, ticks, -1.0 if epsilon is None else epsilon, seen)
     history = None
-    for no in range(1, ticks + 1):
-        messages, nodes = tick(messages, fade(nodes), damping, eta, F.col("decay"), F.col("activation"), F.col("association"))
-        messages, nodes = cut_lineage(messages), cut_lineage(nodes)
-        now = nodes.select("run_id", F.lit(no).cast("long").alias("tick"), "uid", "x")
+    for nodes in seen:
+        now = nodes.select("run_id", "tick", "uid", "x")
         history = now if history is None else history.unionByName(now)
     return history
 
 
 def run(members: DataFrame, evidence: DataFrame, ticks: int = 20, damping: float = 0.4, eta: float = 0.5, decay: float = 0.1, evidence_decay: float = 0.5, cut_every: int = 2) -> DataFrame:
     """``run_id, uid, belief, x`` after ``ticks``; evidence is ``run_id, uid, lam`` and fades before each tick."""
+    messages, nodes = start(members, evidence)
+    for no in range(1, ticks + 1):
+        cut = no % cut_every == 0 and no < ticks
+        messages, nodes = tick(messages, fade(nodes, evidence_decay), damping, eta, decay, written=cut)
+        nodes = cut_lineage(nodes) if cut else nodes
+    return nodes.select("run_id", "uid", "belief", "x")
+
+
+def start(members: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Messages and nodes before the first tick, for the runs that ``evidence`` names."""
     runs = evidence.select("run_id").distinct()
-    messages = init(members, runs)
     nodes = members.select("uid").distinct().crossJoin(F.broadcast(runs)).join(evidence, ["run_id", "uid"], "left")
-    nodes = nodes.select("run_id", "uid", F.coalesce("lam", F.lit(0.0)).alias("lam"), F.lit(0.5).alias("belief"), F.lit(0.0).alias("x"))
+    return init(members, runs), nodes.select("run_id", "uid", F.coalesce("lam", F.lit(0.0)).alias("lam"), F.lit(0.5).alias("belief"), F.lit(0.0).alias("x"))
+
+
+def settle(messages: DataFrame, nodes: DataFrame, step: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], ticks: int, epsilon: float, seen: list[DataFrame] | None = None) -> DataFrame:
+    """``nodes`` after at most ``ticks`` steps with ``ticks``, the tick at which the run ended. A step writes its messages.
+
+    A run ends at the first tick after the first at which no activation changes by more than ``epsilon``; its messages
+    and nodes then leave the job, and the others go on. Each tick is written once and costs one small aggregate, a row
+    per run; only the numbers of runs that go on and that end come to the driver. ``seen`` collects each tick's nodes.
+    """
+    done = None
     for no in range(1, ticks + 1):
-        messages, nodes = tick(messages, fade(nodes, evidence_decay), damping, eta, decay)
-        if no % cut_every == 0 and no < ticks:
-            messages, nodes = cut_lineage(messages), cut_lineage(nodes)
-    return nodes.select("run_id", "uid", "belief", "x")
+        messages, nodes = step(messages, nodes.withColumn("_was", F.col("x")))
+        nodes = cut_lineage(nodes)
+        if seen is not None:
+            seen.append(nodes.withColumn("tick", F.lit(no).cast("long")))
+        ended = None
+        if no == ticks:
+            ended = nodes
+        elif no > 1:
+            change = nodes.groupBy("run_id").agg(F.max(F.abs(F.col("x") - F.col("_was"))).alias("change"))
+            # at most MAX_RUNS rows
+            still = F.broadcast(cut_lineage(change.select("run_id", (F.col("change") <= epsilon).alias("stops"))))
+            going, stopping = still.agg(F.count(F.when(~F.col("stops"), 1)), F.count(F.when(F.col("stops"), 1))).first()
+            if stopping:
+                ended = nodes.join(still.filter("stops"), "run_id", "left_semi")
+                nodes = nodes.join(still.filter("stops"), "run_id", "left_anti")
+                messages = messages.join(still.filter("stops"), "run_id", "left_anti")
+        if ended is not None:
+            ended = ended.drop("_was", "odds").withColumn("ticks", F.lit(no).cast("long"))
+            done = ended if done is None else done.unionByName(ended)
+        if no == ticks or (no > 1 and not going):
+            return done
+        nodes = nodes.drop("_was")
+    return nodes.withColumn("ticks", F.lit(0).cast("long"))
+
+
+def converge(members: DataFrame, evidence: DataFrame, ticks: int = 20, epsilon: float = 1e-3, damping: float = 0.4, eta: float = 0.5, decay: float = 0.1, evidence_decay: float = 0.5) -> DataFrame:
+    """``run_id, uid, belief, x, ticks``: :func:`run` in which every run ends when it has converged (see :func:`settle`)."""
+    messages, nodes = start(members, evidence)
+    step = lambda m, n: tick(m, fade(n, evidence_decay), damping, eta, decay, written=True)
+    return settle(messages, nodes, step, ticks, epsilon).select("run_id", "uid", "belief", "x", "ticks")
 
 
 def compete_global(states: DataFrame, s: float = 0.2) -> DataFrame:

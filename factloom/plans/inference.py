@@ -7,8 +7,8 @@ from itertools import product
 from pyspark.sql import functions as F
 
 from ..operators import belief, graph, nary
-from .purchase import FACTS, PARAMS, ROLES, factors, facts, table
-from .registered import query
+from .purchase import FACTS, LINKS, PARAMS, ROLES, factors, facts, table
+from .registered import first_orders, follow_members, query
 
 # a member's message, from the number in its name
 _P = "((CAST(substr(uid, 2) AS BIGINT) * 37 % 97 + 1) / 98.0::DOUBLE)"
@@ -129,3 +129,40 @@ def b30(spark, d):
     s = states(spark, d).withColumn("belief", F.col("x"))
     out = belief.report(s.withColumn("belief", F.lit(0.5)), s)
     return out.select("run_id", F.round("change", 6).alias("change"), "nodes", "active", F.round("top_belief", 6).alias("top_belief"))
+
+
+_STEPS = 4
+#: Evidence of each run, by what a run's first orders weigh; strong evidence moves its run longer.
+_WEIGHTS = {"weak": 0.001, "middle": 0.05, "strong": 3.0}
+_EPSILON = 0.12
+
+
+def _settled_sql() -> str:
+    """Unrolled ticks of all runs; a run's rows are those of the first tick (after the first) with no change above epsilon."""
+    out = [
+        "run AS (SELECT unnest(['weak', 'middle', 'strong']) AS run_id, unnest([0.001::DOUBLE, 0.05::DOUBLE, 3.0::DOUBLE]) AS weight)",
+        "mem AS (SELECT run_id, fid, e1 AS uid, 0 AS pos FROM links, run UNION ALL SELECT run_id, fid, e2, 1 FROM links, run)",
+        "seed AS (SELECT run_id, 'O' || arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS uid, any_value(weight) AS lam FROM orders, run GROUP BY run_id, o_custkey)",
+        "m0 AS (SELECT run_id, fid, uid, pos, 0.5::DOUBLE AS v, 0.5::DOUBLE AS f FROM mem)",
+        "n0 AS (SELECT run_id, uid, coalesce(lam, 0.0) AS lam, 0.5::DOUBLE AS belief, 0.0::DOUBLE AS x, 0.0::DOUBLE AS was FROM (SELECT DISTINCT run_id, uid FROM mem) LEFT JOIN seed USING (run_id, uid))",
+    ]
+    for k in range(1, _STEPS + 1):
+        p = k - 1
+        out += [
+            f"d{k} AS (SELECT run_id, uid, x, CASE WHEN lam * 0.5 < 1e-6 THEN 0 ELSE lam * 0.5 END AS lam FROM n{p})",
+            f"v{k} AS (SELECT m.run_id, fid, m.uid, pos, f, 0.6 / (1 + exp(-(lam + sum(ln(f / (1 - f))) OVER (PARTITION BY m.run_id, m.uid) - ln(f / (1 - f))))) + 0.4 * v AS v FROM m{p} m JOIN d{k} d ON m.uid = d.uid AND m.run_id = d.run_id)",
+            f"m{k} AS (SELECT run_id, fid, uid, pos, v, 0.6 * (0.5 + (sum(v) OVER (PARTITION BY run_id, fid) - v - 0.5) * CASE WHEN pos = 1 THEN 0.8 ELSE 0.1 END) + 0.4 * f AS f FROM v{k})",
+            f"n{k} AS (SELECT d.run_id, d.uid, lam, 1 / (1 + exp(-(lam + sum(ln(f / (1 - f)))))) AS belief, least(1, greatest(0, 0.9 * any_value(x) + 0.5 * sum(greatest(0, 2 * f - 1)) + (1 - exp(-lam)))) AS x, any_value(x) AS was FROM d{k} d JOIN m{k} m ON d.uid = m.uid AND d.run_id = m.run_id GROUP BY d.run_id, d.uid, lam)",
+        ]
+    ticks = " UNION ALL ".join(f"SELECT run_id, {k} AS ticks, uid, belief, x, was FROM n{k}" for k in range(1, _STEPS + 1))
+    stops = f"SELECT run_id, min(ticks) AS ticks FROM (SELECT run_id, ticks, max(abs(x - was)) AS change FROM h GROUP BY ALL) WHERE (ticks > 1 AND change <= {_EPSILON}::DOUBLE) OR ticks = {_STEPS} GROUP BY run_id"
+    return f"WITH {LINKS}, {', '.join(out)}, h AS ({ticks}), s AS ({stops}) SELECT run_id, uid, round(belief, 6) AS belief, round(x, 6) AS x, CAST(ticks AS BIGINT) AS ticks FROM h JOIN s USING (run_id, ticks)"
+
+
+@query("b26_converged_runs", _settled_sql())
+def b26_converged(spark, d):
+    """Three runs in one job, of which each leaves it when it has converged."""
+    weights = spark.createDataFrame(list(_WEIGHTS.items()), "run_id string, lam double")
+    evidence = first_orders(spark, d).select("uid").crossJoin(F.broadcast(weights)).select("run_id", "uid", "lam")
+    out = belief.converge(follow_members(spark, d), evidence, _STEPS, _EPSILON)
+    return out.withColumn("belief", F.round("belief", 6)).withColumn("x", F.round("x", 6))
