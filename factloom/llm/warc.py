@@ -49,13 +49,28 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _plain_record(data: bytes, at: int) -> tuple[int, dict | str]:
+class _Ahead:
+    """The first place of something at or behind a position. Positions only grow, so each part of the data is searched once."""
+
+    def __init__(self, size: int, search: Callable[[int], int]):
+        self.size, self.search, self.found = size, search, -1
+
+    def __call__(self, at: int) -> int:
+        if self.found < at:
+            place = self.search(at)
+            self.found = place if place >= 0 else self.size
+        return self.found
+
+
+def _plain_record(data: bytes, at: int, blank: _Ahead) -> tuple[int, dict | str]:
     """(end, record) of the record that starts at ``at``, or (at, reason) if a check fails."""
     if not _VERSION.match(data, at):
         return at, "no version line"
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
+    stop = blank(at)
+    if stop >= len(data):
         return at, "header has no end"
+    if _VERSION.search(data, at + 1, stop + 2):  # the nearest one ends the search
+        return at, "malformed header line"
     fields: dict[str, str] = {}
     for line in data[at:stop].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -110,6 +125,14 @@ def _member(data: bytes, at: int) -> tuple[int, bytes | None]:
 def salvage(data: bytes, nested: bool = False) -> Iterator[tuple[int, int, dict | None, str | None]]:
     """(start, end, record, gap reason) of all records and gaps of an archive, in order; a gap has no record."""
     at, gap_from, reason = 0, None, None
+    blank = _Ahead(len(data), lambda k: data.find(b"\r\n\r\n", k))
+    member = _Ahead(len(data), lambda k: -1 if nested else data.find(_MEMBER, k))
+
+    def next_version(k: int) -> int:
+        match = _VERSION.search(data, k)
+        return match.start() if match else -1
+
+    version = _Ahead(len(data), next_version)
     while at < len(data):
         found: list[tuple[int, int, dict | None, str | None]] = []
         end = at
@@ -122,7 +145,7 @@ def salvage(data: bytes, nested: bool = False) -> Iterator[tuple[int, int, dict
                 found = [(at, end, r, None if g is None else f"in member: {g}") for _, _, r, g in inner]
                 why = None
         else:
-            end, got = _plain_record(data, at)
+            end, got = _plain_record(data, at, blank)
             why = got if isinstance(got, str) else None
             if why is None:
                 found = [(at, end, got, None)]
@@ -135,9 +158,7 @@ def salvage(data: bytes, nested: bool = False) -> Iterator[tuple[int, int, dict
             continue
         if gap_from is None:
             gap_from, reason = at, why
-        version = _VERSION.search(data, at + 1)
-        member = -1 if nested else data.find(_MEMBER, at + 1)
-        at = min([x for x in (version.start() if version else -1, member) if x >= 0], default=len(data))
+        at = min(version(at + 1), member(at + 1))
     if gap_from is not None:
         yield gap_from, len(data), None, reason
 

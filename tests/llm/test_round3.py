@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import re
 from collections import Counter, defaultdict
 
 import duckdb
@@ -12,7 +11,7 @@ import sentencepiece
 import tokenizers
 from pyspark.sql import functions as F
 
-from factloom.llm import divergence, line_dedup
+from factloom.llm import divergence, line_dedup, warc
 from factloom.llm import token_alignment as ta
 
 SCHEMA = "doc_id long, text string, lang string, source string, chunk string, pair long, rank int"
@@ -175,4 +174,40 @@ def test_words_are_split_as_the_tokenizer_merges():
         whole = pair.second.encode(text)
         lossless = b"".join(pair.bytes_b[i] for i in whole) == b" " + text.encode()
         assert b[0].tolist() == (whole if lossless else []) and bool(len(a[0])) == lossless
-    assert not re.search("x", "") and pair.encode([b"\xff bad"])[0][0].tolist() == []
+    assert pair.encode([b"\xff bad"])[0][0].tolist() == []
+
+
+def test_salvage_grows_in_proportion():
+    """Damaged bytes of every kind that starts a search: each part of them is searched once."""
+    import time
+
+    payload = b"<html>kept</html>"
+    good = warc.record(1, "http://a", payload, warc.base32_sha1(payload), len(payload), None, False) + b"\n"
+    for unit in (b"WARC/1.1\r\n", b"\x1f\x8b\x08 no member ", b"WARC/1.0\r\nContent-Length: 5\r\n", b"WARC/1.1\r\nContent-Length: x\r\n\r\n"):
+        junk = unit * ((4 << 20) // len(unit))
+        for tail in (b"", b"\r\n\r\n"):
+            began = time.time()
+            found = list(warc.salvage(good + junk + tail + good))
+            assert time.time() - began < 30
+            assert [x[2]["payload"] for x in found if x[2]] == [payload] * 2
+            assert [(a, b) for a, b, r, _ in found if r is None] == [(len(good), len(good + junk + tail))]
+
+
+def test_damaged_archives_of_equal_payloads(spark, tmp_path):
+    """Revisits and responses behind a damaged record are read, and the gap is logged with its bytes."""
+    pages = spark.createDataFrame([(k, f"http://{k}", "same" if k % 3 else f"own {k}") for k in range(1, 40)], "page_id long, url string, html string")
+    path = str(tmp_path / "archive")
+    warc.write_warc(pages, path)
+    whole = {(r.record_id, r.record_type) for r in warc.read_warc(spark, path).collect()}
+    assert sum(kind == "revisit" for _, kind in whole) == 25
+    name = max((p for p in (tmp_path / "archive").rglob("part-*") if p.suffix != ".crc"), key=lambda p: p.stat().st_size)
+    data = bytearray(name.read_bytes())
+    at = data.index(b"Content-Length", len(data) // 2)
+    data[at : at + 14] = b"Content-Lxngth"
+    name.write_bytes(bytes(data))
+    crc = name.with_name(f".{name.name}.crc")
+    crc.unlink(missing_ok=True)
+    rows = warc.read_warc(spark, str(tmp_path / "archive")).collect()
+    gaps = [r for r in rows if r.gap is not None]
+    assert len(gaps) == 1 and gaps[0].end > gaps[0].start
+    assert len({(r.record_id, r.record_type) for r in rows if r.gap is None}) == len(whole) - 1
