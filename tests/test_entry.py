@@ -15,7 +15,8 @@ def test_oracles_belong_to_queries():
 
 
 def test_entry_imports_without_the_llm_folders(tmp_path):
-    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(f"{ROOT}/{name}", tmp_path)
     shutil.copytree(f"{ROOT}/factloom", tmp_path / "factloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     code = "import __spark_entry__ as e; assert e.llm is None; assert 'r5_purchase_parts' in e.queries(); assert not [q for q in e.queries() if q.startswith('op')]"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
