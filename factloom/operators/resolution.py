@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import canonical_label, fold
+from ..runtime import cut_lineage
+from . import similar
 
 #: An inflected form may add so many letters, or differ within the last fifth of the longer one.
 EXTRA, SHARED = 3, 0.8
@@ -235,36 +237,37 @@ def anchor_tokens(questions: DataFrame, phrases: DataFrame, tokens: DataFrame, k
     return once.withColumn("rank", rank).filter(F.col("rank") <= most).select("question_id", "rank", "uid")
 
 
-def similar_names(mentions: DataFrame, catalog: DataFrame, size: int = 3) -> DataFrame:
+def similar_names(mentions: DataFrame, catalog: DataFrame, size: int = 3, tile: int = similar.TILE) -> DataFrame:
     """``mention_id, uid, score``: each mention's most similar name by shared character runs (Dice coefficient).
 
-    Both sides are inverted to their distinct runs, so only names with a common run meet; counts are combined before
-    the shuffle. Equal scores go to the smallest uid; a mention that shares no run has no row.
+    An exact join by levels of similarity (:mod:`.similar`): only starts of the lists of runs meet, rare runs first.
+    Equal scores go to the smallest uid; a mention that shares no run has no row.
     """
 
-    def runs(df: DataFrame, key: str, text: str) -> DataFrame:
+    def runs(df: DataFrame, keys: list[str], text: str) -> DataFrame:
         padded = F.concat(F.lit(" "), fold(F.col(text)), F.lit(" "))
         cut = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(padded) - size + 1)), lambda i: F.substring(padded, i, F.lit(size)))
-        return df.select(key, F.array_distinct(cut).alias("runs")).select(key, F.size("runs").alias(f"{key}_n"), F.explode("runs").alias("run"))
+        return df.select(*keys, F.explode(F.array_distinct(cut)).alias("token"))
 
     # one row for equal mentions: they have the same answer
-    said = mentions.select(fold(F.col("mention")).alias("said")).filter("said <> ''").distinct()
-    met = runs(said, "said", "said").join(runs(catalog.select("uid", "name").distinct(), "uid", "name"), "run")
-    score = met.groupBy("said", "uid", "said_n", "uid_n").agg(F.count("*").alias("n")).select("said", "uid", (2 * F.col("n") / (F.col("said_n") + F.col("uid_n"))).alias("score"))
-    best = score.groupBy("said").agg(F.max(F.struct("score", (-F.col("uid")).alias("back"))).alias("best"))
-    return mentions.withColumn("said", fold(F.col("mention"))).join(best, "said").select("mention_id", (-F.col("best.back")).alias("uid"), "best.score")
+    said = runs(mentions.select(fold(F.col("mention")).alias("said")).filter("said <> ''").distinct(), ["said"], "said")
+    names = runs(catalog.select("uid", "name").distinct(), ["uid", "name"], "name")
+    frequent = similar.frequent_tokens(said, names)
+    lists = cut_lineage(similar.ordered(said, ["said"], frequent)), cut_lineage(similar.ordered(names, ["uid", "name"], frequent))
+    best = similar.best_dice(*lists, "said", "uid", tile=tile)
+    return mentions.withColumn("said", fold(F.col("mention"))).join(best, "said").select("mention_id", "uid", "score")
 
 
-def nearest_relations(labels: DataFrame, known: DataFrame, least: float = 0.55) -> DataFrame:
-    """``raw, canonical, confidence``: the registered relation whose vector has the largest cosine, if at least ``least``.
+def nearest_relations(labels: DataFrame, known: DataFrame, least: float = 0.55, tile: int = similar.TILE) -> DataFrame:
+    """``raw, canonical, confidence``: the registered relation whose vector has the largest cosine, if at least ``least`` (above 0).
 
-    Vectors are sparse, ``raw, slot, v`` and ``canonical, slot, v``, and meet on their slots. Ties go to the smaller name.
+    Vectors are sparse, ``raw, slot, v`` and ``canonical, slot, v``, and meet on starts of their slots, rare slots first.
+    Ties go to the smaller name.
     """
-    length = lambda df, key: df.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias(f"{key}_len"))
-    dots = labels.withColumnRenamed("v", "a").join(known.withColumnRenamed("v", "b"), "slot").groupBy("raw", "canonical").agg(F.sum(F.col("a") * F.col("b")).alias("dot"))
-    scored = dots.join(length(labels, "raw"), "raw").join(length(known, "canonical"), "canonical")
-    scored = scored.select("raw", "canonical", F.round(F.col("dot") / (F.col("raw_len") * F.col("canonical_len")), 9).alias("confidence")).filter(F.col("confidence") >= least)
-    best = scored.groupBy("raw").agg(F.min(F.struct((-F.col("confidence")).alias("back"), "canonical")).alias("best"))
+    sides = labels.select("raw", F.col("slot").alias("token"), "v"), known.select("canonical", F.col("slot").alias("token"), "v")
+    frequent = similar.frequent_tokens(*sides)
+    scored = similar.cosine_pairs(similar.ordered(sides[0], ["raw"], frequent), similar.ordered(sides[1], ["canonical"], frequent), least, tile)
+    best = scored.groupBy("raw").agg(F.min(F.struct((-F.col("score")).alias("back"), "canonical")).alias("best"))
     return best.select("raw", "best.canonical", (-F.col("best.back")).alias("confidence"))
 
 
