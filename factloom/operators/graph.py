@@ -10,6 +10,9 @@ from ..functions.scalars import clip
 # Parameters of a relation without properties.
 BASE = {"transmission": 0.5, "decay": 0.1, "directionality": 0.5, "selectivity": 0.5, "persistence": 0.5}
 
+#: Members of a factor that are held as one array.
+TILE = 512
+
 
 def incidence(facts: DataFrame, roles: list[tuple[str, str]], fid: str = "fid", keep: tuple[str, ...] = ()) -> DataFrame:
     """``fid, uid, pos, role`` and columns to ``keep`` from a wide fact table; null fillers are left out. No shuffle."""
@@ -42,18 +45,52 @@ def with_transmission(factors: DataFrame) -> DataFrame:
     return factors.withColumn("forward", clip(F.col("transmission") * ahead * bias)).withColumn("backward", clip(F.col("transmission") * back * bias))
 
 
-def neighbours(members: DataFrame) -> DataFrame:
-    """Distinct pairs ``uid, other`` that share a factor; a factor's members are gathered as one array, not self-joined."""
-    together = members.groupBy("fid").agg(F.collect_set("uid").alias("all"))
-    pairs = together.select(F.explode("all").alias("uid"), "all").select("uid", F.explode("all").alias("other"))
-    return pairs.filter("uid <> other").distinct()
+def tiles(members: DataFrame, size: int = TILE, most: int | None = None) -> DataFrame:
+    """``fid, tiles, tile, all``: a factor's distinct members as sorted arrays; one array, or, with more than ``size`` members,
+    tiles of some ``size`` each, dealt by a hash of the member.
+
+    The table of large factors has at most one row per ``size`` members; Spark broadcasts it only when it measures it small,
+    and splits a large factor's members among tasks when it joins them otherwise. ``most`` is the largest number of
+    members that a factor can have, where the schema says so (facts of a wide table: its roles); up to ``size`` of them
+    nothing is counted.
+    """
+    rows = members.select("fid", "uid")
+    if most is not None and most <= size:
+        none = F.lit(0).cast("long")
+        return rows.groupBy("fid").agg(F.sort_array(F.collect_set("uid")).alias("all")).select("fid", (none + 1).alias("tiles"), none.alias("tile"), "all")
+    large = rows.groupBy("fid").agg(F.count("uid").alias("n")).filter(F.col("n") > size).select("fid", F.ceil(F.col("n") / size).alias("tiles"))
+    dealt = rows.join(large, "fid", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1).cast("long")))
+    return dealt.groupBy("fid", "tiles", F.pmod(F.xxhash64("uid"), F.col("tiles")).alias("tile")).agg(F.sort_array(F.collect_set("uid")).alias("all"))
 
 
-def mesh(members: DataFrame, weights: DataFrame) -> DataFrame:
+def co_members(members: DataFrame, weights: DataFrame | None = None, size: int = TILE, most: int | None = None) -> DataFrame:
+    """``fid, e1, e2`` (and ``w`` of ``weights``): each unordered pair of a factor's distinct members once, ``e1 < e2``.
+
+    Pairs within a tile come from its own array. Two tiles of a large factor meet as rows of ``(fid, tile, tile)``, so no
+    array or task has more than ``size`` squared pairs of a factor at once. A factor of one member has no pair.
+    """
+    dealt, keep = tiles(members, size, most), ["fid"]
+    if weights is not None:
+        dealt, keep = dealt.join(weights.select("fid", "w"), "fid"), ["fid", "w"]
+    inner = dealt.select(*keep, F.posexplode("all").alias("i", "e1"), "all").select(*keep, "e1", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("e2"))
+    if most is not None and most <= size:
+        return inner
+    large = dealt.filter("tiles > 1")
+    ahead = large.filter(F.col("tile") + 1 < F.col("tiles")).select(*keep, F.col("tile").alias("a"), "all", F.explode(F.sequence(F.col("tile") + 1, F.col("tiles") - 1)).alias("b"))
+    behind = large.filter("tile > 0").select("fid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tile") - 1)).alias("a"), F.col("tile").alias("b"), F.col("all").alias("others"))
+    across = ahead.join(behind, ["fid", "a", "b"]).select(*keep, F.explode("all").alias("x"), "others").select(*keep, "x", F.explode("others").alias("y"))
+    return inner.unionByName(across.select(*keep, F.least("x", "y").alias("e1"), F.greatest("x", "y").alias("e2")))
+
+
+def neighbours(members: DataFrame, size: int = TILE, most: int | None = None) -> DataFrame:
+    """Distinct pairs ``uid, other`` that share a factor, in both directions."""
+    pairs = co_members(members, size=size, most=most).select(F.explode(F.array(F.struct(F.col("e1").alias("uid"), F.col("e2").alias("other")), F.struct(F.col("e2").alias("uid"), F.col("e1").alias("other")))).alias("p"))
+    return pairs.select("p.uid", "p.other").distinct()
+
+
+def mesh(members: DataFrame, weights: DataFrame, size: int = TILE, most: int | None = None) -> DataFrame:
     """One edge ``e1 < e2`` per unordered pair of co-members in the whole graph, with the weight of its first factor."""
-    together = members.join(weights.select("fid", "w"), "fid").groupBy("fid", "w").agg(F.sort_array(F.collect_set("uid")).alias("all"))
-    pairs = together.select("fid", "w", F.posexplode("all").alias("i", "e1"), "all").select("fid", "w", "e1", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("e2"))
-    return pairs.groupBy("e1", "e2").agg(F.min_by("w", "fid").alias("w"))
+    return co_members(members, weights, size, most).groupBy("e1", "e2").agg(F.min_by("w", "fid").alias("w"))
 
 
 def signature(members: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -51,12 +51,25 @@ def g5(spark, d):
 @query("g8_fact_mesh", f"WITH {FACTS} SELECT least(a.uid, b.uid) AS e1, greatest(a.uid, b.uid) AS e2, round(arg_min(w, f.fid), 6) AS w FROM inc a JOIN inc b ON a.fid = b.fid AND a.uid < b.uid JOIN facts f ON f.fid = a.fid GROUP BY 1, 2")
 def g8(spark, d):
     rows = facts(spark, d)
-    return graph.mesh(graph.incidence(rows, ROLES), rows).select("e1", "e2", F.round("w", 6).alias("w"))
+    return graph.mesh(graph.incidence(rows, ROLES), rows, most=len(ROLES)).select("e1", "e2", F.round("w", 6).alias("w"))
+
+
+@query("j5_role_mesh", f"WITH {FACTS} SELECT DISTINCT a.fid, a.uid AS e1, b.uid AS e2 FROM inc a JOIN inc b ON a.fid = b.fid AND a.uid < b.uid")
+def j5(spark, d):
+    return graph.co_members(members_of(spark, d), most=len(ROLES))
+
+
+@query("j5_wide_mesh", "WITH rm AS (SELECT DISTINCT p_brand AS fid, 'P' || p_partkey AS uid FROM part UNION SELECT 'all', 'N' || n_nationkey FROM nation) SELECT a.fid, a.uid AS e1, b.uid AS e2 FROM rm a JOIN rm b ON a.fid = b.fid AND a.uid < b.uid")
+def j5_wide(spark, d):
+    """A brand is a factor whose members are its parts, in tiles of 16 members."""
+    parts = table(spark, d, "part").select(F.col("p_brand").alias("fid"), F.concat(F.lit("P"), "p_partkey").alias("uid"))
+    nations = table(spark, d, "nation").select(F.lit("all").alias("fid"), F.concat(F.lit("N"), "n_nationkey").alias("uid"))
+    return graph.co_members(parts.unionByName(nations), size=16)
 
 
 @query("g10_neighbours", f"WITH {FACTS} SELECT a.uid, count(DISTINCT b.uid) AS n FROM inc a JOIN inc b ON a.fid = b.fid AND a.uid <> b.uid GROUP BY 1")
 def g10(spark, d):
-    return graph.neighbours(members_of(spark, d)).groupBy("uid").agg(F.count("*").alias("n"))
+    return graph.neighbours(members_of(spark, d), most=len(ROLES)).groupBy("uid").agg(F.count("*").alias("n"))
 
 
 @query("g9_bind_edges", "SELECT DISTINCT 'T_' || tok AS e1, 'P' || p_partkey AS e2, 1.0::DOUBLE AS w FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS tok FROM part)")

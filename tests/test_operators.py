@@ -111,3 +111,31 @@ def test_text_and_vectors(spark):
     assert sorted(map(tuple, text.chunks(docs, 3, 1).collect())) == [(1, 0, "a b c"), (1, 1, "c d e"), (3, 0, "x")]
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.q, r.vec_id) for r in vectors.knn(rows.filter("vec_id = 0"), rows, 1).collect()] == [(0, 1)]
+
+
+def test_large_factors_are_dealt_into_tiles(spark):
+    """A third of all memberships in one factor: pairs as without tiles, and no array beyond some tiles' size."""
+    rows = [("big", f"u{i:03d}") for i in range(200)] + [("big", "u000"), ("one", "u000")] + [(f"f{i % 80}", f"u{i % 170:03d}") for i in range(400)]
+    members = spark.createDataFrame(rows, "fid string, uid string")
+    sets = {}
+    for f, u in rows:
+        sets.setdefault(f, set()).add(u)
+    want = sorted((f, a, b) for f, s in sets.items() for a in s for b in s if a < b)
+    got = sorted(tuple(r) for r in graph.co_members(members, size=16).collect())
+    assert got == want == sorted(tuple(r) for r in graph.co_members(members).collect())
+    assert got == sorted(tuple(r) for r in graph.co_members(members, most=200).collect())
+    sizes = [len(r.all) for r in graph.tiles(members, 16).filter("fid = 'big'").collect()]
+    assert sum(sizes) == 200 and len(sizes) == 13 and max(sizes) < 40
+    weights = spark.createDataFrame([(f, 1.0 + len(f)) for f in sets], "fid string, w double")
+    first = {}
+    for f, a, b in want:
+        first[a, b] = min(first.get((a, b), "z"), f)
+    assert {(r.e1, r.e2): r.w for r in graph.mesh(members, weights, 16).collect()} == {p: 1.0 + len(f) for p, f in first.items()}
+    assert graph.neighbours(members, 16).count() == 2 * len(first)
+    assert graph.co_members(members.limit(0)).count() == 0
+
+
+def test_a_factor_of_many_members_is_spread_over_tasks(spark):
+    members = spark.range(100_000).select(F.lit("f").alias("fid"), F.col("id").alias("uid"))
+    sizes = graph.tiles(members).select(F.size("all").alias("n")).collect()
+    assert len(sizes) == 196 and max(r.n for r in sizes) < 1024 and sum(r.n for r in sizes) == 100_000
