@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import canonical_label, fold
 from ..runtime import cut_lineage
 from . import similar
+from .phrases import phrase_matches
 
 #: An inflected form may add so many letters, or differ within the last fifth of the longer one.
 EXTRA, SHARED = 3, 0.8
@@ -182,25 +183,6 @@ def compound_extension(mentions: DataFrame, catalog: DataFrame) -> DataFrame:
     return mentions.withColumn("head", fold(F.col("mention"))).join(heads.filter("n = 1"), "head").select("mention_id", "uid")
 
 
-def words_of(text: Column) -> Column:
-    """Lower-case words of letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-
-
-def phrase_matches(texts: DataFrame, phrases: DataFrame, least: int = 2, most: int = 8) -> DataFrame:
-    """``text_id, start, width, uid``: where a phrase's words (``uid, phrase``) stand in a text (``text_id, text``).
-
-    Word runs of the widths that phrases have meet phrases of the same words in an equi-join. Phrases of fewer than
-    ``least`` or more than ``most`` words match nothing.
-    """
-    known = phrases.select("uid", words_of(F.col("phrase")).alias("w")).withColumn("width", F.size("w")).filter(F.col("width").between(least, most))
-    known = known.select("uid", "width", F.array_join("w", " ").alias("run")).distinct()
-    said = texts.select("text_id", words_of(F.col("text")).alias("w")).join(known.select("width").distinct(), F.size("w") >= F.col("width"))
-    runs = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("width")), lambda i: F.struct(i.alias("start"), F.array_join(F.slice("w", i + 1, F.col("width")), " ").alias("run")))
-    each = said.select("text_id", "width", F.explode(runs).alias("r")).select("text_id", "width", "r.start", "r.run")
-    return each.join(known, ["width", "run"]).select("text_id", "start", "width", "uid")
-
-
 def longest_phrases(matches: DataFrame, most: int = 8) -> DataFrame:
     """Matches that do not overlap: the widest first, then the leftmost, then the smallest uid; ``most`` of a text.
 
@@ -221,14 +203,14 @@ def label_coverage(texts: DataFrame, labels: DataFrame, worth: int = 3) -> DataF
     return found.join(labels.select("fid", "label").distinct(), "label").groupBy("text_id", "fid").agg((worth * F.count("*")).alias("score"))
 
 
-def anchor_tokens(questions: DataFrame, phrases: DataFrame, tokens: DataFrame, keys: DataFrame, most: int = 16) -> DataFrame:
+def anchor_tokens(questions: DataFrame, phrases: DataFrame, tokens: DataFrame, keys: DataFrame, most: int = 16, lemmas: DataFrame | None = None) -> DataFrame:
     """``question_id, rank, uid``: what a question is about.
 
     Its longest phrases (``uid, phrase``) if any; else for its tokens (``question_id, pos, token``), in order, the
     symbols that have a token as a key (``uid, key``), ``most`` of them. Keys are words and word runs of labels and
-    forms, so that a token inside a form meets it by equality.
+    forms, so that a token inside a form meets it by equality. ``lemmas`` (``form, lemma``) let phrases match by lemmas.
     """
-    named = longest_phrases(phrase_matches(questions.select(F.col("question_id").alias("text_id"), F.col("question").alias("text")), phrases))
+    named = longest_phrases(phrase_matches(questions.select(F.col("question_id").alias("text_id"), F.col("question").alias("text")), phrases, lemmas=lemmas))
     first = named.select(F.col("text_id").alias("question_id"), F.col("rank").alias("pos"), "uid")
     rest = tokens.join(first.select("question_id").distinct(), "question_id", "left_anti").withColumn("key", fold(F.col("token")))
     hit = rest.join(keys, "key").select("question_id", "pos", "uid")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as fn
 from ..operators import resolution as er
 from ..operators import text
+from ..operators.phrases import phrase_matches
 from .purchase import table
 from .registered import query
 
@@ -35,13 +36,33 @@ _RUNS = f"tw AS (SELECT text_id, {_W.format('text')} AS w FROM sp), pw AS (SELEC
 
 @query("j7_phrase_matches", f"WITH {_SPOKEN}, {_PHRASES}, {_RUNS} SELECT text_id, start, width, uid FROM hits")
 def j7(spark, d):
-    return er.phrase_matches(spoken(spark, d), phrases(spark, d))
+    return phrase_matches(spoken(spark, d), phrases(spark, d))
 
 
-@query("j7_longest_phrases")
+_GREEDY = "rk AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY width DESC, start, uid) AS k FROM hits), fold AS (SELECT DISTINCT text_id, 0::BIGINT AS k, []::BIGINT[] AS taken, 0::BIGINT AS c, false AS ok, 0::BIGINT AS start, 0::BIGINT AS width, 0::BIGINT AS uid FROM hits UNION ALL SELECT text_id, k, CASE WHEN ok THEN list_concat(taken, range(start, start + width)) ELSE taken END, c + ok::BIGINT, ok, start, width, uid FROM (SELECT m.text_id, m.k, f.taken, f.c, f.c < 8 AND NOT list_has_any(f.taken, range(m.start, m.start + m.width)) AS ok, m.start, m.width, m.uid FROM fold f JOIN rk m ON m.text_id = f.text_id AND m.k = f.k + 1))"
+
+
+@query("j7_longest_phrases", f"WITH RECURSIVE {_SPOKEN}, {_PHRASES}, {_RUNS}, {_GREEDY} SELECT text_id, start, width, uid, c - 1 AS rank FROM fold WHERE ok")
 def j7_longest(spark, d):
-    """The greedy choice among the matches; tested against a loop."""
-    return er.longest_phrases(er.phrase_matches(spoken(spark, d), phrases(spark, d)))
+    """The greedy choice among the matches: in their order each that overlaps none taken before."""
+    return er.longest_phrases(phrase_matches(spoken(spark, d), phrases(spark, d)))
+
+
+_LEMMAS = "lm AS (SELECT DISTINCT w || 's' AS form, w AS lemma FROM (SELECT unnest(string_split(lower(p_name), ' ')) AS w FROM part))"
+
+
+def _own(of: str, key: str) -> str:
+    return f"(SELECT {key}, list(coalesce(lemma, w) ORDER BY i) AS w FROM (SELECT {key}, unnest(w) AS w, unnest(range(0, len(w))) AS i FROM {of}) LEFT JOIN lm ON form = w GROUP BY 1)"
+
+
+@query("j7_lemma_phrases", f"WITH {_LEMMAS}, sp AS (SELECT p_partkey AS text_id, {_W.format(chr(39) + 'some ' + chr(39) + ' || replace(p_name, ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 's ' + chr(39) + ') || ' + chr(39) + 's by ' + chr(39) + ' || p_name')} AS w FROM part), ph AS (SELECT min(p_partkey) AS uid, {_W.format('p_name || ' + chr(39) + 's' + chr(39))} AS w FROM part GROUP BY p_name), st AS {_own('sp', 'text_id')}, pt AS {_own('ph', 'uid')} SELECT text_id, i AS start, len(pt.w) AS width, uid FROM (SELECT text_id, st.w, unnest(range(0, len(st.w))) AS i FROM st) t JOIN pt ON t.w[i + 1:i + len(pt.w)] = pt.w WHERE len(pt.w) >= 2")
+def j7_lemma(spark, d):
+    """Names in the plural, word by word, and as they are, meet phrases whose last word is in the plural."""
+    part = table(spark, d, "part")
+    texts = part.select(F.col("p_partkey").alias("text_id"), F.concat(F.lit("some "), F.replace("p_name", F.lit(" "), F.lit("s ")), F.lit("s by "), "p_name").alias("text"))
+    known = part.groupBy("p_name").agg(F.min("p_partkey").alias("uid")).select("uid", F.concat("p_name", F.lit("s")).alias("phrase"))
+    words = part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("lemma")).distinct()
+    return phrase_matches(texts, known, lemmas=words.select(F.concat("lemma", F.lit("s")).alias("form"), "lemma"))
 
 
 _DICE = "f AS (SELECT DISTINCT lower(p_name || ' ' || lower(p_type)) AS said FROM part), c AS (SELECT p_name AS name, min(p_partkey) AS uid FROM part WHERE p_size > 25 GROUP BY 1), a AS (SELECT DISTINCT said, substr(' ' || said || ' ', i, 3) AS g FROM (SELECT said, unnest(range(1, CAST(length(said) AS BIGINT) + 1)) AS i FROM f)), b AS (SELECT DISTINCT uid, substr(' ' || name || ' ', i, 3) AS g FROM (SELECT uid, name, unnest(range(1, CAST(length(name) AS BIGINT) + 1)) AS i FROM c)), an AS (SELECT said, count(*) AS n FROM a GROUP BY 1), bn AS (SELECT uid, count(*) AS n FROM b GROUP BY 1), s AS (SELECT a.said, b.uid, 2 * count(*) / (any_value(an.n) + any_value(bn.n)) AS score FROM a JOIN b USING (g) JOIN an USING (said) JOIN bn USING (uid) GROUP BY 1, 2), m AS (SELECT said, uid, score FROM (SELECT *, row_number() OVER (PARTITION BY said ORDER BY score DESC, uid) AS k FROM s) WHERE k = 1)"
