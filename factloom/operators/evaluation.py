@@ -120,6 +120,27 @@ def gold_eval(cases: DataFrame) -> DataFrame:
     return cases.withColumns(flags)
 
 
+def answer_cases(cases: DataFrame, told: DataFrame, protocol: str = "isolated", unknown: str = "unknown") -> DataFrame:
+    """Cases (``session, seq, subject, relation`` and more columns) with ``answer``, ``trace`` and ``n_known``.
+
+    Each case tells facts, ``session, seq, fid, subject, relation, object``, and then asks what holds for its subject and
+    relation: the object told last (the largest fid within a case), with its fact as the trace. An ``isolated`` case knows
+    what it told itself; a ``sequential`` one also what the cases of its session told before it. One running window over facts and
+    questions in order, so a session is never a pair join nor held whole. A null subject or relation is unknown.
+    """
+    if protocol not in ("isolated", "sequential"):
+        raise ValueError(f"no such protocol: {protocol}")
+    key = ["session", "subject", "relation"]
+    own = [c for c in cases.columns if c not in (*key, "seq")]
+    asked = cases.select(*key, "seq", F.lit(1).alias("asks"), F.lit(None).cast(told.schema["fid"].dataType).alias("fid"), F.lit(None).cast("string").alias("object"), F.struct(F.lit(0).alias("_none"), *own).alias("case"))
+    facts = told.filter("subject is not null and relation is not null and object is not null")
+    facts = facts.select(*key, "seq", F.lit(0).alias("asks"), "fid", F.col("object").cast("string").alias("object")).withColumn("case", F.lit(None).cast(asked.schema["case"].dataType))
+    order = Window.partitionBy(*key, *(["seq"] if protocol == "isolated" else [])).orderBy("seq", "asks", "fid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = facts.unionByName(asked).withColumns({"last": F.last("object", ignorenulls=True).over(order), "proof": F.last("fid", ignorenulls=True).over(order), "n_known": F.count("object").over(order)})
+    trace = F.when(F.col("proof").isNull(), F.array().cast(f"array<{told.schema['fid'].dataType.simpleString()}>")).otherwise(F.array("proof"))
+    return known.filter("asks = 1").select("session", "seq", "subject", "relation", "case.*", F.coalesce("last", F.lit(unknown)).alias("answer"), trace.alias("trace"), "n_known").drop("_none")
+
+
 def path_quality(found: Column, proof: Column) -> dict[str, Column]:
     """Precision, recall, F1, missing and extra of a found path (arrays of ids)."""
     both = F.size(F.array_intersect(found, proof))

@@ -10,29 +10,47 @@ from .analysis import orphans
 
 
 def explain(members: DataFrame, weights: DataFrame, beliefs: DataFrame, seeds: DataFrame, hops: int = 4, floor: float = 0.05) -> DataFrame:
-    """``uid, depth, parent, fid, path``: the best way from a seed to each node over factors, fewest hops first.
+    """``uid, depth, parent, fid, nodes, path``: the best way from a seed to each node over factors, fewest hops first.
 
-    A node is entered only with a belief of at least ``floor``; among equal depths the step with the largest mean belief
-    times (1 + weight) wins, then the smallest factor and parent. A hop is a join on factors and one on nodes; a factor
-    passes its entrant of largest belief on, which is the best parent for all that it reaches, as the score of a step in
-    one factor rises with the parent's belief alone; so a large factor does not emit all pairs.
+    A node is entered only with a belief of at least ``floor``; among equal depths the factor with the largest mean belief of
+    its members times (1 + weight) wins, then the smallest factor. A hop is a join on factors and one on nodes; a factor
+    passes its entrant of largest belief on, the smallest on ties, so a large factor does not emit all pairs.
     """
-    nodes = beliefs.filter(F.col("belief") >= floor).select("uid", "belief")
-    m = members.select("fid", "uid").distinct().join(weights.select("fid", "w"), "fid")
-    seen = cut_lineage(seeds.select("uid").distinct().select("uid", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("fid"), F.col("uid").alias("path")))
+    nodes = beliefs.filter(F.col("belief") >= floor).select("uid")
+    m = members.select("fid", "uid").distinct()
+    scores = m.join(beliefs.select("uid", "belief"), "uid").groupBy("fid").agg(F.avg("belief").alias("mean")).join(weights.select("fid", "w"), "fid")
+    m = m.join(scores.select("fid", (F.col("mean") * (1 + F.greatest(F.lit(0.0), F.col("w")))).alias("score")), "fid")
+    name = members.schema["uid"].dataType
+    seen = cut_lineage(seeds.select("uid").distinct().select("uid", F.lit(0).alias("depth"), F.lit(None).cast(name).alias("parent"), F.lit(None).cast(members.schema["fid"].dataType).alias("fid"), F.array("uid").alias("nodes")))
     frontier = seen
     for hop in range(1, hops + 1):
-        came = frontier.select("uid", "path").join(beliefs.select("uid", "belief"), "uid", "left").join(m, "uid")
-        order = Window.partitionBy("fid").orderBy(F.coalesce("belief", F.lit(0.0)).desc(), "uid")
-        entrants = came.withColumn("rank", F.row_number().over(order)).filter("rank = 1").select("fid", F.col("uid").alias("parent"), "path", F.coalesce("belief", F.lit(0.0)).alias("from"))
+        came = frontier.select("uid", "nodes").join(beliefs.select("uid", "belief"), "uid", "left").join(m.select("fid", "uid"), "uid")
+        entrants = came.groupBy("fid").agg(F.min_by(F.struct(F.col("uid").alias("parent"), "nodes"), F.struct((-F.coalesce("belief", F.lit(0.0))).alias("b"), "uid")).alias("e"))
         reached = m.join(entrants, "fid").join(nodes, "uid").join(seen.select("uid"), "uid", "left_anti")
-        score = (F.col("belief") + F.col("from")) / 2 * (1 + F.col("w"))
-        best = reached.groupBy("uid").agg(F.min_by(F.struct("parent", "fid", "path"), F.struct((-score).alias("s"), "fid", "parent")).alias("b"))
-        frontier = cut_lineage(best.select("uid", F.lit(hop).alias("depth"), "b.parent", "b.fid", F.concat_ws(" > ", "b.path", "uid").alias("path")))
+        best = reached.groupBy("uid").agg(F.min_by(F.struct("e.parent", "fid", "e.nodes"), F.struct((-F.col("score")).alias("s"), "fid")).alias("b"))
+        frontier = cut_lineage(best.select("uid", F.lit(hop).alias("depth"), "b.parent", "b.fid", F.concat("b.nodes", F.array("uid")).alias("nodes")))
         if frontier.isEmpty():
             break
         seen = cut_lineage(seen.unionByName(frontier))
-    return seen
+    return seen.withColumn("path", F.array_join(F.col("nodes").cast("array<string>"), " > "))
+
+
+def explanations(reached: DataFrame, beliefs: DataFrame, seeds: DataFrame, threshold: float, most: int = 12, fallback: int = 8) -> DataFrame:
+    """``rank, uid, path, isolated``: a report of ``most`` rows over what :func:`explain` reached.
+
+    First the paths to nodes with a belief above ``threshold`` (to the ``fallback`` most believed nodes, if none is), by
+    belief and uid; then the seeds that are on none of these paths, isolated, by belief and uid.
+    """
+    targets = beliefs.filter(F.col("belief") > threshold).select("uid", "belief")
+    order = [F.col("belief").desc(), F.col("uid")]
+    if targets.isEmpty():
+        targets = beliefs.select("uid", "belief").orderBy(*order).limit(fallback)
+    shown = cut_lineage(reached.select("uid", "nodes", "path").join(targets, "uid").orderBy(*order).limit(most))
+    on = shown.select(F.explode("nodes").alias("uid")).distinct()
+    alone = seeds.select("uid").distinct().join(beliefs.select("uid", "belief"), "uid").join(on, "uid", "left_anti").orderBy(*order).limit(most)
+    both = shown.select(F.lit(False).alias("isolated"), "uid", "belief", "path").unionByName(alone.select(F.lit(True).alias("isolated"), "uid", "belief", F.col("uid").cast("string").alias("path")))
+    rank = F.row_number().over(Window.orderBy("isolated", *order))  # two reports of ``most`` rows at most
+    return both.withColumn("rank", rank).filter(F.col("rank") <= most).select("rank", "uid", "path", "isolated")
 
 
 def collect_garbage(nodes: DataFrame, links: DataFrame, roots: DataFrame, tau: int, ttl: int) -> tuple[DataFrame, DataFrame, DataFrame]:

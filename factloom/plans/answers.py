@@ -39,6 +39,19 @@ def h11(spark, d):
     return paths.explain(m, links.select("fid", F.lit(1.0).alias("w")), beliefs, seeds).select("uid", "depth")
 
 
+@query("h11_explanations", f"WITH RECURSIVE {LINKS}, bl AS (SELECT 'O' || o_orderkey AS uid, (o_orderkey * 31 % 97) / 100.0::DOUBLE AS belief FROM orders), sd AS (SELECT arg_min('O' || o_orderkey, (o_orderdate, o_orderkey)) AS uid FROM orders GROUP BY o_custkey), r AS (SELECT uid, 0 AS depth, [uid] AS nodes FROM sd UNION ALL SELECT e2, depth + 1, list_append(nodes, e2) FROM r JOIN links ON e1 = r.uid JOIN bl ON bl.uid = e2 WHERE depth < 4 AND belief >= 0.15), sh AS (SELECT uid, belief, nodes FROM r JOIN bl USING (uid) WHERE belief > 0.9 ORDER BY belief DESC, uid LIMIT 1000), al AS (SELECT false AS isolated, uid, belief, array_to_string(nodes, ' > ') AS path FROM sh UNION ALL SELECT true, uid, belief, uid FROM sd JOIN bl USING (uid) WHERE uid NOT IN (SELECT unnest(nodes) FROM sh)) SELECT row_number() OVER (ORDER BY isolated, belief DESC, uid) AS rank, uid, path, isolated FROM al ORDER BY rank LIMIT 1000")
+def h11_report(spark, d):
+    """A report of 1,000 rows: paths from customers' first orders to what is most believed, then seeds that lead nowhere."""
+    links = follow_links(spark, d)
+    m = links.select("fid", F.col("e1").alias("uid")).unionByName(links.select("fid", F.col("e2").alias("uid")))
+    orders = table(spark, d, "orders")
+    uid = F.concat(F.lit("O"), "o_orderkey")
+    beliefs = orders.select(uid.alias("uid"), (F.col("o_orderkey") * 31 % 97 / 100).alias("belief"))
+    seeds = orders.groupBy("o_custkey").agg(F.min_by(uid, F.struct("o_orderdate", "o_orderkey")).alias("uid"))
+    reached = paths.explain(m, links.select("fid", F.lit(1.0).alias("w")), beliefs, seeds, 4, 0.15)
+    return paths.explanations(reached, beliefs, seeds, 0.9, 1000)
+
+
 _CHAIN = "st AS (SELECT o_custkey AS case_id, o_orderkey, row_number() OVER w AS pos, 'O' || o_orderkey AS subject, CASE WHEN o_orderstatus = 'P' THEN 'PART' ELSE 'FOLLOW' END AS relation, 'O' || lead(o_orderkey) OVER w AS object FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
 
 

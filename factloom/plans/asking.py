@@ -54,6 +54,30 @@ def q10(spark, d):
     return ev.gold_eval(rows).groupBy("depth").agg(F.count("*").alias("n"), *[F.round(ev.share(F.col(c)), 6).alias(c) for c in ("hit", "explained", "hallucinated")])
 
 
+@query("q10_sequential_cases", "WITH cs AS (SELECT o_custkey AS session, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, o_orderkey AS fid, o_orderpriority AS object, o_orderkey % 3 = 0 AS tells, o_orderkey % 7 = 0 AS trap FROM orders), kn AS (SELECT a.session, a.seq, a.trap, p.protocol, count(b.fid) AS n, arg_max(b.object, b.seq) AS answer, max(b.seq) AS last FROM cs a JOIN (VALUES ('isolated'), ('sequential')) p(protocol) ON true LEFT JOIN cs b ON b.session = a.session AND b.tells AND NOT a.trap AND (b.seq = a.seq OR (p.protocol = 'sequential' AND b.seq < a.seq)) GROUP BY 1, 2, 3, 4) SELECT protocol, count(*) AS n, sum(n)::BIGINT AS known, round(avg((CASE WHEN trap THEN answer IS NULL ELSE answer IS NOT NULL END)::INT), 6) AS hit, round(avg((answer IS NOT NULL AND trap)::INT), 6) AS hallucinated FROM kn GROUP BY 1")
+def q10_sequential(spark, d):
+    """Each order is a case of its customer's session: every third tells its priority, all ask for it, traps for what nobody tells."""
+    seq = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("session"), seq.alias("seq"), F.col("o_orderkey").alias("fid"), F.concat(F.lit("C"), "o_custkey").alias("subject"), F.lit("PRIORITY").alias("relation"), F.col("o_orderpriority").alias("object"))
+    trap = F.col("fid") % 7 == 0
+    asked = rows.select("session", "seq", "subject", F.when(trap, "COLOUR").otherwise(F.col("relation")).alias("relation"), trap.alias("trap"))
+    told, out = rows.filter("fid % 3 = 0"), None
+    for protocol in ("isolated", "sequential"):
+        got = ev.answer_cases(asked, told, protocol).withColumn("keyword", F.when(F.col("n_known") > 0, F.col("answer")).otherwise("something"))
+        judged = ev.gold_eval(got.withColumn("gold_trace", F.col("trace"))).withColumn("protocol", F.lit(protocol))
+        out = judged if out is None else out.unionByName(judged)
+    return out.groupBy("protocol").agg(F.count("*").alias("n"), F.sum("n_known").alias("known"), *[F.round(ev.share(F.col(c)), 6).alias(c) for c in ("hit", "hallucinated")])
+
+
+@query("q10_sequential_answers", "WITH cs AS (SELECT o_custkey AS session, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, o_orderkey AS fid, o_orderpriority AS object, o_orderkey % 3 = 0 AS tells FROM orders) SELECT session, seq, coalesce(last_value(CASE WHEN tells THEN object END IGNORE NULLS) OVER w, 'unknown') AS answer, coalesce(CAST(last_value(CASE WHEN tells THEN fid END IGNORE NULLS) OVER w AS VARCHAR), '') AS trace FROM cs WINDOW w AS (PARTITION BY session ORDER BY seq)")
+def q10_answers(spark, d):
+    """What each case of a session answers when it knows the facts of those before."""
+    seq = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("session"), seq.alias("seq"), F.col("o_orderkey").alias("fid"), F.concat(F.lit("C"), "o_custkey").alias("subject"), F.lit("PRIORITY").alias("relation"), F.col("o_orderpriority").alias("object"))
+    got = ev.answer_cases(rows.select("session", "seq", "subject", "relation", "fid"), rows.filter("fid % 3 = 0"), "sequential")
+    return got.select("session", "seq", "answer", F.array_join(F.col("trace").cast("array<string>"), " ").alias("trace"))
+
+
 _TICKS = " UNION ALL ".join(f"SELECT run_id, {k} AS tick, uid, x FROM s{k}" for k in (1, 2))
 
 
