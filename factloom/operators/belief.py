@@ -16,18 +16,31 @@ from ..runtime import cut_lineage
 from .ranking import mask_top_k
 
 
-#: Runs (settings or questions) of one job; they are sent to all tasks.
+#: Runs (settings or questions) that are sent to all tasks at once; more meet their rows in an equi-join of blocks.
 MAX_RUNS = 10_000
+#: Tasks among which each block's rows are dealt.
+SALTS = 64
 
 
-def init(members: DataFrame, runs: DataFrame) -> DataFrame:
-    """All messages at one half: ``run_id, fid, uid, pos, potential, w, v2f, f2v``. ``runs`` is one row per run.
+def each_run(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Every row once per run (``run_id`` and more columns), which is the size of the runs' own state.
 
-    More than :data:`MAX_RUNS` runs are refused: every run has messages of its own, so more of them are more jobs.
+    Up to :data:`MAX_RUNS` runs are broadcast. More are dealt into blocks of about so many, and rows into :data:`SALTS`
+    parts, which meet by block and part; so no task holds all runs or all rows.
     """
-    if runs.limit(MAX_RUNS + 1).count() > MAX_RUNS:
-        raise ValueError(f"more than {MAX_RUNS} runs in one job")
-    return members.crossJoin(F.broadcast(runs.select("run_id"))).select("run_id", "fid", "uid", "pos", "potential", "w", F.lit(0.5).alias("v2f"), F.lit(0.5).alias("f2v"))
+    if runs.limit(MAX_RUNS + 1).count() <= MAX_RUNS:
+        return rows.crossJoin(F.broadcast(runs))
+    last = -(-runs.count() // MAX_RUNS) - 1
+    count = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long")))
+    dealt = runs.withColumn("_block", F.pmod(F.xxhash64("run_id"), F.lit(last + 1))).withColumn("_part", count(SALTS - 1))
+    spread = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).withColumn("_block", count(last))
+    return spread.join(dealt, ["_block", "_part"]).drop("_block", "_part")
+
+
+def init(members: DataFrame, runs: DataFrame) -> DataFrame:
+    """All messages at one half: ``run_id, fid, uid, pos, potential, w, v2f, f2v``. ``runs`` is one row per run."""
+    own = members.select("fid", "uid", "pos", "potential", "w")
+    return each_run(own, runs.select("run_id")).select("run_id", "fid", "uid", "pos", "potential", "w", F.lit(0.5).alias("v2f"), F.lit(0.5).alias("f2v"))
 
 
 def prior(eps):
@@ -139,7 +152,7 @@ def sweep(members: DataFrame, evidence: DataFrame, grid: DataFrame, ticks: int =
     Evidence is ``uid, lam`` and the same for each run. Thresholds need no run of their own: they are applied to the history.
     """
     messages = init(members, grid).join(grid.select("run_id", "association"), "run_id")
-    nodes = members.select("uid").distinct().crossJoin(F.broadcast(grid.select("run_id", "activation", "decay"))).join(evidence, "uid", "left")
+    nodes = each_run(members.select("uid").distinct(), grid.select("run_id", "activation", "decay")).join(evidence, "uid", "left")
     nodes = nodes.select("run_id", "uid", F.coalesce("lam", F.lit(0.0)).alias("lam"), F.lit(0.5).alias("belief"), F.lit(0.0).alias("x"), "activation", "decay")
     step = lambda m, n: tick(m, fade(n), damping, eta, F.col("decay"), F.col("activation"), F.col("association"), written=True)
     seen: list[DataFrame] = []
@@ -164,7 +177,7 @@ def run(members: DataFrame, evidence: DataFrame, ticks: int = 20, damping: float
 def start(members: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Messages and nodes before the first tick, for the runs that ``evidence`` names."""
     runs = evidence.select("run_id").distinct()
-    nodes = members.select("uid").distinct().crossJoin(F.broadcast(runs)).join(evidence, ["run_id", "uid"], "left")
+    nodes = each_run(members.select("uid").distinct(), runs).join(evidence, ["run_id", "uid"], "left")
     return init(members, runs), nodes.select("run_id", "uid", F.coalesce("lam", F.lit(0.0)).alias("lam"), F.lit(0.5).alias("belief"), F.lit(0.0).alias("x"))
 
 
@@ -186,8 +199,9 @@ def settle(messages: DataFrame, nodes: DataFrame, step: Callable[[DataFrame, Dat
             ended = nodes
         elif no > 1:
             change = nodes.groupBy("run_id").agg(F.max(F.abs(F.col("x") - F.col("_was"))).alias("change"))
-            # at most MAX_RUNS rows
-            still = F.broadcast(cut_lineage(change.select("run_id", (F.col("change") <= epsilon).alias("stops"))))
+            still = cut_lineage(change.select("run_id", (F.col("change") <= epsilon).alias("stops")))
+            if still.limit(MAX_RUNS + 1).count() <= MAX_RUNS:
+                still = F.broadcast(still)
             going, stopping = still.agg(F.count(F.when(~F.col("stops"), 1)), F.count(F.when(F.col("stops"), 1))).first()
             if stopping:
                 ended = nodes.join(still.filter("stops"), "run_id", "left_semi")

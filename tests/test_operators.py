@@ -139,3 +139,12 @@ def test_a_factor_of_many_members_is_spread_over_tasks(spark):
     members = spark.range(100_000).select(F.lit("f").alias("fid"), F.col("id").alias("uid"))
     sizes = graph.tiles(members).select(F.size("all").alias("n")).collect()
     assert len(sizes) == 196 and max(r.n for r in sizes) < 1024 and sum(r.n for r in sizes) == 100_000
+
+
+def test_more_runs_than_are_broadcast_give_the_same_rows(spark, monkeypatch):
+    members = spark.createDataFrame([("l1", "A", 0), ("l1", "B", 1), ("l2", "B", 0), ("l2", "C", 1)], "fid string, uid string, pos int").withColumns({"potential": F.lit("follow"), "w": F.lit(1.0)})
+    evidence = spark.createDataFrame([(f"r{i}", "ABC"[i % 3], 1.0 + i / 10) for i in range(25)], "run_id string, uid string, lam double")
+    rows = lambda: sorted((r.run_id, r.uid, round(r.x, 9)) for r in belief.run(members, evidence, ticks=2).collect())
+    few = rows()
+    monkeypatch.setattr(belief, "MAX_RUNS", 4)
+    assert rows() == few and len(few) == 75
