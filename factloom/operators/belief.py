@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, damp, logistic, logit, pulled
 from ..runtime import cut_lineage
+from . import hubs as hub_joins
 from .ranking import mask_top_k
 
 
@@ -73,18 +74,18 @@ def strength(potential, w, pos, association: Column | float = 0.4):
     return clip(w * share)
 
 
-def to_factor(messages: DataFrame, nodes: DataFrame, damping: float = 0.4) -> DataFrame:
+def to_factor(messages: DataFrame, nodes: DataFrame, damping: float = 0.4, hubs: DataFrame | None = None) -> DataFrame:
     """Messages with new ``v2f``: a node's evidence and all it hears but the factor's own message, damped. Nodes: ``run_id, uid, lam``.
 
-    What a node hears in all is summed before the shuffle and joined back, so a hub's messages need not meet in one
-    task; nodes that carry it already, as ``odds``, spare the sum.
+    What a node hears in all is summed before the shuffle and joined back; nodes that carry it already, as ``odds``,
+    spare the sum. The messages of ``hubs`` (``uid, parts``, see :func:`hubs.measure`) meet their node in parts.
     """
     lam = F.least(F.lit(50.0), F.greatest(F.lit(0.0), F.col("lam")))
     if "odds" not in nodes.columns:
         nodes = nodes.join(received(messages), ["run_id", "uid"], "left")
     hears = nodes.select("run_id", "uid", (lam + F.coalesce("odds", F.lit(0.0))).alias("_hears"))
     heard = logistic(F.col("_hears") - logit(F.col("f2v")))
-    return messages.join(hears, ["run_id", "uid"]).withColumn("v2f", damp(F.col("v2f"), heard, damping)).drop("_hears")
+    return hub_joins.join(messages, hears, ["run_id", "uid"], hubs, "fid").withColumn("v2f", damp(F.col("v2f"), heard, damping)).drop("_hears")
 
 
 def to_member(messages: DataFrame, damping: float = 0.4, association: Column | float = 0.4) -> DataFrame:
@@ -122,14 +123,14 @@ def activate(name: Column, *args: Column) -> Column:
     return out
 
 
-def tick(messages: DataFrame, nodes: DataFrame, damping: float = 0.4, eta: Column | float = 0.5, decay: Column | float = 0.1, activation: Column | str = "linear", association: Column | float = 0.4, written: bool = False) -> tuple[DataFrame, DataFrame]:
+def tick(messages: DataFrame, nodes: DataFrame, damping: float = 0.4, eta: Column | float = 0.5, decay: Column | float = 0.1, activation: Column | str = "linear", association: Column | float = 0.4, written: bool = False, hubs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """New messages and node states. Nodes: ``run_id, uid, lam, x`` (evidence and activation).
 
     Further columns stay, so parameters of runs may be columns: eta, decay, activation of nodes, association of messages.
     With ``written`` the messages are checkpointed before states are made of them, so neither is computed twice.
     """
     column = lambda v: v if isinstance(v, Column) else F.lit(v)
-    out = to_member(to_factor(messages, nodes, damping), damping, association)
+    out = to_member(to_factor(messages, nodes, damping, hubs), damping, association)
     out = cut_lineage(out) if written else out
     state = nodes.drop("odds").join(received(out), ["run_id", "uid"], "left")
     signal, odds = F.coalesce("z", F.lit(0.0)), F.coalesce("odds", F.lit(0.0))
@@ -144,7 +145,7 @@ def fade(nodes: DataFrame, share: float = 0.5) -> DataFrame:
     return nodes.withColumn("lam", F.when(left < 1e-6, 0.0).otherwise(left))
 
 
-def sweep(members: DataFrame, evidence: DataFrame, grid: DataFrame, ticks: int = 20, damping: float = 0.4, eta: float = 0.5, epsilon: float | None = None) -> DataFrame:
+def sweep(members: DataFrame, evidence: DataFrame, grid: DataFrame, ticks: int = 20, damping: float = 0.4, eta: float = 0.5, epsilon: float | None = None, hub_rows: int = hub_joins.HUB_ROWS) -> DataFrame:
     """``run_id, tick, uid, x`` of every run of a grid ``run_id, activation, decay, association``, all in one job per tick.
 
     With an ``epsilon`` a run's history ends when it has converged (see :func:`settle`).
@@ -154,7 +155,8 @@ def sweep(members: DataFrame, evidence: DataFrame, grid: DataFrame, ticks: int =
     messages = init(members, grid).join(grid.select("run_id", "association"), "run_id")
     nodes = each_run(members.select("uid").distinct(), grid.select("run_id", "activation", "decay")).join(evidence, "uid", "left")
     nodes = nodes.select("run_id", "uid", F.coalesce("lam", F.lit(0.0)).alias("lam"), F.lit(0.5).alias("belief"), F.lit(0.0).alias("x"), "activation", "decay")
-    step = lambda m, n: tick(m, fade(n), damping, eta, F.col("decay"), F.col("activation"), F.col("association"), written=True)
+    hubs = hub_joins.measure(members, "uid", hub_rows)
+    step = lambda m, n: tick(m, fade(n), damping, eta, F.col("decay"), F.col("activation"), F.col("association"), True, hubs)
     seen: list[DataFrame] = []
     settle(messages, nodes, step, ticks, -1.0 if epsilon is None else epsilon, seen)
     history = None
@@ -164,12 +166,14 @@ def sweep(members: DataFrame, evidence: DataFrame, grid: DataFrame, ticks: int =
     return history
 
 
-def run(members: DataFrame, evidence: DataFrame, ticks: int = 20, damping: float = 0.4, eta: float = 0.5, decay: float = 0.1, evidence_decay: float = 0.5, cut_every: int = 2) -> DataFrame:
-    """``run_id, uid, belief, x`` after ``ticks``; evidence is ``run_id, uid, lam`` and fades before each tick."""
+def run(members: DataFrame, evidence: DataFrame, ticks: int = 20, damping: float = 0.4, eta: float = 0.5, decay: float = 0.1, evidence_decay: float = 0.5, cut_every: int = 2, hub_rows: int = hub_joins.HUB_ROWS) -> DataFrame:
+    """``run_id, uid, belief, x`` after ``ticks``; evidence is ``run_id, uid, lam`` and fades before each tick. The messages of
+    nodes in more than ``hub_rows`` factors are dealt among tasks."""
+    hubs = hub_joins.measure(members, "uid", hub_rows)
     messages, nodes = start(members, evidence)
     for no in range(1, ticks + 1):
         cut = no % cut_every == 0 and no < ticks
-        messages, nodes = tick(messages, fade(nodes, evidence_decay), damping, eta, decay, written=cut)
+        messages, nodes = tick(messages, fade(nodes, evidence_decay), damping, eta, decay, written=cut, hubs=hubs)
         nodes = cut_lineage(nodes) if cut else nodes
     return nodes.select("run_id", "uid", "belief", "x")
 
@@ -216,10 +220,11 @@ def settle(messages: DataFrame, nodes: DataFrame, step: Callable[[DataFrame, Dat
     return nodes.withColumn("ticks", F.lit(0).cast("long"))
 
 
-def converge(members: DataFrame, evidence: DataFrame, ticks: int = 20, epsilon: float = 1e-3, damping: float = 0.4, eta: float = 0.5, decay: float = 0.1, evidence_decay: float = 0.5) -> DataFrame:
+def converge(members: DataFrame, evidence: DataFrame, ticks: int = 20, epsilon: float = 1e-3, damping: float = 0.4, eta: float = 0.5, decay: float = 0.1, evidence_decay: float = 0.5, hub_rows: int = hub_joins.HUB_ROWS) -> DataFrame:
     """``run_id, uid, belief, x, ticks``: :func:`run` in which every run ends when it has converged (see :func:`settle`)."""
+    hubs = hub_joins.measure(members, "uid", hub_rows)
     messages, nodes = start(members, evidence)
-    step = lambda m, n: tick(m, fade(n, evidence_decay), damping, eta, decay, written=True)
+    step = lambda m, n: tick(m, fade(n, evidence_decay), damping, eta, decay, written=True, hubs=hubs)
     return settle(messages, nodes, step, ticks, epsilon).select("run_id", "uid", "belief", "x", "ticks")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, logistic
 from ..runtime import cut_lineage
+from . import hubs as hub_joins
 
 
 #: What is sent, by name: from activation x weight x confidence x transmission within [0, 1], and the factor's selectivity.
@@ -36,26 +37,39 @@ def decayed(target: Column, decay: Column, linear: Column) -> Column:
     return clip(target * (1 - decay) + linear)
 
 
-def mean_decay(members: DataFrame, factors: DataFrame) -> DataFrame:
+def mean_decay(members: DataFrame, factors: DataFrame, hub_factors: DataFrame | None = None) -> DataFrame:
     """``uid, decay``: mean over all incident factors."""
-    return members.join(factors.select("fid", "decay"), "fid").groupBy("uid").agg(F.avg("decay").alias("decay"))
+    return hub_joins.join(members, factors.select("fid", "decay"), ["fid"], hub_factors, "uid").groupBy("uid").agg(F.avg("decay").alias("decay"))
 
 
-def messages(members: DataFrame, factors: DataFrame, state: DataFrame, name: str = "linear") -> DataFrame:
+def messages(members: DataFrame, factors: DataFrame, state: DataFrame, name: str = "linear", hub_nodes: DataFrame | None = None, hub_factors: DataFrame | None = None) -> DataFrame:
     """``run_id, fid, uid, sent`` of active members; ``pos`` 0 is a factor's source. Inactive members are dropped before the join."""
-    active = state.filter("x > 0").join(members, "uid").join(factors.select("fid", "w", "confidence", "forward", "backward", "selectivity"), "fid")
+    active = hub_joins.join(members, state.filter("x > 0"), ["uid"], hub_nodes, "fid")
+    active = hub_joins.join(active, factors.select("fid", "w", "confidence", "forward", "backward", "selectivity"), ["fid"], hub_factors, "uid")
     through = F.when(F.col("pos") == 0, F.col("forward")).otherwise(F.col("backward"))
     return active.select("run_id", "fid", "uid", kernel(name, F.col("x") * F.col("w") * F.col("confidence") * through, F.col("selectivity")).alias("sent"))
 
 
-def propagate(members: DataFrame, factors: DataFrame, evidence: DataFrame, steps: int = 3, name: str = "linear") -> DataFrame:
-    """``run_id, uid, x`` after ``steps``; nodes that stay at 0 are left out. Evidence is ``run_id, uid, x``."""
-    decay = mean_decay(members, factors)
+def hubs_of(members: DataFrame, hub_rows: int = hub_joins.HUB_ROWS, most: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """Nodes in more than ``hub_rows`` factors, and factors of more than ``hub_rows`` members; the latter are not looked for
+    where ``most``, the largest number of members that the schema allows, is not above it."""
+    small = most is not None and most <= hub_rows
+    return hub_joins.measure(members, "uid", hub_rows), None if small else hub_joins.measure(members, "fid", hub_rows)
+
+
+def propagate(members: DataFrame, factors: DataFrame, evidence: DataFrame, steps: int = 3, name: str = "linear", hubs: tuple[DataFrame | None, DataFrame | None] | None = None) -> DataFrame:
+    """``run_id, uid, x`` after ``steps``; nodes that stay at 0 are left out. Evidence is ``run_id, uid, x``.
+
+    The rows of ``hubs`` (measured by :func:`hubs_of` unless given) are dealt among tasks wherever they meet a state,
+    parameters or a total.
+    """
+    hub_nodes, hub_factors = hubs_of(members) if hubs is None else hubs
+    decay = mean_decay(members, factors, hub_factors)
     state = evidence.select("run_id", "uid", clip(F.col("x")).alias("x"))
     for step in range(1, steps + 1):
-        sent = messages(members, factors, state, name)
+        sent = messages(members, factors, state, name, hub_nodes, hub_factors)
         totals = sent.groupBy("run_id", "fid").agg(F.sum("sent").alias("total"))
-        got = totals.join(members.select("fid", "uid"), "fid").join(sent, ["run_id", "fid", "uid"], "left")
+        got = hub_joins.join(members.select("fid", "uid"), totals, ["fid"], hub_factors, "uid").join(sent, ["run_id", "fid", "uid"], "left")
         incoming = got.select("run_id", "uid", (F.col("total") - F.coalesce("sent", F.lit(0.0))).alias("z"), F.lit(0.0).alias("x"))
         both = incoming.unionByName(state.select("run_id", "uid", F.lit(0.0).alias("z"), "x")).groupBy("run_id", "uid").agg(F.sum("z").alias("z"), F.sum("x").alias("x"))
         kept = F.col("x") * (1 - F.coalesce("decay", F.lit(0.1)))

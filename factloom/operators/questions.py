@@ -135,10 +135,11 @@ def multi_hop(members: DataFrame, factors: DataFrame, cases: DataFrame, deepest:
     depths = cases.select(F.col("case_id").alias("run_id"), "depth")
     ends = cases.select(F.col("case_id").alias("run_id"), F.col("target").alias("uid"), "depth")
     sent = reached = None
+    hubs = propagation.hubs_of(members)
     for step in range(1, deepest + 1):
         live = state.join(depths.filter(F.col("depth") >= step).select("run_id"), "run_id")
-        seen = propagation.messages(members, factors, live).filter(F.col("sent") >= least).select("run_id", "fid", F.lit(step).alias("step"))
-        state = cut_lineage(propagation.propagate(members, factors, live, 1))
+        seen = propagation.messages(members, factors, live, "linear", *hubs).filter(F.col("sent") >= least).select("run_id", "fid", F.lit(step).alias("step"))
+        state = cut_lineage(propagation.propagate(members, factors, live, 1, hubs=hubs))
         at_end = state.join(ends.filter(F.col("depth") == step), ["run_id", "uid"]).select("run_id", "x")
         sent = seen if sent is None else sent.unionByName(seen)
         reached = at_end if reached is None else reached.unionByName(at_end)
@@ -152,8 +153,9 @@ def multi_hop(members: DataFrame, factors: DataFrame, cases: DataFrame, deepest:
 def probe(members: DataFrame, factors: DataFrame, seeds: DataFrame, steps: int = 3, least: float = 0.05, top: int = 8) -> DataFrame:
     """``run_id, tick, uid, x, rank``: the most active nodes after each step from seeds ``run_id, uid`` (and ``x``, else 1); a run without rows did not light up."""
     state, out = seeds.select("run_id", "uid", F.col("x") if "x" in seeds.columns else F.lit(1.0).alias("x")), None
+    hubs = propagation.hubs_of(members)
     for step in range(1, steps + 1):
-        state = cut_lineage(propagation.propagate(members, factors, state, 1))
+        state = cut_lineage(propagation.propagate(members, factors, state, 1, hubs=hubs))
         rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.round("x", 9).desc(), "uid"))
         now = state.filter(F.col("x") >= least).withColumn("rank", rank).filter(F.col("rank") <= top).select("run_id", F.lit(step).alias("tick"), "uid", "x", "rank")
         out = now if out is None else out.unionByName(now)

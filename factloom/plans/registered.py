@@ -84,7 +84,8 @@ def g9(spark, d):
 def spread(spark: SparkSession, d: str, kernel: str, steps: int = 3) -> DataFrame:
     rows = facts(spark, d)
     rows = cut_lineage(factors(rows, *[c for c, _ in ROLES]))  # every step reads it several times
-    return propagation.propagate(graph.incidence(rows, ROLES), rows, evidence(spark, d), steps, kernel)
+    members = graph.incidence(rows, ROLES)
+    return propagation.propagate(members, rows, evidence(spark, d), steps, kernel, propagation.hubs_of(members, most=len(ROLES)))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
