@@ -8,8 +8,13 @@ their format proves full, so distinct entities always end up distinct and mentio
 
 Names are found by their titles and exchanged word by word: a family name has one surrogate wherever it stands, so "Mr.
 Smith", "Dr Smith" and "Mrs Jane SMITH" stay one family; a given name has one for its gender, which the title tells, or
-another mention in the document. In a document with a titled name, its words are also exchanged where they stand without
-a title (capitalised). Names without a title in the document are not found.
+another mention in the document, or else most titles that the name has in the corpus. In a document with a titled name,
+its words are also exchanged where they stand without a title (capitalised), and so are one or two capitalised words,
+but for :data:`NO_NAMES`, directly before a known family name ("John Smith" in a text that knows "Mr. Smith") and their
+other mentions. Names in a document without any title are not found.
+
+Bank accounts keep their country and the remainder of their check digits, so valid ones stay valid. Addresses of private,
+loopback, link-local and multicast ranges stay in them and public ones outside.
 
 Plan: mentions are taken from the texts, distinct entities are aggregated before the shuffle, drawn, and joined back to
 the (narrow) mentions, the few very frequent ones by broadcast; one row per document carries its surrogates in order to
@@ -23,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, null_safe_text, read, require
 
+#: The key where the session names none in ``spark.factloom.surrogate.key``.
 KEY = "factloom"
 #: Draws after which a surrogate grows by a character per further draw.
 PLAIN_DRAWS = 4
@@ -63,6 +69,15 @@ _ENDINGS = {
 _IS_SCRIPT = {"cyrillic": r"\p{IsCyrillic}", "greek": r"\p{IsGreek}"}
 
 
+# Capitalised words that begin a sentence or name a day or month, and are no given names before a family name.
+NO_NAMES = (
+    "the a an and but or if when while where then so as at by for from in of on to with about after before since that this these those "
+    "he she it they we you i his her its their our your my who what why how yes no not dear hi hello thanks "
+    "monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december "
+    "der die das ein eine und oder aber wenn mit von zu le la les un une et ou mais el los las una y o pero и а но в на с о"
+).split()
+
+
 def _pattern(text: Column) -> Column:
     return F.when(text.rlike(_HAS_NAME), F.lit(WITH_WORDS)).otherwise(F.lit(ANY))
 
@@ -129,6 +144,35 @@ def _card(canonical: Column, digest: Column) -> Column:
     return F.concat(head, F.pmod(was - total(head), F.lit(10)).cast("string"))
 
 
+def _iban(canonical: Column, digest: Column) -> Column:
+    """Another account of the country, with check digits that leave the original's remainder (1 if it is valid)."""
+
+    def remainder(text: Column) -> Column:
+        step = lambda acc, c: F.when(c.between("0", "9"), acc * 10 + F.ascii(c) - 48).otherwise(acc * 100 + F.ascii(c) - 55) % 97
+        return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+    country, account = F.substring(canonical, 1, 2), F.substring(_chars(canonical, digest, keep=F.lit(4)), F.lit(5), F.length(canonical))
+    was = remainder(F.concat(F.substring(canonical, F.lit(5), F.length(canonical)), F.substring(canonical, 1, 4)))
+    check = F.pmod(was - remainder(F.concat(account, country, F.lit("00"))), F.lit(97))
+    check = F.when(check < 2, check + 97).otherwise(check)  # check digits go from 02 to 98
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
+
+
+#: First numbers of public addresses; those of ranges with another use, wholly or in part, are left out.
+_PUBLIC = [n for n in range(1, 224) if n not in (10, 100, 127, 169, 172, 192, 198, 203)]
+
+
+def _ip(canonical: Column, digest: Column) -> Column:
+    """Another address of the same range: private, loopback, link-local, multicast, reserved or public."""
+    b = [_byte(digest, k) for k in range(4)]
+    first = F.split(canonical, r"\.")[0].cast("int")
+    kept = F.regexp_extract(canonical, r"^(192\.168|169\.254|10|127|0)\.", 1)
+    drawn = [(x % 254 + 1).cast("string") for x in b]
+    shared = F.when(kept.contains("."), F.concat_ws(".", kept, *drawn[2:])).when(kept != "", F.concat_ws(".", kept, *drawn[1:]))
+    shared = shared.when(canonical.rlike(r"^172\.(1[6-9]|2\d|3[01])\."), F.concat_ws(".", F.lit("172"), (b[1] % 16 + 16).cast("string"), *drawn[2:]))
+    return shared.otherwise(F.concat_ws(".", F.when(first >= 240, b[0] % 15 + 240).when(first >= 224, b[0] % 16 + 224).otherwise(_pick(_PUBLIC, b[0])).cast("string"), *drawn[1:]))
+
+
 def _word(canonical: Column, digest: Column, extra: Column, gender: Column | None) -> Column:
     """A name in the script of ``canonical``: syllables, and for a given name an ending that tells the gender."""
 
@@ -155,7 +199,6 @@ def _draw(kind: Column, canonical: Column, draw: Column, key: str) -> Column:
 
 def _drawn(kind: Column, canonical: Column, draw: Column, digest: Column) -> Column:
     extra = F.greatest(draw - PLAIN_DRAWS, F.lit(0))
-    ip = F.concat_ws(".", *[(_byte(digest, k) % 254 + 1).cast("string") for k in range(4)])
     wide_ip = F.concat_ws(":", F.lit("2001:db8"), *[F.substring(digest, 4 * k + 1, 4) for k in range(6)])
     top = F.length(F.regexp_extract(canonical, r"(\.[A-Za-z]+)$", 1))
     local = F.concat(F.repeat(F.lit("a"), extra), F.substring(canonical, F.lit(1), F.length(canonical) - top))
@@ -168,9 +211,9 @@ def _drawn(kind: Column, canonical: Column, draw: Column, digest: Column) -> Col
         F.when(kind == "email", email)
         .when(kind == "family", _word(canonical, digest, extra, None))
         .when(kind.startswith("given"), _word(canonical, digest, extra, F.substring(kind, 7, 1)))
-        .when(kind == "ip", F.when(extra > 0, wide_ip).otherwise(ip))
+        .when(kind == "ip", F.when(extra > 0, wide_ip).otherwise(_ip(canonical, digest)))
         .when(kind == "card", _card(card, digest))
-        .when(kind == "iban", _chars(longer, digest, keep=F.lit(2)))
+        .when(kind == "iban", _iban(longer, digest))
         .when(kind == "phone", _chars(longer, digest, keep=keep))
         .otherwise(_chars(longer, digest))
     )
@@ -197,7 +240,7 @@ def _in_case(word: Column, surrogate: Column) -> Column:
 def entity_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``kind, canonical, surrogate`` of distinct entities; all surrogates of a kind differ from each other and from all entities.
 
-    The first in order of draw and canonical text keeps a contested surrogate, the others draw again. A surrogate grows
+    Family names and given names of any gender count as one kind here. The first in order of draw and canonical text keeps a contested surrogate, the others draw again. A surrogate grows
     by one character per draw after :data:`PLAIN_DRAWS`, so formats with fewer values than entities end as well.
     """
     settled = materialize(entities.select("kind", "canonical", F.lit(0).alias("draw")), "pii-entities")
@@ -205,8 +248,9 @@ def entity_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     while True:
         no += 1
         drawn = settled.withColumn("surrogate", _draw(F.col("kind"), F.col("canonical"), F.col("draw"), key))
-        real = settled.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("real"))
-        contested = drawn.join(real, ["kind", "surrogate"], "left").withColumn("rank", F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("draw", "canonical")))
+        space = F.when((F.col("kind") == "family") | F.col("kind").startswith("given"), "name").otherwise(F.col("kind")).alias("space")
+        real = settled.select(space, F.col("canonical").alias("surrogate"), F.lit(True).alias("real")).distinct()
+        contested = drawn.select("*", space).join(real, ["space", "surrogate"], "left").withColumn("rank", F.row_number().over(Window.partitionBy("space", "surrogate").orderBy("draw", "canonical", "kind")))
         again = contested.withColumn("again", F.coalesce("real", F.lit(False)) | (F.col("rank") > 1)).select("kind", "canonical", "draw", "surrogate", "again")
         again = materialize(again, "pii-drawn")
         if not again.filter("again").limit(1).count():
@@ -226,6 +270,22 @@ def _attach(rows: DataFrame, surrogates: DataFrame, hot: DataFrame, kind: str, c
     return by_broadcast.unionByName(by_key).drop("_kind", "_canonical").unionByName(none)
 
 
+def _hot(counts: DataFrame) -> Column:
+    """Whether a row of ``counts`` (``canonical, n``) has so many mentions that it is told to every task."""
+    least = F.greatest(F.lit(HOT_LEAST), F.lit((counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE))
+    return (F.col("n") > least) & (F.length("canonical") <= HOT_CHARS)
+
+
+def _genders(rows: DataFrame) -> DataFrame:
+    """``rows`` (a written table with ``given, gender``) with the gender that most titles of the corpus give the name where it
+    has none, else n; as ``given_kind``."""
+    counts = materialize(rows.filter("given is not null").groupBy(F.lit("gender").alias("kind"), F.col("given").alias("canonical")).agg(F.count("*").alias("n"), F.count_if(F.col("gender") == "f").alias("f"), F.count_if(F.col("gender") == "m").alias("m")), "pii-genders")
+    told = F.when((F.col("f") == 0) & (F.col("m") == 0), "n").when(F.col("f") >= F.col("m"), "f").otherwise("m").alias("surrogate")
+    asking = rows.withColumn("_asks", F.lit("gender")).withColumn("_given", F.when(F.col("gender").isNull(), F.col("given")))
+    out = _attach(asking, counts.select("kind", "canonical", told), counts.filter(_hot(counts)).select("kind", "canonical", told), "_asks", "_given", "_told")
+    return out.withColumn("given_kind", F.concat(F.lit("given_"), F.coalesce("gender", "_told"))).drop("_asks", "_given", "_told", "gender")
+
+
 def _names(found: DataFrame) -> DataFrame:
     """Titled names and the words of their documents that belong to one, cut into words; other words have none.
 
@@ -241,35 +301,46 @@ def _names(found: DataFrame) -> DataFrame:
         F.when(F.col("mention").rlike(rf"^(?:{_TITLE_F})\b"), "f").when(F.col("mention").rlike(rf"^(?:{_TITLE_M})\b"), "m").alias("gender"),
     ).withColumn("given", F.lower("given_word")).withColumn("family", F.lower("family_word"))
     # a title that tells no gender takes that of the same given name in the document
-    titled = titled.withColumn("gender", F.coalesce("gender", F.min("gender").over(Window.partitionBy("h", "id", "given")), F.lit("n")))
-    titled = materialize(titled.withColumn("given_kind", F.concat(F.lit("given_"), "gender")).drop("gender"), "pii-names")
+    titled = materialize(titled.withColumn("gender", F.coalesce("gender", F.min("gender").over(Window.partitionBy("h", "id", "given")))), "pii-names")
 
-    known = titled.select("h", "id", F.col("family").alias("word"), F.lit("family").alias("part")).unionByName(titled.filter("given is not null").select("h", "id", F.col("given").alias("word"), F.col("given_kind").alias("part")))
-    known = known.groupBy("h", "id", "word").agg(F.min("part").alias("part"))  # family before given
+    known = titled.select("h", "id", F.col("family").alias("word"), F.lit("family").alias("part"), F.lit(None).cast("string").alias("of"))
+    known = known.unionByName(titled.filter("given is not null").select("h", "id", F.col("given").alias("word"), F.lit("given").alias("part"), F.col("gender").alias("of")))
+    known = known.groupBy("h", "id", "word").agg(F.min("part").alias("part"), F.min("of").alias("of"))  # family before given
     words = found.filter("kind = 'word'")
-    words = words.select("h", "id", "pos", "mention", F.regexp_replace("mention", "['’]s$", "").alias("plain"), F.regexp_extract("mention", "(['’]s)$", 1).alias("tail"))
-    words = words.withColumn("word", F.lower("plain")).join(known, ["h", "id", "word"], "left")
-    is_family, is_given = F.col("part") == "family", F.col("part").startswith("given")
+    words = words.select("h", "id", "pos", "joined", "mention", F.regexp_replace("mention", "['’]s$", "").alias("plain"), F.regexp_extract("mention", "(['’]s)$", 1).alias("tail"))
+    words = materialize(words.withColumn("word", F.lower("plain")).join(known, ["h", "id", "word"], "left"), "pii-capitalised")
+    # one or two words directly before a family name
+    order = Window.partitionBy("h", "id").orderBy("pos")
+    ahead = lambda column, k: F.lead(column, k).over(order)
+    touches = lambda k: F.coalesce((ahead("pos", k) == F.col("pos") + k) & ahead("joined", k), F.lit(False))
+    free = F.col("part").isNull() & (F.col("tail") == "") & ~F.col("word").isin(NO_NAMES)
+    near = words.select("h", "id", "word", free.alias("free"), touches(1).alias("t1"), touches(2).alias("t2"), ahead("part", 1).alias("p1"), ahead("part", 2).alias("p2"), ahead(~F.col("word").isin(NO_NAMES) & (F.col("tail") == ""), 1).alias("f1"))
+    near = near.filter(F.col("free") & F.col("t1") & ((F.col("p1") == "family") | (F.col("t2") & F.col("f1") & (F.coalesce("p1", F.lit("given")) == "given") & (F.col("p2") == "family"))))
+    words = words.join(near.select("h", "id", "word", F.lit("given").alias("more")).distinct(), ["h", "id", "word"], "left").withColumn("part", F.coalesce("part", "more"))
+    is_family, is_given = F.col("part") == "family", F.col("part") == "given"
     words = words.select(
         "h", "id", "pos", F.when(F.col("part").isNotNull(), "name").alias("kind"), "mention", F.lit("").alias("title"), F.when(is_given, F.col("plain")).alias("given_word"), F.lit("").alias("gap"),
-        F.when(is_family, F.col("plain")).alias("family_word"), "tail", F.when(is_given, F.col("word")).alias("given"), F.when(is_family, F.col("word")).alias("family"), F.when(is_given, F.col("part")).alias("given_kind"),
+        F.when(is_family, F.col("plain")).alias("family_word"), "tail", F.when(is_given, F.col("word")).alias("given"), F.when(is_family, F.col("word")).alias("family"), F.when(is_given, F.col("of")).alias("gender"),
     )
-    return titled.unionByName(words)
+    return _genders(materialize(titled.unionByName(words), "pii-parts"))
 
 
-def replace_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def replace_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
     """``docs`` with its text replaced and ``n_entities`` and ``entities`` (kind, surrogate in order) added.
 
     Null text stays null and has no entities; rows that share id and text share their result. Other columns stay,
     whatever their names; ``n_entities`` and ``entities`` are replaced. An empty table gives an empty result.
     """
     require(docs, id_col, text_col)
+    key = docs.sparkSession.conf.get("spark.factloom.surrogate.key", KEY) if key is None else key
     others = [c for c in docs.columns if c not in ("n_entities", "entities")]
     id_text = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.xxhash64(id_text, F.col(text_col)).alias("h"), id_text.alias("id"), F.col(text_col).alias("text"))
     body = null_safe_text("text")
-    mention = F.posexplode(F.regexp_extract_all(body, _pattern(body), F.lit(0)))
-    found = keyed.select("h", "id", mention.alias("pos", "mention")).distinct()
+    mentions = F.regexp_extract_all(body, _pattern(body), F.lit(0)).alias("mention")
+    # whether a mention follows the last one after a single space
+    joined = F.when(body.rlike(_HAS_NAME), F.transform(F.split(body, _pattern(body), -1), lambda p: p == " ")).otherwise(F.array().cast("array<boolean>")).alias("joined")
+    found = keyed.select("h", "id", F.posexplode(F.arrays_zip(mentions, joined)).alias("pos", "m")).select("h", "id", "pos", "m.mention", "m.joined").filter("mention is not null").distinct()
     found = found.withColumn("kind", _kind(F.col("mention"))).withColumn("canonical", F.when(~F.col("kind").isin("name", "word"), _canonical(F.col("kind"), F.col("mention"))))
     found = materialize(found, "pii-mentions")
     names = materialize(_names(found), "pii-words").withColumn("family_kind", F.lit("family"))
@@ -279,8 +350,7 @@ def replace_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str
     seen = seen.unionByName(names.filter("given is not null").select(F.col("given_kind").alias("kind"), F.col("given").alias("canonical")))
     counts = materialize(seen.groupBy("kind", "canonical").agg(F.count("*").alias("n")), "pii-counts")
     surrogates = entity_surrogates(counts.select("kind", "canonical"), key)
-    least = F.greatest(F.lit(HOT_LEAST), F.lit((counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE))
-    hot = counts.filter((F.col("n") > least) & (F.length("canonical") <= HOT_CHARS)).select("kind", "canonical").join(surrogates, ["kind", "canonical"])
+    hot = counts.filter(_hot(counts)).select("kind", "canonical").join(surrogates, ["kind", "canonical"])
 
     shaped = _attach(plain, surrogates, hot, "kind", "canonical", "new").select("h", "id", "pos", "kind", _shape(F.col("kind"), F.col("mention"), F.col("new")).alias("new"))
     half = materialize(_attach(names, surrogates, hot, "family_kind", "family", "family_new"), "pii-families")

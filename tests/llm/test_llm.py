@@ -494,6 +494,47 @@ def test_surrogates_keep_coreference_of_names(spark):
     assert m and (m[1], m[2]) == (m[3], m[4]) and m[6] == m[7] and m[1].lower()[-2:] in ("na", "ra", "ia", "sa") and m[2] != m[5]
 
 
+def test_surrogates_of_names_beside_a_family_name(spark):
+    texts = [
+        "Mr. Smith came. John Smith called; John left. Mary Ann Smith's car. The Smith family, Yesterday Paul ran; When Smith sleeps",
+        "Mrs Jane Smith and Mr Kim Lee", "Dr Jane Smith saw Dr Kim Lee", "Prof Robin Lee", "John, Mary Jones",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in surrogates.replace_personal_data(docs).collect()}
+    m = re.fullmatch(r"Mr\. (\w+) came\. (\w+) (\w+) called; (\w+) left\. (\w+) (\w+) (\w+)'s car\. The (\w+) family, Yesterday Paul ran; When (\w+) sleeps", got[0])
+    assert m and len({m[1], m[3], m[7], m[8], m[9]}) == 1 and m[2] == m[4] and len({m[1], m[2], m[5], m[6]}) == 4
+    assert not {"Smith", "John", "Mary", "Ann"} & set(re.findall(r"\w+", got[0]))
+    # a gender that another document's title tells keeps the name one name
+    assert re.findall(r"\w+ \w+", got[1].replace("Mrs ", "").replace("Mr ", "").replace(" and ", ";")) == re.findall(r"\w+ \w+", got[2].replace("Dr ", "").replace(" saw ", ";"))
+    assert got[4] == texts[4] and "Robin" not in got[3]
+    other = {r.doc_id: r.text for r in surrogates.replace_personal_data(docs, key="other").collect()}
+    assert other[0] != got[0] and other[4] == got[4]
+
+
+def test_surrogates_keep_checks_and_ranges(spark):
+    import ipaddress
+
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "DE00 3704 0044 0532 0130 00"]
+    ips = ["10.0.0.1", "192.168.3.4", "172.20.1.1", "127.0.0.1", "169.254.7.7", "8.8.8.8", "224.0.0.9", "172.40.1.1", "192.0.77.5"]
+    docs = spark.createDataFrame([(0, "; ".join(ibans + ips))], "doc_id long, text string")
+    (row,) = surrogates.replace_personal_data(docs).collect()
+    got = row.text.split("; ")
+    rest = lambda t: int("".join(str(int(c, 36)) for c in t.replace(" ", "")[4:] + t[:4])) % 97
+    assert row.n_entities == len(got) == 12 and not set(got) & set(ibans + ips)
+    for was, now in zip(ibans, got):
+        assert rest(was) == rest(now) and was[:2] == now[:2] and [c == " " for c in was] == [c == " " for c in now]
+    for was, now in zip(ips, got[3:]):
+        a, b = ipaddress.ip_address(was), ipaddress.ip_address(now)
+        assert [(x.is_private, x.is_loopback, x.is_link_local, x.is_multicast) for x in (a, b)][0] == (b.is_private, b.is_loopback, b.is_link_local, b.is_multicast)
+
+
+def test_surrogates_of_names_are_distinct_across_their_parts(spark):
+    words = ["jane", "kim", "lee", "robin", "bato", "dake"]
+    rows = [(kind, w) for kind in ("family", "given_f", "given_m", "given_n") for w in words]
+    drawn = surrogates.entity_surrogates(spark.createDataFrame(rows, "kind string, canonical string")).collect()
+    assert len({r.surrogate for r in drawn}) == len(drawn) == 24 and not {r.surrogate for r in drawn} & set(words)
+
+
 def test_surrogates_are_distinct_for_all_entities(spark):
     rng = random.Random(18)
     entities = {f"user{rng.randrange(10**6)}@x{rng.randrange(99)}.org": "email" for _ in range(150)}
