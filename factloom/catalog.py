@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import answers, asking, candidates, evaluation, hubs, inference, ingest, lookups, more, phrases, potentials, registered, resolution, scalars, singles, sources, streams  # noqa: F401
+from .plans import answers, asking, candidates, evaluation, hubs, inference, ingest, lookups, more, phrases, potentials, registered, resolution, scalars, singles, sources, streams, word_classes  # noqa: F401
 from .plans.registered import flagship  # noqa: F401
 
 

@@ -29,18 +29,18 @@ def measure(rows: DataFrame, key: str, hub_rows: int = HUB_ROWS, max_hubs: int =
     return degrees.select(key, "parts") if hubs else None
 
 
-def join(rows: DataFrame, one: DataFrame, keys: list[str], hubs: DataFrame | None, by: str) -> DataFrame:
-    """The inner equi-join of ``rows`` with ``one`` (a row or few per value of ``keys``), where a hub's rows meet in parts.
+def join(rows: DataFrame, one: DataFrame, keys: list[str], hubs: DataFrame | None, by: str, how: str = "inner") -> DataFrame:
+    """The equi-join (inner, or left with ``how``) of ``rows`` with ``one`` (a row or few per value of ``keys``), where a hub's rows meet in parts.
 
     ``hubs`` comes from :func:`measure` and names one of ``keys`` and its parts. A hub's rows are dealt into them by a
     hash of ``by`` and the other side's row is repeated once for each, so it grows by no more than the rows' own number
     divided by ``HUB_ROWS``. Every row meets what it would meet in a plain join, once; without hubs the join is plain.
     """
     if hubs is None:
-        return rows.join(one, keys)
+        return rows.join(one, keys, how)
     key = hubs.columns[0]
     told = F.broadcast(hubs.withColumnRenamed("parts", "_parts"))
     parts = F.coalesce("_parts", F.lit(1).cast("long"))
     dealt = rows.join(told, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts)).drop("_parts")
     repeated = one.join(told, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
-    return dealt.join(repeated, [*keys, "_part"]).drop("_part")
+    return dealt.join(repeated, [*keys, "_part"], how).drop("_part")
