@@ -114,3 +114,24 @@ def st4(spark, d):
 def st6(spark, d):
     rows = turns.recent_history(state_stream.source(spark, f"{d}/conversations.parquet"), 4)
     return state_stream.run(rows, "complete").select("conv_id", F.array_join(F.col("history.turn"), ",").alias("turns"))
+
+
+@query("io1_read_graph", "SELECT 'R' || r_regionkey AS graph_id, 'graphs' AS part, r_name AS uid, CAST(r_regionkey AS VARCHAR) AS value, 0.0::DOUBLE AS w FROM region UNION ALL SELECT 'R' || n_regionkey, 'nodes', 'N' || n_nationkey, n_name, 0 FROM nation UNION ALL SELECT 'R' || n_regionkey, 'links', 'L' || n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'PART_OF' ELSE 'ASSOC' END, CASE WHEN n_nationkey % 3 = 0 THEN 0.25 ELSE 1 END FROM nation UNION ALL SELECT 'R' || n_regionkey, 'factors', 'F' || n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'pair' ELSE 'hyper' END, 0.5 FROM nation UNION ALL SELECT 'R' || n_regionkey, 'incidence', 'F' || n_nationkey, 'SUBJECT=N' || n_nationkey, 0 FROM nation")
+def io1(spark, d):
+    """A snapshot per region (a document of bounded size: its nations), written as JSON and read; a third of the factors has no
+    kind, a third an unknown one, and some links have no type or weight."""
+    nation = table(spark, d, "nation").withColumn("k", F.col("n_nationkey"))
+    key = lambda prefix: F.concat(F.lit(prefix), F.col("k"))
+    node = F.struct(F.col("n_name").alias("label"))
+    link = F.struct(F.when(F.col("k") % 2 == 0, "PART_OF").alias("type"), key("N").alias("e1"), F.when(F.col("k") % 3 == 0, 0.25).alias("w"))
+    factor = F.struct(key("F").alias("fid"), F.when(F.col("k") % 3 == 0, "pair").when(F.col("k") % 3 == 1, "rumour").alias("kind"), F.lit(0.5).alias("w"), F.create_map(F.lit("SUBJECT"), key("N")).alias("roles"))
+    entries = lambda prefix, value: F.map_from_entries(F.collect_list(F.struct(key(prefix), value)))
+    stored = nation.groupBy("n_regionkey").agg(entries("N", node).alias("C"), entries("L", link).alias("L"), F.collect_list(factor).alias("semantic_factors"))
+    graphs = stored.join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    whole = F.struct(F.concat(F.lit("R"), "r_regionkey").alias("id"), F.col("r_name").alias("name"), F.struct(F.col("r_regionkey").alias("tau"), "C", "L", "semantic_factors").alias("store"))
+    path = f"{shared_folder(spark)}/factloom/snapshots-{uuid.uuid4().hex}"
+    graphs.select("r_regionkey", F.to_json(whole).alias("value")).repartition("r_regionkey").write.partitionBy("r_regionkey").text(path)
+    parts = files.read_snapshots(spark, f"{path}/*")
+    row = lambda part, uid, value, w: parts[part].select("graph_id", F.lit(part).alias("part"), F.expr(uid).alias("uid"), F.expr(value).alias("value"), F.expr(w).cast("double").alias("w"))
+    out = row("graphs", "name", "cast(tau as string)", "0").unionByName(row("nodes", "uid", "label", "0")).unionByName(row("links", "uid", "type", "w"))
+    return out.unionByName(row("factors", "fid", "kind", "w")).unionByName(row("incidence", "fid", "concat(role, '=', uid)", "0"))
