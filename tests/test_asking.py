@@ -120,3 +120,41 @@ def test_approximate_neighbours_recall(spark):
     exact = {(r.q, r.vec_id) for r in vectors.knn(asked, rows, 5).collect()}
     near = {(r.q, r.vec_id) for r in vectors.knn_approximate(asked, rows, 5).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_cells_find_neighbours_of_scattered_and_equal_vectors(spark):
+    """Half the rows have no close neighbour; 1,000 are one vector, of which the smallest ids come first. Cells hold parts of the rows."""
+    rng = np.random.default_rng(4)
+    scattered = rng.normal(size=(3000, 16))
+    points = np.vstack([scattered, np.tile(scattered[:1], (1000, 1))])
+    rows = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(points)), (9000, [0.0] * 16), (9001, None)], "vec_id long, embedding array<double>")
+    asked = rows.filter("vec_id % 20 = 0")
+    pairs = lambda found: {(r.q, r.vec_id) for r in found.collect()}
+    exact, found = pairs(vectors.knn(asked.filter("vec_id < 9000"), rows.filter("vec_id < 9000"), 10)), vectors.knn_approximate(asked, rows, 10)
+    near = pairs(found)
+    assert len(exact & near) >= 0.9 * len(exact)
+    assert sorted(v for q, v in near if q == 0) == list(range(3000, 3010)) and not any(9000 in p for p in near)
+    assert "BroadcastExchange" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "Join" not in plan
+    assert vectors.knn_approximate(asked, rows.limit(0), 10).count() == 0
+
+
+def test_nearest_ties_and_blocks(spark, monkeypatch):
+    """Equal rows in several blocks and batches: those of smallest ids, as the SQL's order has it."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    rows = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(5000, 0, -1)] + [(0, None)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in vectors.knn(rows.filter("vec_id % 300 = 0"), rows, 4).collect():
+        got.setdefault(r.q, []).append((r["rank"], r.vec_id))
+    assert len(got) == 16
+    for q, found in got.items():
+        assert [v for _, v in sorted(found)] == [v for v in range(1, 5001) if v % 3 == q % 3 and v != q][:4]
+
+
+def test_a_product_is_bounded_by_its_blocks():
+    """Whatever a batch holds: the products that a task makes have a block's rows at most."""
+    rng = np.random.default_rng(5)
+    own, rows = np.arange(vectors.ROW_BLOCK), vectors._normal(rng.normal(size=(vectors.ROW_BLOCK, 8)))
+    ids, near = vectors._nearest(own[:5], rows[:5], own, rows, 3)
+    want = rows[:5] @ rows.T
+    want[np.arange(5), np.arange(5)] = -2
+    assert [sorted(x) for x in ids.tolist()] == [sorted(np.argsort(-w)[:3].tolist()) for w in want] and near.shape == (5, 3)
