@@ -150,12 +150,12 @@ def multi_hop(members: DataFrame, factors: DataFrame, cases: DataFrame, deepest:
     return out.select(F.col("run_id").alias("case_id"), x.alias("x"), (x >= least).alias("answered"), F.coalesce(F.col("all.fid"), F.array().cast("array<string>")).alias("trace"))
 
 
-def probe(members: DataFrame, factors: DataFrame, seeds: DataFrame, steps: int = 3, least: float = 0.05, top: int = 8) -> DataFrame:
+def probe(members: DataFrame, factors: DataFrame, seeds: DataFrame, steps: int = 3, least: float = 0.05, top: int = 8, hubs: tuple[DataFrame | None, DataFrame | None] | None = None, apart: bool = False) -> DataFrame:
     """``run_id, tick, uid, x, rank``: the most active nodes after each step from seeds ``run_id, uid`` (and ``x``, else 1); a run without rows did not light up."""
     state, out = seeds.select("run_id", "uid", F.col("x") if "x" in seeds.columns else F.lit(1.0).alias("x")), None
-    hubs = propagation.hubs_of(members)
+    hubs = propagation.hubs_of(members) if hubs is None else hubs
     for step in range(1, steps + 1):
-        state = cut_lineage(propagation.propagate(members, factors, state, 1, hubs=hubs))
+        state = cut_lineage(propagation.propagate(members, factors, state, 1, hubs=hubs, apart=apart))
         rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.round("x", 9).desc(), "uid"))
         now = state.filter(F.col("x") >= least).withColumn("rank", rank).filter(F.col("rank") <= top).select("run_id", F.lit(step).alias("tick"), "uid", "x", "rank")
         out = now if out is None else out.unionByName(now)

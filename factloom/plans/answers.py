@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import paths, propagation, questions, text
 from .purchase import FACTS, LINKS, PARAMS, evidence, factors, facts, follow_links, steps_sql, table
-from .registered import members_of, query
+from .registered import members_of, query, spread
 
 
 @query("h3_collect_garbage", "SELECT 'P' || p_partkey AS uid, CASE WHEN 50 - p_size >= 20 THEN 'removed' ELSE 'protected' END AS fate FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -90,7 +90,7 @@ def r7(spark, d):
 def r10(spark, d):
     """Does propagation from a region's customers light up the parts they bought in quantity? All questions run as one job."""
     rows = facts(spark, d)
-    state = propagation.propagate(members_of(spark, d), factors(rows), evidence(spark, d), 2)
+    state = spread(spark, d, "linear", 2)
     lit_up = state.filter("x >= 0.05 and uid like 'P%'")
     asked = evidence(spark, d).select("run_id", F.col("uid").alias("subject"))
     gold = rows.filter("w > 0.2").join(asked, "subject").select("run_id", F.col("object").alias("uid")).distinct()
