@@ -68,3 +68,16 @@ def test_a_sweep_ends_with_its_runs(spark):
     evidence = spark.createDataFrame([("a", 0.0)], "uid string, lam double")
     assert belief.sweep(members, evidence, grid, 4).agg({"tick": "max"}).first()[0] == 4
     assert belief.sweep(members, evidence, grid, 4, epsilon=0.01).agg({"tick": "max"}).first()[0] == 2
+
+
+def test_runs_of_a_sweep_share_messages(spark):
+    """Six runs of two associations: their history equals that of runs of their own, and no tick writes a row per run."""
+    members = spark.createDataFrame([(f"f{i}", f"n{i + j}", j, "assoc", 1.0) for i in range(6) for j in (0, 1)], "fid string, uid string, pos int, potential string, w double")
+    evidence = spark.createDataFrame([("n0", 3.0)], "uid string, lam double")
+    grid = spark.createDataFrame([(f"{a}{s}", a, 0.1, s) for a in ("linear", "sigmoid", "relu") for s in (0.2, 0.8)], "run_id string, activation string, decay double, association double")
+    rows = lambda df: {(r.run_id, r.tick, r.uid): r.x for r in df.collect()}
+    shared = belief.sweep(members, evidence, grid, 3)
+    got, apart = rows(shared), rows(belief.sweep(members, evidence, grid, 3, epsilon=-1.0))
+    assert len(got) == 6 * 3 * 7 and got == pytest.approx(apart, rel=1e-9)
+    heard = [spark.read.parquet(f).count() for f in {f.rsplit("/", 1)[0] for f in shared.inputFiles()}]
+    assert heard == [2 * 7] * 3
