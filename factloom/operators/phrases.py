@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.scalars import fold
-from ..runtime import written
+from ..runtime import spread, written
 
 #: Words of phrases that one automaton holds, about; more phrases are dealt into more automata, one after the other.
 BLOCK = 150_000
+#: Places that a task gathers before it hands them on, about.
+HITS = 50_000
 _SIGN = "\n"  # between words; no word of letters and digits holds it
 
 
@@ -34,29 +35,40 @@ def lemmatized(df: DataFrame, lemmas: DataFrame, ids: list[str]) -> DataFrame:
     return rows.select(*ids, F.col("all.word").alias("w"))
 
 
-def _find(runs: list[str], id_field: StructField):
+def _find(runs: list[str]):
     """A function over batches of ``text_id, body`` that gives each place of the runs (bodies and runs have signs around all words)."""
 
-    def over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         if not runs:  # a block may be empty
             return
         automaton = ahocorasick.Automaton()
         for run in runs:
-            automaton.add_word(run, run)
+            automaton.add_word(run, (run, run.count(_SIGN) - 1))
         automaton.make_automaton()
-        for batch in batches:
-            for text_id, body in zip(batch["text_id"], batch["body"], strict=True):
-                hits = list(automaton.iter(body))
-                if not hits:
-                    continue
-                signs = np.flatnonzero(np.frombuffer(body.encode("utf-32-le"), dtype="<u4") == ord(_SIGN))
-                ends = np.searchsorted(signs, [end for end, _ in hits])
-                width = np.array([run.count(_SIGN) - 1 for _, run in hits])
-                yield pd.DataFrame({"text_id": pd.Series([text_id] * len(hits), dtype=batch["text_id"].dtype), "start": (ends - width).astype("int32"), "width": width.astype("int32"), "run": [run for _, run in hits]})
 
-    return over, StructType([id_field, StructField("start", IntegerType()), StructField("width", IntegerType()), StructField("run", StringType())])
+        def made(ids: pa.Array, rows: list[int], starts: list[int], widths: list[int], found: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(starts, pa.int32()), pa.array(widths, pa.int32()), pa.array(found, pa.string())], names=["text_id", "start", "width", "run"])
+
+        for batch in batches:
+            ids = batch.column(0)
+            rows, starts, widths, found = [], [], [], []
+            for row, body in enumerate(batch.column(1).to_pylist()):
+                signs = at = 0
+                for end, (run, width) in automaton.iter(body):
+                    signs, at = signs + body.count(_SIGN, at, end), end
+                    rows.append(row)
+                    starts.append(signs - width)
+                    widths.append(width)
+                    found.append(run)
+                if len(rows) >= HITS:
+                    yield made(ids, rows, starts, widths, found)
+                    rows, starts, widths, found = [], [], [], []
+            if rows:
+                yield made(ids, rows, starts, widths, found)
+
+    return over
 
 
 def phrase_matches(texts: DataFrame, phrases: DataFrame, least: int = 2, most: int | None = None, lemmas: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
@@ -76,13 +88,13 @@ def phrase_matches(texts: DataFrame, phrases: DataFrame, least: int = 2, most: i
     runs = known.groupBy("run").agg(F.first("n").alias("n"))
     total = runs.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block))
-    bodies = said.select("text_id", closed.alias("body"))
+    bodies = spread(said.select("text_id", closed.alias("body")), "text_id")
     if blocks > 1:
         bodies = written(bodies)
+    schema = StructType([bodies.schema["text_id"], StructField("start", IntegerType()), StructField("width", IntegerType()), StructField("run", StringType())])
     found = None
     for no in range(blocks):
         some = [r.run for r in runs.filter(F.pmod(F.xxhash64("run"), F.lit(blocks)) == no).select("run").collect()]
-        over, schema = _find(some, bodies.schema["text_id"])
-        hits = bodies.mapInPandas(over, schema)
+        hits = bodies.mapInArrow(_find(some), schema)
         found = hits if found is None else found.unionByName(hits)
     return found.join(known.select("uid", "run"), "run").select("text_id", "start", "width", "uid")
