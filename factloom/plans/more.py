@@ -167,7 +167,7 @@ def h7(spark, d):
 
 @query("v1_ngram_embed", "WITH g AS (SELECT p_partkey, n, substr(' ' || lower(p_name) || ' ', i, n) AS g FROM (SELECT p_partkey, p_name, n, unnest(range(1, CAST(length(p_name) + 4 - n AS BIGINT))) AS i FROM part, (SELECT unnest([2, 3, 4]) AS n)) WHERE i + n <= length(p_name) + 3), s AS (SELECT p_partkey, ('0x' || substr(md5(g), 1, 8))::UBIGINT % 64 AS slot, sum(CASE WHEN ('0x' || substr(md5(g), 9, 1))::UBIGINT % 2 = 0 THEN 1 ELSE -1 END) AS v FROM g GROUP BY 1, 2) SELECT p_partkey, CAST(slot AS BIGINT) AS slot, CAST(v AS BIGINT) AS v FROM s WHERE v <> 0")
 def v1(spark, d):
-    return text.hashed_ngrams(table(spark, d, "part"), "p_partkey", "p_name", (2, 3, 4), 64)
+    return text.hashed_ngrams(table(spark, d, "part"), "p_partkey", "p_name", (2, 3, 4), 64, apart=True)
 
 
 @query("t22_epistemic_weight", "SELECT conv_id, turn, CAST(round(0.5 * CASE WHEN role = 'system' THEN 0.55 WHEN contains(text, '?') THEN 0.5 WHEN role = 'assistant' THEN 0.4 ELSE 1.0 END, 4) AS DOUBLE) AS w FROM conversations")
