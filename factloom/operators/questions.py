@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut_lineage
+from ..runtime import cut_lineage, written
 from . import belief, propagation
 
+#: Weights of relations (one a slot) that are broadcast, at most.
+WEIGHTS = 500_000
+
 # What a question word asks for.
 CUES = [("where", "LOCATION"), ("when", "TIME"), ("why", "CAUSE"), ("with what", "INSTRUMENT"), ("who", "SUBJECT")]
 
@@ -46,16 +49,20 @@ def score_relations_by_vectors(asked: DataFrame, labels: DataFrame, docs: DataFr
     """
 
     def unit(df: DataFrame, key: str, name: str) -> DataFrame:
-        size = df.groupBy(key).agg(F.sqrt(F.sum(F.col("v").cast("double") * F.col("v"))).alias("_size"))
-        return df.join(size, key).select(key, "slot", (F.col("v") / F.col("_size")).alias(name))
+        size = F.sqrt(F.sum(F.col("v").cast("double") * F.col("v")).over(Window.partitionBy(key)))
+        return df.select(key, "slot", (F.col("v") / size).alias(name))
 
     of = unit(labels, "relation", "u").withColumn("share", F.lit(0.7)).unionByName(unit(docs, "relation", "u").withColumn("share", F.lit(0.3)))
     weights = of.groupBy("relation", "slot").agg(F.sum(F.col("share") * F.col("u")).alias("u"))
+    # the sides are told apart here, since the planner knows neither's size; rows stay dealt by question where relations are broadcast
+    weights = written(weights)
+    weights = F.broadcast(weights) if weights.count() <= WEIGHTS else weights.hint("merge")
     scores = unit(asked, "question_id", "q").join(weights, "slot").groupBy("question_id", "relation").agg(F.sum(F.col("q") * F.col("u")).alias("score"))
     if kinds is None:
         return scores
     more = F.coalesce(0.08 * (1 - 1 / F.col("n")), F.lit(0.0))
-    return scores.join(kinds.select("question_id", "relation", "n").filter("n > 0"), ["question_id", "relation"], "left").withColumn("score", F.col("score") + more).drop("n")
+    # as many rows as questions, which a small file does not tell the planner: never broadcast
+    return scores.join(kinds.select("question_id", "relation", "n").filter("n > 0").hint("merge"), ["question_id", "relation"], "left").withColumn("score", F.col("score") + more).drop("n")
 
 
 def choose(scores: DataFrame, least: float = 0.12, margin: float = 0.025) -> DataFrame:

@@ -142,11 +142,11 @@ def _unit_sql(source: str) -> str:
 def q3_vectors(spark, d):
     """Part names ask for types by hashed runs of characters; large parts want a list of their own type's brands."""
     part = table(spark, d, "part")
-    vectors = lambda df, key, said: text.hashed_ngrams(df, key, said, (2, 3, 4), 64)
+    vectors = lambda df, key, said: text.hashed_ngrams(df, key, said, (2, 3, 4), 64, apart=True)
     labels = part.select(F.col("p_type").alias("relation"), F.col("p_type").alias("label")).distinct()
     docs = part.groupBy(F.col("p_type").alias("relation")).agg(F.concat(F.min("p_name"), F.lit(" "), F.max("p_brand")).alias("doc"))
     brands = part.groupBy(F.col("p_type").alias("relation")).agg(F.countDistinct("p_brand").alias("n"))
-    kinds = part.filter("p_size > 25").select(F.col("p_partkey").alias("question_id"), F.col("p_type").alias("relation")).join(brands, "relation")
+    kinds = part.filter("p_size > 25").select(F.col("p_partkey").alias("question_id"), F.col("p_type").alias("relation")).join(F.broadcast(brands), "relation")
     asked = vectors(part.withColumnRenamed("p_partkey", "question_id"), "question_id", "p_name")
     scores = questions.score_relations_by_vectors(asked, vectors(labels, "relation", "label"), vectors(docs, "relation", "doc"), kinds)
     return scores.withColumn("score", F.round("score", 6))
