@@ -8,8 +8,13 @@ of them, into one array. A member without a message (null) counts as one half. M
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.scalars import TINY, clip, pulled
 
@@ -67,45 +72,67 @@ def hypernode_approximate(members: DataFrame, mode: str = "soft_and", lam: float
     return rows.select(*KEY, "uid", message.alias("message"))
 
 
-def _gain(ones: Column, arity: Column, mode: str, lam: float) -> Column:
+def _gain(ones: int, arity: int, mode: str, lam: float) -> float:
     """What an assignment with so many ones is worth."""
-    full = (ones == arity).cast("double")
+    full = float(ones == arity)
     if mode == "and":
         return full
     if mode == "pairwise":
-        return F.when(arity > 1, ones * (ones - 1) / (arity * (arity - 1))).otherwise(ones.cast("double"))
+        return ones * (ones - 1) / (arity * (arity - 1)) if arity > 1 else float(ones)
     if mode == "soft_and":
         return ones / arity + lam * full
     raise ValueError(f"unknown mode {mode}")
 
 
+def _exact(p: np.ndarray, pull: np.ndarray, mode: str, lam: float) -> np.ndarray:
+    """Messages to each member of factors of one arity: ``p`` is factor by member, ``pull`` by factor."""
+    arity = p.shape[1]
+    message = np.empty_like(p)
+    for target in range(arity):
+        chances = [np.ones(len(p))]
+        for other in range(arity):
+            if other != target:
+                one = p[:, other]
+                same, more = [*(c * (1 - one) for c in chances), 0.0], [0.0, *(c * one for c in chances)]
+                chances = [a + b for a, b in zip(same, more, strict=True)]
+        no, yes = (sum(c * np.exp(np.minimum(50.0, pull * _gain(k + side, arity, mode, lam))) for k, c in enumerate(chances)) for side in (0, 1))
+        message[:, target] = yes / (no + yes)
+    return message
+
+
 def hypernode_exact(members: DataFrame, mode: str = "soft_and", lam: float = 0.5, strength: float = 0.6) -> DataFrame:
     """The sum over all assignments of the others.
 
     An assignment's worth depends on its number of ones alone, so the chances of 0, 1, 2, ... ones among the others,
-    folded member by member, replace the 2^(n-1) terms.
+    folded member by member, replace the 2^(n-1) terms. Factors of one arity in a batch are folded together.
     """
+    _gain(0, 1, mode, lam)  # refuses an unknown mode
     sent = F.struct("uid", F.coalesce("p", F.lit(0.5)).alias("p"))
-    together = members.groupBy(*KEY, "w").agg(F.collect_list(sent).alias("all"))
-    each = together.select(*KEY, "w", "all", F.explode("all.uid").alias("uid"))
-    others = F.filter("all", lambda m: m["uid"] != F.col("uid"))
-
-    def add(chances: Column, m: Column) -> Column:
-        same, more = F.concat(chances, F.array(F.lit(0.0))), F.concat(F.array(F.lit(0.0)), chances)
-        return F.zip_with(same, more, lambda a, b: a * (1 - m["p"]) + b * m["p"])
-
-    folded = each.select(*KEY, "uid", "w", F.size("all").alias("n"), F.aggregate(others, F.array(F.lit(1.0)), add).alias("chances"))
-    pull = F.greatest(F.lit(0.0), F.col("w") * strength)
-
-    def side(target: int) -> Column:
-        terms = F.transform("chances", lambda c, k: c * F.exp(F.least(F.lit(50.0), pull * _gain(k + target, F.col("n"), mode, lam))))
-        return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
-
-    return folded.select(*KEY, "uid", side(0).alias("no"), side(1).alias("yes")).select(*KEY, "uid", (F.col("yes") / (F.col("no") + F.col("yes"))).alias("message"))
-
-
-def hypernode(members: DataFrame, mode: str = "soft_and", exact_max: int = EXACT_ARITY) -> DataFrame:
-    """Exact up to an arity, approximate beyond it."""
+    together = members.groupBy(*KEY, F.col("w").cast("double").alias("w")).agg(F.collect_list(sent).alias("all"))
+    arrays = together.select(*KEY, "w", F.col("all.uid").alias("uids"), F.col("all.p").alias("ps"))
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            run_id, fid, w, uids, ps = batch.columns
+            n, p = np.diff(np.asarray(ps.offsets)), ps.flatten().to_numpy(zero_copy_only=False)
+            pull = np.fmax(0.0, w.to_numpy(zero_copy_only=False) * strength)
+            first, message = np.cumsum(n) - n, np.empty(len(p))
+            for arity in np.unique(n):
+                rows = np.flatnonzero(n == arity)
+                at = first[rows][:, None] + np.arange(arity)
+                message[at] = _exact(p[at], pull[rows], mode, lam)
+            factor = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([run_id.take(factor), fid.take(factor), uids.flatten(), pa.array(message)], names=[*KEY, "uid", "message"])
+
+    types = members.select(*KEY, "uid").schema
+    return arrays.mapInArrow(over, StructType([*types, StructField("message", DoubleType())]))
+
+
+def hypernode(members: DataFrame, mode: str = "soft_and", exact_max: int = EXACT_ARITY, most: int | None = None) -> DataFrame:
+    """Exact up to an arity, approximate beyond it. ``most`` is the largest arity, where the schema says so: up to
+    ``exact_max`` nothing is counted, and members are read once."""
+    if most is not None and most <= exact_max:
+        return hypernode_exact(members, mode)
     n = F.count("*").over(Window.partitionBy(*KEY))
     sized = members.withColumn("arity", n)
     small, large = sized.filter(F.col("arity") <= exact_max).drop("arity"), sized.filter(F.col("arity") > exact_max).drop("arity")
