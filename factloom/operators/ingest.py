@@ -5,7 +5,7 @@ Candidates are ``cand_id, relation, roles (map of role to filler), kind, confide
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,6 +31,11 @@ def slug(text: Column, stop: list[str], parts: int = 4, chars: int = 48) -> Colu
     return F.when(key != "", key)
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once: a column that is named in several places is computed in each of them."""
+    return F.transform(F.array(value), then)[0]
+
+
 def too_wide(uid: Column, parts: int = 4) -> Column:
     """More parts than a name should have, or one part twice."""
     split = F.split(uid, "_")
@@ -51,20 +56,24 @@ def nounish(word: Column, classes: Column | None = None) -> Column:
 
 def head_entity(filler: Column, stop: list[str], parts: int = 4) -> Column:
     """Key of a filler's entity words, the last ``parts`` of them, if one can be a head; else null."""
-    kept = F.filter(F.split(F.lower(filler), r"[\s_]+"), lambda w: entity_token(w, stop))
-    heads = F.filter(kept, lambda w: nounish(w))
-    chosen = F.when(F.size(kept) > parts, heads).otherwise(kept)
-    key = F.upper(F.array_join(F.slice(chosen, F.greatest(F.lit(1), F.size(chosen) - parts + 1), F.lit(parts)), "_"))
-    return F.when((F.size(heads) > 0) & ~too_wide(key, parts), key)
+
+    def key_of(kept: Column, heads: Column) -> Column:
+        chosen = F.when(F.size(kept) > parts, heads).otherwise(kept)
+        key = F.upper(F.array_join(F.slice(chosen, F.greatest(F.lit(1), F.size(chosen) - parts + 1), F.lit(parts)), "_"))
+        return once(key, lambda key: F.when((F.size(heads) > 0) & ~too_wide(key, parts), key))
+
+    words_of = F.filter(F.split(F.lower(filler), r"[\s_]+"), lambda w: entity_token(w, stop))
+    return once(words_of, lambda kept: once(F.filter(kept, lambda w: nounish(w)), lambda heads: key_of(kept, heads)))
 
 
 def sanitize_roles(candidates: DataFrame, stop: list[str], must_be_entities: tuple[str, ...] = ("SUBJECT", "OBJECT", "LOCATION")) -> DataFrame:
     """Candidates whose named roles are entities, with fillers as keys; one that names a role by no entity, or lacks a SUBJECT, goes."""
     entity = F.transform_values("roles", lambda role, v: F.when(role.isin(*must_be_entities), head_entity(v, stop)).otherwise(slug(v, stop)))
-    cleaned = candidates.withColumn("roles", entity)
-    bad = F.exists(F.map_entries("roles"), lambda e: e["key"].isin(*must_be_entities) & e["value"].isNull())
-    kept = cleaned.filter(~bad & F.element_at("roles", F.lit("SUBJECT")).isNotNull())
-    return kept.withColumn("roles", F.map_filter("roles", lambda role, v: v.isNotNull()))
+    bad = lambda e: e["key"].isin(*must_be_entities) & e["value"].isNull()
+    whole = lambda roles: ~F.exists(F.map_entries(roles), bad) & F.element_at(roles, F.lit("SUBJECT")).isNotNull()
+    # one array of one or no map, so that a filter behind it computes no filler again
+    kept = F.transform(F.filter(F.array(entity), whole), lambda roles: F.map_filter(roles, lambda role, v: v.isNotNull()))
+    return candidates.withColumn("roles", F.explode(kept))
 
 
 def finalize(candidates: DataFrame, stop: list[str]) -> DataFrame:
