@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut_lineage, written
 from . import belief, propagation
+from . import hubs as hub_joins
 
 #: Weights of relations (one a slot) that are broadcast, at most.
 WEIGHTS = 500_000
@@ -169,32 +170,44 @@ def probe(members: DataFrame, factors: DataFrame, seeds: DataFrame, steps: int =
     return out
 
 
-def ask(questions: DataFrame, anchors: DataFrame, facts: DataFrame, members: DataFrame, stop: list[str], ticks: int = 2) -> DataFrame:
+def opened_of(asked: DataFrame, facts: DataFrame, members: DataFrame | None) -> DataFrame:
+    """``question_id, fid, members`` of the facts of a question's relation that an anchor is in (``question_id, relation, uid``), once each.
+
+    Where a fact's row holds its members as an array, it goes once to each of them that may be an anchor, and to no other table.
+    """
+    if members is None:
+        at = facts.select("relation", "fid", "members", F.explode(F.array_distinct(F.col("members.uid"))).alias("uid"))
+        return hub_joins.sieve(at, asked, ["uid", "relation"]).join(asked.hint("merge"), ["uid", "relation"]).select("question_id", "fid", "members")
+    touched = asked.join(members.select("fid", "uid"), "uid").join(facts.select("fid", "relation"), ["fid", "relation"]).select("question_id", "fid").distinct()
+    held = touched.join(members, "fid").groupBy("question_id", "fid")
+    return held.agg(F.collect_list(F.struct("uid", "pos", "role", "potential", "w")).alias("members"))
+
+
+def ask(questions: DataFrame, anchors: DataFrame, facts: DataFrame, members: DataFrame | None, stop: list[str], ticks: int = 2) -> DataFrame:
     """``question_id, answer, relation, n_factors`` of questions ``question_id, question``.
 
     Anchors (``question_id, uid, label``) and the best relation open factors: those of the relation that an anchor is
     in. Belief spreads from the anchors through the open factors of each question; a shut factor's messages would all
     be one half and change nothing, so only open ones are there. The answer is what believed members fill the role
-    that the question asks for. Facts are ``fid, relation``, members ``fid, uid, pos, role, potential, w``.
+    that the question asks for. Facts are ``fid, relation``, members ``fid, uid, pos, role, potential, w``; or facts hold
+    their ``members`` as an array of the same fields, and there is no table of them.
+
+    Open factors are dealt by question once; belief spreads and answers are put together where they lie.
     """
     docs = facts.select("relation", F.lower("relation").alias("term"), F.lit(True).alias("label")).distinct()
-    terms = query_terms(questions, anchors.select("question_id", "label"), stop)
-    plan = cut_lineage(choose(score_relations(terms, docs)))
-    touched = anchors.select("question_id", "uid").join(members.select("fid", "uid"), "uid").join(facts, "fid")
-    opened = touched.join(plan.select("question_id", "relation"), ["question_id", "relation"]).select(F.col("question_id").alias("run_id"), "fid", "relation").distinct()
-    opened = cut_lineage(opened.join(members, "fid"))
-    evidence = anchors.select(F.col("question_id").alias("run_id"), "uid", F.lit(3.0).alias("lam")).distinct()
-    messages = opened.select("run_id", "fid", "uid", "pos", "potential", "w", F.lit(0.5).alias("v2f"), F.lit(0.5).alias("f2v"))
-    nodes = opened.select("run_id", "uid").distinct().join(evidence, ["run_id", "uid"], "left").select("run_id", "uid", F.coalesce("lam", F.lit(0.0)).alias("lam"), F.lit(0.5).alias("belief"), F.lit(0.0).alias("x"))
-    for no in range(ticks):
-        messages, nodes = belief.tick(messages, belief.fade(nodes))
-        if no + 1 < ticks:
-            messages, nodes = cut_lineage(messages), cut_lineage(nodes)
-    wanted = questions.select(F.col("question_id").alias("run_id"), target_role(F.col("question")).alias("role"))
-    fillers = opened.join(wanted, ["run_id", "role"]).join(nodes.filter("belief > 0.5").select("run_id", "uid"), ["run_id", "uid"]).join(evidence.select("run_id", "uid"), ["run_id", "uid"], "left_anti")
-    said = fillers.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_set("uid")), ", ").alias("answer"), F.first("relation").alias("relation"), F.countDistinct("fid").alias("n_factors"))
-    out = questions.select(F.col("question_id").alias("run_id")).join(said, "run_id", "left")
-    return out.select(F.col("run_id").alias("question_id"), F.coalesce("answer", F.lit("unknown")).alias("answer"), "relation", F.coalesce("n_factors", F.lit(0)).alias("n_factors"))
+    plan = choose(score_relations(query_terms(questions, anchors.select("question_id", "label"), stop), docs)).select("question_id", "relation")
+    of = anchors.filter("uid is not null").groupBy("question_id").agg(F.collect_set("uid").alias("anchors"))
+    asked = written(questions.select("question_id", target_role(F.col("question")).alias("wanted")).join(plan, "question_id").join(of, "question_id"))
+    opened = opened_of(asked.select("question_id", "relation", F.explode("anchors").alias("uid")), facts, members)
+    # one row per question, which a small file does not tell the planner: both sides are dealt by question
+    dealt = opened.join(asked.hint("merge"), "question_id").dropDuplicates(["question_id", "fid"])
+    rows = dealt.select(F.col("question_id").alias("run_id"), "fid", "relation", "wanted", "anchors", F.explode("members").alias("m")).select("*", "m.*").drop("m")
+    rows = rows.withColumn("anchor", F.array_contains("anchors", F.col("uid"))).drop("anchors")
+    rows = belief.spread_in_place(rows.withColumn("lam", F.when(F.col("anchor"), 3.0).otherwise(0.0)), ticks)
+    fillers = rows.filter("role = wanted and belief > 0.5 and not anchor")
+    said = fillers.groupBy(F.col("run_id").alias("question_id")).agg(F.array_join(F.array_sort(F.collect_set("uid")), ", ").alias("answer"), F.first("relation").alias("relation"), F.countDistinct("fid").alias("n_factors"))
+    out = questions.select("question_id").join(said.hint("merge"), "question_id", "left")
+    return out.select("question_id", F.coalesce("answer", F.lit("unknown")).alias("answer"), "relation", F.coalesce("n_factors", F.lit(0)).alias("n_factors"))
 
 
 def compare_arms(graph: DataFrame, retrieval: DataFrame) -> DataFrame:

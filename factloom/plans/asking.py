@@ -106,9 +106,9 @@ def answers(spark, d):
     home = customers(spark, d).select(F.concat(F.lit("H"), "question_id").alias("fid"), F.lit("LOCATED").alias("relation"), F.col("uid").alias("subject"), F.col("n_name").alias("filler"), F.lit("LOCATION").alias("role"))
     bought = facts(spark, d).select("fid", F.lit("PURCHASED").alias("relation"), "subject", F.col("object").alias("filler"), F.lit("OBJECT").alias("role"))
     known = home.unionByName(bought)
-    ends = F.array(F.struct(F.col("subject").alias("uid"), F.lit(0).alias("pos"), F.lit("SUBJECT").alias("role")), F.struct(F.col("filler").alias("uid"), F.lit(1).alias("pos"), F.col("role").alias("role")))
-    members = known.select("fid", F.explode(ends).alias("m")).select("fid", "m.*", F.lit("bind").alias("potential"), F.lit(1.0).alias("w"))
-    return questions.ask(asked(spark, d), customers(spark, d).select("question_id", "uid", "label"), known.select("fid", "relation"), members, ["where", "is", "which", "parts", "has"])
+    end = lambda uid, pos, role: F.struct(F.col(uid).alias("uid"), F.lit(pos).alias("pos"), role.alias("role"), F.lit("bind").alias("potential"), F.lit(1.0).alias("w"))
+    ends = F.array(end("subject", 0, F.lit("SUBJECT")), end("filler", 1, F.col("role")))
+    return questions.ask(asked(spark, d), customers(spark, d).select("question_id", "uid", "label"), known.select("fid", "relation", ends.alias("members")), None, ["where", "is", "which", "parts", "has"])
 
 
 _ANSWERS = f"{FACTS}, {_NAMES}, bo AS (SELECT subject, string_agg(DISTINCT object, ', ' ORDER BY object) AS answer, count(DISTINCT fid) AS n FROM facts GROUP BY 1), ans AS (SELECT c_custkey AS question_id, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE coalesce(answer, 'unknown') END AS answer, CASE WHEN c_custkey % 2 = 0 THEN 'LOCATED' WHEN answer IS NOT NULL THEN 'PURCHASED' END AS relation, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE coalesce(n, 0) END AS n_factors FROM cn LEFT JOIN bo ON subject = 'C' || c_custkey)"
