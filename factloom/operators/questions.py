@@ -91,16 +91,29 @@ def compose(questions: DataFrame, tiers: list[DataFrame], unknown: str = "unknow
     return questions.select("question_id").join(best, "question_id", "left").select("question_id", F.coalesce("best.answer", F.lit(unknown)).alias("answer"), F.coalesce("best.tier", F.lit(-1)).alias("tier"))
 
 
-def best_chunks(questions: DataFrame, chunks: DataFrame, k: int = 1, least: int = 2) -> DataFrame:
+def best_chunks(questions: DataFrame, chunks: DataFrame, k: int = 1, least: int = 2, repeated: bool = False) -> DataFrame:
     """``question_id, chunk_id, overlap, rank``: chunks by the number of distinct words that they share with a question.
 
     Both sides are inverted to words, so that only chunks with a common word meet; counts are combined before the shuffle.
+    With ``repeated``, questions of equal words meet chunks of equal words once for all of them: of such chunks the ``k`` of
+    smallest id are all that can be found, and the questions get what was found for one of them.
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]{5,}"), F.lit(0)))
+    order = [F.col("overlap").desc(), "chunk_id"]
+    if repeated:
+        said = questions.select("question_id", F.array_sort(words("question")).alias("words")).withColumn("kind", F.md5(F.array_join("words", " "))).filter("size(words) > 0")
+        asked = said.select("kind", "words").distinct().select("kind", F.explode("words").alias("word"))
+        place = F.row_number().over(Window.partitionBy("words").orderBy("chunk_id"))
+        firsts = chunks.select("chunk_id", F.array_sort(words("body")).alias("words")).withColumn("place", place).filter((F.col("place") <= k) & (F.size("words") > 0))
+        held = firsts.groupBy("words").agg(F.array_sort(F.collect_list("chunk_id")).alias("ids")).select("ids", F.explode("words").alias("word"))
+        shared = held.join(asked, "word").groupBy("kind", "ids").agg(F.count("*").alias("overlap")).filter(F.col("overlap") >= least)
+        best = lambda rows: rows.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).filter(F.col("rank") <= k)
+        found = best(best(shared.withColumn("chunk_id", F.col("ids")[0])).select("kind", "overlap", F.explode("ids").alias("chunk_id")))
+        return said.select("question_id", "kind").join(found.hint("merge"), "kind").select("question_id", "chunk_id", "overlap", "rank")
     asked = questions.select("question_id", F.explode(words("question")).alias("word"))
     held = chunks.select("chunk_id", F.explode(words("body")).alias("word"))
     shared = held.join(asked, "word").groupBy("question_id", "chunk_id").agg(F.count("*").alias("overlap")).filter(F.col("overlap") >= least)
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("overlap").desc(), "chunk_id"))
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(*order))
     return shared.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
