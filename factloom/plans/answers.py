@@ -6,8 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import paths, propagation, questions, text
-from .purchase import FACTS, LINKS, PARAMS, evidence, factors, facts, follow_links, steps_sql, table
-from .registered import members_of, query, spread
+from .purchase import FACTS, LINKS, PARAMS, evidence, factors, facts, follow_links, node_name, seeds, steps_sql, table
+from .registered import members_of, purchase_rows, query, spread
 
 
 @query("h3_collect_garbage", "SELECT 'P' || p_partkey AS uid, CASE WHEN 50 - p_size >= 20 THEN 'removed' ELSE 'protected' END AS fate FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
@@ -89,11 +89,12 @@ def r7(spark, d):
 @query("r10_query_eval", f"WITH {FACTS}, {PARAMS}, {steps_sql('linear', 2)}, a AS (SELECT run_id, uid, x FROM s2 WHERE x >= 0.05 AND uid LIKE 'P%'), g AS (SELECT DISTINCT run_id, object AS uid FROM facts JOIN ev ON subject = ev.uid WHERE w > 0.2), k AS (SELECT run_id, count(*) AS said, count(*) FILTER (EXISTS (SELECT 1 FROM g WHERE g.run_id = a.run_id AND g.uid = a.uid)) AS hit, arg_max(uid, (round(x, 9), uid)) AS answer FROM a GROUP BY 1) SELECT k.run_id, answer, said, hit, (SELECT count(*) FROM g WHERE g.run_id = k.run_id) AS wanted FROM k")
 def r10(spark, d):
     """Does propagation from a region's customers light up the parts they bought in quantity? All questions run as one job."""
-    rows = facts(spark, d)
-    state = spread(spark, d, "linear", 2)
+    rows = purchase_rows(spark, d)
+    state = spread(spark, d, ("linear",), 2, ["object"], rows=rows).select("run_id", "uid", "x")
     lit_up = state.filter("x >= 0.05 and uid like 'P%'")
-    asked = evidence(spark, d).select("run_id", F.col("uid").alias("subject"))
-    gold = rows.filter("w > 0.2").join(asked, "subject").select("run_id", F.col("object").alias("uid")).distinct()
+    asked = seeds(spark, d).select("run_id", F.col("node").alias("subject"))
+    bought = rows.filter("w > 0.2").select("subject", "object").join(asked, "subject").select("run_id", "object").distinct()
+    gold = bought.select("run_id", node_name(F.lit(1), F.col("object")).alias("uid"))
     judged = lit_up.join(gold.withColumn("hit", F.lit(1)), ["run_id", "uid"], "left")
     said = judged.groupBy("run_id").agg(F.max_by("uid", F.struct(F.round("x", 9).alias("x"), "uid")).alias("answer"), F.count("*").alias("said"), F.count("hit").alias("hit"))
     return said.join(gold.groupBy("run_id").agg(F.count("*").alias("wanted")), "run_id", "left").withColumn("wanted", F.coalesce("wanted", F.lit(0)))
