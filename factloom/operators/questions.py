@@ -177,12 +177,17 @@ def probe(members: DataFrame, factors: DataFrame, seeds: DataFrame, steps: int =
     hubs = propagation.hubs_of(members) if hubs is None else hubs
     for step in range(1, steps + 1):
         state = cut_lineage(propagation.propagate(members, factors, state, 1, hubs=hubs, apart=apart))
-        rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.round("x", 9).desc(), "uid"))
-        now = state.filter(F.col("x") >= least).withColumn("rank", rank).filter(F.col("rank") <= top).select("run_id", F.lit(step).alias("tick"), "uid", "x", "rank")
+        now = most_active(state.withColumn("tick", F.lit(step)), least, top)
         out = now if out is None else out.unionByName(now)
     return out
 
 
+def most_active(states: DataFrame, least: float = 0.05, top: int = 8) -> DataFrame:
+    """``run_id, tick, uid, x, rank`` of each run's most active nodes at each tick."""
+    rank = F.row_number().over(Window.partitionBy("run_id", "tick").orderBy(F.round("x", 9).desc(), "uid"))
+    return states.filter(F.col("x") >= least).withColumn("rank", rank).filter(F.col("rank") <= top).select("run_id", "tick", "uid", "x", "rank")
+
+
 def opened_of(asked: DataFrame, facts: DataFrame, members: DataFrame | None) -> DataFrame:
     """``question_id, fid, members`` of the facts of a question's relation that an anchor is in (``question_id, relation, uid``), once each.
 

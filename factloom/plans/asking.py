@@ -9,7 +9,7 @@ from ..operators import evaluation as ev
 from ..operators import questions, state_stream, vectors
 from ..streaming import turns
 from .purchase import FACTS, LINKS, PARAMS, evidence, factors, facts, follow_links, steps_sql, table
-from .registered import follow_members, members_of, purchases, query
+from .registered import follow_members, members_of, query, spread
 
 DEEPEST = 3
 _NTH = "nth AS (SELECT o_custkey, 'O' || o_orderkey AS uid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k, 'L' || o_orderkey AS fid FROM orders)"
@@ -83,8 +83,7 @@ _TICKS = " UNION ALL ".join(f"SELECT run_id, {k} AS tick, uid, x FROM s{k}" for
 
 @query("r11_activation_probe", f"WITH {FACTS}, {PARAMS}, {steps_sql('linear', 2)} SELECT run_id, tick, uid, rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id, tick ORDER BY round(x, 9) DESC, uid) AS rank FROM ({_TICKS}) WHERE x >= 0.05) WHERE rank <= 8")
 def r11(spark, d):
-    members, params, hubs = purchases(spark, d)
-    return questions.probe(members, params, evidence(spark, d), 2, hubs=hubs, apart=True).select("run_id", "tick", "uid", "rank")
+    return questions.most_active(spread(spark, d, ("linear",), 2, every=True).withColumnRenamed("step", "tick")).select("run_id", "tick", "uid", "rank")
 
 
 _NAMES = "cn AS (SELECT c_custkey, substr(c_name, 10) AS number, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey)"
